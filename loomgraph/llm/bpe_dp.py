@@ -271,11 +271,11 @@ class PrefixCounts:
         base = 0
         best = 0
         for a, w in self._spans(text):
-            if base + 1 > budget:
-                return max(best, a)
+            if base >= budget:
+                return best if base > budget else a
+            best = a
             got = self.counts(w)
-            fits = [a + i + 1 for i, c in enumerate(got) if base + c <= budget]
-            best = fits[-1] if fits else max(best, a)
+            best = max([best, *(a + i + 1 for i, c in enumerate(got) if base + c <= budget)])
             base += got[-1]
         return len(self.words.t.normalizer.normalize_str(text)) if base <= budget else best
 
