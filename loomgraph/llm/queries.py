@@ -6,18 +6,35 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe_dp, token_files
+from loomgraph.llm import bpe_dp, chat, packing, sharding, token_files
+
+#: Byte limit of a shard in op4.
+SHARD_BYTES = 1 << 20
+#: A conversation whose texts hold the template's control strings, added to op2's table.
+CONTROL_ROWS = [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as ids and loss mask, read back into digests."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame(CONTROL_ROWS, "conv_id long, turn long, role string, text string"))
+    return chat.conversation_digests(chat.format_turns(rows))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document by the prefix table, as digests."""
     return bpe_dp.encode_decode_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents dealt to shards of at most 1 MiB of text."""
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids through the bit-plane files and back."""
     return token_files.token_file_digests(table(spark, sf_dir, "documents"))
@@ -28,9 +45,14 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_dp.count_tokens(table(spark, sf_dir, "documents"), limit=2048)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe, op6_token_files, op8_token_counts)}
+    return {f.__name__: f for f in (op2_chat_formatting, op3_bpe, op4_sharding, op6_token_files, op8_token_counts, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_sharding": sharding.SQL.format(limit=SHARD_BYTES)}
