@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe_dp, chat, packing, sharding, token_files
+from loomgraph.llm import bpe_dp, chat, packing, quality, sharding, token_files, toxicity
 
 #: Byte limit of a shard in op4.
 SHARD_BYTES = 1 << 20
@@ -35,11 +35,21 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, learnt outside the held-out fold."""
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' ids through the bit-plane files and back."""
     return token_files.token_file_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the likelihood-ratio verdict for all documents."""
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact token counts of every document from the per-prefix tables."""
     return bpe_dp.count_tokens(table(spark, sf_dir, "documents"), limit=2048)
@@ -51,7 +61,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_formatting, op3_bpe, op4_sharding, op6_token_files, op8_token_counts, op9_packing)}
+    return {f.__name__: f for f in (op2_chat_formatting, op3_bpe, op4_sharding, op5_toxicity, op6_token_files, op7_quality_rules, op8_token_counts, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
