@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe_dp, chat, packing, quality, sharding, token_files, toxicity
+from loomgraph.llm import bpe_dp, chat, near_dup, packing, quality, sharding, token_files, toxicity
 
 #: Byte limit of a shard in op4.
 SHARD_BYTES = 1 << 20
@@ -60,8 +60,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of documents linked at 0.8 on two-word shingles."""
+    return near_dup.classes(table(spark, sf_dir, "documents"), k=2, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_formatting, op3_bpe, op4_sharding, op5_toxicity, op6_token_files, op7_quality_rules, op8_token_counts, op9_packing)}
+    return {f.__name__: f for f in (op2_chat_formatting, op3_bpe, op4_sharding, op5_toxicity, op6_token_files, op7_quality_rules, op8_token_counts, op9_packing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
