@@ -12,6 +12,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,7 @@ class PrefixBPE:
         self.rank = rank
         self.known: dict[int, bool] = {}
         self.text = {i: s for s, i in vocab.items()}
+        self.size = {i: len(s) - len(self.end) * (bool(self.end) and s.endswith(self.end) and len(s) > len(self.end)) for i, s in self.text.items()}
         # A token takes part if merging its own letters gives it back.
         self.automaton = ahocorasick.Automaton()
         inner: dict[str, int] = {}
@@ -128,18 +130,45 @@ class PrefixBPE:
                 final[i], total[i] = closing, count[at] + 1
         return last, count, final, total
 
+    def back(self, mapped: str) -> tuple[list[int], int]:
+        """The last inner token of every proper prefix, and the token that ends the word.
+
+        The table without the entries for words that end at an earlier prefix.
+        """
+        n = len(mapped)
+        last, ends = [-1] * (n + 1), []
+        known, compatible = self.known, self.compatible
+        for end, (size, inner, closing) in self.automaton.iter(mapped):
+            i = end + 1
+            if i == n:
+                if closing >= 0:
+                    ends.append((n - size, closing))
+            elif inner >= 0 and last[i] < 0:
+                at = i - size
+                if at:
+                    before = last[at]
+                    if before < 0 or not (known[k] if (k := before << 32 | inner) in known else compatible(before, inner)):
+                        continue
+                last[i] = inner
+        for at, closing in ends:
+            if not at or (last[at] >= 0 and compatible(last[at], closing)):
+                return last, closing
+        raise ValueError(f"no encoding of {mapped!r}")
+
     def ids(self, word: str) -> list[int]:
         """The word's ids, read along the back-pointers."""
         mapped = self.mapped(word)
-        last, _, final, _ = self.table(mapped)
-        at = len(mapped)
-        out = [final[at]]
-        at -= len(self.text[out[0]]) - len(self.end)
+        last, closing = self.back(mapped)
+        out, at = [closing], len(mapped) - self.size[closing]
         while at > 0:
             out.append(last[at])
-            at -= len(self.text[last[at]])
+            at -= self.size[last[at]]
         return out[::-1]
 
+    def count(self, word: str) -> int:
+        """The token count of the whole word."""
+        return len(self.ids(word))
+
     def prefix_counts(self, word: str) -> list[int]:
         """The exact token count of every prefix of the word, by code points, from 1 on."""
         total = self.table(self.mapped(word))[3]
@@ -215,36 +244,34 @@ def encode_decode_digests(df: DataFrame, tokenizer: str | None = None, text: str
     return out.withColumnRenamed("key", key)
 
 
+def _summed(counts: bytes) -> bytes:
+    return counts if len(counts) == 4 else int(np.frombuffer(counts, dtype="<u4").sum()).to_bytes(4, "little")
+
+
 class PrefixCounts:
     """Token counts at every prefix of a text, from the per-prefix tables of its words.
 
     ``total(text)`` is the whole count. ``at_prefixes(text)`` lists the count of every
     prefix of the normalised text. ``longest_within(text, budget)`` is the length of the
-    longest such prefix within a budget; the text is not encoded again for it.
+    longest prefix of the text within a budget; the text is not encoded again for it.
     """
 
-    def __init__(self, path: str, entries: int = 200_000):
+    def __init__(self, path: str):
         self.bpe = prefix_bpe(path)
-        self.per_word: dict[str, list[int]] = {}
-        self.entries = entries
-        self.words = Words(path, lambda w: int(self.counts(w)[-1]).to_bytes(4, "little"), lambda i: (1).to_bytes(4, "little"))
+        self.words = Words(path, lambda w: self.bpe.count(w).to_bytes(4, "little"), lambda i: (1).to_bytes(4, "little"), _summed)
 
     def counts(self, word: str) -> list[int]:
-        got = self.per_word.get(word)
-        if got is None:
-            if word[:1] == "'" and len(word) == 3 and word in ("'re", "'ve", "'ll"):
-                # The prefixes of these are other words: an apostrophe, then a letter.
-                got = [1, 2, self.bpe.prefix_counts(word)[-1]]
-            else:
-                got = self.bpe.prefix_counts(word)
-            if len(word) <= 64:
-                if len(self.per_word) >= self.entries:
-                    self.per_word.clear()
-                self.per_word[word] = got
-        return got
+        if word[:1] == "'" and len(word) == 3 and word in ("'re", "'ve", "'ll"):
+            # The prefixes of these are other words: an apostrophe, then a letter.
+            return [1, 2, self.bpe.prefix_counts(word)[-1]]
+        return self.bpe.prefix_counts(word)
+
+    def per_chunk(self, text: str) -> np.ndarray:
+        """Counts of the white-space-separated chunks."""
+        return np.frombuffer(self.words(text), dtype="<u4")
 
     def total(self, text: str) -> int:
-        return int(np.frombuffer(self.words(text), dtype="<u4").sum())
+        return int(self.per_chunk(text).sum())
 
     def _spans(self, text: str) -> Iterator[tuple[int, str]]:
         """Start in the normalised text, and word."""
@@ -268,16 +295,21 @@ class PrefixCounts:
         return out
 
     def longest_within(self, text: str, budget: int) -> int:
-        base = 0
-        best = 0
-        for a, w in self._spans(text):
-            if base >= budget:
-                return best if base > budget else a
-            best = a
-            got = self.counts(w)
-            best = max([best, *(a + i + 1 for i, c in enumerate(got) if base + c <= budget)])
-            base += got[-1]
-        return len(self.words.t.normalizer.normalize_str(text)) if base <= budget else best
+        """Code points of the longest prefix of a text without special strings that has at most ``budget`` tokens.
+
+        Sums over chunks find the chunk where the budget ends; only its prefixes are looked at.
+        """
+        sums = np.concatenate([[0], np.cumsum(self.per_chunk(text), dtype=np.int64)])
+        k = int(np.searchsorted(sums, budget, side="right")) - 1
+        if k == len(sums) - 1:
+            return len(text)
+        left = budget - int(sums[k])
+        c = text.split(None, k + 1)[k]
+        counts = self.at_prefixes(c)
+        if len(counts) != len(c) + 1:  # normalising changes its length: take its prefixes one by one
+            counts = np.array([self.total(c[:j]) for j in range(len(c) + 1)])
+        start = len(text) - len(text.split(None, k)[k]) if k else len(text) - len(text.lstrip())
+        return start + int(np.flatnonzero(counts <= left)[-1])
 
 
 @functools.lru_cache(maxsize=2)
@@ -288,9 +320,9 @@ def prefix_counter(path: str) -> PrefixCounts:
 def count_tokens(df: DataFrame, limit: int = 2048, tokenizer: str | None = None, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit, fits_chars) of every whole text; null counts as empty.
 
-    ``fits_chars`` is the length in code points of the longest prefix of the normalised
-    text within ``limit`` tokens, for texts over it; null for those that fit or that hold
-    special strings. No shuffle; one row in, one row out.
+    ``fits_chars`` is the length in code points of the longest prefix of the text within
+    ``limit`` tokens, for texts over it; null for those that fit or that hold special strings
+    or separators U+001C to U+001F. No shuffle; one row in, one row out.
     """
     path = tokenizer or default_path()
     schema = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("fits_chars", pa.int64())])
@@ -299,7 +331,7 @@ def count_tokens(df: DataFrame, limit: int = 2048, tokenizer: str | None = None,
         c = prefix_counter(path)
         texts = text_column(batch)
         n = [c.total(t) for t in texts]
-        special = c.words.mark_pattern
+        special = re.compile(c.words.mark_pattern.pattern + "|[\x1c-\x1f]")
         return {
             "key": batch.column("key"),
             "n_bytes": [len(t.encode("utf-8")) for t in texts],

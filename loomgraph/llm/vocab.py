@@ -9,23 +9,22 @@ from __future__ import annotations
 
 import functools
 import re
-import sys
 from collections.abc import Callable
 
 import numpy as np
 
-#: Words and chunks kept per worker; a full table is dropped and fills again with what is frequent.
-CACHE_ENTRIES = 300_000
+#: Words, and chunks, in the younger half of a worker's table. When it is full it becomes the
+#: older half; what is found there moves to the new one, so frequent entries stay.
+CACHE_ENTRIES = 350_000
 #: Longest chunk or word, in characters, that is worth keeping.
 CACHE_CHARS = 64
 #: What str.split() takes for white space but the tokenizer does not.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
-#: Alphabets in which the library's classes and case rules equal those of this Python.
-_PLAIN = re.compile("[\x00-ʯΑ-ΡΤ-ωЀ-ҁҊ-ԣ]*")
+_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Alphabets in which the library's classes and case rules equal those of this Python; left
+#: out: separators, digits that are not decimal, and letters whose lower case depends on place.
+_PLAIN = re.compile("[\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u02af\u0391-\u03a1\u03a4-\u03c9\u0400-\u0481\u048a-\u0523]*")
 #: The tokenizer's own pattern for words, written for such alphabets (fixed value).
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
-#: Characters of _PLAIN that this Python's classes or case rules treat otherwise.
-_ODD = re.compile("[İΣ²³¹¼-¾\x1c-\x1f\x85]")
 
 
 def default_path() -> str:
@@ -59,15 +58,17 @@ class Words:
     """``per_word(word) -> bytes`` folded over whole texts.
 
     ``per_word`` gets a normalised word and returns any bytes; the result for a text is the
-    concatenation over its words. Texts that the fast path cannot split exactly (rare
+    concatenation over its words, or over its chunks of what ``fold`` makes of theirs. Texts that the fast path cannot split exactly (rare
     alphabets, separators, special strings) take the library's own splitter.
     """
 
-    def __init__(self, path: str, per_word: Callable[[str], bytes], special: Callable[[int], bytes], entries: int = CACHE_ENTRIES):
+    def __init__(self, path: str, per_word: Callable[[str], bytes], special: Callable[[int], bytes], fold: Callable[[bytes], bytes] | None = None, entries: int = CACHE_ENTRIES):
         self.t = load_tokenizer(path)
-        self.per_word, self.special, self.entries = per_word, special, entries
+        self.per_word, self.special, self.fold, self.entries = per_word, special, fold, entries
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.old_chunks: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
         self.marks = {x.content: i for i, x in self.t.get_added_tokens_decoder().items()}
         self.mark_pattern = re.compile("|".join(map(re.escape, sorted(self.marks, key=len, reverse=True)))) if self.marks else None
         self.hint = min(self.marks, key=len)[:2] if self.marks else "\0"
@@ -75,39 +76,49 @@ class Words:
     def word(self, w: str) -> bytes:
         v = self.words.get(w)
         if v is None:
-            v = self.per_word(w)
+            v = self.old_words.pop(w, None)
+            if v is None:
+                v = self.per_word(w)
             if len(w) <= CACHE_CHARS:
                 if len(self.words) >= self.entries:
-                    self.words.clear()
+                    self.old_words, self.words = self.words, {}
                 self.words[w] = v
         return v
 
     def split(self, text: str) -> list[str]:
         """The normalised words of a text without special strings."""
-        if _PLAIN.fullmatch(text) and not _ODD.search(text):
+        if _PLAIN.fullmatch(text):
             return _WORDS.findall(text.lower())
         return [w for w, _ in self.t.pre_tokenizer.pre_tokenize_str(self.t.normalizer.normalize_str(text))]
 
     def chunk(self, c: str) -> bytes:
-        if _PLAIN.fullmatch(c) and not _ODD.search(c):
-            v = b"".join(map(self.word, _WORDS.findall(c.lower())))
-        else:
-            v = b"".join(self.word(_unmapped(w)) for w in self.split(c))
+        v = self.chunks.get(c)
+        if v is not None:
+            return v
+        v = self.old_chunks.pop(c, None)
+        if v is None:
+            if c.isalpha() and c.isascii():
+                v = self.word(c.lower())
+            elif _PLAIN.fullmatch(c):
+                v = b"".join(map(self.word, _WORDS.findall(c.lower())))
+            else:
+                v = b"".join(self.word(_unmapped(w)) for w in self.split(c))
+            if self.fold:
+                v = self.fold(v)
         if len(c) <= CACHE_CHARS:
             if len(self.chunks) >= self.entries:
-                self.chunks.clear()
-            self.chunks[sys.intern(c)] = v
+                self.old_chunks, self.chunks = self.chunks, {}
+            self.chunks[c] = v
         return v
 
     def plain(self, text: str) -> bytes:
         """A text without special strings."""
-        if _SEPARATORS.search(text):
+        if any(c in text for c in _SEPARATORS):
             return b"".join(self.word(_unmapped(w)) for w in self.split(text))
         parts = text.split()
         got = list(map(self.chunks.get, parts))
         if None in got:
-            find = self.chunks.get
-            got = [v if v is not None else (find(c) or self.chunk(c)) for v, c in zip(got, parts)]
+            got = [v if v is not None else self.chunk(c) for v, c in zip(got, parts)]
         return b"".join(got)
 
     def __call__(self, text: str) -> bytes:
