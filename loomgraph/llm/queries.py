@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe_dp, chat, near_dup, packing, quality, sharding, token_files, toxicity
+from loomgraph.llm import bpe_dp, chat, embedding_dup, near_dup, packing, quality, sharding, token_files, toxicity
 
 #: Byte limit of a shard in op4.
 SHARD_BYTES = 1 << 20
@@ -18,6 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings with equal labels at cosine 0.98."""
+    return embedding_dup.classes(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation as ids and loss mask, read back into digests."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -66,7 +71,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_formatting, op3_bpe, op4_sharding, op5_toxicity, op6_token_files, op7_quality_rules, op8_token_counts, op9_packing, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_chat_formatting, op3_bpe, op4_sharding, op5_toxicity, op6_token_files, op7_quality_rules, op8_token_counts, op9_packing, op10_minhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
