@@ -171,6 +171,17 @@ def base_counts(texts: list[str], raw: list[bytes]) -> dict[str, np.ndarray]:
 COLUMNS = (("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("kept", "boolean"), ("score", "double"))
 
 
+def judged(texts: list[str], ratios: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
+    """Base counts, score and verdict of each text."""
+    raw, joined, starts = _joined(texts)
+    out = base_counts(texts, raw)
+    h, before = ngram_buckets(joined, starts)
+    sums = np.concatenate([[0.0], np.cumsum(ratios[h], dtype=np.float64)])
+    score = (sums[before[1:]] - sums[before[:-1]]) / (np.diff(before) + PRIOR_NGRAMS)
+    failed = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * out["n_words"])
+    return out | {"base_failed": failed, "score": score, "kept": ~failed & (score >= threshold)}
+
+
 def score_documents(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
     """(key, base counts, base_failed, kept, score) of every document.
 
@@ -183,16 +194,22 @@ def score_documents(df: DataFrame, labels: DataFrame, text: str = "text", key: s
     schema = pa.schema([("key", pa.int64()), *((n, kinds[k]) for n, k in COLUMNS)])
 
     def made(batch: pa.RecordBatch) -> dict[str, object]:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        raw, joined, starts = _joined(texts)
-        out = base_counts(texts, raw)
-        h, before = ngram_buckets(joined, starts)
-        sums = np.concatenate([[0.0], np.cumsum(ratios.value[h], dtype=np.float64)])
-        n = np.diff(before)
-        score = (sums[before[1:]] - sums[before[:-1]]) / (n + PRIOR_NGRAMS)
-        failed = (out["n_words"] < MIN_WORDS) | (100 * out["n_repeat_words"] > MAX_REPEAT_PERCENT * out["n_words"])
-        out |= {"base_failed": failed, "score": score, "kept": ~failed & (score >= threshold)}
+        out = judged([t or "" for t in batch.column("text").to_pylist()], ratios.value, threshold)
         return {"key": batch.column("key")} | {n: pa.array(out[n], kinds[k]) for n, k in COLUMNS}
 
     rows = df.select(df[key].cast("long").alias("key"), df[text].alias("text"))
     return rows.mapInArrow(row_function(made, schema), "key long, " + ", ".join(f"{n} {k}" for n, k in COLUMNS)).withColumnRenamed("key", key)
+
+
+def filter_documents(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``df`` that the rules keep, with all their columns; judged as they are read, without a join."""
+    ratios = df.sparkSession.sparkContext.broadcast(log_ratios(corpus_counts(df, trusted_ids(labels), text, key)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                kept = judged([t or "" for t in some.column(text).to_pylist()], ratios.value, threshold)["kept"]
+                yield some.filter(pa.array(kept))
+
+    return df.mapInArrow(run, df.schema)

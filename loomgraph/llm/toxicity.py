@@ -262,3 +262,19 @@ def score_documents(df: DataFrame, labels: DataFrame, text: str = "text", key: s
 
     rows = df.select(df[key].cast("long").alias("key"), held_out(df[key]).alias("held_out"), df[text].alias("text"))
     return rows.mapInArrow(row_function(made, schema), "key long, held_out boolean, score double, predicted int").withColumnRenamed("key", key)
+
+
+def filter_documents(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", limit: float = 0.5) -> DataFrame:
+    """The rows of ``df`` that score below ``limit``, with all their columns; judged as they are read, without a join."""
+    shared = df.sparkSession.sparkContext.broadcast(fit(df, labels, text, key))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        coder = Coder(model.lexicon)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                score = model.scores([t or "" for t in some.column(text).to_pylist()], coder)
+                yield some.filter(pa.array(score < limit))
+
+    return df.mapInArrow(run, df.schema)
