@@ -6,7 +6,10 @@ between two sets about as often as their Jaccard similarity. Bands of registers
 buckets. In a bucket every document meets one hub, not every other; hubs differ between
 bands. A pair's registers give the likeliest similarity; pairs that may reach the
 threshold are checked on their full sets. After that only buckets that still hold several
-components need more: there, documents of different components meet.
+components need more. Their documents are gathered into loose clusters around leaders, so
+that by the triangle inequality no link can run between clusters; in a cluster, documents
+of different components are compared by their full sets, block by block, and a block
+reports only the links that join components, never its pairs.
 
 Exact copies are one node from the start, so a large group of them costs one sketch.
 """
@@ -36,6 +39,11 @@ ORDERS = 4
 BROADCAST_ROWS = 500_000
 #: Partners checked against one copy of a hub's set.
 PER_HUB = 512
+#: Estimates from which a document follows a leader, and is tied to further leaders: distances
+#: of 0.4 and of 0.4 + 0.2, with three standard errors.
+FOLLOW, TIE = 0.6, 0.28
+#: Documents, and shingles, of a block of a cluster.
+BLOCK_DOCS, BLOCK_SHINGLES = 2048, 4_000_000
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -191,6 +199,108 @@ def verify(pairs: DataFrame, df: DataFrame, k: int, percent: int, text: str, key
     return links
 
 
+def leader_ties(members: DataFrame) -> DataFrame:
+    """(a, b): documents of ``members(bucket, node, regs)`` tied to the leaders of their bucket.
+
+    A document with no leader at FOLLOW or more becomes one. All are tied to every leader
+    at TIE or more, so two documents within distance 0.2 are tied to a common leader. A task
+    holds its bucket's leaders, which are far apart, not its documents.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, ids, regs = None, [], []
+        for batch in batches:
+            out = []
+            for b, node, r in zip(*(batch.column(c).to_pylist() for c in ("bucket", "node", "regs"))):
+                if b != bucket:
+                    bucket, ids, regs = b, [], []
+                x = np.frombuffer(r, dtype=np.uint16)
+                if ids:
+                    # The share of equal registers is an estimate too, less exact than the likeliest value and quick.
+                    got = (x == (np.stack(regs) if len(regs) > 1 else regs[0][None, :])).mean(1)
+                    out += [(node, ids[i]) for i in np.flatnonzero(got >= TIE)]
+                    if got.max() >= FOLLOW:
+                        continue
+                ids.append(node)
+                regs.append(x)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
+
+    ordered = members.repartition(partitions(members.sparkSession), "bucket").sortWithinPartitions("bucket", "node")
+    return ordered.select("bucket", "node", "regs").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+
+
+def links_across(placed: DataFrame, df: DataFrame, k: int, percent: int, text: str, key: str, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join components ``c`` within clusters of ``placed(cluster, node, c, n_shingles)``.
+
+    A cluster is cut into parts; each pair of parts is a block, compared by one task on
+    full sets. What a block reports is at most one link a document.
+    """
+    spark = df.sparkSession
+    sums = placed.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    parts = sums.select("cluster", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    spread = placed.join(parts, "cluster").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    blocks = scratch.save(
+        spread.select("cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") <= F.col("other")).alias("left"), (F.col("part") >= F.col("other")).alias("right"), "node", "c"),
+        "blocks",
+    )
+    few = blocks.count() <= BROADCAST_ROWS
+    texts = df.select(df[key].cast("long").alias("id"), df[text].alias("text"))
+    rows = texts.join(F.broadcast(blocks) if few else blocks, texts["id"] == blocks["node"]).drop("id")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compared(group: list[tuple]) -> list[tuple[int, int]]:
+        """Links of a block: (left, right, node, class, set) each."""
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        left, right = [g for g in group if g[0] and len(g[4])], [g for g in group if g[1] and len(g[4])]
+        if not left or not right or len({g[3] for g in left + right}) < 2:
+            return []
+        sizes = np.array([len(g[4]) for g in right])
+        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        words, flat = np.unique(np.concatenate([g[4] for g in right]), return_inverse=True)
+        mark = np.zeros(len(words), dtype=np.int32)
+        classes_ = np.array([g[3] for g in right])
+        found = []
+        for _, _, node, c, own in left:
+            at = np.searchsorted(words, own)
+            at = at[(at < len(words)) & (words[np.minimum(at, len(words) - 1)] == own)]
+            mark[at] = 1
+            both = np.add.reduceat(mark[flat], starts)
+            mark[at] = 0
+            for i in np.flatnonzero((classes_ != c) & (100 * both >= percent * (len(own) + sizes - both))):
+                x, y = find(c), find(int(classes_[i]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    found.append((node, right[i][2]))
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        block, group = None, []
+        for batch in batches:
+            out = []
+            for cluster, i, j, left, right, node, c, t in zip(*(batch.column(n).to_pylist() for n in ("cluster", "i", "j", "left", "right", "node", "c", "text"))):
+                if (cluster, i, j) != block:
+                    out += compared(group)
+                    block, group = (cluster, i, j), []
+                group.append((left, right, node, c, shingle_set(words_of(t or ""), k, hashes)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=schema)
+        if out := compared(group):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=schema)
+
+    ready = rows.repartition(partitions(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
+    return scratch.save(ready.select("cluster", "i", "j", "left", "right", "node", "c", "text").mapInArrow(run, "a long, b long"), "across")
+
+
 def classes(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document.
 
@@ -237,16 +347,15 @@ def classes(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", ke
     rest = component(near.join(best, ["a", "b"], "left_anti"), labels).where("c_a <> c_b")
     labels = joined(labels, verify(rest, df, k, percent, text, key, scratch, "rest"), "two")
 
-    # Buckets that still hold several components: their documents meet across components.
+    # Buckets that still hold several components: clusters around leaders, compared in blocks.
     own = shared.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
     mixed = own.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("bucket")
-    open_ = scratch.save(own.join(mixed, "bucket"), "open")
-    left, right = open_.toDF("bucket", "a", "c_a"), open_.toDF("bucket", "b", "c_b")
-    across = left.join(right, "bucket").where("c_a < c_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    tested = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = estimate(across.join(tested, ["a", "b"], "left_anti"), nodes, least)
-    labels = joined(labels, verify(more, df, k, percent, text, key, scratch, "across"), "three")
-    scratch.drop("nodes", "buckets", "met", "near", "open")
+    open_ = own.join(mixed, "bucket").join(nodes, "node").select("bucket", "node", "regs")
+    ties = scratch.save(leader_ties(open_), "ties")
+    clusters = connected_components(ties, scratch, "clusters").withColumnRenamed("component", "cluster")
+    placed = clusters.join(labels, "node", "left").join(nodes.select("node", "n_shingles"), "node").select("cluster", "node", F.coalesce("component", "node").alias("c"), "n_shingles")
+    labels = joined(labels, links_across(scratch.save(placed, "placed"), df, k, percent, text, key, scratch), "three")
+    scratch.drop("nodes", "buckets", "met", "near", "ties", "placed")
 
     out = sketches.select("doc_id", "n_shingles", "copy").join(copies, "copy", "left").join(labels, "node", "left")
     cid = F.coalesce("component", "node", "doc_id")
