@@ -1 +1,109 @@
-"""Queries."""
+"""Queries for entity resolution."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loomgraph.functions.scratch import stored
+from loomgraph.operators import resolve, similarity
+from loomgraph.plans.registry import query, table
+
+
+def names(s, d):
+    """Distinct part names, as nodes."""
+    return table(s, d, "part").select(F.col("p_name").alias("id")).distinct().withColumn("name", F.col("id"))
+
+
+_CHARS = (
+    "n AS (SELECT DISTINCT p_name AS k FROM part), t AS (SELECT k, c AS term, count(*)::DOUBLE AS tf FROM (SELECT k, unnest(string_split(regexp_replace(lower(k), '[,-./]', '', 'g'), '')) AS c FROM n) GROUP BY 1, 2), "
+    "i AS (SELECT term, ln((1.0 + (SELECT count(*) FROM n)) / (1.0 + count(*))) + 1 AS idf FROM t GROUP BY 1 HAVING count(*) >= 0.005 * (SELECT count(*) FROM n)), w AS (SELECT k, term, tf * idf AS w FROM t JOIN i USING (term)), u AS (SELECT k, term, w / sqrt(sum(w * w) OVER (PARTITION BY k)) AS w FROM w), "
+    "p AS (SELECT a.k AS a, b.k AS b, sum(a.w * b.w) AS similarity FROM u a JOIN u b ON a.term = b.term AND a.k < b.k GROUP BY 1, 2), cand AS (SELECT * FROM p WHERE similarity > 0.8)"
+)
+
+
+@query(f"WITH {_CHARS} SELECT a, b, round(similarity, 6) AS similarity FROM cand")
+def er02_jn13_candidates(s, d):
+    return similarity.candidate_pairs(names(s, d), "id", "name", 0.8).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query(
+    f"WITH {_CHARS}, used AS (SELECT a AS k FROM cand UNION SELECT b FROM cand), wt AS (SELECT k, term, count(*)::DOUBLE AS tf FROM (SELECT k, unnest(regexp_extract_all(lower(k), '([\\p{{L}}\\p{{N}}_]{{2,}})', 1)) AS term FROM used) GROUP BY 1, 2), "
+    "wi AS (SELECT term, ln((1.0 + (SELECT count(DISTINCT k) FROM wt)) / (1.0 + count(*))) + 1 AS idf FROM wt GROUP BY 1), ww AS (SELECT k, term, tf * idf AS w FROM wt JOIN wi USING (term)), wu AS (SELECT k, term, w / sqrt(sum(w * w) OVER (PARTITION BY k)) AS w FROM ww), "
+    "x AS (SELECT c.a, c.b, sum(p.w * q.w) AS s FROM cand c JOIN wu p ON p.k = c.a JOIN wu q ON q.k = c.b AND q.term = p.term GROUP BY 1, 2) SELECT c.a, c.b, round(coalesce(s, 0), 6) AS tfidf FROM cand c LEFT JOIN x ON x.a = c.a AND x.b = c.b"
+)
+def er03_word_similarity(s, d):
+    n = names(s, d)
+    pairs = stored(similarity.candidate_pairs(n, "id", "name", 0.8))
+    return similarity.word_similarity(pairs, n, "id", "name").select("a", "b", F.round("tfidf", 6).alias("tfidf"))
+
+
+@query(
+    "WITH p AS (SELECT DISTINCT k, part FROM (SELECT p_name AS k, unnest(string_split(p_name, ' ')) AS part FROM (SELECT DISTINCT p_name FROM part))), sh AS (SELECT part, count(*)::DOUBLE / (SELECT count(*) FROM p) AS share FROM p GROUP BY 1), "
+    "t AS (SELECT a.part, b.part AS other, count(*)::DOUBLE AS n FROM p a JOIN p b ON a.k = b.k AND a.part <> b.part GROUP BY 1, 2), c AS (SELECT part, avg(n / (SELECT max(n) FROM t)) AS conn FROM t GROUP BY 1) SELECT k AS key, round(avg(share * coalesce(conn, 0)), 6) AS likelihood FROM p JOIN sh USING (part) LEFT JOIN c USING (part) GROUP BY 1"
+)
+def agg21_name_likelihood(s, d):
+    return similarity.part_likelihood(names(s, d), "id", "name").select("key", F.round("likelihood", 6).alias("likelihood"))
+
+
+def resolver(s, d, **how):
+    n = names(s, d).select(F.col("id").alias("nodeID"), F.col("name").alias("displayName"), F.lit("Scientist").alias("nodeType"))
+    e = table(s, d, "part").select(F.col("p_name").alias("from"), F.col("p_brand").alias("to"), F.lit("Author Of").alias("edgeType"), F.lit("Scientist").alias("fromNodeType"), F.lit("Paper").alias("toNodeType")).distinct()
+    return resolve.Resolver(n, e, "Scientist", neighbours=(("Paper", True),), **how)
+
+
+def scores(s, d):
+    return stored(resolver(s, d).scores())
+
+
+@query()
+def er05_er06_text_scores(s, d):
+    t = resolver(s, d).text_scores()
+    return t.select("from", "to", *[F.round(c, 6).alias(c) for c in ("tfidf", "lev", "parts", "initials", "likelihood", "text")])
+
+
+@query(
+    f"WITH {_CHARS}, e AS (SELECT DISTINCT p_name AS f, p_brand AS t FROM part), w AS (SELECT a.f AS u, b.f AS v, count(*)::DOUBLE AS weight FROM e a JOIN e b ON a.t = b.t AND a.f < b.f GROUP BY 1, 2), "
+    "x AS (SELECT a, b, coalesce(weight, 0) AS weight FROM cand LEFT JOIN w ON u = a AND v = b) SELECT a AS \"from\", b AS \"to\", round(CASE WHEN weight > 0 THEN cume_dist() OVER (PARTITION BY weight > 0 ORDER BY weight) ELSE 0 END, 6) AS graph FROM x"
+)
+def er08_graph_scores(s, d):
+    r = resolver(s, d)
+    r.neighbours = (("Paper", False),)
+    return r.graph_scores(stored(r.candidates())).select("from", "to", F.round("graph", 6).alias("graph"))
+
+
+@query()
+def er07_er17_resolved(s, d):
+    r = resolver(s, d)
+    return r.resolved(scores(s, d)).select("from", "to", F.round("text", 6).alias("text"), F.round("graph", 6).alias("graph"))
+
+
+@query()
+def er09_communities(s, d):
+    return resolver(s, d).communities(scores(s, d), "total", 1.5)
+
+
+@query("SELECT p_brand AS cluster, count(DISTINCT p_name) AS nodes FROM part GROUP BY 1 HAVING count(DISTINCT p_name) > 1")
+def er10_impact(s, d):
+    clusters = table(s, d, "part").select(F.col("p_name").alias("node"), F.col("p_brand").alias("cluster")).distinct()
+    return resolver(s, d).impact(clusters).select("cluster", "nodes")
+
+
+@query("WITH p AS (SELECT 'N' || a.n_nationkey AS f, 'N' || b.n_nationkey AS t FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey WHERE a.n_regionkey = 1 UNION ALL SELECT 'x', 'y' UNION ALL SELECT 'y', 'x') SELECT DISTINCT f AS \"from\", t AS \"to\" FROM p")
+def er11_blacklist(s, d):
+    clusters = table(s, d, "nation").select(F.col("n_regionkey").alias("cluster"), F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("node"))
+    known = s.createDataFrame([("x", "y")], "`from` string, `to` string")
+    return resolve.cluster_to_blacklist(known, clusters, s.createDataFrame([(1,)], "cluster int"))
+
+
+@query()
+def er15_history(s, d):
+    n = names(s, d).select(F.col("id").alias("nodeID"))
+    c = resolve.iterate(n, 20, 1)
+    return c.groupBy("iteration", "chunk").agg(F.count("*").alias("nodes"))
+
+
+@query("SELECT 'N' || n_nationkey AS node, 'N' || min(n_nationkey) OVER (PARTITION BY n_regionkey) AS cluster FROM nation WHERE n_nationkey < 10")
+def er18_accepted_clusters(s, d):
+    n = table(s, d, "nation").where("n_nationkey < 10").select("n_regionkey", F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("node"))
+    hub = n.groupBy("n_regionkey").agg(F.min("node").alias("hub"))
+    return resolve.accepted_clusters(n.join(hub, "n_regionkey").where("node <> hub").select(F.col("node").alias("from"), F.col("hub").alias("to"), F.lit(True).alias("accepted")))

@@ -1 +1,195 @@
-"""Queries."""
+"""Queries for sentence, token, topic and representation operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from loomgraph.operators import nlp, representation, topics
+from loomgraph.plans.registry import query, table
+
+_SENT = (
+    "x AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1)) AS a FROM documents), y AS (SELECT doc_id, unnest(a) AS s, generate_subscripts(a, 1) AS i FROM x), "
+    "z AS (SELECT doc_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k FROM y WHERE length(trim(s)) > 0 AND len(list_filter(string_split(s, ' '), lambda w: regexp_matches(w, '[a-zA-Z]'))) BETWEEN 3 AND 349)"
+)
+
+
+@query(f"WITH {_SENT} SELECT doc_id || '_' || k AS sentence_id, md5(s) AS h FROM z")
+def nlp01_nlp02_sentences(s, d):
+    return nlp.sentence_table(table(s, d, "documents"), "doc_id", "text").select("sentence_id", F.md5("sentence").alias("h"))
+
+
+@query(f"WITH {_SENT} SELECT doc_id, md5(string_agg(s, ' ' ORDER BY k)) AS h FROM z GROUP BY 1")
+def nlp02_documents(s, d):
+    return nlp.documents_of(nlp.sentence_table(table(s, d, "documents"), "doc_id", "text")).select("doc_id", F.md5("document").alias("h"))
+
+
+def tagged(s, d):
+    """Events of a user as words with BILOU tags."""
+    tag = F.expr("CASE event_type WHEN 'view' THEN 'O' WHEN 'click' THEN 'B-PER' WHEN 'purchase' THEN 'I-PER' WHEN 'signup' THEN 'L-PER' ELSE 'U-LOC' END")
+    e = table(s, d, "events").where("event_id < 5000").select("user_id", F.struct("ts", "event_id", F.col("event_type").alias("w"), tag.alias("t")).alias("x"))
+    g = e.groupBy("user_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return g.select("user_id", F.transform("x", lambda v: v["w"]).alias("words"), F.transform("x", lambda v: v["t"]).alias("tags"))
+
+
+@query()
+def win13_nlp05_merge_tags(s, d):
+    return tagged(s, d).select("user_id", F.inline(nlp.merge_tags(F.col("words"), F.col("tags"))))
+
+
+@query()
+def win15_nlp10_triples(s, d):
+    role = F.transform("words", lambda w: F.when(w == "view", "nsubj").when(w == "signup", "obj").otherwise("dep"))
+    return tagged(s, d).select("user_id", F.inline(nlp.triples(F.col("words"), role, F.transform("words", lambda w: w == "click"))))
+
+
+@query()
+def win14_nlp08_tense(s, d):
+    words = F.transform("words", lambda w: F.when(w == "view", "will").otherwise(w))
+    tags = F.transform("words", lambda w: F.when(w == "click", "VB").when(w == "error", "VBD").otherwise("NN"))
+    return tagged(s, d).select("user_id", F.explode(nlp.future_tense(words, tags)).alias("tense")).groupBy("user_id", "tense").agg(F.count("*").alias("n"))
+
+
+@query()
+def nlp09_noun_phrases(s, d):
+    tags = F.transform("words", lambda w: F.when(w == "view", "DT").when(w == "click", "JJ").when(w == "error", "VB").otherwise("NN"))
+    return tagged(s, d).select("user_id", F.explode(nlp.noun_phrases(F.col("words"), tags)).alias("phrase"))
+
+
+def predictions(s, d):
+    """Parts as sentences with two verbs' tags."""
+    w = F.split("p_name", " ")
+    return table(s, d, "part").select(
+        F.col("p_partkey").cast("string").alias("sentence_id"), F.concat(w, F.array(F.lit("ships"), F.lit("x"))).alias("words"),
+        F.array(F.concat(F.transform(w, lambda x: F.lit("B-ARG0")), F.array(F.lit("B-V"), F.lit("B-ARG1"))), F.concat(F.transform(w, lambda x: F.lit("O")), F.array(F.lit("B-V"), F.lit("O")))).alias("verbs"),
+    )
+
+
+@query("SELECT p_partkey::VARCHAR AS sentence_id, i - 1 AS tok_idx, w[i] AS token, '0:' || (CASE WHEN i <= len(w) - 2 THEN 'B-ARG0' WHEN i = len(w) - 1 THEN 'B-V' ELSE 'B-ARG1' END) || ',1:' || (CASE WHEN i = len(w) - 1 THEN 'B-V' ELSE 'O' END) AS args FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (SELECT p_partkey, list_concat(string_split(p_name, ' '), ['ships', 'x']) AS w FROM part))")
+def nlp06_role_map(s, d):
+    m = nlp.role_map(predictions(s, d))
+    args = F.array_join(F.transform(F.map_entries("srl_args"), lambda x: F.concat(x["key"].cast("string"), F.lit(":"), x["value"])), ",")
+    return m.select("sentence_id", F.col("tok_idx").cast("long").alias("tok_idx"), "token", args.alias("args"))
+
+
+@query("SELECT p_partkey::VARCHAR AS sentence_id, p_name AS arg0, 'ships' AS verb, 'x' AS arg1 FROM part")
+def nlp16_assemble_roles(s, d):
+    t = nlp.role_triples(nlp.assemble_roles(nlp.role_map(predictions(s, d))))
+    return t.select("sentence_id", F.col("ARG0").alias("arg0"), F.col("V").alias("verb"), F.col("ARG1").alias("arg1"))
+
+
+@query("SELECT p_partkey::VARCHAR AS sentence_id, i - 1 AS tok_idx, w[i] AS token, CASE WHEN i <= 2 THEN array_to_string(w[1:2], '-') END AS mentions FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (SELECT p_partkey, list_concat(string_split(p_name, ' '), ['ships', 'x']) AS w FROM part))")
+def nlp07_cluster_tokens(s, d):
+    tokens = predictions(s, d).select("sentence_id", F.posexplode("words").alias("tok_idx", "token"))
+    clusters = predictions(s, d).select("sentence_id", F.lit(0).alias("cluster"), F.lit(0).alias("start"), F.lit(1).alias("end"))
+    out = nlp.cluster_tokens(tokens, clusters)
+    return out.select("sentence_id", F.col("tok_idx").cast("long").alias("tok_idx"), "token", F.array_join(F.flatten("clusters"), ";").alias("mentions"))
+
+
+@query("SELECT conv_id, turn, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 0 END AS sentiment FROM conversations")
+def nlp11_label_map(s, d):
+    return table(s, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 0).alias("sentiment"))
+
+
+@query("SELECT conv_id, turn, length(text)::BIGINT AS n, role FROM conversations")
+def nlp12_combine(s, d):
+    c = table(s, d, "conversations")
+    return c.select("conv_id", "turn", F.length("text").cast("long").alias("n")).join(c.select("conv_id", "turn", "role"), ["conv_id", "turn"])
+
+
+@query()
+def nlp14_nlp15_alignment(s, d):
+    w = F.slice(F.split("text", " "), 1, 40)
+    b = table(s, d, "benchmark").select("item_id", w.alias("a"), F.filter(w, lambda x: F.length(x) > 2).alias("b"))
+    return b.select("item_id", nlp.aligned("a", "b").alias("m")).select("item_id", F.array_join("m.a", " ").alias("a"), F.array_join("m.b", " ").alias("b"))
+
+
+@query()
+def arr08_nlp17_minimal_spans(s, d):
+    b = table(s, d, "benchmark").select(F.col("item_id").alias("row"), F.split("text", " ").alias("words"), F.array(F.lit("the"), F.lit("of")).alias("need"))
+    return nlp.minimal_spans(b, "words", "need")
+
+
+@query("SELECT string_split(p_name, ' ')[1] AS \"from\", string_split(p_name, ' ')[2] AS \"to\", 'Of' AS type, count(*) AS weight FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2")
+def nlp18_relations(s, d):
+    ents = F.array(F.struct(F.lit("A").alias("type"), F.lit(0).alias("start"), F.lit(1).alias("end")), F.struct(F.lit("B").alias("type"), F.lit(1).alias("start"), F.lit(2).alias("end")))
+    rel = F.array(F.struct(F.when(F.col("p_partkey") % 2 == 0, "Of").otherwise("Conjunction").alias("type"), F.lit(0).alias("head"), F.lit(1).alias("tail")))
+    return nlp.relations(table(s, d, "part").select(F.split("p_name", " ").alias("tokens"), ents.alias("entities"), rel.alias("relations")))
+
+
+@query("SELECT p_partkey, p_name AS label FROM part")
+def hlp03_label_from_ids(s, d):
+    """A label from token ids joined with '-': tokens looked up in order."""
+    p = table(s, d, "part").select("p_partkey", F.split("p_name", " ").alias("w"))
+    tokens = p.select("p_partkey", F.posexplode("w").alias("id", "token"))
+    ids = p.select("p_partkey", F.explode(F.split(F.array_join(F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: i.cast("string")), "-"), "-")).alias("id")).withColumn("id", F.col("id").cast("int"))
+    ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "token"))), lambda x: x["token"]), " ")
+    return ids.join(tokens, ["p_partkey", "id"]).groupBy("p_partkey").agg(ordered.alias("label"))
+
+
+@query("WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part) SELECT p_partkey, 1::BIGINT AS word_idx, array_to_string(w, '') AS word, 1.5 AS mean FROM w WHERE len(w) = 2")
+def agg18_nlp22_word_pieces(s, d):
+    p = table(s, d, "part").where("size(split(p_name, ' ')) = 2").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("i", "w"))
+    p = p.select("p_partkey", "i", F.when(F.col("i") == 0, F.col("w")).otherwise(F.concat(F.lit("##"), "w")).alias("token"), F.array((F.col("i") + 1.0).cast("double")).alias("v"))
+    return nlp.word_pieces(p, ["p_partkey"], "i", "token", "v").select("p_partkey", "word_idx", "word", F.element_at("vector", 1).alias("mean"))
+
+
+_GRAMS = (
+    "w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), lambda x: x NOT IN ('the', 'of', 'and')) AS w FROM documents WHERE lang = 'en'), "
+    "g AS (SELECT doc_id, unnest(w) AS term FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) FROM w)"
+)
+
+
+def grams(s, d):
+    return topics.ngrams(table(s, d, "documents").where("lang = 'en'"), "doc_id", "text", ("the", "of", "and"))
+
+
+@query(f"WITH {_GRAMS} SELECT term, count(*) AS n FROM g GROUP BY 1 ORDER BY n DESC, term LIMIT 1000")
+def top01_vis04_vocabulary(s, d):
+    return topics.vocabulary(grams(s, d), 1000)
+
+
+@query(f"WITH {_GRAMS}, v AS (SELECT term FROM g GROUP BY 1 ORDER BY count(*) DESC, term LIMIT 100) SELECT doc_id AS key, term, count(*) AS tf FROM g JOIN v USING (term) GROUP BY 1, 2")
+def top01_hlp12_doc_terms(s, d):
+    g = grams(s, d)
+    return topics.doc_terms(g, topics.vocabulary(g, 100))
+
+
+@query()
+def top02_top04_topics(s, d):
+    """Top terms of five topics (a stand-in model, rows only)."""
+    g = grams(s, d)
+    return topics.fit_lda(topics.doc_terms(g, topics.vocabulary(g, 200)), 5, rounds=3)[2]
+
+
+@query(
+    "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v), "
+    "p AS (SELECT a.label = b.label AS same, pow(list_distance(a.e, b.e), 2) AS d2 FROM u a JOIN u b ON b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 5) SELECT round(avg(d2) FILTER (same), 6) AS alignment, round(ln(avg(exp(-2 * d2)) FILTER (NOT same)), 6) AS uniformity FROM p"
+)
+def agg26_rep04_alignment_uniformity(s, d):
+    e = table(s, d, "embeddings").select("vec_id", "label")
+    b = e.select(F.explode(F.sequence(F.col("vec_id") - 5, F.col("vec_id") - 1)).alias("a"), F.col("vec_id").alias("b"), F.col("label").alias("lb"))
+    pairs = b.join(e.select(F.col("vec_id").alias("a"), F.col("label").alias("la")), "a").select("a", "b", (F.col("la") == F.col("lb")).alias("same"))
+    r = representation.alignment_uniformity(pairs, table(s, d, "embeddings"))
+    return r.select(F.round("alignment", 6).alias("alignment"), F.round("uniformity", 6).alias("uniformity"))
+
+
+@query("SELECT item_id, md5(array_to_string(w[6:17], ' ')) AS h FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)")
+def rep01_context_window(s, d):
+    b = table(s, d, "benchmark").select("item_id", F.split("text", " ").alias("w"), F.lit(10).alias("s"), F.lit(12).alias("e"))
+    return representation.context_window(b, "w", "s", "e", 5).select("item_id", F.md5(F.array_join("context", " ")).alias("h"))
+
+
+@query("SELECT item_id, md5(array_to_string(list_resize(list_concat(list_concat(w[1:3], ['[MASK]']), w[6:len(w)])[1:24], 24, '[PAD]'), ' ')) AS h FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)")
+def rep02_masked_features(s, d):
+    b = table(s, d, "benchmark").select("item_id", F.split("text", " ").alias("w"), F.lit(3).alias("s"), F.lit(5).alias("e"))
+    return representation.masked_features(b, "w", "s", "e", 24).select("item_id", F.md5(F.array_join("tokens", " ")).alias("h"))
+
+
+@query()
+def rep03_different_label_pairs(s, d):
+    return representation.different_label_pairs(table(s, d, "embeddings").select("vec_id", "label"), "vec_id", "label", 3)
+
+
+@query("SELECT label, row_number() OVER (ORDER BY label)::INT - 1 AS index FROM (SELECT DISTINCT event_type AS label FROM events)")
+def rep07_label_index(s, d):
+    return representation.label_index(table(s, d, "events").select(F.col("event_type").alias("label")), "label")
