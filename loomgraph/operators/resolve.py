@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import edit_ratio, initials, initials_similarity, parts_similarity
+from loomgraph.functions.scratch import stored
 from loomgraph.operators import graphs, similarity
 from loomgraph.operators.windows import percentile_ranks
 from loomgraph.sources.readers import symmetric
@@ -50,9 +51,9 @@ class Resolver:
 
     def text_scores(self) -> DataFrame:
         """(from, to, one column a metric, text): sums of cosine and ratios, times initials' percentile, times rarity, in that order."""
-        pairs = self.candidates()
+        pairs = stored(self.candidates())
         p = pairs.join(self.own.toDF("from", "from_name"), "from").join(self.own.toDF("to", "to_name"), "to")
-        total = F.lit(0.0)
+        total = F.lit(0.0)  # an expression over columns added below
         if "tfidf" in self.metrics:
             w = similarity.word_similarity(pairs.select(F.col("from").alias("a"), F.col("to").alias("b")), self.own, "id", "name")
             p = p.join(w.toDF("from", "to", "tfidf"), ["from", "to"])
@@ -64,7 +65,7 @@ class Resolver:
             p = p.withColumn("parts", parts_similarity("from_name", "to_name"))
             total += F.col("parts")
         if "initials" in self.metrics:
-            p = p.withColumn("_i", initials_similarity(initials(F.col("from_name")), initials(F.col("to_name"))))
+            p = stored(p.withColumn("_i", initials_similarity(initials(F.col("from_name")), initials(F.col("to_name")))))
             p = percentile_ranks(p, "_i", "initials").drop("_i")
             total *= F.col("initials")
         if "likelihood" in self.metrics:

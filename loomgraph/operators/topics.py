@@ -14,7 +14,11 @@ def ngrams(df: DataFrame, key: str, text: str, stop_words: tuple[str, ...] = (),
     if stop_words:
         words = F.filter(words, lambda w: ~w.isin(*stop_words))
     w = df.select(F.col(key).alias("key"), words.alias("w"))
-    made = [F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i, n=n: F.when(F.size("w") >= n, F.array_join(F.slice("w", i, n), " "))) for n in range(1, longest + 1)]
+
+    def of(n: int):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: F.when(F.size("w") >= n, F.array_join(F.slice("w", i, n), " ")))
+
+    made = [of(n) for n in range(1, longest + 1)]
     return w.select("key", F.explode(F.flatten(F.array(*made))).alias("term")).where("term IS NOT NULL AND term <> ''")
 
 

@@ -144,10 +144,11 @@ def gr15_consolidate(s, d):
     return graphs.consolidate_clusters(n, _clusters(s, d), trade(s, d), ["displayName"]).select("nodeID", F.array_join("displayName", "|").alias("names"))
 
 
-@query("WITH k AS (SELECT min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS kept, p_partkey FROM part) SELECT DISTINCT l_suppkey AS \"from\", kept AS \"to\" FROM lineitem JOIN k ON l_partkey = p_partkey")
+@query("WITH k AS (SELECT min('P' || p_partkey) OVER (PARTITION BY p_name, p_brand) AS kept, p_partkey FROM part) SELECT DISTINCT 'S' || l_suppkey AS \"from\", kept AS \"to\" FROM lineitem JOIN k ON l_partkey = p_partkey")
 def gr16_er14_remap_edges(s, d):
-    m = dedup.mappings(table(s, d, "part"), "p_name", "p_partkey", ("p_brand",))
-    return dedup.remap_edges(table(s, d, "lineitem").select(F.col("l_suppkey").alias("from"), F.col("l_partkey").alias("to")), m)
+    ids = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    m = dedup.mappings(table(s, d, "part").withColumn("p_partkey", ids("P", "p_partkey")), "p_name", "p_partkey", ("p_brand",))
+    return dedup.remap_edges(table(s, d, "lineitem").select(ids("S", "l_suppkey").alias("from"), ids("P", "l_partkey").alias("to")), m)
 
 
 @query(

@@ -62,8 +62,8 @@ def er05_er06_text_scores(s, d):
 
 
 @query(
-    f"WITH {_CHARS}, e AS (SELECT DISTINCT p_name AS f, p_brand AS t FROM part), w AS (SELECT a.f AS u, b.f AS v, count(*)::DOUBLE AS weight FROM e a JOIN e b ON a.t = b.t AND a.f < b.f GROUP BY 1, 2), "
-    "x AS (SELECT a, b, coalesce(weight, 0) AS weight FROM cand LEFT JOIN w ON u = a AND v = b) SELECT a AS \"from\", b AS \"to\", round(CASE WHEN weight > 0 THEN cume_dist() OVER (PARTITION BY weight > 0 ORDER BY weight) ELSE 0 END, 6) AS graph FROM x"
+    f"WITH {_CHARS}, e AS (SELECT DISTINCT p_name AS f, p_brand AS t FROM part), wg AS (SELECT a.f AS u, b.f AS v, count(*)::DOUBLE AS weight FROM e a JOIN e b ON a.t = b.t AND a.f < b.f GROUP BY 1, 2), "
+    "x AS (SELECT a, b, coalesce(weight, 0) AS weight FROM cand LEFT JOIN wg ON wg.u = cand.a AND wg.v = cand.b) SELECT a AS \"from\", b AS \"to\", round(CASE WHEN weight > 0 THEN cume_dist() OVER (PARTITION BY weight > 0 ORDER BY weight) ELSE 0 END, 6) AS graph FROM x"
 )
 def er08_graph_scores(s, d):
     r = resolver(s, d)

@@ -85,9 +85,9 @@ def nlp07_cluster_tokens(s, d):
     return out.select("sentence_id", F.col("tok_idx").cast("long").alias("tok_idx"), "token", F.array_join(F.flatten("clusters"), ";").alias("mentions"))
 
 
-@query("SELECT conv_id, turn, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 0 END AS sentiment FROM conversations")
+@query("SELECT conv_id, turn, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 0 ELSE -1 END AS sentiment FROM conversations")
 def nlp11_label_map(s, d):
-    return table(s, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 0).alias("sentiment"))
+    return table(s, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 0).otherwise(-1).alias("sentiment"))
 
 
 @query("SELECT conv_id, turn, length(text)::BIGINT AS n, role FROM conversations")
