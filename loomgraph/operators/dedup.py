@@ -29,10 +29,11 @@ def mappings(nodes: DataFrame, name: str = "displayName", node: str = "nodeID",
 
 def remap_edges(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     """Edges with both ends replaced where the mapping has them, each once."""
+    columns = edges.columns
     for end in ("from", "to"):
         m = mapping.select(F.col("old").alias(end), F.col("new").alias("_new"))
         edges = edges.join(m, end, "left").withColumn(end, F.coalesce("_new", end)).drop("_new")
-    return edges.distinct()
+    return edges.select(*columns).distinct()
 
 
 def merge_nodes(nodes: DataFrame, mapping: DataFrame, node: str = "nodeID") -> DataFrame:

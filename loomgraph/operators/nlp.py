@@ -55,7 +55,7 @@ def provider(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
 
 
 def merge_tags(words: Column, tags: Column, keep_open: bool = False) -> Column:
-    """Entities of BILOU tags as (text, type, start, end), offsets by words and single spaces.
+    """Entities of BILOU tags as (text, type, start, end), offsets by words and single spaces, ends included.
 
     U and O are single words. A run needs B, then I, and L to close it; an I without a run
     or of another type, and a run that the sentence leaves open, are lost (the latter is
@@ -68,7 +68,7 @@ def merge_tags(words: Column, tags: Column, keep_open: bool = False) -> Column:
 
     def step(acc: Column, x: Column) -> Column:
         mark, kind, word, at = F.substring(x["t"], 1, 1), F.regexp_replace(x["t"], "^[BILU]-", ""), x["w"], acc["at"]
-        end = at + F.length(word)
+        end = at + F.length(word) - 1
         one = F.struct(word.alias("text"), kind.alias("type"), at.alias("start"), end.alias("end"))
         goes_on = acc["text"].isNotNull() & (acc["type"] == kind)
         longer = F.concat_ws(" ", acc["text"], word)
@@ -77,13 +77,13 @@ def merge_tags(words: Column, tags: Column, keep_open: bool = False) -> Column:
         done = F.when(single, F.concat(acc["done"], F.array(one))).when(last, F.concat(acc["done"], F.array(closed))).otherwise(acc["done"])
         return F.struct(
             done.alias("done"), F.when(begins, word).when(inside, longer).alias("text"), F.when(begins | inside, kind).alias("type"),
-            F.when(begins, at).when(inside, acc["start"]).otherwise(F.lit(0)).alias("start"), (end + 1).alias("at"),
+            F.when(begins, at).when(inside, acc["start"]).otherwise(F.lit(0)).alias("start"), (end + 2).alias("at"),
         )
 
     def finish(acc: Column) -> Column:
         if not keep_open:
             return acc["done"]
-        left = F.struct(acc["text"].alias("text"), acc["type"].alias("type"), acc["start"].alias("start"), (acc["start"] + F.length(acc["text"])).alias("end"))
+        left = F.struct(acc["text"].alias("text"), acc["type"].alias("type"), acc["start"].alias("start"), (acc["start"] + F.length(acc["text"]) - 1).alias("end"))
         return F.when(acc["text"].isNotNull(), F.concat(acc["done"], F.array(left))).otherwise(acc["done"])
 
     return F.aggregate(F.arrays_zip(words.alias("w"), tags.alias("t")), empty, step, finish)

@@ -73,13 +73,12 @@ def er08_graph_scores(s, d):
 
 @query()
 def er07_er17_resolved(s, d):
-    r = resolver(s, d)
-    return r.resolved(scores(s, d)).select("from", "to", F.round("text", 6).alias("text"), F.round("graph", 6).alias("graph"))
+    return resolver(s, d, constraints={"text": 0.05, "graph": 0.0}).resolved(scores(s, d)).select("from", "to", F.round("text", 6).alias("text"), F.round("graph", 6).alias("graph"))
 
 
 @query()
 def er09_communities(s, d):
-    return resolver(s, d).communities(scores(s, d), "total", 1.5)
+    return resolver(s, d).communities(scores(s, d), "total", 0.1)
 
 
 @query("SELECT p_brand AS cluster, count(DISTINCT p_name) AS nodes FROM part GROUP BY 1 HAVING count(DISTINCT p_name) > 1")
