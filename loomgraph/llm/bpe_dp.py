@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from loomgraph.llm.common import row_function, text_column
+from loomgraph.llm.common import begin, row_function, text_column
 from loomgraph.llm.vocab import Words, byte_alphabet, default_path
 
 #: Entries of the table of pairs whose compatibility is known.
@@ -184,9 +184,14 @@ def prefix_bpe(path: str) -> PrefixBPE:
     return PrefixBPE(path)
 
 
-@functools.lru_cache(maxsize=2)
 def dp_encoder(path: str) -> Words:
     """Ids of whole texts as little-endian unsigned 32-bit integers, by the prefix table."""
+    begin("dp", _dp_encoder.cache_clear)
+    return _dp_encoder(path)
+
+
+@functools.lru_cache(maxsize=1)
+def _dp_encoder(path: str) -> Words:
     bpe = prefix_bpe(path)
     return Words(path, lambda w: np.array(bpe.ids(w), dtype="<u4").tobytes(), lambda i: int(i).to_bytes(4, "little"))
 
@@ -312,8 +317,13 @@ class PrefixCounts:
         return start + int(np.flatnonzero(counts <= left)[-1])
 
 
-@functools.lru_cache(maxsize=2)
 def prefix_counter(path: str) -> PrefixCounts:
+    begin("counts", _prefix_counter.cache_clear)
+    return _prefix_counter(path)
+
+
+@functools.lru_cache(maxsize=1)
+def _prefix_counter(path: str) -> PrefixCounts:
     return PrefixCounts(path)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -69,6 +70,24 @@ def row_function(
     return run
 
 
+_held: dict[str, Callable[[], None]] = {}
+
+
+def begin(work: str, release: Callable[[], None] | None = None) -> None:
+    """Tells a Python worker what it works on now; what other work holds in memory goes.
+
+    Spark hands a worker on from operator to operator, and each keeps tables of words.
+    """
+    gone = [k for k in _held if k != work]
+    for k in gone:
+        _held.pop(k)()
+    if gone:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    if release:
+        _held[work] = release
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

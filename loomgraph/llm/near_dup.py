@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch, connected_components, mix64, partitions, row_function
+from loomgraph.llm.common import Scratch, begin, connected_components, mix64, partitions, row_function
 
 #: Bands and registers in each. A pair at similarity 0.8 shares no band with chance (1 - 0.8^5)^32 = 3e-6.
 BANDS, ROWS = 32, 5
@@ -57,7 +57,7 @@ class _Hashes(dict):
         import xxhash
 
         h = xxhash.xxh64_intdigest(word)
-        if len(self) >= 500_000:
+        if len(self) >= 300_000:
             self.clear()
         self[word] = h
         return h
@@ -119,6 +119,7 @@ def sketch(df: DataFrame, k: int, text: str = "text", key: str = "doc_id") -> Da
     hashes = _Hashes()
 
     def made(batch: pa.RecordBatch) -> dict[str, object]:
+        begin("near_dup", hashes.clear)
         words = [words_of(t or "") for t in batch.column("text").to_pylist()]
         sets = [shingle_set(w, k, hashes) for w in words]
         full = [i for i, s in enumerate(sets) if len(s)]
@@ -172,6 +173,7 @@ def verify(pairs: DataFrame, df: DataFrame, k: int, percent: int, text: str, key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
+        begin("near_dup", hashes.clear)
         group, sets = None, []
         for batch in batches:
             found = []
@@ -284,6 +286,7 @@ def links_across(placed: DataFrame, df: DataFrame, k: int, percent: int, text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
+        begin("near_dup", hashes.clear)
         block, group = None, []
         for batch in batches:
             out = []

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import mix64, row_function
+from loomgraph.llm.common import begin, mix64, row_function
 
 #: Bytes in an n-gram; bits of a bucket number.
 NGRAM, BUCKET_BITS = 4, 18
@@ -67,6 +67,7 @@ def corpus_counts(df: DataFrame, trusted: set[int], text: str = "text", key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(1 << BUCKET_BITS, np.int64), np.zeros(1 << BUCKET_BITS, np.int64)
+        begin("quality")
         good = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -173,6 +174,7 @@ COLUMNS = (("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), (
 
 def judged(texts: list[str], ratios: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
     """Base counts, score and verdict of each text."""
+    begin("quality")
     raw, joined, starts = _joined(texts)
     out = base_counts(texts, raw)
     h, before = ngram_buckets(joined, starts)

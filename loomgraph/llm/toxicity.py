@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import row_function
+from loomgraph.llm.common import begin, row_function
 
 #: Labelled rows at most for the lexicon, and for the trees, toxic and other each; chosen by a hash of their ids.
 LEXICON_ROWS, TREE_ROWS = 2500, 8000
@@ -47,7 +47,7 @@ def terms(word: str) -> set[str]:
 class Coder(dict):
     """A word's flags (low 8 bits) and lexicon weight in thousandths, kept for words that repeat."""
 
-    def __init__(self, lexicon: dict[str, float], entries: int = 300_000):
+    def __init__(self, lexicon: dict[str, float], entries: int = 200_000):
         self.lexicon, self.entries = lexicon, entries
 
     def __missing__(self, word: str) -> int:
@@ -207,6 +207,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
     schema = pa.schema([("term", pa.string()), ("toxic", pa.int64()), ("other", pa.int64())])
 
     def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("toxicity")
         by = (Counter(), Counter())
         docs = [0, 0]
         for batch in batches:
@@ -257,6 +258,7 @@ def score_documents(df: DataFrame, labels: DataFrame, text: str = "text", key: s
     def made(batch: pa.RecordBatch) -> dict[str, object]:
         model = shared.value
         coder = coders.setdefault("own", Coder(model.lexicon))
+        begin("toxicity", coder.clear)
         score = model.scores([t or "" for t in batch.column("text").to_pylist()], coder)
         return {"key": batch.column("key"), "held_out": batch.column("held_out"), "score": pa.array(score), "predicted": pa.array((score >= 0.5).astype(np.int32))}
 
@@ -271,6 +273,7 @@ def filter_documents(df: DataFrame, labels: DataFrame, text: str = "text", key:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         coder = Coder(model.lexicon)
+        begin("toxicity", coder.clear)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)

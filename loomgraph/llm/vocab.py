@@ -13,9 +13,11 @@ from collections.abc import Callable
 
 import numpy as np
 
+from loomgraph.llm.common import begin
+
 #: Words, and chunks, in the younger half of a worker's table. When it is full it becomes the
 #: older half; what is found there moves to the new one, so frequent entries stay.
-CACHE_ENTRIES = 350_000
+CACHE_ENTRIES = 240_000
 #: Longest chunk or word, in characters, that is worth keeping.
 CACHE_CHARS = 64
 #: What str.split() takes for white space but the tokenizer does not.
@@ -139,9 +141,14 @@ def _unmapped(w: str) -> str:
     return bytes(_BACK[c] for c in w).decode("utf-8")
 
 
-@functools.lru_cache(maxsize=4)
 def id_encoder(path: str) -> Words:
     """Ids of a text as little-endian unsigned 32-bit integers, made by the library word by word."""
+    begin("ids", _id_encoder.cache_clear)
+    return _id_encoder(path)
+
+
+@functools.lru_cache(maxsize=1)
+def _id_encoder(path: str) -> Words:
     t = load_tokenizer(path)
     letters = byte_alphabet()
 
