@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import arrays
 from loomgraph.functions.scratch import stored
 
-#: Neighbours up to which a shared neighbour's pairs are formed in one go; hubs beyond are split by AQE's skew join.
+#: What community functions return.
 NODE = "node string, cluster string"
 
 
@@ -100,11 +100,10 @@ def _greedy(nodes: list, links: dict, total: float, strength: dict) -> dict:
     k = dict(strength)
     while True:
         gains = [(w / total - k[a] * k[b] / (2 * total * total), a, b) for a in between for b, w in between[a].items() if a < b]
-        best = max(gains, key=lambda g: (g[0], g[1] and 0), default=(0,))
-        best = min((g for g in gains if g[0] == best[0]), key=lambda g: (g[1], g[2]), default=best)
-        if best[0] <= 1e-12:
+        top = max((g[0] for g in gains), default=0.0)
+        if top <= 1e-12:
             return own
-        _, a, b = best
+        _, a, b = min(g for g in gains if g[0] == top)  # ties go to the least pair
         own[a] |= own.pop(b)
         k[a] += k.pop(b)
         for c, w in between.pop(b).items():

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.scratch import folder
 from loomgraph.operators import dedup, etl, weights, windows
 from loomgraph.plans.registry import query, table
 from loomgraph.sources import readers, writers
@@ -51,12 +54,8 @@ def trade(s: SparkSession, d: str) -> DataFrame:
 
 
 def _roundtrip(s: SparkSession, name: str) -> str:
-    import uuid
-
-    from tempfile import gettempdir
-
-    root = s.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{gettempdir()}/loomgraph-tables"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder."""
+    return f"{folder(s)}/{name}-{uuid.uuid4().hex}"
 
 
 # --- sources and sinks ---
