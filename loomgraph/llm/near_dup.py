@@ -204,28 +204,41 @@ def verify(pairs: DataFrame, df: DataFrame, k: int, percent: int, text: str, key
 def leader_ties(members: DataFrame) -> DataFrame:
     """(a, b): documents of ``members(bucket, node, regs)`` tied to the leaders of their bucket.
 
-    A document with no leader at FOLLOW or more becomes one. All are tied to every leader
-    at TIE or more, so two documents within distance 0.2 are tied to a common leader. A task
-    holds its bucket's leaders, which are far apart, not its documents.
+    A document with no leader at FOLLOW or more becomes one. Each joins the leaders at TIE
+    or more to one part, so two documents within distance 0.2 are in one part. A task holds
+    its bucket's leaders, which are far apart, and gives out ties that connect parts: at
+    most two a document.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, ids, regs = None, [], []
+        bucket, ids = None, []
+        held = np.empty((16, BANDS * ROWS), dtype=np.uint16)  # the leaders' registers
+        group = np.empty(16, dtype=np.int64)  # the leaders' number of their connected part
         for batch in batches:
             out = []
             for b, node, r in zip(*(batch.column(c).to_pylist() for c in ("bucket", "node", "regs"))):
                 if b != bucket:
-                    bucket, ids, regs = b, [], []
-                x = np.frombuffer(r, dtype=np.uint16)
-                if ids:
+                    bucket, ids = b, []
+                x, n = np.frombuffer(r, dtype=np.uint16), len(ids)
+                if n:
                     # The share of equal registers is an estimate too, less exact than the likeliest value and quick.
-                    got = (x == (np.stack(regs) if len(regs) > 1 else regs[0][None, :])).mean(1)
-                    out += [(node, ids[i]) for i in np.flatnonzero(got >= TIE)]
+                    got = (held[:n] == x).mean(1)
+                    tied = np.flatnonzero(got >= TIE)
+                    if len(tied):
+                        # One tie, and one for each part of the leaders that this document joins to it.
+                        out.append((node, ids[tied[0]]))
+                        own = group[tied[0]]
+                        for i, g in zip(tied[1:], group[tied[1:]].tolist()):
+                            if group[i] != own:
+                                out.append((ids[tied[0]], ids[i]))
+                                group[:n][group[:n] == g] = own
                     if got.max() >= FOLLOW:
                         continue
+                if n == len(held):
+                    held, group = np.concatenate([held, np.empty_like(held)]), np.concatenate([group, np.empty_like(group)])
+                held[n], group[n] = x, group[tied[0]] if n and len(tied) else n
                 ids.append(node)
-                regs.append(x)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
 
