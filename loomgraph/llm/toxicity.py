@@ -4,7 +4,9 @@ A first bounded sample of labelled documents gives a lexicon: words and word beg
 that stand in toxic documents far more often than in others. A second one, disjoint from
 it, gives rows of dense features (densities of lexicon words, how close they stand to a
 second person, capitals, punctuation, obfuscated spellings) for boosted trees. Margins of
-trees fitted without a row calibrate the scores. The model is a few thousand numbers; all
+trees fitted without a row calibrate the scores. Rows of a class that the bound cuts weigh
+as much as all its learning labels, so scores keep to the true shares of the classes
+whatever the size of the input. The model is a few thousand numbers; all
 documents are scored where they are read.
 """
 
@@ -103,15 +105,16 @@ class Boosted:
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.base = 0.0
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Boosted:
+        weight = np.ones(len(y)) if weight is None else weight
         self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
         binned = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(self.edges, x.T)], axis=1)
-        share = np.clip(y.mean(), 1e-4, 1 - 1e-4)
+        share = np.clip(np.average(y, weights=weight), 1e-4, 1 - 1e-4)
         self.base = float(np.log(share / (1 - share)))
         margin = np.full(len(y), self.base)
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-margin))
-            tree, leaf = self._tree(binned, p - y, np.maximum(p * (1 - p), 1e-6))
+            tree, leaf = self._tree(binned, weight * (p - y), weight * np.maximum(p * (1 - p), 1e-6))
             self.trees.append(tree)
             margin += tree[2][leaf]
         return self
@@ -158,12 +161,13 @@ class Boosted:
         return out
 
 
-def isotonic(margin: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Points of a rising function from margins to shares of label 1 (pool adjacent violators)."""
+def isotonic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Points of a rising function from margins to weighted shares of label 1 (pool adjacent violators)."""
+    weight = np.ones(len(y)) if weight is None else weight
     order = np.argsort(margin, kind="stable")
-    blocks: list[list[float]] = []  # sum of margins, sum of labels, rows
-    for m, t in zip(margin[order].tolist(), y[order].tolist()):
-        blocks.append([m, t, 1.0])
+    blocks: list[list[float]] = []  # sums of margins, labels and weights
+    for m, t, w in zip(margin[order].tolist(), y[order].tolist(), weight[order].tolist()):
+        blocks.append([w * m, w * t, w])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             top = blocks.pop()
             blocks[-1] = [a + b for a, b in zip(blocks[-1], top)]
@@ -193,13 +197,17 @@ def held_out(key: Column) -> Column:
 
 
 def _sample(df: DataFrame, labels: DataFrame, half: int, rows: int, text: str, key: str) -> DataFrame:
-    """(text, toxic) of at most ``rows`` labelled documents of each class in one half of the learning rows."""
+    """(text, toxic, weight) of at most ``rows`` labelled documents of each class in one half of the learning rows.
+
+    A row's weight is the number of all labels of its class in that half for each label chosen.
+    """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("id")).agg(F.max("toxic").alias("toxic"))
     own = known.where(~held_out(F.col("id")) & (F.pmod(F.xxhash64("id", F.lit("half")), F.lit(2)) == half))
     few = [own.where(F.col("toxic") == t).orderBy(F.xxhash64("id"), "id").limit(rows) for t in (0, 1)]
-    chosen = [(r.id, r.toxic) for part in few for r in part.collect()]  # 2 x rows at most
-    ids = df.sparkSession.createDataFrame(chosen, "id long, toxic int")
-    return df.select(df[key].cast("long").alias("id"), df[text].alias("text")).join(F.broadcast(ids), "id").select("text", "toxic")
+    sizes = {r.toxic: r["count"] for r in own.groupBy("toxic").count().collect()}
+    chosen = [(r.id, r.toxic, max(1.0, sizes[r.toxic] / rows)) for part in few for r in part.collect()]  # 2 x rows at most
+    ids = df.sparkSession.createDataFrame(chosen, "id long, toxic int, weight double")
+    return df.select(df[key].cast("long").alias("id"), df[text].alias("text")).join(F.broadcast(ids), "id").select("text", "toxic", "weight")
 
 
 def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
@@ -226,22 +234,24 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
     lexicon = {r.term: float(r.share) for r in found.orderBy(F.desc("toxic"), "term").limit(TERMS).collect()}
     counted.unpersist()
 
-    fields = pa.schema([("x", pa.list_(pa.float64())), ("y", pa.int64())])
+    fields = pa.schema([("x", pa.list_(pa.float64())), ("y", pa.int64()), ("w", pa.float64())])
 
     def rows(batch: pa.RecordBatch) -> dict[str, object]:
         coder = Coder(lexicon)
-        return {"x": [features(t or "", coder) for t in batch.column("text").to_pylist()], "y": batch.column("toxic").cast(pa.int64())}
+        return {"x": [features(t or "", coder) for t in batch.column("text").to_pylist()], "y": batch.column("toxic").cast(pa.int64()), "w": batch.column("weight")}
 
-    got = _sample(df, labels, 1, TREE_ROWS, text, key).mapInArrow(row_function(rows, fields, 4096), "x array<double>, y long").collect()
+    got = _sample(df, labels, 1, TREE_ROWS, text, key).mapInArrow(row_function(rows, fields, 4096), "x array<double>, y long, w double").collect()
     got.sort(key=lambda r: (r.y, r.x))  # whatever order the rows came in
     x, y = np.array([r.x for r in got], dtype=np.float64).reshape(len(got), len(FEATURES)), np.array([r.y for r in got], dtype=np.float64)
     if len(y) < 20 or y.min() == y.max():
         return Model(lexicon, None, None)
+    w = np.array([r.w for r in got])
+    w *= len(w) / w.sum()  # one a row on average, and exactly one where no class is cut
     fold = np.arange(len(y)) % 3
     margin = np.empty(len(y))
     for k in range(3):
-        margin[fold == k] = Boosted().fit(x[fold != k], y[fold != k]).margin(x[fold == k])
-    return Model(lexicon, Boosted().fit(x, y), isotonic(margin, y))
+        margin[fold == k] = Boosted().fit(x[fold != k], y[fold != k], w[fold != k]).margin(x[fold == k])
+    return Model(lexicon, Boosted().fit(x, y, w), isotonic(margin, y, w))
 
 
 def score_documents(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -71,6 +71,19 @@ def test_toxicity(spark, docs, empty, labels):
     assert auc > 0.9 and sum(p for _, p, t in got if not t) <= 0.02 * len(neg)
 
 
+def test_toxicity_keeps_class_shares(spark, monkeypatch):
+    """Bounds that cut the classes unevenly leave verdicts where all labels put them."""
+    rnd = random.Random(3)
+    rows = [(i, "some plain words " + "!" * (9 * loud), int(rnd.random() < (0.3 if loud else 0.02))) for i in range(4000) for loud in [i % 3 == 0]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    made = []
+    for bound in (8000, 60):
+        monkeypatch.setattr(toxicity, "TREE_ROWS", bound)
+        made.append(toxicity.score_documents(df.drop("toxic"), df.drop("text")).toPandas())
+    assert not made[0].predicted.any() and not made[1].predicted.any()
+    assert abs(made[0].score.mean() - made[1].score.mean()) < 0.05 and abs(made[1].score.mean() - np.mean([t for *_, t in rows])) < 0.05
+
+
 def test_trees_and_isotonic():
     rnd = np.random.default_rng(0)
     x = rnd.random((600, 4))
