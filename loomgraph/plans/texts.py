@@ -24,9 +24,9 @@ def nlp02_documents(s, d):
 
 
 def tagged(s, d):
-    """Events of a user as words with BILOU tags."""
+    """All events of a user, in order of time, as words with BILOU tags."""
     tag = F.expr("CASE event_type WHEN 'view' THEN 'O' WHEN 'click' THEN 'B-PER' WHEN 'purchase' THEN 'I-PER' WHEN 'signup' THEN 'L-PER' ELSE 'U-LOC' END")
-    e = table(s, d, "events").where("event_id < 5000").select("user_id", F.struct("ts", "event_id", F.col("event_type").alias("w"), tag.alias("t")).alias("x"))
+    e = table(s, d, "events").select("user_id", F.struct("ts", "event_id", F.col("event_type").alias("w"), tag.alias("t")).alias("x"))
     g = e.groupBy("user_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
     return g.select("user_id", F.transform("x", lambda v: v["w"]).alias("words"), F.transform("x", lambda v: v["t"]).alias("tags"))
 
