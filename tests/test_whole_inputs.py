@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from loomgraph.operators import nlp
 from loomgraph.plans import QUERIES
 
 TAGS = {"view": "O", "click": "B-PER", "purchase": "I-PER", "signup": "L-PER", "error": "U-LOC"}
@@ -67,3 +68,12 @@ def test_all_events(spark, events, name, plain):
     path, users = events
     got = Counter(tuple(r) for r in QUERIES[name](spark, path).collect())
     assert got == Counter((u, *x) for u, words in users.items() for x in plain(words)) and got
+
+
+def test_alignment_of_whole_texts(spark, tmp_path):
+    rnd = random.Random(6)
+    texts = {i: [rnd.choice(["a", "of", "graph", "edge", "node"]) for _ in range(n)] for i, n in enumerate((0, 1, 39, 41, 300))}
+    spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.item_id: (r.a, r.b) for r in QUERIES["nlp14_nlp15_alignment"](spark, str(tmp_path)).collect()}
+    assert got == {i: tuple(" ".join(x) for x in nlp.align(w or [""], [x for x in w if len(x) > 2])[:2]) for i, w in texts.items()}
+    assert [x for x in got[4][0].split(" ") if x != "[-]"] == texts[4]
