@@ -26,8 +26,8 @@ NGRAM, BUCKET_BITS = 4, 18
 PRIOR_NGRAMS = 40
 #: Documents scoring below it are rejected.
 THRESHOLD = -0.4
-#: Labelled good documents, at most, that make the target; chosen by a hash of their ids.
-TRUSTED = 50_000
+#: Ids of labelled good documents that may be broadcast (8 bytes each); beyond, documents are shuffled to them.
+BROADCAST_IDS = 8_000_000
 #: Words of a window for repeats.
 WINDOW = 5
 #: Base limits (fixed by the contract).
@@ -60,10 +60,23 @@ def _joined(texts: list[str]) -> tuple[list[bytes], bytes, np.ndarray]:
     return raw, b"".join(raw), np.cumsum([0, *map(len, raw)])
 
 
-def corpus_counts(df: DataFrame, trusted: set[int], text: str = "text", key: str = "doc_id") -> np.ndarray:
-    """Two rows of counts per bucket over all documents: raw corpus, target."""
+def _among(keys: pa.Array, ids: np.ndarray) -> np.ndarray:
+    """Places of the keys that are among rising ids; null is none of them."""
+    if not len(ids):
+        return np.empty(0, np.int64)
+    k = keys.fill_null(0).to_numpy(zero_copy_only=False)
+    return np.flatnonzero((ids[np.minimum(np.searchsorted(ids, k), len(ids) - 1)] == k) & keys.is_valid().to_numpy(zero_copy_only=False))
+
+
+def corpus_counts(df: DataFrame, trusted: np.ndarray | DataFrame, text: str = "text", key: str = "doc_id") -> np.ndarray:
+    """Two rows of counts per bucket over all documents: raw corpus, target.
+
+    ``trusted`` has the ids of the target as ``trusted_ids`` gives them: rising, or a table
+    that documents are shuffled to in a second pass.
+    """
     schema = pa.schema([("bucket", pa.int32()), ("raw", pa.int64()), ("target", pa.int64())])
-    shared = df.sparkSession.sparkContext.broadcast(trusted)
+    few = isinstance(trusted, np.ndarray)
+    shared = df.sparkSession.sparkContext.broadcast(trusted if few else np.empty(0, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(1 << BUCKET_BITS, np.int64), np.zeros(1 << BUCKET_BITS, np.int64)
@@ -76,23 +89,30 @@ def corpus_counts(df: DataFrame, trusted: set[int], text: str = "text", key: str
                 _, joined, starts = _joined(texts)
                 h, before = ngram_buckets(joined, starts)
                 raw += np.bincount(h, minlength=len(raw))
-                hits = [i for i, k in enumerate(some.column("key").to_pylist()) if k in good]
-                if hits:
-                    target += np.bincount(np.concatenate([h[before[i] : before[i + 1]] for i in hits]), minlength=len(raw))
+                hits = _among(some.column("key"), good)
+                if len(hits):
+                    target += np.bincount(np.concatenate([h[before[i] : before[i + 1]] for i in hits.tolist()]), minlength=len(raw))
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], schema=schema)
 
-    sums = df.select(df[key].cast("long").alias("key"), df[text].alias("text")).mapInArrow(run, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    rows = df.select(df[key].cast("long").alias("key"), df[text].alias("text"))
+    sums = rows.mapInArrow(run, "bucket int, raw long, target long")
+    if not few:
+        own = rows.join(trusted, F.col("key") == F.col("id"), "left_semi").mapInArrow(run, "bucket int, raw long, target long")
+        sums = sums.unionByName(own.select("bucket", F.lit(0).cast("long").alias("raw"), F.col("raw").alias("target")))
+    sums = sums.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     out = np.zeros((2, 1 << BUCKET_BITS), dtype=np.float64)
     got = sums.toPandas()  # a row a bucket at most: 2^18
     out[0, got["bucket"]], out[1, got["bucket"]] = got["raw"], got["target"]
     return out
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED, key: str = "doc_id") -> set[int]:
-    """Ids of at most ``limit`` documents with quality 1, those with the least hashes."""
+def trusted_ids(labels: DataFrame, key: str = "doc_id") -> np.ndarray | DataFrame:
+    """Ids of all documents with quality 1: rising, up to BROADCAST_IDS of them, and a table ``(id)`` beyond."""
     rows = labels.where((F.col("quality") == 1) & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id")).distinct()
-    return {r.id for r in rows.orderBy(F.xxhash64("id"), "id").limit(limit).collect()}
+    if rows.count() > BROADCAST_IDS:
+        return rows
+    return np.sort(rows.toArrow().column("id").to_numpy())
 
 
 def log_ratios(counts: np.ndarray) -> np.ndarray:

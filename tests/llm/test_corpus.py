@@ -59,6 +59,19 @@ def test_quality_ratio(spark):
     assert {r.doc_id for r in quality.filter_documents(d, l).collect()} == {r.doc_id for r in rows if r.kept}
 
 
+def test_quality_target_is_whole(spark, monkeypatch):
+    """Every trusted document counts, however many there are and by either way to them; null is no id."""
+    n = 60_000
+    ids = spark.range(n)
+    d = ids.selectExpr("id AS doc_id", "concat('text', id % 7) AS text").unionByName(spark.createDataFrame([(None, "text9"), (n, "other"), (5, "again")], "doc_id long, text string"))
+    l = ids.selectExpr("id AS doc_id", "1 AS quality").unionByName(spark.createDataFrame([(None, 1), (n, 0), (0, 1)], "doc_id long, quality int"))
+    made = [quality.corpus_counts(d, quality.trusted_ids(l))]
+    assert made[0][1].sum() == 2 * n + 2 and made[0][0].sum() == 2 * n + 2 + 2 + 2
+    monkeypatch.setattr(quality, "BROADCAST_IDS", n - 1)
+    made.append(quality.corpus_counts(d, quality.trusted_ids(l)))
+    assert (made[0] == made[1]).all()
+
+
 def test_toxicity(spark, docs, empty, labels):
     rows = toxicity.score_documents(docs, labels).collect()
     assert len(rows) == len(TEXTS) and all(0 <= r.score <= 1 and r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows)
