@@ -1,18 +1,9 @@
-"""Vocabularies and schemas of the graph model."""
+"""Schemas of the graph model; the types of nodes and edges are whatever the caller's tables hold."""
 
 from __future__ import annotations
 
-#: Node types (fixed values).
-NODE_TYPES = ("Paper", "Scientist", "Topic", "Expertise", "Journal", "Conference", "Location", "Institution", "Funding Agency", "Book")
-#: Edge types (fixed values).
-EDGE_TYPES = ("Author Of", "Attended", "Belongs To", "Expert In", "Funded", "Located At", "Published In", "Related To")
-#: Edge types that follow from two edges through a common neighbour.
-INDIRECT_TYPES = {"Co-author": "Author Of", "Co-attendee": "Attended", "Colleague": "Belongs To"}
 #: Renamed edge types (fixed values).
 EDGE_RENAMES = {"Authored": "Author Of", "Funded By": "Funded"}
-#: Kinds of venue by source type (fixed values).
-VENUES = ("Conference", "Journal", "Book")
-
 NODES = "nodeID string, displayName string, nodeType string"
 EDGES = "`from` string, `to` string, edgeType string, fromNodeType string, toNodeType string"
 PAPER = "struct<origin:string,origin_id:string,doi:string,title:string,abstract:string,_id:string>"
