@@ -6,12 +6,16 @@ between two sets about as often as their Jaccard similarity. Bands of registers
 buckets. In a bucket every document meets one hub, not every other; hubs differ between
 bands. A pair's registers give the likeliest similarity; pairs that may reach the
 threshold are checked on their full sets. After that only buckets that still hold several
-components need more. Their documents are gathered into loose clusters around leaders, so
-that by the triangle inequality no link can run between clusters; in a cluster, documents
-of different components are compared by their full sets, block by block, and a block
-reports only the links that join components, never its pairs.
+components need more: they are cut into blocks, and a block compares the registers of its
+documents as matrices. Few candidates go on to the check as pairs; a block with many gives
+out a forest that connects them instead. Trees of such forests are clusters, in which
+documents of different components are compared by their full sets, block by block, and a
+block reports only links that join components, never its pairs.
 
 Exact copies are one node from the start, so a large group of them costs one sketch.
+
+What may be missed: a linked pair that shares no band, or whose registers put it more than
+six standard errors below its similarity (``Limits``).
 """
 
 from __future__ import annotations
@@ -19,6 +23,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,27 +32,59 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import Scratch, begin, connected_components, mix64, partitions, row_function
 
-#: Bands and registers in each. A pair at similarity 0.8 shares no band with chance (1 - 0.8^5)^32 = 3e-6.
-BANDS, ROWS = 32, 5
-#: Base, rate and largest register value of the sketch.
-BASE, RATE, TOP = 1.001, 20.0, 65535
-#: Pairs whose likeliest similarity is this far below the threshold are not checked: over six standard errors of 160 registers.
-SLACK = 0.2
+#: Registers of a sketch; their base, rate and largest value.
+REGISTERS, BASE, RATE, TOP = 160, 1.001, 20.0, 65535
+#: Chance that a pair at the threshold shares no band, at most.
+MISS = 1e-5
+#: Standard errors of the registers' estimate by which a candidate may fall short.
+ERRORS = 6.3
 #: Orders by which hubs are picked.
 ORDERS = 4
 #: Rows up to which a table of pairs may be broadcast (16 to 40 bytes each); beyond, texts are shuffled to it.
 BROADCAST_ROWS = 500_000
 #: Partners checked against one copy of a hub's set.
 PER_HUB = 512
-#: Estimates from which a document follows a leader, and is tied to further leaders: distances
-#: of 0.4 and of 0.4 + 0.2, with three standard errors.
-FOLLOW, TIE = 0.6, 0.28
-#: Documents, and shingles, of a block of a cluster.
-BLOCK_DOCS, BLOCK_SHINGLES = 2048, 4_000_000
+#: Documents of a block whose registers are compared (340 bytes each).
+SKETCH_BLOCK = 512
+#: Candidates a document from which a block gives out a forest in place of pairs.
+PER_DOC = 4
+#: Documents, and shingles, of a block that is compared by full sets.
+BLOCK_DOCS, BLOCK_SHINGLES = 512, 2_000_000
 
 _rng = np.random.default_rng(20240229)
-_FACTORS = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_OFFSETS = _rng.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64)
+_FACTORS = _rng.integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_OFFSETS = _rng.integers(0, 2**63, REGISTERS, dtype=np.uint64)
+
+
+@dataclass(frozen=True)
+class Limits:
+    """What follows from a threshold in percent, 30 to 100.
+
+    ``rows`` registers make one of ``bands`` bands, as many as still let a pair at the
+    threshold s miss every band with chance (1 - s^rows)^bands <= MISS (3e-6 at 80 percent).
+    ``least`` is the estimate from which a pair is checked: ERRORS standard errors,
+    sqrt(s (1 - s) / REGISTERS) each, below s.
+    """
+
+    percent: int
+
+    def __post_init__(self) -> None:
+        if not 30 <= self.percent <= 100:
+            raise ValueError(f"a threshold of {self.percent} percent; 30 to 100 can be found by bands of {REGISTERS} registers")
+
+    @property
+    def rows(self) -> int:
+        s = self.percent / 100
+        return max(r for r in range(1, 11) if (1 - s**r) ** (REGISTERS // r) <= MISS)
+
+    @property
+    def bands(self) -> int:
+        return REGISTERS // self.rows
+
+    @property
+    def least(self) -> float:
+        s = self.percent / 100
+        return s - max(ERRORS * math.sqrt(s * (1 - s) / REGISTERS), 0.03)
 
 
 class _Hashes(dict):
@@ -90,11 +127,12 @@ def registers(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.clip(np.floor(1 - np.log(np.maximum(x, 1e-300)) / math.log(BASE)) + 20000, 0, TOP).astype(np.uint16)
 
 
-def band_hashes(regs: np.ndarray) -> np.ndarray:
-    """One 64-bit hash per band, the band's number mixed in."""
-    parts = regs.reshape(len(regs), BANDS, ROWS).astype(np.uint64)
-    h = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), parts.shape[:2]).copy()
-    for i in range(ROWS):
+def band_hashes(regs: np.ndarray, rows: int) -> np.ndarray:
+    """One 64-bit hash for each band of ``rows`` registers, the band's number mixed in."""
+    bands = REGISTERS // rows
+    parts = regs[:, : bands * rows].reshape(len(regs), bands, rows).astype(np.uint64)
+    h = np.broadcast_to(np.arange(bands, dtype=np.uint64), parts.shape[:2]).copy()
+    for i in range(rows):
         h = mix64(h * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, i] + np.uint64(1))
     return h.view(np.int64)
 
@@ -113,7 +151,7 @@ def likeliest(more: np.ndarray, fewer: np.ndarray, equal: np.ndarray, n_a: np.nd
     return at
 
 
-def sketch(df: DataFrame, k: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+def sketch(df: DataFrame, k: int, rows: int, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, copy, regs, bands) of every document; the last three null where there is no word."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("copy", pa.binary()), ("regs", pa.binary()), ("bands", pa.list_(pa.int64()))])
     hashes = _Hashes()
@@ -128,12 +166,12 @@ def sketch(df: DataFrame, k: int, text: str = "text", key: str = "doc_id") -> Da
         bands: list[np.ndarray | None] = [None] * len(sets)
         if full:
             got = registers(np.concatenate([sets[i] for i in full]), np.cumsum([0, *(len(sets[i]) for i in full)]))
-            for i, r, b in zip(full, got, band_hashes(got)):
+            for i, r, b in zip(full, got, band_hashes(got, rows)):
                 regs[i], bands[i], copy[i] = r.tobytes(), b, hashlib.blake2b(b" ".join(words[i]), digest_size=16).digest()
         return {"doc_id": batch.column("key"), "n_shingles": list(map(len, sets)), "copy": copy, "regs": regs, "bands": bands}
 
-    rows = df.select(df[key].cast("long").alias("key"), df[text].alias("text"))
-    return rows.mapInArrow(row_function(made, schema, 256), "doc_id long, n_shingles long, copy binary, regs binary, bands array<long>")
+    own = df.select(df[key].cast("long").alias("key"), df[text].alias("text"))
+    return own.mapInArrow(row_function(made, schema, 256), "doc_id long, n_shingles long, copy binary, regs binary, bands array<long>")
 
 
 def estimate(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -201,49 +239,87 @@ def verify(pairs: DataFrame, df: DataFrame, k: int, percent: int, text: str, key
     return links
 
 
-def leader_ties(members: DataFrame) -> DataFrame:
-    """(a, b): documents of ``members(bucket, node, regs)`` tied to the leaders of their bucket.
+def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many registers each row of x and each of y have in common (matrix)."""
+    if len(x) * len(y) <= 1024:
+        return (x[:, None, :] == y[None, :, :]).sum(2)
+    out = np.zeros((len(x), len(y)), dtype=np.uint8)  # REGISTERS < 256
+    for p, q in zip(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)):
+        out += p[:, None] == q[None, :]
+    return out
+
+
+def block_candidates(members: DataFrame, limits: Limits) -> DataFrame:
+    """(a, b, many) from ``members(bucket, parts, node, c, n_shingles, regs)``: pairs of different ``c`` that may reach the threshold.
 
-    A document with no leader at FOLLOW or more becomes one. Each joins the leaders at TIE
-    or more to one part, so two documents within distance 0.2 are in one part. A task holds
-    its bucket's leaders, which are far apart, and gives out ties that connect parts: at
-    most two a document.
+    A bucket is cut into ``parts``, and each pair of parts is a block. Where ``many`` holds
+    the pairs are not the candidates but stars that connect them. A block gives out at most
+    PER_DOC rows a document.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("many", pa.bool_())])
+    enough = math.ceil(REGISTERS * limits.least)
+
+    def compared(left: np.ndarray, right: np.ndarray, node: np.ndarray, c: np.ndarray, n: np.ndarray, regs: np.ndarray) -> list[tuple]:
+        i, j = np.flatnonzero(left), np.flatnonzero(right)
+        if not len(i) or not len(j) or (c == c[0]).all():
+            return []
+        hit = agreement(regs[i], regs[j]) >= enough
+        hit &= c[i][:, None] != c[j][None, :]
+        hit &= 100 * np.minimum(n[i][:, None], n[j][None, :]) >= limits.percent * np.maximum(n[i][:, None], n[j][None, :])
+        if (left & right).any():  # one part against itself
+            hit = np.triu(hit, 1)
+        found = int(np.count_nonzero(hit))
+        if not found:
+            return []
+        if found <= PER_DOC * len(node):
+            x, y = np.nonzero(hit)
+            x, y = i[x], j[y]
+            p, q = regs[x], regs[y]
+            keep = likeliest((p > q).sum(1), (p < q).sum(1), (p == q).sum(1), n[x].astype(float), n[y].astype(float)) >= limits.least
+            return [(node[x[keep]], node[y[keep]], np.zeros(int(keep.sum()), dtype=bool))]
+        root, big = np.arange(len(node)), len(node)
+        while True:  # the least place reachable over candidates
+            was = root.copy()
+            np.minimum.at(root, i, np.where(hit, root[j][None, :], big).min(1))
+            np.minimum.at(root, j, np.where(hit, root[i][:, None], big).min(0))
+            if (was == root).all():
+                break
+        own = np.flatnonzero(root != np.arange(len(node)))
+        return [(node[own], node[root[own]], np.ones(len(own), dtype=bool))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, ids = None, []
-        held = np.empty((16, BANDS * ROWS), dtype=np.uint16)  # the leaders' registers
-        group = np.empty(16, dtype=np.int64)  # the leaders' number of their connected part
+        block, held = None, []
         for batch in batches:
+            keys = np.stack([batch.column(x).to_numpy().astype(np.int64) for x in ("bucket", "i", "j")])
+            cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("left", "right", "node", "c", "n_shingles")]
+            regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1)
+            edges = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)])).tolist() if batch.num_rows else []
             out = []
-            for b, node, r in zip(*(batch.column(c).to_pylist() for c in ("bucket", "node", "regs"))):
-                if b != bucket:
-                    bucket, ids = b, []
-                x, n = np.frombuffer(r, dtype=np.uint16), len(ids)
-                if n:
-                    # The share of equal registers is an estimate too, less exact than the likeliest value and quick.
-                    got = (held[:n] == x).mean(1)
-                    tied = np.flatnonzero(got >= TIE)
-                    if len(tied):
-                        # One tie, and one for each part of the leaders that this document joins to it.
-                        out.append((node, ids[tied[0]]))
-                        own = group[tied[0]]
-                        for i, g in zip(tied[1:], group[tied[1:]].tolist()):
-                            if group[i] != own:
-                                out.append((ids[tied[0]], ids[i]))
-                                group[:n][group[:n] == g] = own
-                    if got.max() >= FOLLOW:
-                        continue
-                if n == len(held):
-                    held, group = np.concatenate([held, np.empty_like(held)]), np.concatenate([group, np.empty_like(group)])
-                held[n], group[n] = x, group[tied[0]] if n and len(tied) else n
-                ids.append(node)
+            for s, e in zip(edges, [*edges[1:], batch.num_rows]):
+                own = [x[s:e] for x in (*cols, regs)]
+                if (at := tuple(keys[:, s].tolist())) != block:
+                    if held:
+                        out += compared(*(np.concatenate(x) for x in zip(*held)))
+                    block, held = at, []
+                held.append(own)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=schema)
+        if held and (out := compared(*(np.concatenate(x) for x in zip(*held)))):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=schema)
 
-    ordered = members.repartition(partitions(members.sparkSession), "bucket").sortWithinPartitions("bucket", "node")
-    return ordered.select("bucket", "node", "regs").mapInArrow(run, "a long, b long").where("a <> b").distinct()
+    blocks = in_blocks(members, "bucket").select("bucket", "i", "j", "left", "right", "node", "c", "n_shingles", "regs")
+    ready = blocks.repartition(partitions(members.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return ready.mapInArrow(run, "a long, b long, many boolean")
+
+
+def in_blocks(rows: DataFrame, by: str) -> DataFrame:
+    """Rows with ``parts`` parts to a group, once for each block (i, j), i <= j, of two parts; ``left`` and ``right`` tell the side."""
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    spread = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return spread.select(
+        by, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") <= F.col("other")).alias("left"), (F.col("part") >= F.col("other")).alias("right"),
+        *(x for x in rows.columns if x not in (by, "parts")),
+    )
 
 
 def links_across(placed: DataFrame, df: DataFrame, k: int, percent: int, text: str, key: str, scratch: Scratch) -> DataFrame:
@@ -255,12 +331,7 @@ def links_across(placed: DataFrame, df: DataFrame, k: int, percent: int, text: s
     spark = df.sparkSession
     sums = placed.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
     parts = sums.select("cluster", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    spread = placed.join(parts, "cluster").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    blocks = scratch.save(
-        spread.select("cluster", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") <= F.col("other")).alias("left"), (F.col("part") >= F.col("other")).alias("right"), "node", "c"),
-        "blocks",
-    )
+    blocks = scratch.save(in_blocks(placed.join(parts, "cluster").select("cluster", "parts", "node", "c"), "cluster"), "blocks")
     few = blocks.count() <= BROADCAST_ROWS
     texts = df.select(df[key].cast("long").alias("id"), df[text].alias("text"))
     rows = texts.join(F.broadcast(blocks) if few else blocks, texts["id"] == blocks["node"]).drop("id")
@@ -320,14 +391,14 @@ def links_across(placed: DataFrame, df: DataFrame, k: int, percent: int, text: s
 def classes(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every document.
 
-    Two documents are linked when 100 x shared shingles >= ``percent`` x all shingles of
-    both; ``component_id`` is the least id reachable over links. Documents without words
+    Two documents are linked when 100 x shared shingles >= ``percent`` (30 to 100) x all
+    shingles of both; ``component_id`` is the least id reachable over links. Documents without words
     (null texts too) have no shingles and stand alone. A repeated row gets the class of
     its text; a row without id gets a null class and is kept. Empty tables give no rows.
     """
+    limits = Limits(percent)
     scratch = Scratch(df.sparkSession, "near-dup")
-    least = percent / 100 - SLACK
-    sketches = scratch.save(sketch(df, k, text, key), "sketches")
+    sketches = scratch.save(sketch(df, k, limits.rows, text, key), "sketches")
     full = sketches.where("copy is not null and doc_id is not null")
     copies = scratch.save(full.groupBy("copy").agg(F.min("doc_id").alias("node")), "copies")
     # One node for each distinct text: its least id.
@@ -339,7 +410,7 @@ def classes(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", ke
     buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min_by("node", F.struct(order, "node")).alias("hub")).where("n > 1").select("bucket", "hub")
     shared = scratch.save(members.join(buckets, "bucket"), "buckets")
     met = scratch.save(shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "met")
-    near = scratch.save(estimate(met, nodes, least), "near")
+    near = scratch.save(estimate(met, nodes, limits.least), "near")
 
     # First each node against its likeliest hub, then what could still join two components.
     best = near.groupBy("a").agg(F.max_by("b", F.struct("similarity", "b")).alias("b"))
@@ -363,15 +434,19 @@ def classes(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", ke
     rest = component(near.join(best, ["a", "b"], "left_anti"), labels).where("c_a <> c_b")
     labels = joined(labels, verify(rest, df, k, percent, text, key, scratch, "rest"), "two")
 
-    # Buckets that still hold several components: clusters around leaders, compared in blocks.
-    own = shared.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c"))
-    mixed = own.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("bucket")
-    open_ = own.join(mixed, "bucket").join(nodes, "node").select("bucket", "node", "regs")
-    ties = scratch.save(leader_ties(open_), "ties")
-    clusters = connected_components(ties, scratch, "clusters").withColumnRenamed("component", "cluster")
+    # Buckets that still hold several components are compared in blocks, equal buckets once.
+    own = scratch.save(shared.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c")), "open")
+    sizes = own.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("mark")).where("low <> high and n > 2")
+    mixed = sizes.groupBy("n", "mark", "low", "high").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / SKETCH_BLOCK).cast("int").alias("parts"))
+    members = own.join(mixed, "bucket").join(nodes.select("node", "n_shingles", "regs"), "node")
+    found = scratch.save(block_candidates(members, limits), "found")
+    tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    few = found.where("not many").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+    labels = joined(labels, verify(few, df, k, percent, text, key, scratch, "few"), "three")
+    clusters = connected_components(found.where("many").select("a", "b").distinct(), scratch, "clusters").withColumnRenamed("component", "cluster")
     placed = clusters.join(labels, "node", "left").join(nodes.select("node", "n_shingles"), "node").select("cluster", "node", F.coalesce("component", "node").alias("c"), "n_shingles")
-    labels = joined(labels, links_across(scratch.save(placed, "placed"), df, k, percent, text, key, scratch), "three")
-    scratch.drop("nodes", "buckets", "met", "near", "ties", "placed")
+    labels = joined(labels, links_across(scratch.save(placed, "placed"), df, k, percent, text, key, scratch), "four")
+    scratch.drop("nodes", "buckets", "met", "near", "open", "found", "placed")
 
     out = sketches.select("doc_id", "n_shingles", "copy").join(copies, "copy", "left").join(labels, "node", "left")
     cid = F.coalesce("component", "node", "doc_id")

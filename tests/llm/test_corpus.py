@@ -153,6 +153,41 @@ def test_near_dup(spark, k, percent):
     assert got == plain_classes(texts, k, percent)
 
 
+@pytest.mark.parametrize("bounds", [{"SKETCH_BLOCK": 8, "PER_DOC": 0, "BLOCK_DOCS": 8, "BROADCAST_ROWS": 0, "PER_HUB": 3}, {"SKETCH_BLOCK": 16, "PER_DOC": 1 << 30}])
+def test_near_dup_far_side_of_bounds(spark, monkeypatch, bounds):
+    """Blocks, forests, shuffled texts and split hubs give the classes that small tables get without them."""
+    for name, v in bounds.items():
+        monkeypatch.setattr(near_dup, name, v)
+    texts = near_copies()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.classes(spark.createDataFrame(texts, "doc_id long, text string"), 2, 80).collect()}
+    assert got == plain_classes(texts, 2, 80)
+
+
+@pytest.mark.parametrize("percent", [50, 60, 80])
+def test_near_dup_finds_pairs_at_threshold(spark, percent):
+    """Pairs that reach the threshold exactly, in a table of their own words."""
+    rows, n = [], 400
+    for p in range(n):
+        words = [f"{p}w{i}" for i in range(100)]
+        half = (100 - percent) // 2
+        rows += [(2 * p, " ".join(words[: 100 - half])), (2 * p + 1, " ".join(words[half:]))]
+    got = near_dup.classes(spark.createDataFrame(rows, "doc_id long, text string"), 1, percent).where("not kept").count()
+    assert got >= 0.99 * n
+
+
+def test_near_dup_refuses_thresholds_it_cannot_find(docs):
+    for percent in (29, 101):
+        with pytest.raises(ValueError):
+            near_dup.classes(docs, percent=percent)
+
+
+def test_near_dup_repeated_id(spark):
+    """A repeated id with another text keeps a row and a set for each; links go by text."""
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dup.classes(spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (None, a)], "doc_id long, text string"), 2, 80).collect() if r.doc_id)
+    assert rows == [(1, 29, 1), (1, 29, 1), (2, 29, 1), (3, 29, 1)]
+
+
 def test_near_dup_hard_rows(docs, empty):
     rows = near_dup.classes(docs).collect()
     assert Counter(r.doc_id for r in rows) == Counter(i for i, _ in TEXTS)
