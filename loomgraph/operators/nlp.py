@@ -6,13 +6,20 @@ before and after them.
 
 from __future__ import annotations
 
+import json
+import math
+import re
+import subprocess
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructField, StructType
+
+from loomgraph.functions import arrays
+from loomgraph.operators.windows import offsets
 
 #: Words of a sentence that is kept: more than the first, fewer than the second.
 SENTENCE_WORDS = (2, 350)
@@ -54,67 +61,205 @@ def provider(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.Da
     return df.mapInPandas(f, schema)
 
 
-def merge_tags(words: Column, tags: Column, keep_open: bool = False) -> Column:
-    """Entities of BILOU tags as (text, type, start, end), offsets by words and single spaces, ends included.
+def batched(df: DataFrame, make: Callable[[], Callable[[list[str]], list[dict]]], schema: str, text: str = "sentence", keys: tuple[str, ...] = ("sentence_id",), size: int = 128) -> DataFrame:
+    """Predictions of a model for ``size`` texts at a time, with the rows' keys.
+
+    ``make`` builds the model in the task (so weights load once a task, on its device);
+    the model takes texts and gives one record each with the fields of ``schema``. A null
+    text goes in as ''.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for frame in frames:
+            for at in range(0, len(frame), size):
+                part = frame.iloc[at : at + size]
+                made = pd.DataFrame(model(part[text].fillna("").tolist()))
+                yield pd.concat([part[list(keys)].reset_index(drop=True), made], axis=1)
+
+    kept = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    return df.select(*keys, text).mapInPandas(run, f"{kept}, {schema}")
+
+
+#: Steps of a discovery run, in the order in which they run if none is given (fixed values).
+STEPS = ("ner", "pos", "svo", "srl", "coref", "sentiment", "np")
+
+
+def discover(sentences_: DataFrame, documents: DataFrame, steps: dict[str, Callable[[DataFrame], DataFrame]], order: tuple[str, ...] = STEPS) -> tuple[dict[str, DataFrame], list[str]]:
+    """(result of each step, steps that failed): ordered runs of model steps over sentences, coreference over documents.
+
+    A step without a function, or whose plan can't be made, is skipped and named; the rest
+    go on. Results are lazy. Without sentences nothing runs.
+    """
+    done: dict[str, DataFrame] = {}
+    failed: list[str] = []
+    if sentences_.isEmpty():
+        return done, list(order)
+    for name in order:
+        try:
+            done[name] = steps[name](documents if name == "coref" else sentences_)
+        except Exception as e:  # a model that fails must not stop the others
+            failed.append(f"{name}: {e!r}")
+    return done, failed
+
+
+def external_spans(documents: DataFrame, command: list[str], schema: str, key: str = "doc_id") -> DataFrame:
+    """Entities and relations from a span model that runs as a program of its own, once a batch of documents.
+
+    The program reads a JSON record a line (key, tokens) and writes one a line in the same
+    order, with the fields of ``schema``; its settings file is part of ``command``. A null
+    token list is empty.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            lines = [json.dumps({"key": str(k), "tokens": [] if t is None else list(t)}) for k, t in zip(frame[key], frame["tokens"])]
+            out = subprocess.run(command, input="\n".join(lines), capture_output=True, text=True, check=True).stdout.splitlines()
+            yield pd.concat([frame[[key]].reset_index(drop=True), pd.DataFrame([json.loads(x) for x in out])], axis=1)
+
+    return documents.select(key, "tokens").mapInPandas(run, f"`{key}` {documents.schema[key].dataType.simpleString()}, {schema}")
 
-    U and O are single words. A run needs B, then I, and L to close it; an I without a run
-    or of another type, and a run that the sentence leaves open, are lost (the latter is
-    given out with ``keep_open``).
+
+def subword_embeddings(documents: DataFrame, make: Callable[[], Callable[[list[str]], list[list[tuple[str, list[float]]]]]], seconds: str, key: str = "doc_id", text: str = "text", size: int = 16) -> DataFrame:
+    """(key, month, position, token, vector): a model's vectors of word pieces, ``size`` documents at a time, by month of an epoch column.
+
+    Write it with ``writers.save_months``'s layout (``partitionBy("month")``); months are
+    partitions of one job, not jobs in a loop. Pieces in brackets ([CLS], [SEP]) are left out.
     """
-    item = "struct<text:string,type:string,start:int,end:int>"
-    empty = F.struct(
-        F.array().cast(f"array<{item}>").alias("done"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("type"), F.lit(0).alias("start"), F.lit(0).alias("at")
-    )
-
-    def step(acc: Column, x: Column) -> Column:
-        mark, kind, word, at = F.substring(x["t"], 1, 1), F.regexp_replace(x["t"], "^[BILU]-", ""), x["w"], acc["at"]
-        end = at + F.length(word) - 1
-        one = F.struct(word.alias("text"), kind.alias("type"), at.alias("start"), end.alias("end"))
-        goes_on = acc["text"].isNotNull() & (acc["type"] == kind)
-        longer = F.concat_ws(" ", acc["text"], word)
-        closed = F.struct(longer.alias("text"), kind.alias("type"), acc["start"].alias("start"), end.alias("end"))
-        single, begins, inside, last = mark.isin("O", "U"), mark == "B", (mark == "I") & goes_on, (mark == "L") & goes_on
-        done = F.when(single, F.concat(acc["done"], F.array(one))).when(last, F.concat(acc["done"], F.array(closed))).otherwise(acc["done"])
-        return F.struct(
-            done.alias("done"), F.when(begins, word).when(inside, longer).alias("text"), F.when(begins | inside, kind).alias("type"),
-            F.when(begins, at).when(inside, acc["start"]).otherwise(F.lit(0)).alias("start"), (end + 2).alias("at"),
-        )
-
-    def finish(acc: Column) -> Column:
-        if not keep_open:
-            return acc["done"]
-        left = F.struct(acc["text"].alias("text"), acc["type"].alias("type"), acc["start"].alias("start"), (acc["start"] + F.length(acc["text"]) - 1).alias("end"))
-        return F.when(acc["text"].isNotNull(), F.concat(acc["done"], F.array(left))).otherwise(acc["done"])
-
-    return F.aggregate(F.arrays_zip(words.alias("w"), tags.alias("t")), empty, step, finish)
-
-
-def triples(words: Column, roles: Column, verbs: Column) -> Column:
-    """(subject, verb, object) triples in order; what was found is forgotten after each."""
-    item = "struct<s:string,v:string,o:string>"
-    none = F.lit(None).cast("string")
-    empty = F.struct(F.array().cast(f"array<{item}>").alias("done"), none.alias("s"), none.alias("v"))
-
-    def step(acc: Column, x: Column) -> Column:
-        s, v = F.when(x["r"] == "nsubj", x["w"]).otherwise(acc["s"]), F.when(x["v"], x["w"]).otherwise(acc["v"])
-        full = (x["r"] == "obj") & s.isNotNull() & v.isNotNull()
-        made = F.struct(s.alias("s"), v.alias("v"), x["w"].alias("o"))
-        return F.struct(F.when(full, F.concat(acc["done"], F.array(made))).otherwise(acc["done"]).alias("done"), F.when(~full, s).alias("s"), F.when(~full, v).alias("v"))
-
-    return F.aggregate(F.arrays_zip(words.alias("w"), roles.alias("r"), verbs.alias("v")), empty, step, lambda a: a["done"])
-
-
-def future_tense(words: Column, tags: Column) -> Column:
-    """Tense per word: an infinitive after 'will' or 'to' is future; another verb ends that."""
-    item = "array<string>"
-    empty = F.struct(F.array().cast(item).alias("done"), F.lit(False).alias("ahead"))
-
-    def step(acc: Column, x: Column) -> Column:
-        sets, verb = F.lower(x["w"]).isin("will", "to"), x["t"].startswith("VB")
-        tense = F.when(acc["ahead"] & (x["t"] == "VB"), "future").when(x["t"] == "VBD", "past").when(x["t"].isin("VBZ", "VBP"), "present").otherwise("")
-        return F.struct(F.concat(acc["done"], F.array(tense)).alias("done"), (sets | (acc["ahead"] & ~verb)).alias("ahead"))
-
-    return F.aggregate(F.arrays_zip(words.alias("w"), tags.alias("t")), empty, step, lambda a: a["done"])
+    rows = documents.select(F.col(key).alias("key"), F.month(F.timestamp_seconds(seconds)).alias("month"), F.col(text).alias("text"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for frame in frames:
+            for at in range(0, len(frame), size):
+                part = frame.iloc[at : at + size]
+                made = model(part["text"].fillna("").tolist())
+                flat = [(k, m, i, t, v) for k, m, pieces in zip(part["key"], part["month"], made) for i, (t, v) in enumerate(pieces) if not (t.startswith("[") and t.endswith("]"))]
+                yield pd.DataFrame(flat, columns=["key", "month", "position", "token", "vector"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.mapInPandas(run, f"key {kind}, month int, position int, token string, vector array<double>").withColumnRenamed("key", key)
+
+
+_TEXTS = ArrayType(StringType())
+_SPAN = pa.struct([("text", pa.string()), ("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64())])
+_SPANS = ArrayType(StructType([*(StructField(x, StringType()) for x in ("text", "type")), *(StructField(x, IntegerType()) for x in ("start", "end")), StructField("confidence", DoubleType())]))
+_TRIPLE = ArrayType(StructType([StructField(x, StringType()) for x in "svo"]))
+
+
+def tag_runs(tags: list[str]) -> list[list[int]]:
+    """Places of the words of each entity in BILOU tags, in the order in which entities are given out.
+
+    A run opens at B and takes I and L of its type; L closes it. An open run is also given
+    out at the next B, O or U, and a foreign L gives out a run of two words or more. O, U
+    and an L that closes nothing are words of their own. An I that fits no run is lost, and
+    so is a run that the sentence leaves open.
+    """
+    out: list[list[int]] = []
+    run: list[int] = []
+    for i, tag in enumerate(tags):
+        mark, kind = tag[:2], tag.rsplit("-", 1)[-1]
+        fits = bool(run) and tags[run[0]].rsplit("-", 1)[-1] == kind
+        if mark == "I-":
+            run += [i] * fits
+        elif mark == "L-" and fits:
+            out.append([*run, i])
+            run = []
+        elif mark == "B-":
+            if run:
+                out.append(run)
+            run = [i]
+        else:
+            if run and (mark != "L-" or len(run) > 1):
+                out.append(run)
+                run = []
+            out.append([i])
+    return out
+
+
+@F.arrow_udf(_SPANS)
+def _merged(words: pa.Array, tags: pa.Array, logits: pa.Array) -> pa.Array:
+    made = []
+    for w, t, x in zip(words.to_pylist(), tags.to_pylist(), logits.to_pylist()):
+        c = [1 / sum(math.exp(v - max(row)) for v in row) for row in x or []]
+        at, spans = 0, []
+        for run in tag_runs(t or []):
+            text = " ".join(w[i] for i in run)
+            spans.append({"text": text, "type": t[run[-1]].rsplit("-", 1)[-1], "start": at, "end": at + len(text) - 1, "confidence": sum(c[i] for i in run) / len(run) if c else None})
+            at += len(text) + 1
+        made.append(spans)
+    return pa.array(made, pa.list_(_SPAN))
+
+
+def merge_tags(words: Column, tags: Column, logits: Column | None = None) -> Column:
+    """Entities of BILOU tags as (text, type, start, end, confidence), by ``tag_runs``.
+
+    Offsets count what is given out, one space between, ends included. A word's confidence
+    is the largest softmax of its ``logits``, an entity's the mean of its words'.
+    """
+    return _merged(words, tags, F.lit(None).cast("array<array<double>>") if logits is None else logits)
+
+
+def tag_rows(df: DataFrame, by: list[str], words: str, tags: str, logits: str, mask: str) -> DataFrame:
+    """Without merging: (by, position, token, predicted_role, confidence, start_idx, end_idx), one row a word.
+
+    Confidences are those of the word pieces that ``mask`` keeps, in order.
+    """
+    sure = F.transform(arrays.compress(F.col(logits), F.col(mask)), lambda x: F.array_max(arrays.softmax(x)))
+    one = F.posexplode(F.arrays_zip(F.col(words).alias("token"), F.col(tags).alias("predicted_role"), sure.alias("confidence"))).alias("position", "x")
+    rows = df.select(*by, one).select(*by, "position", "x.*").where("token IS NOT NULL")
+    at = offsets(rows, by, ["position"], F.length("token"), gap=1)
+    return at.select(*by, "position", "token", "predicted_role", "confidence", F.col("start").alias("start_idx"), (F.col("start") + F.length("token") - 1).alias("end_idx"))
+
+
+@F.arrow_udf(_TRIPLE)
+def triples(words: pa.Array, roles: pa.Array, pos: pa.Array) -> pa.Array:
+    """(subject, verb, object) triples of a sentence, in any order of the three; what was found is forgotten after each.
+
+    The verb is a VERB that is the root; any other word is the subject if its role is
+    nsubj, and the object if its role holds 'obj' (dobj, pobj, iobj). Later words replace
+    earlier ones.
+    """
+    made = []
+    for w, r, p in zip(words.to_pylist(), roles.to_pylist(), pos.to_pylist()):
+        found, held = [], {}
+        for word, role, kind in zip(w or [], r or [], p or []):
+            part = "v" if role == "root" and kind == "VERB" else "s" if role == "nsubj" else "o" if "obj" in (role or "") else None
+            if part:
+                held[part] = word
+            if len(held) == 3:
+                found.append(held)
+                held = {}
+        made.append(found)
+    return pa.array(made, pa.list_(pa.struct([("s", pa.string()), ("v", pa.string()), ("o", pa.string())])))
+
+
+def morphology(features: Column) -> tuple[Column, Column]:
+    """(tense, verb form) from a map of morphological features; 'None' where there is neither."""
+    named = lambda key, names: F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.try_element_at(features, F.lit(key))), F.lit("None"))
+    return named("Tense", {"Pres": "present", "Past": "past"}), named("VerbForm", {"Inf": "infinitive", "Part": "participle", "Fin": "finite", "Mod": "modifier"})
+
+
+@F.arrow_udf(_TEXTS)
+def future_tense(tenses: pa.Array, forms: pa.Array, tags: pa.Array) -> pa.Array:
+    """Tense per word, with 'future' for tenseless infinitives that a modifier ('will rise') or a 'to' ('is expected to rise') announces.
+
+    The two announcements are apart: each holds until an infinitive uses it up, the
+    modifier's first, whatever verbs stand between.
+    """
+    made = []
+    for row in zip(tenses.to_pylist(), forms.to_pylist(), tags.to_pylist()):
+        out, modifier, to = [], False, False
+        for tense, form, tag in zip(*(x or [] for x in row)):
+            bare = tense == "None" and form == "infinitive"
+            if bare and (modifier or to):
+                tense = "future"
+                modifier, to = False, to and modifier
+            modifier |= form == "modifier"
+            to |= form == "infinitive" and tag == "TO"
+            out.append(tense)
+        made.append(out)
+    return pa.array(made, pa.list_(pa.string()))
 
 
 def role_map(df: DataFrame) -> DataFrame:
@@ -158,21 +303,60 @@ def relations(df: DataFrame) -> DataFrame:
     return named.groupBy("from", "to", "type").agg(F.count("*").alias("weight"))
 
 
+#: Tags of nouns (fixed values).
+NOUNS = ("NN", "NNP", "NNS", "NNPS")
+#: A noun phrase over one letter a word: an optional determiner, adjectives, conjunctions, adjectives, nouns, and hyphenated further nouns.
+PHRASE = re.compile("D?J*C*J*N+(?:HN+)*")
+
+
+def coded_tags(tags: Column) -> Column:
+    """One letter a word: D, J, C, N, H for determiners, adjectives, conjunctions, nouns and hyphens, x for the rest."""
+    letter = lambda t: F.when(t.isin(*NOUNS), "N").when(t == "DT", "D").when(t == "JJ", "J").when(t == "CC", "C").when(t == "HYPH", "H").otherwise("x")
+    return F.array_join(F.transform(tags, letter), "")
+
+
+@F.arrow_udf(_TEXTS)
+def _phrases(words: pa.Array, coded: pa.Array) -> pa.Array:
+    found = [[" ".join(w[m.start() : m.end()]) for m in PHRASE.finditer(c or "")] for w, c in zip(words.to_pylist(), coded.to_pylist())]
+    return pa.array(found, pa.list_(pa.string()))
+
+
 def noun_phrases(words: Column, tags: Column) -> Column:
-    """Runs of determiner, adjectives and nouns that end in a noun, each joined with spaces.
+    """The noun phrases of a sentence from left to right, each joined with spaces."""
+    return _phrases(words, coded_tags(tags))
+
+
+def marked_places(words: list[str], phrase: list[str]) -> list[range]:
+    """Where a phrase is found by one scan that starts anew behind a mismatch and notes a find at the word after it.
 
-    Tags become one letter a word, so the grammar is a regular expression over a string.
+    So a phrase that ends the sentence is not noted, nor one that begins at a word that broke another.
     """
-    coded = F.array_join(F.transform(tags, lambda t: F.when(t == "DT", "D").when(t.startswith("JJ"), "J").when(t.startswith("NN"), "N").otherwise("x")), "")
-    marked = F.regexp_replace(coded, "(D?J*N+)", "<$1>")
-    spans = F.aggregate(
-        F.filter(F.split(marked, "(?=<)|(?<=>)"), lambda x: x != ""), F.struct(F.array().cast("array<string>").alias("done"), F.lit(1).alias("at")),
-        lambda a, x: F.struct(
-            F.when(x.startswith("<"), F.concat(a["done"], F.array(F.array_join(F.slice(words, a["at"], F.length(x) - 2), " ")))).otherwise(a["done"]).alias("done"),
-            (a["at"] + F.when(x.startswith("<"), F.length(x) - 2).otherwise(F.length(x))).alias("at"),
-        ), lambda a: a["done"],
-    )
-    return spans
+    found, k = [], 0
+    for i, word in enumerate(words):
+        if k == len(phrase):
+            found.append(range(i - k, i))
+            if i == len(words) - 1:
+                break
+            k = 0
+        k = k + 1 if word == phrase[k] else 0
+    return found
+
+
+@F.arrow_udf(_TEXTS)
+def _labels(words: pa.Array, phrases: pa.Array) -> pa.Array:
+    made = []
+    for w, named in zip(words.to_pylist(), phrases.to_pylist()):
+        out = [""] * len(w or [])
+        for phrase in named or []:
+            for places in marked_places(w, phrase.split(" ")):
+                out[places.start : places.stop] = [phrase] * len(places)
+        made.append(out)
+    return pa.array(made, pa.list_(pa.string()))
+
+
+def noun_phrase_labels(words: Column, tags: Column) -> Column:
+    """Per word the noun phrase that it is part of, '' outside; later phrases go over earlier ones (see ``marked_places``)."""
+    return _labels(words, noun_phrases(words, tags))
 
 
 def align(a: list[str], b: list[str], gap: str = "[-]") -> tuple[list[str], list[str], list[int], list[int]]:

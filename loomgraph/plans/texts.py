@@ -24,35 +24,88 @@ def nlp02_documents(s, d):
 
 
 def tagged(s, d):
-    """All events of a user, in order of time, as words with BILOU tags."""
-    tag = F.expr("CASE event_type WHEN 'view' THEN 'O' WHEN 'click' THEN 'B-PER' WHEN 'purchase' THEN 'I-PER' WHEN 'signup' THEN 'L-PER' ELSE 'U-LOC' END")
-    e = table(s, d, "events").select("user_id", F.struct("ts", "event_id", F.col("event_type").alias("w"), tag.alias("t")).alias("x"))
-    g = e.groupBy("user_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
-    return g.select("user_id", F.transform("x", lambda v: v["w"]).alias("words"), F.transform("x", lambda v: v["t"]).alias("tags"))
+    """All events of a user, in order of time, as words with BILOU tags of two types, logits, and places in the table."""
+    kind = F.when(F.col("event_id") % 3 == 0, "LOC").otherwise("PER")
+    mark = F.expr("CASE event_type WHEN 'click' THEN 'B-' WHEN 'purchase' THEN 'I-' WHEN 'signup' THEN 'L-' WHEN 'error' THEN 'U-' END")
+    tag = F.coalesce(F.concat(mark, kind), F.lit("O"))
+    fields = F.struct("ts", "event_id", F.col("event_type").alias("w"), tag.alias("t"), F.array(F.col("value") / 10, F.lit(1.0), F.lit(0.5)).alias("l"))
+    g = table(s, d, "events").select("user_id", fields.alias("x")).groupBy("user_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    of = lambda name: F.transform("x", lambda v: v[name])
+    return g.select("user_id", of("w").alias("words"), of("t").alias("tags"), of("l").alias("logits"), of("event_id").alias("ids"))
+
+
+_EVENTS = (
+    "e AS (SELECT user_id, event_id, event_type AS w, CASE event_type WHEN 'click' THEN 'B' WHEN 'purchase' THEN 'I' WHEN 'signup' THEN 'L' WHEN 'error' THEN 'U' ELSE 'O' END AS mark, "
+    "CASE WHEN event_type = 'view' THEN 'O' WHEN event_id % 3 = 0 THEN 'LOC' ELSE 'PER' END AS kind, 1 / (exp(value / 10 - greatest(value / 10, 1)) + exp(1 - greatest(value / 10, 1)) + exp(0.5 - greatest(value / 10, 1))) AS sure, "
+    "row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events)"
+)
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_EVENTS}, r AS (SELECT DISTINCT user_id, 0::BIGINT AS i, []::BIGINT[] AS run, '' AS open, []::BIGINT[][] AS outs FROM e UNION ALL SELECT r.user_id, e.i, "
+    "CASE WHEN mark = 'B' THEN [e.i] WHEN mark = 'I' AND len(run) > 0 AND open = kind THEN list_append(run, e.i) WHEN mark = 'I' THEN run WHEN mark = 'L' AND len(run) = 1 AND open <> kind THEN run ELSE [] END, CASE WHEN mark = 'B' THEN kind ELSE open END, "
+    "CASE WHEN mark = 'I' THEN [] WHEN mark = 'B' THEN CASE WHEN len(run) > 0 THEN [run] ELSE [] END WHEN len(run) = 0 THEN [[e.i]] WHEN mark = 'L' AND open = kind THEN [list_append(run, e.i)] WHEN mark = 'L' AND len(run) = 1 THEN [[e.i]] ELSE [run, [e.i]] END "
+    "FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1), o AS (SELECT user_id, i, unnest(outs) AS places, generate_subscripts(outs, 1) AS k FROM r), n AS (SELECT user_id, places, row_number() OVER (PARTITION BY user_id ORDER BY i, k) AS n FROM o), "
+    "p AS (SELECT user_id, n, unnest(places) AS i FROM n), t AS (SELECT user_id, n, string_agg(w, ' ' ORDER BY i) AS text, last(kind ORDER BY i) AS type, avg(sure) AS confidence FROM p JOIN e USING (user_id, i) GROUP BY 1, 2), "
+    "a AS (SELECT *, (sum(length(text) + 1) OVER (PARTITION BY user_id ORDER BY n) - length(text) - 1)::INT AS start FROM t) SELECT user_id, text, type, start, (start + length(text) - 1)::INT AS \"end\", round(confidence, 6) AS confidence FROM a"
+)
 def win13_nlp05_merge_tags(s, d):
-    return tagged(s, d).select("user_id", F.inline(nlp.merge_tags(F.col("words"), F.col("tags"))))
+    merged = nlp.merge_tags(F.col("words"), F.col("tags"), F.col("logits"))
+    return tagged(s, d).select("user_id", F.inline(merged)).withColumn("confidence", F.round("confidence", 6))
 
 
-@query()
+@query(
+    f"WITH {_EVENTS} SELECT user_id, i - 1 AS position, w AS token, CASE WHEN mark = 'O' THEN 'O' ELSE mark || '-' || kind END AS predicted_role, round(sure, 6) AS confidence, "
+    "(sum(length(w) + 1) OVER (PARTITION BY user_id ORDER BY i) - length(w) - 1)::BIGINT AS start_idx FROM e"
+)
+def nlp05_tag_rows(s, d):
+    rows = nlp.tag_rows(tagged(s, d).withColumn("mask", F.transform("words", lambda w: F.lit(True))), ["user_id"], "words", "tags", "logits", "mask")
+    return rows.select("user_id", F.col("position").cast("long").alias("position"), "token", "predicted_role", F.round("confidence", 6).alias("confidence"), F.col("start_idx").cast("long").alias("start_idx"))
+
+
+@query(
+    f"WITH RECURSIVE {_EVENTS}, x AS (SELECT user_id, i, w, CASE WHEN w = 'click' AND event_id % 2 = 0 THEN 'v' WHEN w = 'view' THEN 's' WHEN w IN ('signup', 'purchase') THEN 'o' END AS part FROM e), "
+    "r AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::VARCHAR AS s, NULL::VARCHAR AS v, NULL::VARCHAR AS o, NULL::VARCHAR[] AS made FROM x UNION ALL "
+    "SELECT user_id, i, CASE WHEN full_ THEN NULL ELSE s END, CASE WHEN full_ THEN NULL ELSE v END, CASE WHEN full_ THEN NULL ELSE o END, CASE WHEN full_ THEN [s, v, o] END FROM ("
+    "SELECT *, s IS NOT NULL AND v IS NOT NULL AND o IS NOT NULL AS full_ FROM (SELECT x.user_id, x.i, CASE WHEN part = 's' THEN w ELSE s END AS s, CASE WHEN part = 'v' THEN w ELSE v END AS v, CASE WHEN part = 'o' THEN w ELSE o END AS o FROM r JOIN x ON x.user_id = r.user_id AND x.i = r.i + 1))) "
+    "SELECT user_id, made[1] AS s, made[2] AS v, made[3] AS o FROM r WHERE made IS NOT NULL"
+)
 def win15_nlp10_triples(s, d):
-    role = F.transform("words", lambda w: F.when(w == "view", "nsubj").when(w == "signup", "obj").otherwise("dep"))
-    return tagged(s, d).select("user_id", F.inline(nlp.triples(F.col("words"), role, F.transform("words", lambda w: w == "click"))))
+    role = F.transform("words", lambda w: F.when(w == "view", "nsubj").when(w == "signup", "dobj").when(w == "purchase", "pobj").when(w == "click", "root").otherwise("dep"))
+    pos = F.transform("ids", lambda i: F.when(i % 2 == 0, "VERB").otherwise("NOUN"))
+    return tagged(s, d).select("user_id", F.inline(nlp.triples(F.col("words"), role, pos)))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_EVENTS}, r AS (SELECT DISTINCT user_id, 0::BIGINT AS i, false AS a, false AS b, '' AS tense FROM e UNION ALL SELECT e.user_id, e.i, w = 'view' OR (a AND w NOT IN ('click', 'purchase')), w = 'purchase' OR (b AND NOT (w = 'click' AND NOT a)), "
+    "CASE WHEN w IN ('click', 'purchase') AND (a OR b) THEN 'future' WHEN w = 'error' THEN 'past' ELSE 'None' END FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) SELECT user_id, tense, count(*) AS n FROM r WHERE i > 0 GROUP BY 1, 2"
+)
 def win14_nlp08_tense(s, d):
-    words = F.transform("words", lambda w: F.when(w == "view", "will").otherwise(w))
-    tags = F.transform("words", lambda w: F.when(w == "click", "VB").when(w == "error", "VBD").otherwise("NN"))
-    return tagged(s, d).select("user_id", F.explode(nlp.future_tense(words, tags)).alias("tense")).groupBy("user_id", "tense").agg(F.count("*").alias("n"))
+    """Events as words: views are modifiers, clicks infinitives, purchases 'to', errors past verbs."""
+    features = lambda w: F.when(w == "view", F.create_map(F.lit("VerbForm"), F.lit("Mod"))).when(w == "error", F.create_map(F.lit("Tense"), F.lit("Past"), F.lit("VerbForm"), F.lit("Fin"))).when(w.isin("click", "purchase"), F.create_map(F.lit("VerbForm"), F.lit("Inf"))).otherwise(F.create_map(F.lit("x"), F.lit("y")))
+    tense, form = F.transform("words", lambda w: nlp.morphology(features(w))[0]), F.transform("words", lambda w: nlp.morphology(features(w))[1])
+    tags = F.transform("words", lambda w: F.when(w == "purchase", "TO").otherwise("VB"))
+    return tagged(s, d).select("user_id", F.explode(nlp.future_tense(tense, form, tags)).alias("tense")).groupBy("user_id", "tense").agg(F.count("*").alias("n"))
 
 
-@query()
+def phrase_tags():
+    return F.zip_with("words", "ids", lambda w, i: F.when(w == "view", "DT").when(w == "click", "JJ").when(w == "purchase", F.when(i % 2 == 0, "CC").otherwise("NNS")).when(w == "error", F.when(i % 5 == 0, "VB").otherwise("HYPH")).otherwise("NN"))
+
+
+@query(
+    f"WITH {_EVENTS}, c AS (SELECT user_id, i, w, CASE w WHEN 'view' THEN 'D' WHEN 'click' THEN 'J' WHEN 'purchase' THEN CASE WHEN event_id % 2 = 0 THEN 'C' ELSE 'N' END WHEN 'error' THEN CASE WHEN event_id % 5 = 0 THEN 'x' ELSE 'H' END ELSE 'N' END AS c FROM e), "
+    "m AS (SELECT user_id, string_split(regexp_replace(string_agg(c, '' ORDER BY i), '(D?J*C*J*N+(HN+)*)', '<\\1>', 'g'), '') AS m FROM c GROUP BY 1), x AS (SELECT user_id, unnest(m) AS ch, generate_subscripts(m, 1) AS k FROM m), "
+    "k AS (SELECT user_id, ch, sum((ch = '<')::INT) OVER w AS opened, sum((ch = '>')::INT) OVER w AS closed, sum((ch NOT IN ('<', '>'))::INT) OVER w AS i FROM x WINDOW w AS (PARTITION BY user_id ORDER BY k)) "
+    "SELECT user_id, string_agg(c.w, ' ' ORDER BY c.i) AS phrase FROM k JOIN c USING (user_id, i) WHERE ch NOT IN ('<', '>') AND opened > closed GROUP BY user_id, opened"
+)
 def nlp09_noun_phrases(s, d):
-    tags = F.transform("words", lambda w: F.when(w == "view", "DT").when(w == "click", "JJ").when(w == "error", "VB").otherwise("NN"))
-    return tagged(s, d).select("user_id", F.explode(nlp.noun_phrases(F.col("words"), tags)).alias("phrase"))
+    return tagged(s, d).select("user_id", F.explode(nlp.noun_phrases(F.col("words"), phrase_tags())).alias("phrase"))
+
+
+@query()
+def nlp09_phrase_labels(s, d):
+    """Per word the noun phrase that it is part of."""
+    return tagged(s, d).select("user_id", F.posexplode(nlp.noun_phrase_labels(F.col("words"), phrase_tags())).alias("position", "label"))
 
 
 def predictions(s, d):

@@ -74,17 +74,56 @@ def test_mode_label(spark):
 def test_tags_triples_alignment_pieces(spark):
     df = spark.createDataFrame([("John Smith visited New York City".split(), "B-PER L-PER O B-LOC I-LOC L-LOC".split())], "w array<string>, t array<string>")
     got = [tuple(r) for r in df.select(F.inline(nlp.merge_tags(F.col("w"), F.col("t")))).collect()]
-    assert got == [("John Smith", "PER", 0, 9), ("visited", "O", 11, 17), ("New York City", "LOC", 19, 31)]
-    lost = spark.createDataFrame([(["a", "b", "c"], ["I-X", "B-X", "I-Y"])], "w array<string>, t array<string>")
-    assert lost.select(F.inline(nlp.merge_tags(F.col("w"), F.col("t")))).count() == 0
-    svo = spark.createDataFrame([(["dog", "met", "cat"], ["nsubj", "root", "obj"], [False, True, False])], "w array<string>, r array<string>, v array<boolean>")
-    assert [tuple(r) for r in svo.select(F.inline(nlp.triples(F.col("w"), F.col("r"), F.col("v")))).collect()] == [("dog", "met", "cat")]
+    assert got == [("John Smith", "PER", 0, 9, None), ("visited", "O", 11, 17, None), ("New York City", "LOC", 19, 31, None)]
+    for tags, runs in (
+        ("B-X O", [[0], [1]]), ("B-X B-X L-X", [[0], [1, 2]]), ("O L-X", [[0], [1]]), ("I-X O", [[1]]), ("B-X I-Y L-X", [[0, 2]]), ("B-X L-Y L-X", [[1], [0, 2]]),
+        ("B-X I-X L-Y U-Z", [[0, 1], [2], [3]]), ("O B-X I-X", [[0]]), ("B-X U-Y", [[0], [1]]), ("", []),
+    ):
+        assert nlp.tag_runs(tags.split()) == runs
+    one = spark.createDataFrame([(["a", "b"], ["B-X", "L-X"], [[0.0, 0.0], [3.0, 3.0 + 1e3]]), ([], [], []), (None, None, None)], "w array<string>, t array<string>, l array<array<double>>")
+    assert [tuple(r) for r in one.select(F.inline(nlp.merge_tags(F.col("w"), F.col("t"), F.col("l")))).collect()] == [("a b", "X", 0, 2, 0.75)]
+    rows = spark.createDataFrame([(1, ["ab", "c"], ["B-X", "O"], [[0.0], [0.0, 0.0], [1.0]], [False, True, True])], "k int, w array<string>, t array<string>, l array<array<double>>, m array<boolean>")
+    assert [tuple(r) for r in nlp.tag_rows(rows, ["k"], "w", "t", "l", "m").orderBy("position").collect()] == [(1, 0, "ab", "B-X", 0.5, 0, 1), (1, 1, "c", "O", 1.0, 3, 3)]
+    for words, roles, pos, want in (
+        ("dog met cat", "nsubj root dobj", "N VERB N", [("dog", "met", "cat")]), ("cat dog met", "pobj nsubj root", "N N VERB", [("dog", "met", "cat")]), ("met dog cat", "root nsubj obj", "NOUN N N", []),
+        ("a b met c d met e", "nsubj nsubj root obj nsubj root iobj", "N N VERB N N VERB N", [("b", "met", "c"), ("d", "met", "e")]),
+    ):
+        svo = spark.createDataFrame([tuple(x.split() for x in (words, roles, pos))], "w array<string>, r array<string>, p array<string>")
+        assert [tuple(r) for r in svo.select(F.inline(nlp.triples("w", "r", "p"))).collect()] == want
+    verbs = [("None", "modifier", "MD"), ("None", "None", "RB"), ("past", "finite", "VBD"), ("None", "infinitive", "VB"), ("None", "infinitive", "VB"), ("None", "infinitive", "TO"), ("None", "infinitive", "VB"), ("None", "modifier", "MD"), ("None", "infinitive", "TO"), ("None", "infinitive", "VB")]
+    v = spark.createDataFrame([tuple(map(list, zip(*verbs)))], "t array<string>, f array<string>, g array<string>")
+    assert v.select(nlp.future_tense("t", "f", "g").alias("x")).first().x == ["None", "None", "past", "future", "None", "None", "future", "None", "future", "future"]
+    m = spark.createDataFrame([({"Tense": "Pres", "VerbForm": "Fin"},), ({"x": "y"},)], "m map<string,string>")
+    assert [tuple(r) for r in m.select(*nlp.morphology(F.col("m"))).collect()] == [("present", "finite"), ("None", "None")]
+    for text_, tags, want in (
+        ("big and red dog ran", "JJ CC JJ NN VBD", ["big and red dog"]), ("the well - being of Jo", "DT NN HYPH NN IN NNP", ["the well - being", "Jo"]), ("bigger dog", "JJR NN", ["dog"]), ("the big", "DT JJ", []),
+    ):
+        p = spark.createDataFrame([(text_.split(), tags.split())], "w array<string>, t array<string>")
+        assert p.select(nlp.noun_phrases(F.col("w"), F.col("t")).alias("x")).first().x == want
+    p = spark.createDataFrame([("the dog saw the dog . Jo".split(), "DT NN VBD DT NN . NNP".split())], "w array<string>, t array<string>")
+    assert p.select(nlp.noun_phrase_labels(F.col("w"), F.col("t")).alias("x")).first().x == ["the dog", "the dog", "", "the dog", "the dog", "", ""]
     assert nlp.align(list("abc"), list("ac")) == (["a", "b", "c"], ["a", "[-]", "c"], [0, 1, 2], [0, -1, 1])
     p = spark.createDataFrame([(1, 0, "un", [1.0, 3.0]), (1, 1, "##ion", [3.0, 5.0])], "k int, i int, t string, v array<double>")
     r = nlp.word_pieces(p, ["k"], "i", "t", "v").first()
     assert (r.word, r.vector) == ("union", [2.0, 4.0])
 
 
+def test_models_behind_batches(spark, tmp_path):
+    df = spark.createDataFrame([("a", "x y", 0), ("b", None, 3_000_000), ("c", "z", 0)], "sentence_id string, sentence string, at long")
+    got = nlp.batched(df, lambda: lambda texts: [{"n": len(t.split())} for t in texts], "n long", size=2)
+    assert {tuple(r) for r in got.collect()} == {("a", 2), ("b", 0), ("c", 1)}
+    steps = {"ner": lambda s: s.select("sentence_id"), "coref": lambda d: d.select("doc"), "pos": lambda s: s.select("missing")}
+    done, failed = nlp.discover(df, df.select(F.lit(1).alias("doc")), steps, ("pos", "coref", "ner", "svo"))
+    assert list(done) == ["coref", "ner"] and [f.split(":")[0] for f in failed] == ["pos", "svo"]
+    assert nlp.discover(df.where("false"), df, steps) == ({}, list(nlp.STEPS))
+    e = nlp.subword_embeddings(df, lambda: lambda texts: [[("[CLS]", [0.0]), *((w, [1.0]) for w in t.split())] for t in texts], "at", "sentence_id", "sentence")
+    assert {(r.sentence_id, r.month, r.position, r.token) for r in e.collect()} == {("a", 1, 1, "x"), ("a", 1, 2, "y"), ("c", 1, 1, "z")}
+    script = tmp_path / "model.py"
+    script.write_text("import json,sys\nfor l in sys.stdin:\n    print(json.dumps({'n': len(json.loads(l)['tokens'])}))\n")
+    x = nlp.external_spans(spark.createDataFrame([(1, ["a", "b"]), (2, None)], "doc_id int, tokens array<string>"), ["python", str(script)], "n long")
+    assert {tuple(r) for r in x.collect()} == {(1, 2), (2, 0)}
+
+
 def test_sentence_ids(spark):
     df = spark.createDataFrame([(7, "One two three. Four five six! Seven eight nine?")], "id int, text string")
     assert sorted(r.sentence_id for r in nlp.sentence_table(df, "id", "text").collect()) == ["7_0", "7_1", "7_2"]
