@@ -15,13 +15,15 @@ from pyspark.sql.types import DoubleType
 ARTICLES = ("the", "a", "our", "this", "and", "these")
 #: Punctuation that separates nothing when keys are compared (fixed values).
 KEY_PUNCTUATION = "[.,!?$]"
+#: Characters that count as dashes (fixed values).
+DASHES = "‐᠆﹣－⁃−"
 #: ASCII punctuation as a regular-expression class.
 ASCII_PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
 
 def clean_entity(c: Column) -> Column:
-    """Dashes of any kind as '-', runs of white space as one space, lower case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(c, "[‐‑‒–—―−]", "-"), "[ \\t\\n\\r]+", " "))
+    """Runs of dashes as one '-', runs of white space as one space, lower case."""
+    return F.lower(F.regexp_replace(F.regexp_replace(c, f"[{DASHES}]+", "-"), "[ \\t\\n\\r]+", " "))
 
 
 def clean_topic(c: Column) -> Column:

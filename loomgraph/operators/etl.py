@@ -122,3 +122,9 @@ def restructure_links(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     located = inst.where("country <> ''").select(F.col("inst").alias("from"), F.col("country").alias("to"), F.lit("Located At").alias("edgeType"), F.lit("Institution").alias("fromNodeType"), F.lit("Location").alias("toNodeType"))
     all_edges = flip(rename_types(links_, schema.EDGE_RENAMES), "Funding Agency").unionByName(belongs).unionByName(located)
     return all_nodes, all_edges.distinct()
+
+
+def single_valued(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows whose array columns hold exactly one element each, which takes the array's place in lower case."""
+    kept = df.where(reduce(lambda a, b: a & b, [F.coalesce(F.size(c), F.lit(-1)) == 1 for c in columns], F.lit(True)))
+    return kept.withColumns({c: F.lower(F.element_at(c, 1)) for c in columns})

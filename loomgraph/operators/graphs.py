@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
@@ -15,10 +16,55 @@ from loomgraph.functions.scratch import stored
 NODE = "node string, cluster string"
 
 
+#: Rows of a group in one part; a group's pairs are dealt to tasks as pairs of parts.
+PART_ROWS = 1000
+#: Edges of a component that one task takes on; beyond, functions that work by component refuse.
+MOST_EDGES = 5_000_000
+
+
+def pairs_within(df: DataFrame, by: str, key: str) -> DataFrame:
+    """All pairs of rows that agree in ``by``, columns of the lesser key suffixed _a, of the other _b.
+
+    A group is cut into parts of PART_ROWS; the join runs on pairs of parts, so a hub's
+    pairs are spread over tasks. Rows must not repeat a key within a group.
+    """
+    sizes = df.groupBy(by).agg(F.count("*").alias("_rows")).where("_rows > 1").select(by, F.ceil(F.col("_rows") / PART_ROWS).cast("int").alias("_parts"))
+    own = df.join(sizes, by).withColumn("_p", F.pmod(F.xxhash64(key), F.col("_parts")).cast("int"))
+    others = [c for c in df.columns if c != by]
+    left = own.withColumn("_q", F.explode(F.sequence("_p", F.col("_parts") - 1))).select(F.col(by).alias("_g"), F.col("_p").alias("_i"), F.col("_q").alias("_j"), *[F.col(c).alias(f"_l_{c}") for c in others])
+    right = own.withColumn("_q", F.explode(F.sequence(F.lit(0), F.col("_p")))).select(F.col(by).alias("_g"), F.col("_q").alias("_i"), F.col("_p").alias("_j"), *[F.col(c).alias(f"_r_{c}") for c in others])
+    met = left.join(right, ["_g", "_i", "_j"]).where((F.col("_i") < F.col("_j")) | (F.col(f"_l_{key}") < F.col(f"_r_{key}")))
+    turned = F.col(f"_l_{key}") > F.col(f"_r_{key}")
+    low = [F.when(turned, F.col(f"_r_{c}")).otherwise(F.col(f"_l_{c}")).alias(f"{c}_a") for c in others]
+    high = [F.when(turned, F.col(f"_l_{c}")).otherwise(F.col(f"_r_{c}")).alias(f"{c}_b") for c in others]
+    return met.select(F.col("_g").alias(by), *low, *high)
+
+
 def projection(edges: DataFrame, left: str = "from", right: str = "to") -> DataFrame:
     """(u, v, weight): pairs of left nodes, u < v, by their number of distinct shared right nodes."""
     e = edges.select(F.col(left).alias("u"), F.col(right).alias("_n")).distinct()
-    return e.join(e.withColumnRenamed("u", "v"), "_n").where("u < v").groupBy("u", "v").agg(F.count("*").alias("weight"))
+    return pairs_within(e, "_n", "u").groupBy(F.col("u_a").alias("u"), F.col("u_b").alias("v")).agg(F.count("*").alias("weight"))
+
+
+def shared_neighbours(pairs: DataFrame, edges: DataFrame, left: str = "from", right: str = "to") -> DataFrame:
+    """``pairs(u, v)`` with their weight in the projection, 0 without a shared node, from the pairs' own neighbours.
+
+    The projection is not built: work grows with the neighbours of the pairs asked for.
+    """
+    p = pairs.select("u", "v").distinct()
+    e = edges.select(F.col(left).alias("u"), F.col(right).alias("_n")).distinct()
+    met = p.join(e, "u").join(e.withColumnRenamed("u", "v"), ["v", "_n"]).groupBy("u", "v").agg(F.count("*").alias("weight"))
+    return pairs.join(met, ["u", "v"], "left").fillna(0, ["weight"])
+
+
+def two_steps(pairs: DataFrame, edges: DataFrame, left: str = "from", right: str = "to") -> DataFrame:
+    """``pairs(u, v)`` with ``weight``: for pairs at distance two in the projection the sum over nodes between of both links' weights, else 0."""
+    p = shared_neighbours(pairs.select("u", "v").distinct(), edges, left, right).where("weight = 0 AND u <> v").select("u", "v")
+    e = edges.select(F.col(left).alias("u"), F.col(right).alias("_n")).distinct()
+    ends = p.select("u").union(p.select("v")).distinct()
+    near = e.join(ends, "u", "left_semi").join(e.withColumnRenamed("u", "p"), "_n").where("u <> p").groupBy("u", "p").agg(F.count("*").alias("w"))
+    via = p.join(near.toDF("u", "p", "w1"), "u").join(near.toDF("v", "p", "w2"), ["v", "p"]).groupBy("u", "v").agg(F.sum(F.col("w1") + F.col("w2")).alias("weight"))
+    return pairs.join(via, ["u", "v"], "left").fillna(0, ["weight"])
 
 
 def both_ways(weights: DataFrame) -> DataFrame:
@@ -46,7 +92,7 @@ def phi_graph(edges: DataFrame, above: float = 0.0) -> DataFrame:
     e = edges.select("from", "to").distinct()
     n = e.select("from").distinct().agg(F.count("*").cast("double").alias("n"))
     d = e.groupBy("to").agg(F.count("*").cast("double").alias("k"))
-    shared = e.withColumnRenamed("to", "a").join(e.withColumnRenamed("to", "b"), "from").where("a < b").groupBy("a", "b").agg(F.count("*").cast("double").alias("n11"))
+    shared = pairs_within(e, "from", "to").groupBy(F.col("to_a").alias("a"), F.col("to_b").alias("b")).agg(F.count("*").cast("double").alias("n11"))
     full = shared.join(d.toDF("a", "n1"), "a").join(d.toDF("b", "n2"), "b").join(F.broadcast(n))
     under = F.col("n1") * (F.col("n") - F.col("n1")) * F.col("n2") * (F.col("n") - F.col("n2"))
     return full.where(under > 0).select("a", "b", ((F.col("n") * F.col("n11") - F.col("n1") * F.col("n2")) / F.sqrt(under)).alias("phi")).where(F.col("phi") > above)
@@ -55,11 +101,12 @@ def phi_graph(edges: DataFrame, above: float = 0.0) -> DataFrame:
 def cosine_graph(vectors: DataFrame, key: str, vector: str, by: str, above: float) -> DataFrame:
     """(a, b, similarity) of pairs within a group ``by`` whose cosine is over the limit.
 
-    Exact over each group; where groups grow large, block the vectors first.
+    Exact over each group, which is compared in blocks; a high limit on large groups is a
+    case for a pigeonhole join.
     """
-    v = vectors.select(by, F.col(key).alias("a"), arrays.unit(F.transform(vector, lambda x: x.cast("double"))).alias("x"))
-    pairs = v.join(v.select(by, F.col("a").alias("b"), F.col("x").alias("y")), by).where("a < b")
-    return pairs.select("a", "b", arrays.dot(F.col("x"), F.col("y")).alias("similarity")).where(F.col("similarity") > above)
+    v = vectors.select(F.col(by).alias("_by"), F.col(key).alias("k"), arrays.unit(F.transform(vector, lambda x: x.cast("double"))).alias("x"))
+    pairs = pairs_within(v, "_by", "k")
+    return pairs.select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), arrays.dot(F.col("x_a"), F.col("x_b")).alias("similarity")).where(F.col("similarity") > above)
 
 
 def indirect_edges(edges: DataFrame, edge_type: str, name: str) -> DataFrame:
@@ -89,21 +136,40 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
+def _within_bounds(edges: DataFrame, parts: DataFrame, most: int) -> None:
+    """Refuses a component with more edges than one task is to hold."""
+    top = edges.join(parts, edges["a"] == parts["node"]).groupBy("component").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    if top and top > most:
+        raise ValueError(f"a component of {top} edges; at most {most} are worked on in one task")
+
+
 def _greedy(nodes: list, links: dict, total: float, strength: dict) -> dict:
-    """Communities of one component by the best gain in modularity, with the whole graph's total weight."""
+    """Communities of one component by the best gain in modularity, with the whole graph's total weight.
+
+    Gains wait in a heap, ties at the least pair; an entry that a merge has outdated is
+    told by its gain and passed over.
+    """
     own = {v: {v} for v in nodes}
-    between = {v: {} for v in nodes}
+    between: dict = {v: {} for v in nodes}
     for (a, b), w in links.items():
         if a != b:
             between[a][b] = between[a].get(b, 0) + w
             between[b][a] = between[b].get(a, 0) + w
     k = dict(strength)
-    while True:
-        gains = [(w / total - k[a] * k[b] / (2 * total * total), a, b) for a in between for b, w in between[a].items() if a < b]
-        top = max((g[0] for g in gains), default=0.0)
-        if top <= 1e-12:
-            return own
-        _, a, b = min(g for g in gains if g[0] == top)  # ties go to the least pair
+
+    def entry(a: object, b: object) -> tuple:
+        a, b = min(a, b), max(a, b)
+        return (k[a] * k[b] / (2 * total * total) - between[a][b] / total, a, b)
+
+    heap = [entry(a, b) for a in between for b in between[a] if a < b]
+    heapq.heapify(heap)
+    while heap:
+        top = heapq.heappop(heap)
+        loss, a, b = top
+        if loss >= -1e-12:
+            break
+        if a not in between or b not in between[a] or entry(a, b) != top:
+            continue
         own[a] |= own.pop(b)
         k[a] += k.pop(b)
         for c, w in between.pop(b).items():
@@ -111,15 +177,20 @@ def _greedy(nodes: list, links: dict, total: float, strength: dict) -> dict:
             if c != a:
                 between[a][c] = between[a].get(c, 0) + w
                 between[c][a] = between[c].get(a, 0) + w
+        for c in between[a]:
+            heapq.heappush(heap, entry(a, c))
+    return own
 
 
-def communities(edges: DataFrame, weight: str = "weight") -> DataFrame:
+def communities(edges: DataFrame, weight: str = "weight", most: int = MOST_EDGES) -> DataFrame:
     """(node, cluster): greedy modularity, per connected component with the whole graph's weight; a cluster is its least node.
 
     Only adjacent communities merge and a gain depends on them and the total alone, so
-    components can be worked on apart. A component is one task's work.
+    components can be worked on apart. A component is one task's work; one with over
+    ``most`` edges is refused.
     """
     parts = connected_components(edges)
+    _within_bounds(edges.select(F.col("from").alias("a")), parts, most)
     total = edges.agg(F.sum(weight)).first()[0] or 1.0
     e = edges.select(F.col("from").cast("string").alias("a"), F.col("to").cast("string").alias("b"), F.col(weight).cast("double").alias("w"))
     e = e.join(parts.select(F.col("node").cast("string").alias("a"), F.col("component").cast("string").alias("component")), "a")
@@ -139,8 +210,9 @@ def communities(edges: DataFrame, weight: str = "weight") -> DataFrame:
 
 
 def maximal_cliques(edges: DataFrame, least: int = 2, most: int = 100_000) -> DataFrame:
-    """(component, clique, node): maximal cliques of each component, with pivoting; a component with over ``most`` is an error."""
+    """(component, clique, node): maximal cliques of each component, with pivoting; a component with over ``most`` cliques or MOST_EDGES edges is refused."""
     parts = connected_components(edges)
+    _within_bounds(edges.select(F.col("from").alias("a")), parts, MOST_EDGES)
     e = edges.select(F.col("from").cast("string").alias("a"), F.col("to").cast("string").alias("b")).where("a <> b")
     e = e.join(parts.select(F.col("node").cast("string").alias("a"), F.col("component").cast("string").alias("component")), "a")
 
@@ -169,49 +241,60 @@ def maximal_cliques(edges: DataFrame, least: int = 2, most: int = 100_000) -> Da
     return e.groupBy("component").applyInPandas(run, "component string, clique string, node string")
 
 
-def connectivity(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+def connectivity(edges: DataFrame, pairs: DataFrame, most: int = MOST_EDGES, batch: int = 2000) -> DataFrame:
     """(a, b, paths): node-disjoint paths between two nodes, by repeated shortest paths without the nodes used.
 
-    A lower bound of the exact number, by component; nodes of different components have 0.
+    A lower bound of the exact number; nodes of different components have 0. A task holds
+    one component's edges and ``batch`` pairs or so; a component with over ``most`` edges is refused.
     """
-    parts = connected_components(edges).select(F.col("node").cast("string").alias("node"), F.col("component").cast("string").alias("component"))
-    e = edges.select(F.col("from").cast("string").alias("a"), F.col("to").cast("string").alias("b")).where("a <> b").join(parts.toDF("a", "component"), "a")
+    parts = stored(connected_components(edges).select(F.col("node").cast("string").alias("node"), F.col("component").cast("string").alias("component")))
+    e = edges.select(F.col("from").cast("string").alias("a"), F.col("to").cast("string").alias("b")).where("a <> b")
+    _within_bounds(e, parts, most)
+    e = e.join(parts.toDF("a", "component"), "a")
     p = pairs.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b")).join(parts.toDF("a", "component"), "a")
+    shares = p.groupBy("component").agg(F.ceil(F.count("*") / batch).cast("int").alias("shares"))
+    p = p.join(shares, "component").withColumn("share", F.pmod(F.xxhash64("a", "b"), F.col("shares")).cast("int")).drop("shares")
+    e = e.join(shares, "component").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
 
     def run(key: tuple, links: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         near: dict[str, set] = {}
         for a, b in zip(links["a"], links["b"]):
             near.setdefault(a, set()).add(b)
             near.setdefault(b, set()).add(a)
-        out = []
-        for a, b in zip(asked["a"], asked["b"]):
-            used: set = set()
-            paths = int(b in near.get(a, ()))
-            while True:
-                seen, front, found = {a: None}, [a], None
-                while front and found is None:
-                    nxt = []
-                    for v in front:
-                        for w in sorted(near.get(v, ())):
-                            if w == b and v != a:
-                                found = v
-                                break
-                            if w not in seen and w not in used and w != b:
-                                seen[w] = v
-                                nxt.append(w)
-                        if found is not None:
-                            break
-                    front = nxt
-                if found is None:
+        near_sorted = {v: sorted(x) for v, x in near.items()}
+        rows = [(a, b, disjoint_paths(near_sorted, a, b)) for a, b in zip(asked["a"], asked["b"])]
+        return pd.DataFrame(rows, columns=["a", "b", "paths"])
+
+    return e.groupBy("component", "share").cogroup(p.groupBy("component", "share")).applyInPandas(run, "a string, b string, paths long")
+
+
+def disjoint_paths(near: dict[str, list[str]], a: str, b: str) -> int:
+    """Paths from a to b that share no node between, the shortest first; at most the lesser degree."""
+    most = min(len(near.get(a, ())), len(near.get(b, ())))
+    paths, used = int(b in near.get(a, ())), {a}
+    while paths < most:
+        came: dict[str, str] = {}
+        front, last = [a], None
+        while front and last is None:
+            ahead = []
+            for v in front:
+                for w in near[v]:
+                    if w == b and v != a:
+                        last = v
+                        break
+                    if w != b and w not in used and w not in came:
+                        came[w] = v
+                        ahead.append(w)
+                if last is not None:
                     break
-                paths += 1
-                while found != a:
-                    used.add(found)
-                    found = seen[found]
-            out.append((a, b, paths))
-        return pd.DataFrame(out, columns=["a", "b", "paths"])
-
-    return e.groupBy("component").cogroup(p.groupBy("component")).applyInPandas(run, "a string, b string, paths long")
+            front = ahead
+        if last is None:
+            break
+        paths += 1
+        while last != a:
+            used.add(last)
+            last = came[last]
+    return paths
 
 
 def canonical_members(clusters: DataFrame, edges: DataFrame) -> DataFrame:

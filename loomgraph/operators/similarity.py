@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.scratch import stored
 from loomgraph.functions.text import char_ngrams, clean_entity, clean_parts
 
 
@@ -34,13 +35,23 @@ def word_terms(names: DataFrame, key: str, name: str) -> DataFrame:
 def candidate_pairs(names: DataFrame, key: str, name: str, above: float = 0.8) -> DataFrame:
     """(a, b, similarity), a < b: pairs whose character cosine is over the limit.
 
-    Exact: weights of a shared character are multiplied per pair and summed. Characters are
-    in nearly all names, so this is a join of everything with everything in effect; names
-    come in as distinct values, once each, and in blocks of one node type.
+    Exact, by prefixes: a name's characters stand in one global order, the rarest first, and
+    its prefix ends where the rest of its unit vector is too short to reach the limit. A
+    pair over the limit has a character in both prefixes; the first such one makes it a
+    candidate, once, and the whole vectors decide.
     """
     w = tfidf(char_terms(names, key, name), 0.005)
-    pairs = w.toDF("a", "term", "wa").join(w.toDF("b", "term", "wb"), "term").where("a < b")
-    return pairs.groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("similarity")).where(F.col("similarity") > above)
+    often = w.groupBy("term").agg(F.count("*").alias("often"))
+    entry = F.struct("often", "term", "w")
+    vectors = w.join(often, "term").groupBy("key").agg(F.array_sort(F.collect_list(entry)).alias("x"))  # characters of one name
+    rest = lambda i: F.aggregate(F.slice("x", i + 1, F.size("x")), F.lit(0.0), lambda s, e: s + e["w"] * e["w"])
+    prefix = F.transform(F.filter("x", lambda e, i: F.sqrt(rest(i)) > above - 1e-9), lambda e: e["term"])
+    v = stored(vectors.select("key", F.transform("x", lambda e: F.struct(e["term"].alias("term"), e["w"].alias("w"))).alias("x"), prefix.alias("prefix")))
+    side = lambda s: v.select(F.col("key").alias(s), F.explode("prefix").alias("term"), F.col("prefix").alias(f"p{s}"), F.col("x").alias(f"x{s}"))
+    met = side("a").join(side("b"), "term").where("a < b").where(F.element_at(F.array_intersect("pa", "pb"), 1) == F.col("term"))
+    weights = F.map_from_entries("xb")
+    dot = F.aggregate("xa", F.lit(0.0), lambda s, e: s + e["w"] * F.coalesce(F.try_element_at(weights, e["term"]), F.lit(0.0)))
+    return met.select("a", "b", dot.alias("similarity")).where(F.col("similarity") > above)
 
 
 def word_similarity(pairs: DataFrame, names: DataFrame, key: str, name: str) -> DataFrame:
@@ -53,17 +64,36 @@ def word_similarity(pairs: DataFrame, names: DataFrame, key: str, name: str) ->
 
 
 def part_likelihood(names: DataFrame, key: str, name: str) -> DataFrame:
-    """(key, likelihood): mean over a name's parts of share times connectivity.
+    """(key, likelihood): the mean over a name's parts of the part's share of all parts times its mean connectivity.
 
-    A part's connectivity to another is how often the two stand together, over the largest
-    such number; per part the mean over the parts it stands with.
+    Parts are linked where they stand in one name. A pair of parts in a name counts the
+    node-disjoint paths between them, a part that stands twice counts 1 with itself, all
+    over the largest such number; a part's connectivity is the mean over its pairs in the
+    name. Equal names are one name with the parts of all; a name of a single part has no row.
     """
-    parts = names.select(F.col(key).alias("key"), F.explode(F.array_distinct(clean_parts(F.col(name)))).alias("part"))
+    from loomgraph.operators.graphs import connectivity, pairs_within
     from loomgraph.operators.windows import shares
 
-    share = shares(parts, "part")
-    together = parts.join(parts.withColumnRenamed("part", "other"), "key").where("part <> other").groupBy("part", "other").agg(F.count("*").alias("n"))
-    top = together.agg(F.max("n").alias("top"))
-    conn = together.join(F.broadcast(top)).groupBy("part").agg(F.avg(F.col("n") / F.col("top")).alias("conn"))
-    scored = parts.join(share, "part").join(conn, "part", "left").fillna(0.0, ["conn"])
-    return scored.groupBy("key").agg(F.avg(F.col("share") * F.col("conn")).alias("likelihood"))
+    cleaned = names.select(F.col(key).alias("key"), clean_entity(F.col(name)).alias("name"))
+    parts = cleaned.select("name", F.explode(clean_parts(F.col("name"))).alias("part"))
+    counts = stored(parts.groupBy("name", "part").agg(F.count("*").alias("n")))
+    pairs = stored(pairs_within(counts, "name", "part"))
+    links = pairs.select(F.col("part_a").alias("a"), F.col("part_b").alias("b")).distinct()
+    paths = connectivity(links.toDF("from", "to"), links)
+    met = pairs.join(paths.toDF("part_a", "part_b", "paths"), ["part_a", "part_b"]).withColumn("m", F.col("n_a") * F.col("n_b"))
+    sides = [met.select("name", F.col(f"part_{s}").alias("part"), "m", "paths") for s in ("a", "b")]
+    twice = counts.where("n > 1").select("name", "part", (F.col("n") * (F.col("n") - 1)).alias("m"), F.lit(1).cast("long").alias("paths"))
+    every = stored(sides[0].unionAll(sides[1]).unionAll(twice))
+    conn = every.groupBy("name", "part").agg((F.sum(F.col("m") * F.col("paths")) / F.sum("m")).alias("conn"))
+    scored = conn.join(F.broadcast(every.agg(F.max("paths").alias("top")))).join(shares(parts, "part"), "part")
+    likely = scored.groupBy("name").agg(F.avg(F.col("conn") / F.col("top") * F.col("share")).alias("likelihood"))
+    return cleaned.join(likely, "name").select("key", "likelihood")
+
+
+def pairwise_edit_ratio(names: DataFrame, key: str, name: str, above: float = 0.0) -> DataFrame:
+    """(a, b, ratio), a < b: all pairs of names whose edit ratio is over the limit, compared in blocks."""
+    from loomgraph.functions.text import edit_ratio
+    from loomgraph.operators.graphs import pairs_within
+
+    pairs = pairs_within(names.select(F.lit(0).alias("_all"), F.col(key).alias("k"), F.col(name).alias("x")), "_all", "k")
+    return pairs.select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), edit_ratio("x_a", "x_b").alias("ratio")).where(F.col("ratio") > above)

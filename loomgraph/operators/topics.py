@@ -9,17 +9,22 @@ from loomgraph.functions.text import clean_topic
 
 
 def ngrams(df: DataFrame, key: str, text: str, stop_words: tuple[str, ...] = (), longest: int = 3) -> DataFrame:
-    """(key, term): 1- to ``longest``-grams of words ``[a-zA-Z0-9]+`` without stop words."""
+    """(key, term): 1- to ``longest``-grams of words ``[a-zA-Z0-9]+`` without stop words.
+
+    Words are joined with the same words one place on, once a length; no slices are cut.
+    """
     words = F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), 1)
     if stop_words:
         words = F.filter(words, lambda w: ~w.isin(*stop_words))
     w = df.select(F.col(key).alias("key"), words.alias("w"))
-
-    def of(n: int):
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i: F.when(F.size("w") >= n, F.array_join(F.slice("w", i, n), " ")))
-
-    made = [of(n) for n in range(1, longest + 1)]
-    return w.select("key", F.explode(F.flatten(F.array(*made))).alias("term")).where("term IS NOT NULL AND term <> ''")
+    made, grams = ["w"], F.col("w")
+    for n in range(2, longest + 1):
+        # zip_with pads the shorter side with nulls; a null makes the gram null.
+        grams = F.filter(F.zip_with(grams, F.slice("w", n, F.greatest(F.size("w") - n + 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b)), lambda x: x.isNotNull())
+        w = w.withColumn(f"w{n}", grams)
+        made.append(f"w{n}")
+        grams = F.col(f"w{n}")
+    return w.select("key", F.explode(F.concat(*made)).alias("term")).where("term <> ''")
 
 
 def vocabulary(terms: DataFrame, size: int = 10_000) -> DataFrame:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.text import highlight
+from loomgraph.operators.windows import global_ids
+
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """(bin, low, high, n): equal-width bins from least to greatest value, empty ones left out."""
@@ -42,3 +45,36 @@ def collapse(edges: DataFrame, mentions: DataFrame) -> DataFrame:
     for end in ("from", "to"):
         edges = edges.join(names.toDF(end, "_n"), end, "left").withColumn(end, F.coalesce("_n", end)).drop("_n")
     return edges.groupBy("from", "to").agg(F.sum("weight").alias("weight"))
+
+
+#: Colours of clusters, by number (fixed values).
+PALETTE = tuple(str(i) for i in range(1, 9))
+
+
+def community_graph(edges: DataFrame, clusters: DataFrame, floor: float = 0.6, scale: float = 5.0) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a similarity graph: nodes with a colour a cluster, largest first, edges with a pen width over ``floor``.
+
+    Colours repeat after the palette's eight.
+    """
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
+    numbered = global_ids(sizes.withColumn("_less", -F.col("n")), ["_less", "cluster"], "number")
+    colour = F.element_at(F.array(*map(F.lit, PALETTE)), (F.pmod("number", F.lit(len(PALETTE))) + 1).cast("int"))
+    nodes = clusters.join(numbered, "cluster").select("node", "cluster", colour.alias("colour"))
+    return nodes, edges.withColumn("penwidth", (F.col("weight") - floor) * scale)
+
+
+def keyword_rows(texts: DataFrame, colours: dict[str, str], text: str = "text", background: bool = True, ignore_case: bool = True) -> DataFrame:
+    """Adds ``html``: every keyword in its colour, as background or as letters; one text, a list or a keyed table are rows alike."""
+    c = F.col(text)
+    for word, colour in colours.items():
+        c = highlight(c, [word], f"{'background-color' if background else 'color'}:{colour}", ignore_case)
+    return texts.withColumn("html", c)
+
+
+def local_parts(combined: tuple[DataFrame, DataFrame] | None, ner: tuple[DataFrame, DataFrame] | None, srl: DataFrame | None) -> tuple[str, dict[str, DataFrame]]:
+    """(name, tables) of the local graph to save: the combined one if there is one, else entities, else roles; none is ('', {})."""
+    if combined is not None:
+        return "combined", dict(zip(("edges", "nodes"), combined))
+    if ner is not None:
+        return "ner", dict(zip(("edges", "nodes"), ner))
+    return ("srl", {"edges": srl}) if srl is not None else ("", {})

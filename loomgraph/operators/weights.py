@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,12 +36,12 @@ def degrees(edges: DataFrame) -> DataFrame:
 def weight_threshold(weights: DataFrame, limit: float = 5.0) -> DataFrame:
     """One row (threshold): the largest weight whose jump in cumulative share is over ``limit`` medians, else that of the largest jump.
 
-    Weights are aggregated first: the window runs over distinct weights, not edges.
+    Weights are aggregated first; no window is needed: a jump in the cumulative share is the
+    weight's own share of the mass; the least weight has none before it.
     """
     by = weights.groupBy("weight").agg(F.sum("weight").alias("mass"))
-    w = Window.orderBy("weight")
-    shares = by.withColumn("share", F.sum("mass").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("mass").over(Window.partitionBy()))
-    jumps = shares.withColumn("jump", F.col("share") - F.lag("share").over(w))
+    total = by.agg(F.sum("mass").alias("total"), F.min("weight").alias("first"))
+    jumps = by.join(F.broadcast(total)).where("weight > first").select("weight", (F.col("mass") / F.col("total")).alias("jump"))
     median = jumps.agg(F.median("jump").alias("median"))
     found = jumps.join(F.broadcast(median)).agg(
         F.max(F.when(F.col("jump") / F.col("median") > limit, F.col("weight"))).alias("over"), F.max_by("weight", F.struct("jump", "weight")).alias("widest")

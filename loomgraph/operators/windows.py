@@ -13,22 +13,38 @@ def percentile_of_positive(df: DataFrame, column: str, by: list[str]) -> DataFra
     return df.withColumn("percentile", F.when(positive, F.cume_dist().over(w)).otherwise(0.0))
 
 
+def running(df: DataFrame, order: str, value: str, to: str = "running") -> DataFrame:
+    """Adds ``to``: the sum of ``value`` up to and with a row, by ``order``, whose values are distinct; nulls first.
+
+    Rows are range-partitioned and summed within partitions; a partition begins at the sum
+    of those before, a table of one row a partition.
+    """
+    from loomgraph.functions.scratch import stored
+
+    ordered = stored(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))  # range bounds come from a sample: fix them
+    parts = ordered.groupBy("_part").agg(F.sum(value).alias("_s"))
+    before = parts.withColumn("_before", F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_s")).drop("_s")
+    w = Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return ordered.join(F.broadcast(before), "_part").withColumn(to, F.sum(value).over(w) + F.col("_before")).drop("_part", "_before")
+
+
 def percentile_ranks(df: DataFrame, column: str, to: str, positive_only: bool = False) -> DataFrame:
-    """Adds ``to``: the global percentile rank, ties alike, from counts per distinct value instead of a window over all rows.
+    """Adds ``to``: the global percentile rank, ties alike, from running counts per distinct value instead of a window over all rows.
 
-    The running sum is over distinct values; with ``positive_only`` other values get 0.
+    With ``positive_only`` other values get 0.
     """
     own = df.where(F.col(column) > 0) if positive_only else df
-    counts = own.groupBy(column).agg(F.count("*").alias("_n"))
-    w = Window.orderBy(column)
-    ranks = counts.withColumn(to, F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)) / F.sum("_n").over(Window.partitionBy())).drop("_n")
+    counts = running(own.groupBy(column).agg(F.count("*").alias("_n")), column, "_n", "_up_to")
+    ranks = counts.join(F.broadcast(counts.agg(F.sum("_n").alias("_all")))).select(column, (F.col("_up_to") / F.col("_all")).alias(to))
     return df.join(ranks, column, "left").withColumn(to, F.coalesce(to, F.lit(0.0)))
 
 
 def cumulative(df: DataFrame, weight: str = "weight", mass: str = "mass") -> DataFrame:
     """Adds ``share`` (cumulative, by rising weight) and ``place`` (by falling weight) to rows of distinct weights."""
-    up = Window.orderBy(weight).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("share", F.sum(mass).over(up) / F.sum(mass).over(Window.partitionBy())).withColumn("place", F.row_number().over(Window.orderBy(F.desc(weight))))
+    up = running(running(df.withColumn("_one", F.lit(1)), weight, mass, "_mass"), weight, "_one", "_place")
+    totals = up.agg(F.sum(mass).alias("_all"), F.count("*").alias("_rows"))
+    made = up.join(F.broadcast(totals)).withColumn("share", F.col("_mass") / F.col("_all")).withColumn("place", (F.col("_rows") - F.col("_place") + 1).cast("int"))
+    return made.select(*df.columns, "share", "place")
 
 
 def filled(df: DataFrame, column: str, by: list[str], order: list[str]) -> DataFrame:

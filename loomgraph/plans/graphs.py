@@ -4,21 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import dedup, etl, graphs, weights
+from loomgraph.operators import dedup, etl, graphs, similarity, weights
 from loomgraph.plans.registry import query, table
+from loomgraph.plans.resolution import CHARS, names
 from loomgraph.plans.relational import EDGES_SQL, NODES_SQL, TRADE_SQL, edges, nodes, trade
 
 
 def supply(s, d):
-    """Distinct supplier-part edges of parts under 300."""
-    l = table(s, d, "lineitem").where("l_partkey < 300")
-    return l.select(F.col("l_suppkey").alias("from"), F.col("l_partkey").alias("to")).distinct()
+    """Distinct supplier-part edges."""
+    return table(s, d, "lineitem").select(F.col("l_suppkey").alias("from"), F.col("l_partkey").alias("to")).distinct()
 
 
-_SUPPLY = "(SELECT DISTINCT l_suppkey AS \"from\", l_partkey AS \"to\" FROM lineitem WHERE l_partkey < 300)"
+_SUPPLY = "(SELECT DISTINCT l_suppkey AS \"from\", l_partkey AS \"to\" FROM lineitem)"
 _PROJ = f"(SELECT a.\"from\" AS u, b.\"from\" AS v, count(*) AS weight FROM {_SUPPLY} a JOIN {_SUPPLY} b ON a.\"to\" = b.\"to\" AND a.\"from\" < b.\"from\" GROUP BY 1, 2)"
 
 
+def gatherings(s, d):
+    """Customers and the days on which they ordered at one priority and status: a sparse graph of all orders."""
+    day = F.concat_ws("|", F.to_date("o_orderdate").cast("string"), "o_orderpriority", "o_orderstatus")
+    return table(s, d, "orders").select(F.col("o_custkey").alias("from"), day.alias("to")).distinct()
+
+
+_MET = "(SELECT DISTINCT o_custkey AS c, o_orderdate::DATE AS d, o_orderpriority AS p, o_orderstatus AS s FROM orders)"
+_MEETINGS = f"(SELECT a.c AS u, b.c AS v, count(*) AS weight FROM {_MET} a JOIN {_MET} b ON a.d = b.d AND a.p = b.p AND a.s = b.s AND a.c < b.c GROUP BY 1, 2)"
+
+
 @query(
     "SELECT 'Paper' AS \"nodeType\", count(DISTINCT o_orderkey) AS n, 'nodes' AS part FROM orders UNION ALL SELECT 'Scientist', count(DISTINCT o_custkey), 'nodes' FROM orders "
     "UNION ALL SELECT 'Institution', count(DISTINCT c_nationkey), 'nodes' FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'Location', count(DISTINCT n_regionkey), 'nodes' FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey "
@@ -46,12 +56,23 @@ def gr04_projection(s, d):
 @query(f"SELECT a.s_suppkey AS u, a.s_suppkey + 1 AS v, coalesce(p.weight, 0) AS weight FROM supplier a LEFT JOIN {_PROJ} p ON p.u = a.s_suppkey AND p.v = a.s_suppkey + 1")
 def gr05_one_hop(s, d):
     pairs = table(s, d, "supplier").select(F.col("s_suppkey").alias("u"), (F.col("s_suppkey") + 1).alias("v"))
-    return graphs.one_hop(pairs, graphs.projection(supply(s, d)))
+    return graphs.shared_neighbours(pairs, supply(s, d))
 
 
-@query(f"WITH p AS (SELECT * FROM {_PROJ} WHERE weight > 3), w AS (SELECT u, v, weight FROM p UNION ALL SELECT v, u, weight FROM p) SELECT a.u, b.v, sum(a.weight + b.weight)::BIGINT AS score FROM w a JOIN w b ON a.v = b.u WHERE a.u < b.v AND NOT EXISTS (SELECT 1 FROM p WHERE p.u = a.u AND p.v = b.v) GROUP BY 1, 2")
+@query(
+    f"WITH p AS {_MEETINGS}, w AS (SELECT u, v, weight FROM p UNION ALL SELECT v, u, weight FROM p) SELECT a.u, b.v, sum(a.weight + b.weight)::BIGINT AS score FROM w a JOIN w b ON a.v = b.u WHERE a.u < b.v AND NOT EXISTS (SELECT 1 FROM p WHERE p.u = a.u AND p.v = b.v) GROUP BY 1, 2"
+)
 def gr06_jn17_two_hop(s, d):
-    return graphs.two_hop(graphs.projection(supply(s, d)).where("weight > 3"))
+    return graphs.two_hop(graphs.projection(gatherings(s, d)))
+
+
+@query(
+    f"WITH p AS {_MEETINGS}, w AS (SELECT u, v, weight FROM p UNION ALL SELECT v, u, weight FROM p), far AS (SELECT a.u, b.v, sum(a.weight + b.weight)::BIGINT AS weight FROM w a JOIN w b ON a.v = b.u WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.u = a.u AND w.v = b.v) GROUP BY 1, 2) "
+    "SELECT c_custkey AS u, c_custkey + 1 AS v, coalesce(weight, 0) AS weight FROM customer LEFT JOIN far ON far.u = c_custkey AND far.v = c_custkey + 1"
+)
+def gr06_two_steps(s, d):
+    """The two-step weight of given pairs, without the projection."""
+    return graphs.two_steps(table(s, d, "customer").select(F.col("c_custkey").alias("u"), (F.col("c_custkey") + 1).alias("v")), gatherings(s, d))
 
 
 _BRANDS = "(SELECT DISTINCT l_orderkey AS \"from\", p_brand AS \"to\" FROM lineitem JOIN part ON l_partkey = p_partkey)"
@@ -90,23 +111,19 @@ def gr09_communities(s, d):
     return graphs.communities(g.select(F.col("a").alias("from"), F.col("b").alias("to"), F.col("similarity").alias("weight")))
 
 
-@query("SELECT a.c_custkey AS \"from\", b.c_custkey AS \"to\", 'Colleague' AS \"edgeType\", 1::BIGINT AS weight FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey WHERE a.c_custkey < 200 AND b.c_custkey < 200")
+@query("SELECT a.c_custkey AS \"from\", b.c_custkey AS \"to\", 'Colleague' AS \"edgeType\", 1::BIGINT AS weight FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey")
 def gr10_indirect_edges(s, d):
-    e = table(s, d, "customer").where("c_custkey < 200").select(F.col("c_custkey").alias("from"), F.col("c_nationkey").alias("to"), F.lit("Belongs To").alias("edgeType"))
+    e = table(s, d, "customer").select(F.col("c_custkey").alias("from"), F.col("c_nationkey").alias("to"), F.lit("Belongs To").alias("edgeType"))
     return graphs.indirect_edges(e, "Belongs To", "Colleague")
 
 
-def coref(s, d):
-    """Links between documents whose numbers differ by 7 in one source of every other ten."""
-    return table(s, d, "documents").where("doc_id % 20 < 10").select(F.col("doc_id").alias("from"), (F.col("doc_id") + 20).alias("to")).where("to % 20 < 10 AND to % 60 >= 20")
-
-
 @query(
-    "WITH RECURSIVE e AS (SELECT doc_id AS a, doc_id + 20 AS b FROM documents WHERE doc_id % 20 < 10 AND (doc_id + 20) % 20 < 10 AND (doc_id + 20) % 60 >= 20), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), "
-    "r(node, label) AS (SELECT a, a FROM u UNION SELECT u.b, r.label FROM r JOIN u ON u.a = r.node) SELECT node, min(label) AS component FROM r GROUP BY 1"
+    f"WITH RECURSIVE {CHARS.replace('> 0.8', '> 0.9')}, u AS (SELECT a, b FROM cand UNION ALL SELECT b, a FROM cand), r(node, label) AS (SELECT a, a FROM u UNION SELECT u.b, r.label FROM r JOIN u ON u.a = r.node) SELECT node, min(label) AS component FROM r GROUP BY 1"
 )
 def gr11_components(s, d):
-    return graphs.connected_components(coref(s, d))
+    """Names that are linked by alike characters, directly or over others."""
+    pairs = similarity.candidate_pairs(names(s, d), "id", "name", 0.9)
+    return graphs.connected_components(pairs.select(F.col("a").alias("from"), F.col("b").alias("to")))
 
 
 @query()

@@ -20,7 +20,7 @@ def addresses(s: SparkSession, d: str) -> DataFrame:
     return c.select("c_custkey", F.concat("c_name", F.lit(", "), "n_name", F.lit(", "), "r_name", tail).alias("address"))
 
 
-@query("SELECT doc_id, md5(lower(regexp_replace(regexp_replace(text, '[‐‑‒–—―−]', '-', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))) AS h FROM documents")
+@query("SELECT doc_id, md5(lower(regexp_replace(regexp_replace(text, '[‐᠆﹣－⁃−]+', '-', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))) AS h FROM documents")
 def str01_clean_entity(s, d):
     return table(s, d, "documents").select("doc_id", F.md5(text.clean_entity(F.col("text"))).alias("h"))
 

@@ -216,13 +216,10 @@ def top02_top04_topics(s, d):
 
 @query(
     "WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), u AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS e FROM v), "
-    "p AS (SELECT a.label = b.label AS same, pow(list_distance(a.e, b.e), 2) AS d2 FROM u a JOIN u b ON b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 5) SELECT round(avg(d2) FILTER (same), 6) AS alignment, round(ln(avg(exp(-2 * d2)) FILTER (NOT same)), 6) AS uniformity FROM p"
+    "p AS (SELECT a.label = b.label AS same, 2 - 2 * list_dot_product(a.e, b.e) AS d2 FROM u a JOIN u b ON b.vec_id > a.vec_id) SELECT round(avg(d2) FILTER (same), 6) AS alignment, round(ln(avg(exp(-2 * d2)) FILTER (NOT same)), 6) AS uniformity FROM p"
 )
 def agg26_rep04_alignment_uniformity(s, d):
-    e = table(s, d, "embeddings").select("vec_id", "label")
-    b = e.select(F.explode(F.sequence(F.col("vec_id") - 5, F.col("vec_id") - 1)).alias("a"), F.col("vec_id").alias("b"), F.col("label").alias("lb"))
-    pairs = b.join(e.select(F.col("vec_id").alias("a"), F.col("label").alias("la")), "a").select("a", "b", (F.col("la") == F.col("lb")).alias("same"))
-    r = representation.alignment_uniformity(pairs, table(s, d, "embeddings"))
+    r = representation.label_alignment_uniformity(table(s, d, "embeddings"))
     return r.select(F.round("alignment", 6).alias("alignment"), F.round("uniformity", 6).alias("uniformity"))
 
 

@@ -28,12 +28,12 @@ def src11_json_array(s, d):
     return s.read.schema("id int, name string").option("multiLine", True).json(path)
 
 
-@query("SELECT doc_id, 'T' || doc_id AS title FROM documents WHERE doc_id < 20")
+@query("SELECT doc_id, 'T' || doc_id AS title FROM documents")
 def src13_src14_snk10_papers(s, d):
     """XML papers on disk, found by a pattern, parsed, and written as one JSON record each."""
     path = _roundtrip(s, "tei")
     x = F.concat(F.lit("<TEI><teiHeader><fileDesc><titleStmt><title>T"), F.col("doc_id").cast("string"), F.lit("</title></titleStmt></fileDesc></teiHeader></TEI>"))
-    table(s, d, "documents").where("doc_id < 20").select(F.col("doc_id").cast("string").alias("k"), x.alias("value")).repartition(20, "k").write.partitionBy("k").text(path)
+    table(s, d, "documents").select(F.col("doc_id").cast("string").alias("k"), x.alias("value")).repartition(8, "k").write.partitionBy("k").text(path)
     out = _roundtrip(s, "papers")
     readers.read_tei(s, f"{path}/*/*.txt").select("path", "title").write.json(out)
     return s.read.schema("path string, title string").json(out).select(F.regexp_extract("path", "k=([0-9]+)", 1).cast("long").alias("doc_id"), "title")

@@ -13,10 +13,34 @@ def without_empty_columns(df: DataFrame) -> DataFrame:
 
 
 def save_by_type(df: DataFrame, folder: str, type_column: str = "nodeType", mode: str = "overwrite") -> None:
-    """JSON lines in one folder a type; null fields are left out."""
+    """JSON lines in one folder a type; null fields are left out, so a column that is null for all of a type is not in its files."""
     df.repartition(F.col(type_column), F.spark_partition_id() % 8).write.mode(mode).option("ignoreNullFields", True).partitionBy(type_column).json(folder)
 
 
+def save_local_graph(name: str, folder: str, combined=None, ner=None, srl=None) -> str:
+    """JSON lines of a document's graph under ``{folder}/{name}_local_graph_{kind}_{edges,nodes}``; gives the kind that was saved."""
+    from loomgraph.operators.views import local_parts
+
+    kind, tables = local_parts(combined, ner, srl)
+    for part, df in tables.items():
+        df.write.mode("overwrite").option("ignoreNullFields", True).json(f"{folder}/{name}_local_graph_{kind}_{part}")
+    return kind
+
+
+def save_topics(documents: DataFrame, shares: DataFrame, terms: DataFrame, folder: str, model=None) -> None:
+    """Topic results: ``document_topics`` (documents with one column a topic) and ``topic_terms`` by topic as CSV, and the model.
+
+    ``shares(key, topic, p)`` and ``terms(topic, term, weight)``; the number of topics is a parameter of the model, so the pivot is narrow.
+    """
+    numbers = [r.topic for r in shares.select("topic").distinct().orderBy("topic").collect()]  # one row a topic
+    wide = shares.groupBy("key").pivot("topic", numbers).agg(F.first("p"))
+    key = documents.columns[0]
+    documents.join(wide.withColumnRenamed("key", key), key, "left").write.mode("overwrite").csv(f"{folder}/document_topics", header=True, escape='"')
+    terms.repartition("topic").sortWithinPartitions("topic", F.desc("weight"), "term").write.mode("overwrite").partitionBy("topic").csv(f"{folder}/topic_terms", header=True, escape='"')
+    if model is not None:
+        model.write().overwrite().save(f"{folder}/topic_model")
+
+
 def save_graph(nodes: DataFrame, edges: DataFrame, folder: str, mode: str = "overwrite") -> None:
     save_by_type(nodes, f"{folder}/nodes", "nodeType", mode)
     save_by_type(edges, f"{folder}/edges", "edgeType", mode)
