@@ -1,10 +1,12 @@
 """BPE by dynamic programming over prefixes: exact ids, exact counts, and decoding.
 
 For a word and every prefix of it there is exactly one token that can end the prefix's
-encoding. An automaton over the vocabulary lists the tokens that end at each position; a
-token is the right one if it is compatible with the last token of the prefix before it,
-that is, if merging would leave the two side by side. Following the stored tokens back
-from the end gives the ids; counting the steps gives a count for every prefix.
+encoding. An Aho-Corasick automaton over the vocabulary lists the tokens that end at each
+position (what a suffix automaton of the vocabulary would list, in one pass over the
+word); a token is the right one if it is compatible with the last token of the prefix
+before it, that is, if merging would leave the two side by side. Following the stored
+tokens back from the end gives the ids; each prefix also stores its count, one more than
+that of the prefix that its last token leaves.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import functools
 import hashlib
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loomgraph.llm.common import begin, row_function, text_column
-from loomgraph.llm.vocab import Words, byte_alphabet, default_path
+from loomgraph.llm.vocab import Words, byte_alphabet, default_path, is_plain
 
 #: Entries of the table of pairs whose compatibility is known.
 PAIR_ENTRIES = 400_000
@@ -130,13 +133,13 @@ class PrefixBPE:
                 final[i], total[i] = closing, count[at] + 1
         return last, count, final, total
 
-    def back(self, mapped: str) -> tuple[list[int], int]:
-        """The last inner token of every proper prefix, and the token that ends the word.
+    def back(self, mapped: str) -> tuple[list[int], list[int], int, int]:
+        """The last inner token and the count of every proper prefix, the token that ends the word, and the word's count.
 
         The table without the entries for words that end at an earlier prefix.
         """
         n = len(mapped)
-        last, ends = [-1] * (n + 1), []
+        last, count, ends = [-1] * (n + 1), [0] * (n + 1), []
         known, compatible = self.known, self.compatible
         for end, (size, inner, closing) in self.automaton.iter(mapped):
             i = end + 1
@@ -149,16 +152,16 @@ class PrefixBPE:
                     before = last[at]
                     if before < 0 or not (known[k] if (k := before << 32 | inner) in known else compatible(before, inner)):
                         continue
-                last[i] = inner
+                last[i], count[i] = inner, count[at] + 1
         for at, closing in ends:
             if not at or (last[at] >= 0 and compatible(last[at], closing)):
-                return last, closing
+                return last, count, closing, count[at] + 1
         raise ValueError(f"no encoding of {mapped!r}")
 
     def ids(self, word: str) -> list[int]:
         """The word's ids, read along the back-pointers."""
         mapped = self.mapped(word)
-        last, closing = self.back(mapped)
+        last, _, closing, _ = self.back(mapped)
         out, at = [closing], len(mapped) - self.size[closing]
         while at > 0:
             out.append(last[at])
@@ -166,8 +169,8 @@ class PrefixBPE:
         return out[::-1]
 
     def count(self, word: str) -> int:
-        """The token count of the whole word."""
-        return len(self.ids(word))
+        """The token count of the whole word: one more than that of the prefix before its last token."""
+        return self.back(self.mapped(word))[3]
 
     def prefix_counts(self, word: str) -> list[int]:
         """The exact token count of every prefix of the word, by code points, from 1 on."""
@@ -253,6 +256,18 @@ def _summed(counts: bytes) -> bytes:
     return counts if len(counts) == 4 else int(np.frombuffer(counts, dtype="<u4").sum()).to_bytes(4, "little")
 
 
+#: Chunks as the tokenizer splits them: between white space, which U+001C to U+001F are not.
+_CHUNKS = re.compile(r"[\S\x1c-\x1f]+")
+
+
+@functools.lru_cache(maxsize=1)
+def _joining() -> frozenset[str]:
+    """Characters that normalising may join with the one before: combining marks apart, the second halves of canonical compositions."""
+    halves = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000) if not 0xAC00 <= c < 0xD7A4)
+    second = {chr(int(h[1], 16)) for h in halves if len(h) == 2 and not h[0].startswith("<")}
+    return frozenset(second | {chr(c) for c in (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))})  # and Hangul vowels and finals
+
+
 class PrefixCounts:
     """Token counts at every prefix of a text, from the per-prefix tables of its words.
 
@@ -263,6 +278,8 @@ class PrefixCounts:
 
     def __init__(self, path: str):
         self.bpe = prefix_bpe(path)
+        #: Characters that a token can stand for: its letters, of which normalising may join four to one.
+        self.reach = 4 * max(self.bpe.size.values())
         self.words = Words(path, lambda w: self.bpe.count(w).to_bytes(4, "little"), lambda i: (1).to_bytes(4, "little"), _summed)
 
     def counts(self, word: str) -> list[int]:
@@ -271,12 +288,8 @@ class PrefixCounts:
             return [1, 2, self.bpe.prefix_counts(word)[-1]]
         return self.bpe.prefix_counts(word)
 
-    def per_chunk(self, text: str) -> np.ndarray:
-        """Counts of the white-space-separated chunks."""
-        return np.frombuffer(self.words(text), dtype="<u4")
-
     def total(self, text: str) -> int:
-        return int(self.per_chunk(text).sum())
+        return int(np.frombuffer(self.words(text), dtype="<u4").sum())
 
     def _spans(self, text: str) -> Iterator[tuple[int, str]]:
         """Start in the normalised text, and word."""
@@ -299,22 +312,59 @@ class PrefixCounts:
         out[0] = 0
         return out
 
+    def _borders(self, chunk: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places in a chunk where normalising joins nothing, and the same places in the normalised chunk."""
+        same = np.arange(len(chunk) + 1)
+        if is_plain(chunk):
+            return same, same
+        joined = _joining()
+        starts = [i for i, c in enumerate(chunk) if not i or not (unicodedata.combining(c) or c in joined)]
+        mark = next(chr(i) for i in range(1, 9) if chr(i) not in chunk) if any(chr(i) not in chunk for i in range(1, 9)) else "\0"
+        pieces = [chunk[a:b] for a, b in zip(starts, [*starts[1:], len(chunk)])]
+        normal = self.words.t.normalizer.normalize_str(mark.join(pieces)).split(mark)
+        if len(normal) != len(pieces) or "".join(normal) != self.words.t.normalizer.normalize_str(chunk):
+            return same[:1], same[:1]  # the library joins what this Python's tables do not: no place inside is sure
+        return np.array([*starts, len(chunk)]), np.concatenate([[0], np.cumsum([len(x) for x in normal])])
+
+    def _within(self, chunk: str, budget: int) -> int:
+        """Code points of the longest prefix of a chunk, at a border, that has at most ``budget`` tokens."""
+        chunk = chunk[: self.reach * (budget + 1) + 64]  # what lies beyond is over the budget
+        raw, normal = self._borders(chunk)
+        return int(raw[np.flatnonzero(self.at_prefixes(chunk)[normal] <= budget)[-1]])
+
+    def _chunk_count(self, chunk: str) -> int:
+        w = self.words
+        if any(c in chunk for c in "\x1c\x1d\x1e\x1f"):
+            return w.split_sum(chunk)
+        return int.from_bytes(w.chunk(chunk), "little")
+
     def longest_within(self, text: str, budget: int) -> int:
-        """Code points of the longest prefix of a text without special strings that has at most ``budget`` tokens.
+        """Code points of the longest prefix of a text that has at most ``budget`` tokens.
 
-        Sums over chunks find the chunk where the budget ends; only its prefixes are looked at.
+        A prefix does not end between characters that normalising joins (a letter and its
+        accent). Counts of chunks, and one for a special string, are taken off the budget
+        until it ends; only the chunk where it ends is looked at by prefixes. A special
+        string cut short is plain text, and may go on from the chunk before it.
         """
-        sums = np.concatenate([[0], np.cumsum(self.per_chunk(text), dtype=np.int64)])
-        k = int(np.searchsorted(sums, budget, side="right")) - 1
-        if k == len(sums) - 1:
-            return len(text)
-        left = budget - int(sums[k])
-        c = text.split(None, k + 1)[k]
-        counts = self.at_prefixes(c)
-        if len(counts) != len(c) + 1:  # normalising changes its length: take its prefixes one by one
-            counts = np.array([self.total(c[:j]) for j in range(len(c) + 1)])
-        start = len(text) - len(text.split(None, k)[k]) if k else len(text) - len(text.lstrip())
-        return start + int(np.flatnonzero(counts <= left)[-1])
+        left, at = budget, 0
+        marks = self.words.mark_pattern.finditer(text) if self.words.mark_pattern else iter(())
+        for m in (*marks, None):
+            stop = m.start() if m else len(text)
+            chunk, before = None, left
+            for chunk in _CHUNKS.finditer(text, at, stop):
+                before, far = left, chunk.end() - chunk.start() > self.reach * (left + 1)
+                n = left + 1 if far else self._chunk_count(chunk[0])
+                if n > left:
+                    touching = chunk.end() == stop and m
+                    return chunk.start() + self._within(chunk[0] + (m[0][:-1] if touching else ""), left)
+                left -= n
+            if m is None:
+                break
+            if not left:
+                start = chunk.start() if chunk and chunk.end() == stop else stop
+                return start + self._within(text[start:stop] + m[0][:-1], before if start < stop else 0)
+            left, at = left - 1, m.end()
+        return len(text)
 
 
 def prefix_counter(path: str) -> PrefixCounts:
@@ -331,8 +381,8 @@ def count_tokens(df: DataFrame, limit: int = 2048, tokenizer: str | None = None,
     """(key, n_bytes, n_tokens, over_limit, fits_chars) of every whole text; null counts as empty.
 
     ``fits_chars`` is the length in code points of the longest prefix of the text within
-    ``limit`` tokens, for texts over it; null for those that fit or that hold special strings
-    or separators U+001C to U+001F. No shuffle; one row in, one row out.
+    ``limit`` tokens (see ``PrefixCounts.longest_within``), the whole length for texts that
+    fit. No shuffle; one row in, one row out.
     """
     path = tokenizer or default_path()
     schema = pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("fits_chars", pa.int64())])
@@ -341,13 +391,12 @@ def count_tokens(df: DataFrame, limit: int = 2048, tokenizer: str | None = None,
         c = prefix_counter(path)
         texts = text_column(batch)
         n = [c.total(t) for t in texts]
-        special = re.compile(c.words.mark_pattern.pattern + "|[\x1c-\x1f]")
         return {
             "key": batch.column("key"),
             "n_bytes": [len(t.encode("utf-8")) for t in texts],
             "n_tokens": n,
             "over_limit": [x > limit for x in n],
-            "fits_chars": [c.longest_within(t, limit) if x > limit and not special.search(t) else None for t, x in zip(texts, n)],
+            "fits_chars": [c.longest_within(t, limit) if x > limit else len(t) for t, x in zip(texts, n)],
         }
 
     out = df.select(df[key].cast("long").alias("key"), df[text].alias("text")).mapInArrow(

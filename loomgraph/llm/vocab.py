@@ -29,6 +29,11 @@ _PLAIN = re.compile("[\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0
 _WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
+def is_plain(text: str) -> bool:
+    """Whether normalising only lowers case, a character for a character."""
+    return bool(_PLAIN.fullmatch(text))
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -93,6 +98,10 @@ class Words:
             return _WORDS.findall(text.lower())
         return [w for w, _ in self.t.pre_tokenizer.pre_tokenize_str(self.t.normalizer.normalize_str(text))]
 
+    def split_sum(self, text: str) -> int:
+        """The sum of little-endian values of the words of a text that only the library splits."""
+        return sum(int.from_bytes(self.word(_unmapped(w)), "little") for w in self.split(text))
+
     def chunk(self, c: str) -> bytes:
         v = self.chunks.get(c)
         if v is not None:

@@ -41,6 +41,45 @@ def test_prefix_counts(tokenizer):
         assert counter.longest_within(s, budget) == max(j for j, c in enumerate(n) if c <= budget)
 
 
+def test_longest_within(tokenizer):
+    """As the library's counts of all prefixes, for accents, letters that grow in lower case, separators and special strings."""
+    import unicodedata
+
+    counter, rnd = bpe_dp.prefix_counter(default_path()), random.Random(7)
+    count = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+    parts = [*"aAbéZ'sİ\u0308\u0301\u0327e\x1c\x85-_.,!#한\u1100\u1161\u11a8\n  ", "'ll", "'re", "<|endoftext|>", "<|endof", "<", "the", "ing"]
+    for _ in range(400):
+        s = "".join(rnd.choice(parts) for _ in range(rnd.randrange(1, 18)))
+
+        def border(j):
+            """Not between characters that are composed, nor before a mark."""
+            return j in (0, len(s)) or s[:j].endswith("<|endoftext|>") or s[j - 1] in "\n \x85" or (not unicodedata.combining(s[j]) and unicodedata.normalize("NFC", s[j - 1] + s[j]) == unicodedata.normalize("NFC", s[j - 1]) + unicodedata.normalize("NFC", s[j])) and s[j] not in "\u1161\u11a8"
+
+        n = [count(s[:j]) for j in range(len(s) + 1)]
+        for budget in range(n[-1] + 1):
+            got = counter.longest_within(s, budget)
+            assert got == max((j for j, c in enumerate(n) if c <= budget and (border(j) or inside(s, j)))), (s, budget)
+    for t in ("İ" + "abc" * 2000, "e\u0301x" * 2000):
+        at = counter.longest_within(t, 100)
+        assert count(t[:at]) <= 100 < min(count(t[:j]) for j in range(at + 2, at + 12))
+
+
+def inside(s, j):
+    """A place in a special string, where a cut leaves plain text."""
+    return any(m < j < m + 13 for m in range(len(s)) if s.startswith("<|endoftext|>", m))
+
+
+def test_long_text_without_spaces():
+    import time
+
+    counter = bpe_dp.prefix_counter(default_path())
+    text = "abcdefghij" * 100_000
+    began = time.process_time()
+    at = counter.longest_within(text, 2048)
+    assert 2048 <= at < len(text) and time.process_time() - began < 20
+    assert counter.total(text[:at]) <= 2048 < counter.total(text[: at + 12])
+
+
 def test_encode_decode(docs, empty, tokenizer):
     got = Counter((r.doc_id, tuple(r.ids), r.decoded) for r in bpe_dp.encode_decode(docs).collect())
     want = Counter()
@@ -58,6 +97,7 @@ def test_count_tokens(docs, empty, tokenizer):
     assert Counter((r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in rows) == Counter((i, len((t or "").encode()), n, n > 100) for i, t in TEXTS for n in [len(tokenizer.encode(t or "", add_special_tokens=False).ids)])
     at = next(r.fits_chars for r in rows if r.doc_id == 7)
     assert len(tokenizer.encode(TEXTS[7][1][:at], add_special_tokens=False).ids) <= 100 < len(tokenizer.encode(TEXTS[7][1][: at + 1], add_special_tokens=False).ids)
+    assert all(r.fits_chars == len(t or "") for r in rows if not r.over_limit for t in [dict(TEXTS)[r.doc_id]])
     assert bpe_dp.count_tokens(empty).count() == 0
 
 
