@@ -43,7 +43,7 @@ ORDERS = 4
 #: Rows up to which a table of pairs may be broadcast (16 to 40 bytes each); beyond, texts are shuffled to it.
 BROADCAST_ROWS = 500_000
 #: Partners checked against one copy of a hub's set.
-PER_HUB = 512
+PER_HUB = 128
 #: Documents of a block whose registers are compared (340 bytes each).
 SKETCH_BLOCK = 512
 #: Candidates a document from which a block gives out a forest in place of pairs.
