@@ -31,8 +31,10 @@ from loomgraph.llm.common import Scratch, connected_components, mix64, partition
 BLOCK, GRID = 8, 6
 #: Width of a cell in block ranges.
 WIDTH = 4.0
-#: Vectors of a tile; hits of a batch between two tiles from which their pair stands for them.
-TILE, DENSE = 128, 64
+#: Vectors of a tile; hits of a slice between two tiles from which their pair stands for them.
+TILE, DENSE = 512, 512
+#: Probes compared with a cell at a time.
+SLICE = 1024
 #: Vectors at home in a cell that one task holds at a time.
 CELL_ROWS = 4096
 #: Allowance for rounding in the candidate search; the check itself has none.
@@ -60,37 +62,43 @@ def _binary(a: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(np.arange(len(a) + 1, dtype=np.int32) * width), pa.py_buffer(a)])
 
 
-def _by_dimension(vectors: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, matrix of float64) for each dimension among float32 vectors."""
-    sizes = np.array([len(v) // 4 for v in vectors])
+def _by_dimension(vectors: list[bytes], kind: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, matrix of float64) for each dimension among vectors of one kind of numbers."""
+    sizes = np.array([len(v) for v in vectors]) // np.dtype(kind).itemsize
     for d in np.unique(sizes):
         at = np.flatnonzero(sizes == d)
-        yield at, np.frombuffer(b"".join([vectors[i] for i in at]), dtype="<f4").reshape(len(at), d).astype(np.float64)
+        yield at, np.frombuffer(b"".join([vectors[i] for i in at]), dtype=kind).reshape(len(at), d).astype(np.float64)
+
+
+def kind_of(df: DataFrame, embedding: str) -> tuple[str, str]:
+    """(numpy kind, Spark type) in which vectors are held: doubles stay doubles, all else is float."""
+    wide = df.schema[embedding].dataType.elementType.typeName() == "double"
+    return ("<f8", "double") if wide else ("<f4", "float")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def nodes_of(df: DataFrame, key: str, embedding: str, label: str) -> DataFrame:
-    """(node, label, copies, vector): distinct vectors with a label, their least id and how often they occur."""
-    v = F.transform(F.col(embedding), lambda x: x.cast("float"))
+def nodes_of(df: DataFrame, key: str, embedding: str, label: str, number: str) -> DataFrame:
+    """(node, least, label, copies, vector): distinct vectors with a label, a number of their own, their least id and how often they occur."""
+    v = F.transform(F.col(embedding), lambda x: x.cast(number))
     finite = F.size(v) > 0
     finite &= ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = df.where(F.col(label).isNotNull() & F.col(embedding).isNotNull() & F.col(key).isNotNull() & F.coalesce(finite, F.lit(False)))
-    return rows.groupBy(F.col(label).alias("label"), v.alias("vector")).agg(F.min(F.col(key).cast("long")).alias("node"), F.count("*").alias("copies"))
+    return rows.groupBy(F.col(label).alias("label"), v.alias("vector")).agg(F.min(F.col(key).cast("long")).alias("least"), F.count("*").alias("copies")).withColumn("node", F.xxhash64("label", "vector"))
 
 
-def tiled(nodes: DataFrame) -> DataFrame:
+def tiled(nodes: DataFrame, kind: str) -> DataFrame:
     """(tile, node, label, copies, vector): close vectors of a label stand in one tile."""
     spark = nodes.sparkSession
     coded = pa.schema([("node", pa.int64()), ("label", pa.int64()), ("copies", pa.int64()), ("place", pa.int64()), ("vector", pa.binary())])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [np.array(v, dtype="<f4").tobytes() for v in batch.column("vector").to_pylist()]
+            raw = [np.array(v, dtype=kind).tobytes() for v in batch.column("vector").to_pylist()]
             place = np.zeros(len(raw), dtype=np.int64)
-            for at, x in _by_dimension(raw):
+            for at, x in _by_dimension(raw, kind):
                 y = _unit(x) @ rotation(x.shape[1])[:, :6]
                 # Signs and sizes of the first coordinates: neighbours mostly share them.
                 cells = np.clip(np.floor(y * math.sqrt(x.shape[1]) * 1.5) + 8, 0, 15).astype(np.int64)
@@ -111,14 +119,14 @@ def tiled(nodes: DataFrame) -> DataFrame:
     return ordered.mapInArrow(number, "tile long, node long, label long, copies long, place long, vector binary").drop("place")
 
 
-def block_rows(nodes: DataFrame, budget: float) -> DataFrame:
+def block_rows(nodes: DataFrame, budget: float, kind: str) -> DataFrame:
     """(cell, home, tile, node, block) for every block and every cell within range of a vector."""
     schema = pa.schema([("cell", pa.int64()), ("home", pa.bool_()), ("tile", pa.int64()), ("node", pa.int64()), ("block", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tile, node, label = (batch.column(n).to_numpy() for n in ("tile", "node", "label"))
-            for at, x in _by_dimension(batch.column("vector").to_pylist()):
+            for at, x in _by_dimension(batch.column("vector").to_pylist(), kind):
                 d = x.shape[1]
                 y = _unit(x) @ rotation(d)
                 for number, (a, b) in enumerate(blocks(d)):
@@ -161,7 +169,7 @@ def block_hits(rows: DataFrame, budget: float, d: int) -> DataFrame:
             blocks_ = batch.column("block").to_pylist()
             width = np.array(list(map(len, blocks_)))
             edges = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | (width[1:] != width[:-1])]))
-            found = []
+            found: list[tuple[np.ndarray, ...]] = []
             for s, e in zip(edges.tolist(), [*edges[1:].tolist(), batch.num_rows]):
                 if group != (cell[s], part[s], width[s]):
                     group, homes = (cell[s], part[s], width[s]), []
@@ -173,15 +181,14 @@ def block_hits(rows: DataFrame, budget: float, d: int) -> DataFrame:
                     continue
                 hx, hn, ht = homes[0] if len(homes) == 1 else (np.concatenate(z) for z in zip(*homes))
                 limit = budget * (width[s] // 4) / d + EPS
-                for at in range(0, e - s, 1024):
-                    p = x[at : at + 1024]
-                    near = (p * p).sum(1)[:, None] + (hx * hx).sum(1)[None, :] - 2 * (p @ hx.T) <= limit
-                    near &= node[s + at : s + at + len(p)][:, None] != hn[None, :]
-                    i, j = np.nonzero(near)
-                    if len(i):
-                        found.append((tile[s + at + i], ht[j], node[s + at + i], hn[j]))
+                for at in range(s, e, SLICE):
+                    to = min(e, at + SLICE)
+                    found += _slice_hits(x[at - s : to - s], node[at:to], tile[at:to], hx, hn, ht, limit)
+                    if sum(len(f[0]) for f in found) >= 200_000:
+                        yield _condensed(found, schema)
+                        found = []
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _condensed(*(np.concatenate(z) for z in zip(*found)))], schema=schema)
+                yield _condensed(found, schema)
 
     counts = rows.where("home").groupBy("cell").agg(F.ceil(F.count("*") / CELL_ROWS).cast("int").alias("parts"))
     # Cells where nothing is at home fall out here; most cells have one part.
@@ -193,23 +200,35 @@ def block_hits(rows: DataFrame, budget: float, d: int) -> DataFrame:
     return ready.repartition(partitions(spark), "cell", "part").sortWithinPartitions("cell", "part", F.desc("home")).mapInArrow(run, "tile_a long, tile_b long, a long, b long")
 
 
-def _condensed(ta: np.ndarray, tb: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[pa.Array, ...]:
-    """Hits with a before b, once each; pairs of tiles with many hits as one row."""
-    flip = a > b
-    ta, tb, a, b = np.where(flip, tb, ta), np.where(flip, ta, tb), np.where(flip, b, a), np.where(flip, a, b)
-    order = np.lexsort((b, a, np.maximum(ta, tb), np.minimum(ta, tb)))
-    ta, tb, a, b = ta[order], tb[order], a[order], b[order]
-    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-    ta, tb, a, b = ta[new], tb[new], a[new], b[new]
-    low, high = np.minimum(ta, tb), np.maximum(ta, tb)
-    starts = np.flatnonzero(np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])]))
-    sizes = np.diff([*starts, len(a)])
-    many = np.repeat(sizes >= DENSE, sizes)
-    keep = ~many
-    keep[starts] = True
-    at = np.flatnonzero(keep)
-    gone = many[at]
-    return pa.array(low[at]), pa.array(high[at]), pa.array(a[at], mask=gone), pa.array(b[at], mask=gone)
+def _slice_hits(x: np.ndarray, n: np.ndarray, t: np.ndarray, hx: np.ndarray, hn: np.ndarray, ht: np.ndarray, limit: float) -> list[tuple[np.ndarray, ...]]:
+    """(tile_a, tile_b, a, b) of probes and vectors at home within range; -1 for both where two tiles have DENSE hits or more.
+
+    Such hits are summed as a matrix and never listed.
+    """
+    if len(hn) * len(n) > DENSE:
+        order, own = np.argsort(ht, kind="stable"), np.argsort(t, kind="stable")
+        hx, hn, ht, x, n, t = hx[order], hn[order], ht[order], x[own], n[own], t[own]
+    near = (x * x).sum(1)[:, None] + (hx * hx).sum(1)[None, :] - 2 * (x @ hx.T) <= limit
+    near &= n[:, None] != hn[None, :]
+    out = []
+    if np.count_nonzero(near) >= DENSE:
+        rows, cols = np.flatnonzero(np.diff(t, prepend=t[0] - 1)), np.flatnonzero(np.diff(ht, prepend=ht[0] - 1))
+        many = np.add.reduceat(np.add.reduceat(near, cols, axis=1, dtype=np.int32), rows, axis=0) >= DENSE
+        if many.any():
+            i, j = np.nonzero(many)
+            none = np.full(len(i), -1, dtype=np.int64)
+            out.append((t[rows[i]], ht[cols[j]], none, none))
+            near &= ~np.repeat(np.repeat(many, np.diff([*rows, len(t)]), axis=0), np.diff([*cols, len(ht)]), axis=1)
+    i, j = np.nonzero(near)
+    return [*out, (t[i], ht[j], n[i], hn[j])] if len(i) else out
+
+
+def _condensed(found: list[tuple[np.ndarray, ...]], schema: pa.Schema) -> pa.RecordBatch:
+    """Hits with a before b, the lesser tile first, once each; a and b are null for whole pairs of tiles."""
+    ta, tb, a, b = (np.concatenate(z) for z in zip(*found))
+    rows = np.unique(np.stack([np.minimum(ta, tb), np.maximum(ta, tb), np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    whole = rows[:, 2] < 0
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2], mask=whole), pa.array(rows[:, 3], mask=whole)], schema=schema)
 
 
 def _checked(x: np.ndarray, y: np.ndarray, cosine: float) -> np.ndarray:
@@ -217,7 +236,7 @@ def _checked(x: np.ndarray, y: np.ndarray, cosine: float) -> np.ndarray:
     return (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]) >= cosine
 
 
-def sparse_links(pairs: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
+def sparse_links(pairs: DataFrame, nodes: DataFrame, cosine: float, kind: str) -> DataFrame:
     """(node, links, other) twice for every pair that holds: the number of rows linked, and the other end."""
     schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
 
@@ -226,11 +245,11 @@ def sparse_links(pairs: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame
             va, vb = batch.column("v_a").to_pylist(), batch.column("v_b").to_pylist()
             x_ok = np.zeros(len(va), dtype=bool)
             same = np.array([len(p) == len(q) for p, q in zip(va, vb)], dtype=bool) & (batch.column("l_a").to_numpy() == batch.column("l_b").to_numpy())
-            for at, x in _by_dimension(va):
+            for at, x in _by_dimension(va, kind):
                 at_same = same[at]
                 own = at[at_same]
                 if len(own):
-                    x, y = x[at_same], np.frombuffer(b"".join([vb[i] for i in own]), dtype="<f4").reshape(len(own), -1).astype(np.float64)
+                    x, y = x[at_same], np.frombuffer(b"".join([vb[i] for i in own]), dtype=kind).reshape(len(own), -1).astype(np.float64)
                     x_ok[own] = (x * y).sum(1) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)) >= cosine
             at = np.flatnonzero(x_ok)
             a, b, na, nb = (batch.column(n).to_numpy()[at] for n in ("a", "b", "n_a", "n_b"))
@@ -240,48 +259,67 @@ def sparse_links(pairs: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "node long, links long, other long")
 
 
-def dense_links(tile_pairs: DataFrame, nodes: DataFrame, cosine: float) -> DataFrame:
-    """As ``sparse_links`` for whole pairs of tiles: per node the sum of rows linked and one end that keeps it connected."""
-    tiles = nodes.groupBy("tile").agg(F.collect_list(F.struct("node", "copies", "label", "vector")).alias("rows"))  # TILE rows at most
+def dense_links(tile_pairs: DataFrame, nodes: DataFrame, cosine: float, kind: str) -> DataFrame:
+    """As ``sparse_links`` for whole pairs of tiles: per node the sum of rows linked and one end that keeps it connected.
+
+    Vectors come as rows in the order of pairs of tiles; a task holds the two tiles of one pair.
+    """
     schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
+    kept = ("node", "copies", "label")
+
+    def compared(once: bool, side: np.ndarray, vectors: list[bytes], node: np.ndarray, copies: np.ndarray, label: np.ndarray) -> pa.RecordBatch | None:
+        i = np.flatnonzero(side == 0)
+        j = i if once else np.flatnonzero(side == 1)
+        hit = np.zeros((len(i), len(j)), dtype=bool)
+        for at, x in _by_dimension([vectors[k] for k in i], kind):
+            for to, y in _by_dimension([vectors[k] for k in j], kind):
+                if x.shape[1] == y.shape[1]:
+                    hit[np.ix_(at, to)] = _checked(x, y, cosine)
+        hit &= label[i][:, None] == label[j][None, :]
+        if once:
+            np.fill_diagonal(hit, False)
+        if not hit.any():
+            return None
+        # Least node reachable within the two tiles.
+        ra, rb = node[i], node[j]
+        big = np.iinfo(np.int64).max
+        while True:
+            qa = np.minimum(ra, np.where(hit, rb[None, :], big).min(1))
+            qb = np.minimum(rb, np.where(hit, qa[:, None], big).min(0))
+            if (qa == ra).all() and (qb == rb).all():
+                break
+            ra, rb = qa, qb
+        out = [(node[i], hit @ copies[j], ra)]
+        if not once:
+            out.append((node[j], copies[i] @ hit, rb))
+        cols = [np.concatenate(z) for z in zip(*out)]
+        own = cols[1] > 0
+        return pa.RecordBatch.from_arrays([pa.array(c[own].astype(np.int64)) for c in cols], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, held = None, []
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            if held and (made := compared(pair[0] == pair[1], np.concatenate([h[0] for h in held]), [v for h in held for v in h[1]], *(np.concatenate([h[k] for h in held]) for k in (2, 3, 4)))) is not None:
+                yield made
+
         for batch in batches:
-            for k in range(batch.num_rows):
-                sides = []
-                for n in ("rows_a", "rows_b"):
-                    rows = batch.column(n)[k].as_py()
-                    sides.append(([r["vector"] for r in rows], *(np.array([r[f] for r in rows], dtype=np.int64) for f in ("node", "copies", "label"))))
-                (va, na, ca, la), (vb, nb, cb, lb) = sides
-                hit = np.zeros((len(na), len(nb)), dtype=bool)
-                for at, x in _by_dimension(va):
-                    for to, y in _by_dimension(vb):
-                        if x.shape[1] == y.shape[1]:
-                            hit[np.ix_(at, to)] = _checked(x, y, cosine)
-                hit &= la[:, None] == lb[None, :]
-                once = batch.column("tile_a")[k].as_py() == batch.column("tile_b")[k].as_py()
-                if once:
-                    np.fill_diagonal(hit, False)
-                if not hit.any():
-                    continue
-                # Least node reachable within the two tiles.
-                ra, rb = na.copy(), nb.copy()
-                big = np.iinfo(np.int64).max
-                while True:
-                    qa = np.minimum(ra, np.where(hit, rb[None, :], big).min(1))
-                    qb = np.minimum(rb, np.where(hit, qa[:, None], big).min(0))
-                    if (qa == ra).all() and (qb == rb).all():
-                        break
-                    ra, rb = qa, qb
-                out = [(na, (hit * cb[None, :]).sum(1), ra)]
-                if not once:
-                    out.append((nb, (hit * ca[:, None]).sum(0), rb))
-                cols = [np.concatenate(z) for z in zip(*out)]
-                own = cols[1] > 0
-                yield pa.RecordBatch.from_arrays([pa.array(c[own].astype(np.int64)) for c in cols], schema=schema)
-
-    a, b = (tiles.select(F.col("tile").alias(f"tile_{s}"), F.col("rows").alias(f"rows_{s}")) for s in ("a", "b"))
-    return tile_pairs.join(a, "tile_a").join(b, "tile_b").mapInArrow(run, "node long, links long, other long")
+            if not batch.num_rows:
+                continue
+            ta, tb, side, *cols = (batch.column(n).to_numpy() for n in ("tile_a", "tile_b", "side", *kept))
+            vectors = batch.column("vector").to_pylist()
+            edges = np.flatnonzero(np.concatenate([[True], (ta[1:] != ta[:-1]) | (tb[1:] != tb[:-1])])).tolist()
+            for s, e in zip(edges, [*edges[1:], batch.num_rows]):
+                if pair != (ta[s], tb[s]):
+                    yield from finished()
+                    pair, held = (ta[s], tb[s]), []
+                held.append((side[s:e], vectors[s:e], *(c[s:e] for c in cols)))
+        yield from finished()
+
+    both = tile_pairs.select("tile_a", "tile_b", F.lit(0).alias("side"), F.col("tile_a").alias("tile")).unionByName(tile_pairs.where("tile_a <> tile_b").select("tile_a", "tile_b", F.lit(1).alias("side"), F.col("tile_b").alias("tile")))
+    rows = both.join(nodes, "tile").select("tile_a", "tile_b", "side", *kept, "vector")
+    ready = rows.repartition(partitions(nodes.sparkSession), "tile_a", "tile_b").sortWithinPartitions("tile_a", "tile_b")
+    return ready.mapInArrow(run, "node long, links long, other long")
 
 
 def classes(df: DataFrame, cosine: float = 0.98, key: str = "vec_id", embedding: str = "embedding", label: str = "label") -> DataFrame:
@@ -289,28 +327,32 @@ def classes(df: DataFrame, cosine: float = 0.98, key: str = "vec_id", embedding:
 
     Vectors with equal labels are linked at ``cosine`` or more. Null, empty, zero or
     non-finite vectors, and rows without label or id, link with nothing. Vectors of
-    different dimensions are not linked. Equal rows with one id count as rows of their own.
+    different dimensions are not linked. Rows that share an id count as rows of their own.
+    Vectors of doubles are compared as doubles, others as floats taken to doubles.
     """
     scratch = Scratch(df.sparkSession, "embedding-dup")
     budget = 2 - 2 * cosine
-    distinct = scratch.save(nodes_of(df, key, embedding, label), "distinct")
-    nodes = scratch.save(tiled(distinct), "nodes")
+    kind, number = kind_of(df, embedding)
+    distinct = scratch.save(nodes_of(df, key, embedding, label, number), "distinct")
+    nodes = scratch.save(tiled(distinct, kind), "nodes")
     parts = []
-    sizes = [d for (d,) in nodes.select((F.octet_length("vector") / 4).cast("int")).distinct().collect()]  # a row a dimension
+    sizes = [d for (d,) in nodes.select((F.octet_length("vector") / np.dtype(kind).itemsize).cast("int")).distinct().collect()]  # a row a dimension
     for d in sizes:
-        own = nodes.where(F.octet_length("vector") == 4 * d)
-        parts.append(block_hits(scratch.save(block_rows(own, budget), f"blocks-{d}"), budget, d))
+        own = nodes.where(F.octet_length("vector") == np.dtype(kind).itemsize * d)
+        parts.append(block_hits(scratch.save(block_rows(own, budget, kind), f"blocks-{d}"), budget, d))
     kinds = "tile_a long, tile_b long, a long, b long"
     hits = scratch.save(functools.reduce(DataFrame.unionByName, parts) if parts else df.sparkSession.createDataFrame([], kinds), "hits")
     dense = scratch.save(hits.where("a is null").select("tile_a", "tile_b").distinct(), "dense")
     sparse = hits.where("a is not null").join(dense, ["tile_a", "tile_b"], "left_anti").select("a", "b").distinct()
-    links = scratch.save(sparse_links(sparse, nodes, cosine).unionByName(dense_links(dense, nodes, cosine)), "links")
+    links = scratch.save(sparse_links(sparse, nodes, cosine, kind).unionByName(dense_links(dense, nodes, cosine, kind)), "links")
     labels = connected_components(links.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), scratch)
     degree = links.groupBy("node").agg(F.sum("links").alias("links"))
-    state = scratch.save(distinct.join(degree, "node", "left").join(labels, "node", "left").select(
-        F.col("label").alias("_label"), F.col("vector").alias("_vector"), "node", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")
+    linked = labels.join(distinct.select("node", "least"), "node")
+    first = linked.groupBy("component").agg(F.min("least").alias("first"))  # the least id of a component
+    state = scratch.save(distinct.join(degree, "node", "left").join(linked.join(first, "component").select("node", "first"), "node", "left").select(
+        F.col("label").alias("_label"), F.col("vector").alias("_vector"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "least").alias("component_id")
     ), "state")
-    v = F.transform(F.col(embedding), lambda x: x.cast("float"))
+    v = F.transform(F.col(embedding), lambda x: x.cast(number))
     rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(label).alias("_l"), v.alias("_v"))
     out = rows.join(state, (F.col("_l") == F.col("_label")) & (F.col("_v") == F.col("_vector")) & F.col("vec_id").isNotNull(), "left")
     cid = F.coalesce("component_id", "vec_id")

@@ -207,16 +207,21 @@ def test_sketch_estimates():
     assert (both == np.maximum(x, y)).all()  # mergeable
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("number, tile", [("float", 512), ("double", 8)])
+def test_embeddings(spark, monkeypatch, number, tile):
+    """As all pairs, with few pairs of tiles and with nearly all hits in whole pairs of tiles; a repeated id has a row each."""
+    monkeypatch.setattr(embedding_dup, "TILE", tile)
+    monkeypatch.setattr(embedding_dup, "DENSE", tile)
+    monkeypatch.setattr(embedding_dup, "CELL_ROWS", 4 * tile)
     rnd = np.random.default_rng(2)
     rows = []
     for g in range(12):
         c = rnd.standard_normal(64)
         for _ in range(25):
-            rows.append((len(rows), (c + rnd.standard_normal(64) * 0.1 * rnd.random()).astype("f4").tolist(), g % 3))
+            rows.append((len(rows), (c + rnd.standard_normal(64) * 0.1 * rnd.random()).astype("f4" if number == "float" else "f8").tolist(), g % 3))
     rows += [(len(rows) + i, rows[0][1], 0) for i in range(3)]
     rows += [(len(rows), [2 * x for x in rows[0][1]], 0), (len(rows) + 1, rows[0][1], 1), (len(rows) + 2, rows[0][1], None), (len(rows) + 3, None, 0), (len(rows) + 4, [0.0] * 64, 0), (len(rows) + 5, [float("nan")] * 64, 0), (len(rows) + 6, [1.0, None], 0), (len(rows) + 7, [], 0), (len(rows) + 8, [1.0, 2.0], 0), (len(rows) + 9, [1.0, 2.01], 0)]
-    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<float>, label int, node string, copies long")
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], f"vec_id long, embedding array<{number}>, label int, node string, copies long")
     ok = [i for i, (_, e, l) in enumerate(rows) if l is not None and e and None not in e and np.isfinite(e).all() and np.any(e)]
     n, root = [0] * len(rows), list(range(len(rows)))
 
@@ -228,7 +233,7 @@ def test_embeddings(spark):
     for i in ok:
         for j in ok:
             if i != j and rows[i][2] == rows[j][2] and len(rows[i][1]) == len(rows[j][1]):
-                a, b = np.float32(rows[i][1]).astype(float), np.float32(rows[j][1]).astype(float)
+                a, b = (np.array(rows[k][1], "f4" if number == "float" else "f8").astype(float) for k in (i, j))
                 if a @ b / (np.linalg.norm(a) * np.linalg.norm(b)) >= 0.98:
                     n[i] += 1
                     x, y = find(i), find(j)
@@ -236,6 +241,9 @@ def test_embeddings(spark):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embedding_dup.classes(df).collect()}
     assert got == {i: (n[i], find(i), find(i) == i) for i in range(len(rows))}
     assert embedding_dup.classes(df.where("false")).count() == 0
+    twice = spark.createDataFrame([(5, [1.0, 0.0], 0), (5, [0.0, 1.0], 0), (6, [1.0, 0.001], 0), (None, [1.0, 0.0], 0)], "vec_id long, embedding array<float>, label int")
+    if number == "float":
+        assert Counter((r.vec_id, r.n_links, r.component_id) for r in embedding_dup.classes(twice).collect()) == {(5, 1, 5): 1, (5, 0, 5): 1, (6, 1, 5): 1, (None, 0, None): 1}
 
 
 def test_sharding(spark, docs, empty):
