@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import re
 import unicodedata
@@ -63,6 +64,7 @@ class PrefixBPE:
                 if not self._whole(i):
                     continue
                 (final if is_final else inner)[s[: -len(self.end)] if is_final else s] = i
+        self.single = frozenset(final)  # words that are one token
         for s in {*inner, *final}:
             self.automaton.add_word(s, (len(s), inner.get(s, -1), final.get(s, -1)))
         self.automaton.make_automaton()
@@ -170,7 +172,8 @@ class PrefixBPE:
 
     def count(self, word: str) -> int:
         """The token count of the whole word: one more than that of the prefix before its last token."""
-        return self.back(self.mapped(word))[3]
+        mapped = self.mapped(word)
+        return 1 if mapped in self.single else self.back(mapped)[3]
 
     def prefix_counts(self, word: str) -> list[int]:
         """The exact token count of every prefix of the word, by code points, from 1 on."""
@@ -288,8 +291,12 @@ class PrefixCounts:
             return [1, 2, self.bpe.prefix_counts(word)[-1]]
         return self.bpe.prefix_counts(word)
 
+    def per_chunk(self, text: str) -> np.ndarray:
+        """Counts of the white-space-separated chunks; of words and special strings where chunks alone don't do."""
+        return np.frombuffer(self.words(text), dtype="<u4")
+
     def total(self, text: str) -> int:
-        return int(np.frombuffer(self.words(text), dtype="<u4").sum())
+        return int(self.per_chunk(text).sum())
 
     def _spans(self, text: str) -> Iterator[tuple[int, str]]:
         """Start in the normalised text, and word."""
@@ -338,14 +345,22 @@ class PrefixCounts:
             return w.split_sum(chunk)
         return int.from_bytes(w.chunk(chunk), "little")
 
-    def longest_within(self, text: str, budget: int) -> int:
+    def longest_within(self, text: str, budget: int, counts: np.ndarray | None = None) -> int:
         """Code points of the longest prefix of a text that has at most ``budget`` tokens.
 
         A prefix does not end between characters that normalising joins (a letter and its
         accent). Counts of chunks, and one for a special string, are taken off the budget
         until it ends; only the chunk where it ends is looked at by prefixes. A special
-        string cut short is plain text, and may go on from the chunk before it.
+        string cut short is plain text, and may go on from the chunk before it. ``counts``
+        are those of ``per_chunk``, if they are known.
         """
+        if counts is not None and not self.words.mixed(text):
+            sums = np.cumsum(counts, dtype=np.int64)
+            k = int(np.searchsorted(sums, budget, side="right"))
+            if k == len(sums):
+                return len(text)
+            chunk = next(itertools.islice(_CHUNKS.finditer(text), k, None))
+            return chunk.start() + self._within(chunk[0], budget - int(sums[k - 1] if k else 0))
         left, at = budget, 0
         marks = self.words.mark_pattern.finditer(text) if self.words.mark_pattern else iter(())
         for m in (*marks, None):
@@ -390,13 +405,14 @@ def count_tokens(df: DataFrame, limit: int = 2048, tokenizer: str | None = None,
     def made(batch: pa.RecordBatch) -> dict[str, object]:
         c = prefix_counter(path)
         texts = text_column(batch)
-        n = [c.total(t) for t in texts]
+        counts = [c.per_chunk(t) for t in texts]
+        n = [int(x.sum()) for x in counts]
         return {
             "key": batch.column("key"),
             "n_bytes": [len(t.encode("utf-8")) for t in texts],
             "n_tokens": n,
             "over_limit": [x > limit for x in n],
-            "fits_chars": [c.longest_within(t, limit) if x > limit else len(t) for t, x in zip(texts, n)],
+            "fits_chars": [c.longest_within(t, limit, own) if x > limit else len(t) for t, x, own in zip(texts, n, counts)],
         }
 
     out = df.select(df[key].cast("long").alias("key"), df[text].alias("text")).mapInArrow(

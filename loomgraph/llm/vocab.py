@@ -132,8 +132,16 @@ class Words:
             got = [v if v is not None else self.chunk(c) for v, c in zip(got, parts)]
         return b"".join(got)
 
+    def marked(self, text: str) -> bool:
+        """Whether a special string stands in the text."""
+        return self.hint in text and bool(self.mark_pattern.search(text))
+
+    def mixed(self, text: str) -> bool:
+        """Whether the parts of the result for a text are not one for each chunk between white space."""
+        return self.marked(text) or any(c in text for c in _SEPARATORS)
+
     def __call__(self, text: str) -> bytes:
-        if self.hint not in text or not self.mark_pattern.search(text):
+        if not self.marked(text):
             return self.plain(text)
         out, at = [], 0
         for m in self.mark_pattern.finditer(text):

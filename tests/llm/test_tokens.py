@@ -58,6 +58,7 @@ def test_longest_within(tokenizer):
         n = [count(s[:j]) for j in range(len(s) + 1)]
         for budget in range(n[-1] + 1):
             got = counter.longest_within(s, budget)
+            assert got == counter.longest_within(s, budget, counter.per_chunk(s))
             assert got == max((j for j, c in enumerate(n) if c <= budget and (border(j) or inside(s, j)))), (s, budget)
     for t in ("İ" + "abc" * 2000, "e\u0301x" * 2000):
         at = counter.longest_within(t, 100)
