@@ -32,7 +32,7 @@ BLOCK, GRID = 8, 6
 #: Width of a cell in block ranges.
 WIDTH = 4.0
 #: Vectors of a tile; hits of a slice between two tiles from which their pair stands for them.
-TILE, DENSE = 512, 512
+TILE, DENSE = 256, 48
 #: Probes compared with a cell at a time.
 SLICE = 1024
 #: Vectors at home in a cell that one task holds at a time.
@@ -201,15 +201,15 @@ def block_hits(rows: DataFrame, budget: float, d: int) -> DataFrame:
 
 
 def _slice_hits(x: np.ndarray, n: np.ndarray, t: np.ndarray, hx: np.ndarray, hn: np.ndarray, ht: np.ndarray, limit: float) -> list[tuple[np.ndarray, ...]]:
-    """(tile_a, tile_b, a, b) of probes and vectors at home within range; -1 for both where two tiles have DENSE hits or more.
+    """(tile_a, tile_b, a, b), a < b, of probes and vectors at home within range; -1 for both where two tiles have DENSE hits or more.
 
     Such hits are summed as a matrix and never listed.
     """
-    if len(hn) * len(n) > DENSE:
+    if len(hn) * len(n) > DENSE:  # pairs of tiles are then blocks of the matrix
         order, own = np.argsort(ht, kind="stable"), np.argsort(t, kind="stable")
         hx, hn, ht, x, n, t = hx[order], hn[order], ht[order], x[own], n[own], t[own]
     near = (x * x).sum(1)[:, None] + (hx * hx).sum(1)[None, :] - 2 * (x @ hx.T) <= limit
-    near &= n[:, None] != hn[None, :]
+    near &= n[:, None] < hn[None, :]  # each of two vectors within range probes the other's cell: one of them tells
     out = []
     if np.count_nonzero(near) >= DENSE:
         rows, cols = np.flatnonzero(np.diff(t, prepend=t[0] - 1)), np.flatnonzero(np.diff(ht, prepend=ht[0] - 1))
@@ -224,9 +224,9 @@ def _slice_hits(x: np.ndarray, n: np.ndarray, t: np.ndarray, hx: np.ndarray, hn:
 
 
 def _condensed(found: list[tuple[np.ndarray, ...]], schema: pa.Schema) -> pa.RecordBatch:
-    """Hits with a before b, the lesser tile first, once each; a and b are null for whole pairs of tiles."""
+    """Hits, the lesser tile first, once each; a and b are null for whole pairs of tiles."""
     ta, tb, a, b = (np.concatenate(z) for z in zip(*found))
-    rows = np.unique(np.stack([np.minimum(ta, tb), np.maximum(ta, tb), np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    rows = np.unique(np.stack([np.minimum(ta, tb), np.maximum(ta, tb), a, b], axis=1), axis=0)
     whole = rows[:, 2] < 0
     return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2], mask=whole), pa.array(rows[:, 3], mask=whole)], schema=schema)
 
