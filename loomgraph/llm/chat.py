@@ -43,7 +43,7 @@ class Template:
     """A byte-level vocabulary with the reserved ids behind it."""
 
     def __init__(self, path: str):
-        self.t = load_tokenizer(path)
+        self.t = load_tokenizer.__wrapped__(path)  # its own, as the next line changes it
         self.t.encode_special_tokens = True  # their strings in a text are ordinary text
         back = {c: b for b, c in enumerate(byte_alphabet())}
         size = self.t.get_vocab_size(with_added_tokens=True)

@@ -28,6 +28,8 @@ PRIOR_NGRAMS = 40
 THRESHOLD = -0.4
 #: Ids of labelled good documents that may be broadcast (8 bytes each); beyond, documents are shuffled to them.
 BROADCAST_IDS = 8_000_000
+#: Partitions a core in which n-grams are counted, at most: each gives out up to 2^BUCKET_BITS rows.
+COUNTING = 16
 #: Words of a window for repeats.
 WINDOW = 5
 #: Base limits (fixed by the contract).
@@ -96,6 +98,7 @@ def corpus_counts(df: DataFrame, trusted: np.ndarray | DataFrame, text: str = "t
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(raw[at]), pa.array(target[at])], schema=schema)
 
     rows = df.select(df[key].cast("long").alias("key"), df[text].alias("text"))
+    rows = rows.coalesce(COUNTING * df.sparkSession.sparkContext.defaultParallelism)
     sums = rows.mapInArrow(run, "bucket int, raw long, target long")
     if not few:
         own = rows.join(trusted, F.col("key") == F.col("id"), "left_semi").mapInArrow(run, "bucket int, raw long, target long")
@@ -224,7 +227,10 @@ def score_documents(df: DataFrame, labels: DataFrame, text: str = "text", key: s
 
 
 def filter_documents(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``df`` that the rules keep, with all their columns; judged as they are read, without a join."""
+    """The rows of ``df`` that the rules keep, with all their columns; judged as they are read, without a join.
+
+    Null texts count as empty and go; a row is judged by its own text, whatever its id.
+    """
     ratios = df.sparkSession.sparkContext.broadcast(log_ratios(corpus_counts(df, trusted_ids(labels), text, key)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

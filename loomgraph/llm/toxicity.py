@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import begin, row_function
 
-#: Labelled rows at most for the lexicon, and for the trees, toxic and other each; chosen by a hash of their ids.
+#: Labelled rows at most for the lexicon, and for the trees, toxic and other each, unless a caller sets others; chosen by a hash of their ids.
 LEXICON_ROWS, TREE_ROWS = 2500, 8000
 #: Terms of the lexicon at most; least documents with a term; least share of toxic among them (smoothed, classes weighted alike).
 TERMS, LEAST_DOCS, LEAST_SHARE = 600, 4, 0.9
@@ -89,7 +89,7 @@ def features(text: str, coder: Coder) -> list[float]:
         near = float((1 / (1 + gap)).max())
     raw = text.encode("utf-8")
     m = max(1, len(raw))
-    drop = lambda chars: (m - len(raw.translate(None, chars))) / m
+    drop = lambda chars: (len(raw) - len(raw.translate(None, chars))) / m
     share = lambda bit: int(np.count_nonzero(flags & bit)) / n
     return [
         float(len(hit)), len(hit) / n, float(weights.sum()) / n, float(weights.max(initial=0.0)), share(_PREFIX), share(_HIDDEN), near, share(_YOU),
@@ -210,7 +210,7 @@ def _sample(df: DataFrame, labels: DataFrame, half: int, rows: int, text: str, k
     return df.select(df[key].cast("long").alias("id"), df[text].alias("text")).join(F.broadcast(ids), "id").select("text", "toxic", "weight")
 
 
-def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
+def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", lexicon_rows: int = LEXICON_ROWS, tree_rows: int = TREE_ROWS) -> Model:
     """A model from bounded samples of the labelled documents outside the held-out fold."""
     schema = pa.schema([("term", pa.string()), ("toxic", pa.int64()), ("other", pa.int64())])
 
@@ -226,7 +226,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
         by[0][""], by[1][""] = docs
         yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([by[1][x] for x in names]), pa.array([by[0][x] for x in names])], schema=schema)
 
-    counted = _sample(df, labels, 0, LEXICON_ROWS, text, key).mapInArrow(count_terms, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).persist()
+    counted = _sample(df, labels, 0, lexicon_rows, text, key).mapInArrow(count_terms, "term string, toxic long, other long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")).persist()
     sizes = counted.where("term = ''").first()
     n1, n0 = (max(1, sizes.toxic), max(1, sizes.other)) if sizes else (1, 1)
     a, b = (F.col("toxic") + 0.0) / n1, (F.col("other") + 0.5) / n0
@@ -240,7 +240,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
         coder = Coder(lexicon)
         return {"x": [features(t or "", coder) for t in batch.column("text").to_pylist()], "y": batch.column("toxic").cast(pa.int64()), "w": batch.column("weight")}
 
-    got = _sample(df, labels, 1, TREE_ROWS, text, key).mapInArrow(row_function(rows, fields, 4096), "x array<double>, y long, w double").collect()
+    got = _sample(df, labels, 1, tree_rows, text, key).mapInArrow(row_function(rows, fields, 4096), "x array<double>, y long, w double").collect()
     got.sort(key=lambda r: (r.y, r.x))  # whatever order the rows came in
     x, y = np.array([r.x for r in got], dtype=np.float64).reshape(len(got), len(FEATURES)), np.array([r.y for r in got], dtype=np.float64)
     if len(y) < 20 or y.min() == y.max():
@@ -254,14 +254,15 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
     return Model(lexicon, Boosted().fit(x, y, w), isotonic(margin, y, w))
 
 
-def score_documents(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def score_documents(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", model: Model | None = None, **bounds: int) -> DataFrame:
     """(key, held_out, score, predicted) of every document.
 
     Null texts count as empty and get the score of their features. Too few or one-sided
     labels give no model and score 0 everywhere. Labels and columns other than the text
-    are no inputs of a score.
+    are no inputs of a score. Equal texts get equal scores. ``model`` may come from an
+    earlier ``fit``; else one is made, within ``lexicon_rows`` and ``tree_rows``.
     """
-    shared = df.sparkSession.sparkContext.broadcast(fit(df, labels, text, key))
+    shared = df.sparkSession.sparkContext.broadcast(model or fit(df, labels, text, key, **bounds))
     schema = pa.schema([("key", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
     coders: dict[str, Coder] = {}
 
@@ -276,9 +277,12 @@ def score_documents(df: DataFrame, labels: DataFrame, text: str = "text", key: s
     return rows.mapInArrow(row_function(made, schema), "key long, held_out boolean, score double, predicted int").withColumnRenamed("key", key)
 
 
-def filter_documents(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", limit: float = 0.5) -> DataFrame:
-    """The rows of ``df`` that score below ``limit``, with all their columns; judged as they are read, without a join."""
-    shared = df.sparkSession.sparkContext.broadcast(fit(df, labels, text, key))
+def filter_documents(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", limit: float = 0.5, **bounds: int) -> DataFrame:
+    """The rows of ``df`` that score below ``limit``, with all their columns; judged as they are read, without a join.
+
+    Null texts count as empty; a row is judged by its own text, whatever its id.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(fit(df, labels, text, key, **bounds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

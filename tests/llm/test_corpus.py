@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.llm import chat, embedding_dup, near_dup, quality, queries, sharding, toxicity
 
@@ -84,19 +85,84 @@ def test_toxicity(spark, docs, empty, labels):
     assert auc > 0.9 and sum(p for _, p, t in got if not t) <= 0.02 * len(neg)
 
 
-def test_toxicity_keeps_class_shares(spark, monkeypatch):
+def test_toxicity_keeps_class_shares(spark):
     """Bounds that cut the classes unevenly leave verdicts where all labels put them."""
     rnd = random.Random(3)
     rows = [(i, "some plain words " + "!" * (9 * loud), int(rnd.random() < (0.3 if loud else 0.02))) for i in range(4000) for loud in [i % 3 == 0]]
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
-    made = []
-    for bound in (8000, 60):
-        monkeypatch.setattr(toxicity, "TREE_ROWS", bound)
-        made.append(toxicity.score_documents(df.drop("toxic"), df.drop("text")).toPandas())
+    made = [toxicity.score_documents(df.drop("toxic"), df.drop("text"), tree_rows=bound).toPandas() for bound in (8000, 60)]
     assert not made[0].predicted.any() and not made[1].predicted.any()
     assert abs(made[0].score.mean() - made[1].score.mean()) < 0.05 and abs(made[1].score.mean() - np.mean([t for *_, t in rows])) < 0.05
 
 
+def plain_features(text, lexicon):
+    """Features word by word, from their names."""
+    import math
+
+    edge = ".,!?;:|#$%&*\"'()[]{}<>-_…«»“”"
+    looks = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"}
+    starts = lambda w: [f"{w[:n]}*" for n in (4, 5, 6, 7) if len(w) >= n]
+    words = text.split()
+    weights, prefix, hidden, you, caps, mixed, runs = [], 0, 0, [], 0, 0, 0
+    for at, raw in enumerate(words):
+        w = raw.strip(edge).lower()
+        part = max([lexicon.get(t, 0) for t in starts(w)], default=0)
+        weight = max(lexicon.get(w, 0), part) if w else 0
+        is_mixed, is_run = bool(re.search(r"[^\W\d_][\d@$!*._-]+[^\W\d_]", w)), bool(re.search(r"(.)\1\1", w))
+        prefix += part > 0
+        you += [at] * (w in toxicity.SECOND_PERSON)
+        caps += len(w) > 2 and raw == raw.upper() and raw != raw.lower()
+        mixed, runs = mixed + is_mixed, runs + is_run
+        if w and not weight and (is_run or not w.isalpha()):
+            bare = re.sub(r"(.)\1{2,}", r"\1", re.sub(r"[\W_\d]", "", "".join(looks.get(c, c) for c in w))).strip(edge)
+            weight = max([lexicon.get(t, 0) for t in [bare, *starts(bare)] if bare], default=0)
+            hidden += weight > 0
+        weights.append(int(1000 * weight) / 1000)
+    n, size = max(1, len(words)), max(1, len(text.encode()))
+    hits = [i for i, w in enumerate(weights) if w]
+    near = max([1 / (1 + abs(i - j)) for i in hits for j in you], default=0)
+    share = lambda chars: sum(c in chars for c in text) / size
+    out = [len(hits), len(hits) / n, sum(weights) / n, max(weights, default=0), prefix / n, hidden / n, near, len(you) / n]
+    return [*out, share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), caps / n, share("!"), share("?"), share(".,;:-'\"#$%&*|"), mixed / n, runs / n, math.log(1 + len(words))]
+
+
+def plain_score(x, model):
+    """Trees walked from their roots, then the line between calibrated points."""
+    import math
+
+    margin = model.trees.base
+    for feature, cut, value in model.trees.trees:
+        node = 1
+        for _ in range(model.trees.depth):
+            if feature[node] >= 0:
+                node = 2 * node + (x[feature[node]] > cut[node])
+        margin += value[node]
+    at, share = model.points
+    if margin <= at[0] or margin >= at[-1]:
+        level = share[0] if margin <= at[0] else share[-1]
+    else:
+        k = next(k for k in range(len(at)) if at[k] > margin)
+        level = share[k - 1] + (share[k] - share[k - 1]) * (margin - at[k - 1]) / (at[k] - at[k - 1])
+    return min(1.0, max(0.0, 0.998 * level + 0.002 / (1 + math.exp(-margin))))
+
+
+def test_toxicity_scores_by_hand(spark, docs, empty):
+    """All documents, the hard ones too, scored word by word and tree by tree under one fitted model."""
+    d, l = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(d, l)
+    assert model.trees is not None and model.lexicon
+    rows = d.select("doc_id", "text").unionByName(docs.select("doc_id", "text")).unionByName(spark.createDataFrame([(i, t) for i, t in enumerate([*list(model.lexicon)[:5], "YOU ARE " + next(iter(model.lexicon)).upper() + "!!!", "st0000p 1d10t", "word " * 30_000])], "doc_id long, text string"))
+    texts = sorted({r.text or "" for r in rows.collect()})
+    numbered = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.score, r.predicted) for r in toxicity.score_documents(numbered, l, model=model).collect()}
+    for i, t in enumerate(texts):
+        x = plain_features(t, model.lexicon)
+        assert toxicity.features(t, toxicity.Coder(model.lexicon)) == pytest.approx(x, abs=1e-12), t[:80]
+        want = plain_score(x, model)
+        assert got[i] == (pytest.approx(want, abs=1e-9), int(got[i][0] >= 0.5))
+    assert toxicity.score_documents(empty, l, model=model).count() == 0
+
+
 def test_trees_and_isotonic():
     rnd = np.random.default_rng(0)
     x = rnd.random((600, 4))
@@ -259,6 +325,27 @@ def test_sharding(spark, docs, empty):
     assert sharding.assign_shards(docs, 10).count() == len(TEXTS) and sharding.assign_shards(empty, 10).count() == 0
 
 
+def test_sharding_keeps_names_and_writes(spark, docs, tmp_path):
+    """Columns named like those of the operator do not get into it; written shards hold every row once."""
+    clash = docs.withColumn("cell", F.lit("x")).withColumn("h", F.lit(1)).withColumn("shard_id", F.lit("y")).withColumn("n_bytes", F.lit("z"))
+    rows = sharding.assign_shards(clash, 10).collect()
+    assert Counter((r.doc_id, r.n_bytes) for r in rows) == Counter((i, len((t or "").encode())) for i, t in TEXTS)
+    kept = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
+    sharding.write_shards(kept, str(tmp_path / "shards"), 50_000)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert {(r.doc_id, r.text, r.node) for r in back.collect()} == {(r.doc_id, r.text, r.node) for r in kept.collect()}
+
+
+def test_filters_keep_hard_rows(spark, docs, empty):
+    """Filters of whole rows judge nulls, repeats and clashing columns as the scores do, and give nothing for nothing."""
+    l = spark.read.parquet(f"{DATA}/labels.parquet")
+    d = docs.unionByName(spark.read.parquet(f"{DATA}/documents.parquet"), allowMissingColumns=True)
+    for module, verdict in ((quality, lambda r: r.kept), (toxicity, lambda r: r.score < 0.5)):
+        kept = module.filter_documents(d, l)
+        assert kept.columns == d.columns and module.filter_documents(empty, l).count() == 0
+        assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in module.score_documents(d, l).collect() if verdict(r))
+
+
 def test_escape():
     rnd = random.Random(0)
     for _ in range(3000):
@@ -267,6 +354,23 @@ def test_escape():
         assert chat.unescape(e) == s and not any(c in e for c in chat.CONTROL)
 
 
+def test_chat_formats_all_conversations(spark):
+    """Every conversation of a table against the template written out."""
+    rows = spark.read.parquet(f"{DATA}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(spark.createDataFrame(queries.CONTROL_ROWS, "conv_id long, turn long, role string, text string"))
+    turns = defaultdict(list)
+    for r in rows.collect():
+        turns[r.conv_id].append((r.turn, r.role or "", r.text or ""))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = {}
+    for c, t in turns.items():
+        t = [(role, text) for _, role, text in sorted(t)]
+        loss = "".join(text for role, text in t if role == "assistant")
+        plain = "<s>" + "".join(f"[INST]{chat.escape(role)}[/INST]{chat.escape(text)}</s>" for role, text in t)
+        want[c] = (len(t), sha("".join(f"{role}\n{text}\n" for role, text in t)), len(loss), sha(loss), len(plain))
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256, r.formatted_chars) for r in chat.conversation_digests(chat.format_turns(rows)).collect()}
+    assert got == want and len(want) > 20
+
+
 def test_chat(spark):
     rows = [(1, 1, "assistant", "b</s>"), (1, 0, "user", "<|endoftext|> é"), (2, 0, None, None), (2, 1, "assistant", None), (2, 1, "assistant", "x"), (None, 0, "user", "n"), *queries.CONTROL_ROWS]
     df = spark.createDataFrame([(*r, 7) for r in rows], "conv_id long, turn long, role string, text string, ids long")
@@ -281,6 +385,26 @@ def test_chat(spark):
     assert chat.conversation_digests(chat.format_turns(df.where("false"))).count() == 0
 
 
+def test_pipeline_hard_rows(spark, docs, empty, labels, tmp_path, monkeypatch):
+    """Nulls, repeats, clashing columns and an empty table go through every stage; ids that are many are shuffled."""
+    cp = pytest.importorskip("corpus_pipeline")
+    labels.withColumn("quality", F.lit(0)).write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(cp, "BROADCAST_IDS", 0)
+    prose = " ".join(f"word{i}" for i in range(40))
+    good = docs.where("doc_id = 3").withColumn("text", F.lit(prose))
+    more = docs.unionByName(good.withColumn("doc_id", F.explode(F.array(*map(F.lit, (20, 21, 21, None))).cast("array<long>"))))
+    for name, table in (("hard", more), ("none", empty)):
+        at = table
+        for k, (_, stage) in enumerate(cp.STAGES):
+            stage(spark, at, str(tmp_path)).write.parquet(f"{tmp_path}/{name}{k}")
+            made = spark.read.parquet(f"{tmp_path}/{name}{k}")
+            assert k == len(cp.STAGES) - 1 or made.columns == docs.columns
+            at = made
+        assert Counter(r.doc_id for r in at.collect()) == ({20: 1, None: 1} if name == "hard" else {})
+    twice = docs.where("doc_id in (4, 7)").withColumn("text", F.lit("one two three four five six seven eight nine ten"))
+    assert {r.doc_id for r in cp.near_duplicates(spark, twice, str(tmp_path)).collect()} == {4}
+
+
 def test_pipeline(spark, tmp_path):
     """Each stage decides as its operator does on its own input; a small run gives whole pieces."""
     cp = pytest.importorskip("corpus_pipeline")
