@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scratch import folder
-from loomgraph.operators import dedup, etl, weights, windows
+from loomgraph.operators import dedup, etl, tables, weights, windows
 from loomgraph.plans.registry import query, table
 from loomgraph.sources import readers, writers
 
@@ -76,9 +76,12 @@ def src03_src04_csv(s, d):
     return readers.load_table(s, path, "c_custkey long, c_name string, c_acctbal double")
 
 
-@query()
+@query("SELECT doc_id::VARCHAR AS id, md5(text) AS h FROM documents UNION ALL SELECT '0', md5('a text itself')")
 def src05_documents(s, d):
-    return readers.load_documents(s, table(s, d, "documents"), "text", "doc_id").select("id", F.md5("report").alias("h"))
+    """Documents from a frame, and a text given as such."""
+    both = readers.load_documents(s, table(s, d, "documents"), "text", "doc_id").unionByName(readers.load_documents(s, "a text itself"))
+    return both.select("id", F.md5("report").alias("h"))
+
 
 
 @query(f"SELECT count(*) AS n_edges, (SELECT count(*) FROM {NODES_SQL}) AS n_nodes FROM {EDGES_SQL} WHERE \"edgeType\" IN ('Located At', 'Part Of')")
@@ -115,9 +118,14 @@ def src12_tei(s, d):
     return rows.join(titles, rows["paper"] == titles["path"]).select("path", "title", "surname")
 
 
-@query("SELECT code, label FROM (VALUES ('N0', 'NATION 0'), ('N1', 'NATION 1')) t(code, label)")
+@query("SELECT 'N' || n_nationkey AS code, CASE WHEN n_nationkey % 2 = 0 THEN replace(n_name, '_', ' ') ELSE 'N' || n_nationkey END AS label FROM nation")
 def src16_code_table(s, d):
-    return table(s, d, "nation").where("n_nationkey < 2").select(_id("N", "n_nationkey").alias("code"), F.replace("n_name", F.lit("_"), F.lit(" ")).alias("label"))
+    """A saved code table, read back and looked up; codes that it lacks keep themselves."""
+    path = _roundtrip(s, "codes") + ".csv"
+    n = table(s, d, "nation").select(_id("N", "n_nationkey").alias("code"), F.replace("n_name", F.lit("_"), F.lit(" ")).alias("label"), "n_nationkey")
+    n.where("n_nationkey % 2 = 0").select("code", "label").write.csv(path, header=True)
+    return tables.labelled(n.select("code"), readers.load_taxonomy(s, path), "code").select("code", "label")
+
 
 
 @query("SELECT DISTINCT regexp_extract(x, '^([^ (]+)', 1) AS code, regexp_extract(x, '^[^ (]+ *\\(?([^)]*)', 1) AS label FROM (SELECT unnest(regexp_extract_all(html, '<a(?: [^>]*)?>([^<]*)</a>', 1)) AS x FROM pages) WHERE regexp_extract(x, '^([^ (]+)', 1) <> ''")
@@ -164,10 +172,11 @@ def snk04_jn02_endpoint_types(s, d):
     return etl.with_types(edges(s, d).select("from", "to"), nodes(s, d))
 
 
-@query("SELECT event_type AS type, string_agg(user_id || ':' || n, ',' ORDER BY user_id) AS counts FROM (SELECT event_type, user_id, count(*) AS n FROM events WHERE user_id < 5 GROUP BY 1, 2) GROUP BY 1")
+@query("SELECT event_type AS type, string_agg(user_id || ':' || n, ',' ORDER BY user_id) AS counts FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
 def snk09_summary_counts(s, d):
-    c = table(s, d, "events").where("user_id < 5").groupBy("event_type", "user_id").count()
-    return c.groupBy(F.col("event_type").alias("type")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("user_id", "count"))), lambda x: F.concat_ws(":", x["user_id"].cast("string"), x["count"].cast("string"))), ",").alias("counts"))
+    c = tables.value_maps(table(s, d, "events"), "event_type", "user_id")
+    return c.select(F.col("event_type").alias("type"), F.array_join(F.transform(F.map_entries("counts"), lambda x: F.concat_ws(":", x["key"].cast("string"), x["value"].cast("string"))), ",").alias("counts"))
+
 
 
 @query(f"SELECT count(*) AS lines FROM (SELECT \"nodeID\" FROM {NODES_SQL} UNION ALL SELECT \"from\" FROM {TRADE_SQL} GROUP BY \"from\", \"to\", \"edgeType\")")
@@ -301,8 +310,8 @@ def jn07_two_sided_average(s, d):
 
 @query("SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def jn08_counts_with_members(s, d):
-    n = table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
-    return n.join(table(s, d, "customer").select("c_custkey"), "c_custkey", "right").fillna(0, ["n"])
+    return tables.counts_with_members(table(s, d, "customer"), table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
 
 
 @query("SELECT c_custkey, coalesce(n_name, 'unknown') AS nation FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey < 20) ON n_nationkey = c_nationkey")
@@ -318,9 +327,12 @@ def jn11_composite_flag(s, d):
     return l.join(keys, ["l_partkey", "l_suppkey"], "left").select("l_orderkey", "l_linenumber", F.coalesce("flagged", F.lit(False)).alias("flagged"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority LIKE '1%')")
 def jn12_anti(s, d):
-    return table(s, d, "customer").join(table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without an urgent order in progress."""
+    o = table(s, d, "orders").where("o_orderstatus = 'P' AND o_orderpriority LIKE '1%'")
+    return table(s, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
 
 
 @query("SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
@@ -338,9 +350,11 @@ def jn14_product_of_lists(s, d):
 
 @query("SELECT conv_id, turn, md5(text) AS h, length(text)::BIGINT AS n FROM conversations")
 def jn16_positional(s, d):
-    """Columns of two frames side by side, joined on their position's key rather than row order."""
+    """Two frames side by side by their rows' positions, repeated columns once."""
     c = table(s, d, "conversations")
-    return c.select("conv_id", "turn", F.md5("text").alias("h")).join(c.select("conv_id", "turn", F.length("text").cast("long").alias("n")), ["conv_id", "turn"])
+    left, right = c.select("conv_id", "turn", F.md5("text").alias("h")), c.select("conv_id", "turn", F.length("text").cast("long").alias("n"))
+    return tables.zip_rows(left, right, ["conv_id", "turn"])
+
 
 
 @query(
@@ -351,14 +365,16 @@ def jn18_range(s, d):
     """First range that holds each offset; ranges meet only within their document."""
     b = table(s, d, "benchmark").select("item_id")
     at = b.select("item_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(150).cast("long"), F.lit(50).cast("long"))).alias("at"))
-    r = b.select("item_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"))
-    return at.join(r, "item_id").where("at >= i * 60 AND at < (i + 1) * 60").groupBy("item_id", "at").agg(F.min("i").alias("sentence"))
+    r = b.select("item_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("sentence")).withColumns({"start": F.col("sentence") * 60, "end": (F.col("sentence") + 1) * 60})
+    return tables.first_range(at, r, "item_id", "at", number="sentence")
+
 
 
 @query("SELECT p_partkey, string_split(p_name, ' ')[1] AS head, string_split(p_name, ' ')[2] AS tail FROM part")
 def jn19_index_lookup(s, d):
-    words = F.split("p_name", " ")
-    return table(s, d, "part").select("p_partkey", F.try_element_at(words, F.lit(0) + 1).alias("head"), F.try_element_at(words, F.lit(1) + 1).alias("tail"))
+    ends = tables.items_at(F.split("p_name", " "), F.array(F.lit(0), F.lit(1)))
+    return table(s, d, "part").select("p_partkey", ends.alias("e")).select("p_partkey", F.element_at("e", 1).alias("head"), F.element_at("e", 2).alias("tail"))
+
 
 
 @query("SELECT s_suppkey, s_name, s_name || '!' AS s_name_new FROM supplier")
@@ -401,8 +417,9 @@ def agg05_first_by_order(s, d):
 
 @query("SELECT l_quantity AS weight, max(l_orderkey * 10 + l_linenumber) AS last FROM lineitem GROUP BY 1")
 def agg06_keep_last(s, d):
-    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    return table(s, d, "lineitem").groupBy(F.col("l_quantity").alias("weight")).agg(F.max_by(key, key).alias("last"))
+    last = tables.keep_last(table(s, d, "lineitem").select("l_quantity", "l_orderkey", "l_linenumber"), ["l_quantity"], [F.col("l_orderkey") * 10 + F.col("l_linenumber")])
+    return last.select(F.col("l_quantity").alias("weight"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("last"))
+
 
 
 @query("SELECT DISTINCT event_type, props FROM events")
@@ -443,14 +460,17 @@ def agg12_mode(s, d):
 
 @query("SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') > 0 AS f, count(*) FILTER (o_orderstatus = 'O') > 0 AS o, count(*) FILTER (o_orderstatus = 'P') > 0 AS p FROM orders GROUP BY 1")
 def agg14_incidence(s, d):
-    p = table(s, d, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).count()
-    return p.select("o_orderpriority", *[(F.coalesce(k, F.lit(0)) > 0).alias(k.lower()) for k in ("F", "O", "P")])
+    return tables.incidence(table(s, d, "orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"]).toDF("o_orderpriority", "f", "o", "p")
+
 
+_MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 
-@query("SELECT 'q-p' AS pair, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem UNION ALL SELECT 'q-d', round(corr(l_quantity, l_discount), 6) FROM lineitem")
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lineitem" for i, a in enumerate(_MEASURES) for b in _MEASURES[i + 1 :]))
 def agg15_agg16_correlation(s, d):
-    r = table(s, d, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 6).alias("q-p"), F.round(F.corr("l_quantity", "l_discount"), 6).alias("q-d"))
-    return r.unpivot([], ["q-p", "q-d"], "pair", "r")
+    """All pairs of measures: the upper triangle of the correlation matrix in long form."""
+    return tables.correlations(table(s, d, "lineitem"), _MEASURES).select("a", "b", F.round("r", 6).alias("r"))
+
 
 
 @query("SELECT conv_id, md5(string_agg(role, '-' ORDER BY turn)) AS roles FROM conversations GROUP BY 1")
@@ -585,10 +605,12 @@ def srt06_srt07_least(s, d):
     return table(s, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_partkey").alias("least"), F.min_by("l_suppkey", order).alias("by_prefix"))
 
 
-@query()
+@query(f"WITH n AS (SELECT count(DISTINCT \"nodeID\") AS n FROM {NODES_SQL}), c AS (SELECT unnest(range(0, ((SELECT n FROM n) + 499) // 500)) AS chunk) SELECT chunk, least(500, n - 500 * chunk) AS nodes, true AS apart FROM c, n")
 def srt08_chunks(s, d):
-    """Nodes in a seeded random order, cut into chunks."""
-    return windows.chunks(nodes(s, d).select("nodeID"), "nodeID", 500)
+    """Nodes in a seeded random order, cut into chunks: how many are in each, and whether each node is in one."""
+    c = windows.chunks(nodes(s, d).select("nodeID"), "nodeID", 500)
+    return c.groupBy("chunk").agg(F.count_distinct("nodeID").alias("nodes"), (F.count_distinct("nodeID") == F.count("*")).alias("apart"))
+
 
 
 @query("SELECT doc_id FROM documents ORDER BY doc_id LIMIT 5")
@@ -608,9 +630,10 @@ def set02_union_distinct(s, d):
     return edges(s, d).select(F.col("from").alias("node")).union(edges(s, d).select("to")).distinct()
 
 
-@query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def set03_difference(s, d):
-    return table(s, d, "customer").select(F.col("c_custkey").alias("id")).subtract(table(s, d, "orders").select("o_custkey"))
+    return table(s, d, "customer").select(F.col("c_custkey").alias("id")).subtract(table(s, d, "orders").where("o_orderstatus = 'P'").select("o_custkey"))
+
 
 
 @query("SELECT l_orderkey AS id FROM lineitem WHERE l_quantity > 45 INTERSECT SELECT l_orderkey FROM lineitem WHERE l_discount > 0.08")
@@ -627,9 +650,13 @@ def set05_multisets(s, d):
     return etl.multiset(table(s, d, "part"), "p_partkey", F.split("p_name", ""), F.split("p_type", ""))
 
 
-@query()
+@query("SELECT vec_id, least(3, count(*) OVER (PARTITION BY label) - 1) AS partners, true AS alike FROM embeddings")
 def set06_pair_sampling(s, d):
-    """At most three partners of the same label an item, by a seeded hash."""
+    """Three partners of the same label an item, by a seeded hash: how many distinct ones, and whether all are alike."""
     from loomgraph.operators.representation import same_label_pairs
 
-    return same_label_pairs(table(s, d, "embeddings").select("vec_id", "label"), "vec_id", "label", 3)
+    e = table(s, d, "embeddings").select("vec_id", "label")
+    pairs = same_label_pairs(e, "vec_id", "label", 3).join(e.toDF("b", "lb"), "b").where("a <> b")
+    return pairs.groupBy(F.col("a").alias("vec_id")).agg(F.count_distinct("b").alias("partners"), F.bool_and(F.col("label") == F.col("lb")).alias("alike"))
+
+

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.operators import tables
 from loomgraph.functions import arrays, text
 from loomgraph.plans.registry import query, table
 
@@ -210,10 +211,10 @@ def mt04_mt05_mt06_arithmetic(s, d):
 
 @query(f"WITH v AS (SELECT label, unnest({_E64}) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) SELECT label, round(sum(m * m), 6) AS squares FROM (SELECT label, i, avg(x) AS m FROM v GROUP BY 1, 2) GROUP BY 1")
 def mt07_mean_pooling(s, d):
-    """Element-wise means per label, as sums per element before the shuffle; no label's vectors are gathered."""
-    v = table(s, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    means = v.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return means.groupBy("label").agg(F.round(F.sum(F.col("m") * F.col("m")), 6).alias("squares"))
+    """Element-wise means per label."""
+    means = tables.mean_vectors(table(s, d, "embeddings"), "label", "embedding")
+    return means.groupBy("label").agg(F.round(F.sum(F.col("mean") * F.col("mean")), 6).alias("squares"))
+
 
 
 @query("SELECT o_orderkey, [o_orderpriority][1] AS first, 1 AS n FROM orders")
@@ -234,7 +235,8 @@ def arr02_explode_outer(s, d):
 )
 def arr03_aligned_explode(s, d):
     p = table(s, d, "part").select("p_partkey", F.split("p_name", " ").alias("word"), F.when(F.col("p_partkey") % 2 == 0, F.split("p_type", " ")).otherwise(F.array().cast("array<string>")).alias("type"))
-    return p.select("p_partkey", F.inline_outer(F.arrays_zip("word", "type"))).fillna("", ["word", "type"])
+    return tables.aligned_explode(p, ["word", "type"])
+
 
 
 @query(
@@ -286,8 +288,8 @@ def arr11_flatten_unique(s, d):
 
 @query("SELECT p_partkey, list_filter(string_split(p_name, ' '), lambda x: list_contains(string_split(p_type || ' ring', ' '), x)) = list_filter(string_split(p_type || ' ring', ' '), lambda x: list_contains(string_split(p_name, ' '), x)) AS same FROM part")
 def arr12_common_subsequence(s, d):
-    a, b = F.split("p_name", " "), F.split(F.concat("p_type", F.lit(" ring")), " ")
-    return table(s, d, "part").select("p_partkey", (F.filter(a, lambda x: F.array_contains(b, x)) == F.filter(b, lambda x: F.array_contains(a, x))).alias("same"))
+    return table(s, d, "part").select("p_partkey", tables.same_common_order(F.split("p_name", " "), F.split(F.concat("p_type", F.lit(" ring")), " ")).alias("same"))
+
 
 
 @query("SELECT o_orderkey, 'status' AS key, o_orderstatus AS value FROM orders UNION ALL SELECT o_orderkey, 'priority', o_orderpriority FROM orders")
@@ -297,9 +299,9 @@ def map01_explode_map(s, d):
 
 @query("SELECT l_orderkey, string_agg(l_linenumber || '=' || l_returnflag, ',' ORDER BY l_linenumber, l_returnflag) AS tags FROM (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2) GROUP BY 1")
 def map02_tags_by_number(s, d):
-    one = table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("flag"))
-    m = one.groupBy("l_orderkey").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("l_linenumber", "flag")))).alias("m"))
-    return m.select("l_orderkey", F.array_join(F.transform(F.map_entries("m"), lambda x: F.concat(x["key"].cast("string"), F.lit("="), x["value"])), ",").alias("tags"))
+    m = tables.map_by_number(table(s, d, "lineitem"), "l_orderkey", "l_linenumber", "l_returnflag")
+    return m.select("l_orderkey", F.array_join(F.transform(F.map_entries("tags"), lambda x: F.concat(x["key"].cast("string"), F.lit("="), x["value"])), ",").alias("tags"))
+
 
 
 @query("SELECT event_id, CASE event_type WHEN 'click' THEN 'c' WHEN 'view' THEN 'v' WHEN 'error' THEN 'x' ELSE event_type END AS code FROM events")
@@ -327,8 +329,10 @@ def jsn02_records(s, d):
 
 @query("SELECT c_custkey, unnest([n_name, 'x' || n_name]) AS org, unnest([1, 2]) AS k FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def jsn03_dynamic_keys(s, d):
-    """Dynamic ``org_k`` keys as a map, then one row a key."""
+    """Dynamic ``org_k`` fields, one row a field."""
     n = table(s, d, "nation")
     raw = F.to_json(F.create_map(F.lit("org_1"), "n_name", F.lit("org_2"), F.concat(F.lit("x"), "n_name")))
-    j = table(s, d, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.explode(F.from_json(raw, "map<string,string>")).alias("key", "org"))
-    return j.select("c_custkey", "org", F.regexp_extract("key", "org_([0-9]+)", 1).cast("int").alias("k"))
+    j = table(s, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", raw.alias("raw"))
+    return tables.numbered_fields(j, "raw", "org_", "org")
+
+

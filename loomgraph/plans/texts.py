@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import nlp, representation, topics
+from loomgraph.operators import nlp, representation, tables, topics
 from loomgraph.plans.registry import query, table
 
 _SENT = (
@@ -145,8 +145,10 @@ def nlp11_label_map(s, d):
 
 @query("SELECT conv_id, turn, length(text)::BIGINT AS n, role FROM conversations")
 def nlp12_combine(s, d):
+    """Results of two steps side by side, row by row."""
     c = table(s, d, "conversations")
-    return c.select("conv_id", "turn", F.length("text").cast("long").alias("n")).join(c.select("conv_id", "turn", "role"), ["conv_id", "turn"])
+    return tables.zip_rows(c.select("conv_id", "turn", F.length("text").cast("long").alias("n")), c.select("conv_id", "turn", "role"), ["conv_id", "turn"])
+
 
 
 @query()
@@ -156,10 +158,14 @@ def nlp14_nlp15_alignment(s, d):
     return b.select("item_id", nlp.aligned("a", "b").alias("m")).select("item_id", F.array_join("m.a", " ").alias("a"), F.array_join("m.b", " ").alias("b"))
 
 
-@query()
+@query(
+    "WITH w AS (SELECT item_id, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS i FROM (SELECT item_id, string_split(text, ' ') AS w FROM benchmark)), p AS (SELECT a.item_id, least(a.i, b.i) AS s, greatest(a.i, b.i) AS e FROM w a JOIN w b USING (item_id) WHERE a.w = 'the' AND b.w = 'of'), "
+    "f AS (SELECT item_id, s, e, row_number() OVER (PARTITION BY item_id ORDER BY e - s, e) AS k FROM p) SELECT item_id AS row, s AS start, e AS \"end\" FROM f WHERE k = 1"
+)
 def arr08_nlp17_minimal_spans(s, d):
     b = table(s, d, "benchmark").select(F.col("item_id").alias("row"), F.split("text", " ").alias("words"), F.array(F.lit("the"), F.lit("of")).alias("need"))
-    return nlp.minimal_spans(b, "words", "need")
+    return nlp.minimal_spans(b, "words", "need").where("start IS NOT NULL")
+
 
 
 @query("SELECT string_split(p_name, ' ')[1] AS \"from\", string_split(p_name, ' ')[2] AS \"to\", 'Of' AS type, count(*) AS weight FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2")
@@ -179,9 +185,9 @@ def hlp03_label_from_ids(s, d):
     return ids.join(tokens, ["p_partkey", "id"]).groupBy("p_partkey").agg(ordered.alias("label"))
 
 
-@query("WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part) SELECT p_partkey, 1::BIGINT AS word_idx, array_to_string(w, '') AS word, 1.5 AS mean FROM w WHERE len(w) = 2")
+@query("WITH w AS (SELECT p_partkey, string_split(p_name, ' ') AS w FROM part) SELECT p_partkey, 1::BIGINT AS word_idx, array_to_string(w, '') AS word, (len(w) + 1) / 2.0 AS mean FROM w")
 def agg18_nlp22_word_pieces(s, d):
-    p = table(s, d, "part").where("size(split(p_name, ' ')) = 2").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("i", "w"))
+    p = table(s, d, "part").select("p_partkey", F.posexplode(F.split("p_name", " ")).alias("i", "w"))
     p = p.select("p_partkey", "i", F.when(F.col("i") == 0, F.col("w")).otherwise(F.concat(F.lit("##"), "w")).alias("token"), F.array((F.col("i") + 1.0).cast("double")).alias("v"))
     return nlp.word_pieces(p, ["p_partkey"], "i", "token", "v").select("p_partkey", "word_idx", "word", F.element_at("vector", 1).alias("mean"))
 
@@ -235,9 +241,13 @@ def rep02_masked_features(s, d):
     return representation.masked_features(b, "w", "s", "e", 24).select("item_id", F.md5(F.array_join("tokens", " ")).alias("h"))
 
 
-@query()
+@query("SELECT vec_id, 3::BIGINT AS partners, true AS apart FROM embeddings")
 def rep03_different_label_pairs(s, d):
-    return representation.different_label_pairs(table(s, d, "embeddings").select("vec_id", "label"), "vec_id", "label", 3)
+    """Three partners of other labels an item: how many distinct ones, and whether all differ."""
+    e = table(s, d, "embeddings").select("vec_id", "label")
+    pairs = representation.different_label_pairs(e, "vec_id", "label", 3).join(e.toDF("a", "la"), "a").join(e.toDF("b", "lb"), "b")
+    return pairs.groupBy(F.col("a").alias("vec_id")).agg(F.count_distinct("b").alias("partners"), F.bool_and(F.col("la") != F.col("lb")).alias("apart"))
+
 
 
 @query("SELECT label, row_number() OVER (ORDER BY label)::INT - 1 AS index FROM (SELECT DISTINCT event_type AS label FROM events)")
