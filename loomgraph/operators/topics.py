@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.scratch import stored
 from loomgraph.functions.text import clean_topic
 
 
@@ -37,40 +43,146 @@ def doc_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     return terms.join(F.broadcast(vocab.select("term")), "term").groupBy("key", "term").agg(F.count("*").alias("tf"))
 
 
-def fit_lda(counts: DataFrame, n_topics: int, seed: int = 0, rounds: int = 10):
-    """(model, document-topic table, topic-term table) of a latent Dirichlet allocation over (key, term, tf).
+@dataclass
+class TopicModel:
+    """Topics that explain how terms occur together: binary hidden factors with the greatest total correlation.
+
+    ``alpha[j, i]`` says how far term i belongs to topic j; ``given`` has log p(x_i = 1 | y_j)
+    and log p(x_i = 0 | y_j) for y_j = 0, 1. ``explained`` is the total correlation that each topic explains.
+    """
 
-    A stand-in for total-correlation topics, which Spark has no model for.
+    terms: list[str]
+    alpha: np.ndarray
+    given: np.ndarray  # (y, x, topic, term) log probabilities
+    marginal: np.ndarray  # (x, term) log probabilities
+    prior: np.ndarray  # (y, topic) log probabilities
+    information: np.ndarray
+    explained: np.ndarray
+
+    @property
+    def score(self) -> float:
+        return float(self.explained.sum())
+
+    def factors(self, documents: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """(p(y_j = 1 | x), log z) of documents given by the places of their terms; absent terms come as one constant a topic."""
+        ratio = self.alpha[None, None] * (self.given - self.marginal[None, :, None, :])
+        absent, turn = ratio[:, 0].sum(-1), ratio[:, 1] - ratio[:, 0]  # (y, topic), (y, topic, term)
+        flat = np.concatenate([np.empty(0, np.int64), *(np.asarray(x, dtype=np.int64) for x in documents)])
+        starts = np.cumsum([0, *map(len, documents)])
+        sums = np.concatenate([np.zeros((2, turn.shape[1], 1)), np.cumsum(turn[:, :, flat], axis=-1)], axis=-1)
+        logs = self.prior[:, :, None] + absent[:, :, None] + sums[:, :, starts[1:]] - sums[:, :, starts[:-1]]
+        z = np.logaddexp(logs[0], logs[1])
+        return np.exp(logs[1] - z).T, z.T
+
+
+def _model(terms: list[str], n: int, present: np.ndarray, weight: np.ndarray, joint: np.ndarray, alpha: np.ndarray, explained: np.ndarray, held: bool) -> TopicModel:
+    """A model from counts, its ``alpha`` moved towards where the information is unless it is ``held``: documents, those with each term, sums of p(y|x), and of p(y|x) over documents with each term."""
+    ones = np.clip(np.stack([present[None] - joint, joint]), 0, None) + 0.01
+    share = np.clip(np.stack([n - weight, weight]), 0, None) + 0.02
+    p1 = ones / share[:, :, None]
+    p1 = np.clip(p1, 1e-9, 1 - 1e-9)
+    m1 = np.clip((present + 0.01) / (n + 0.02), 1e-9, 1 - 1e-9)
+    given, marginal, prior = np.log(np.stack([1 - p1, p1], axis=1)), np.log(np.stack([1 - m1, m1])), np.log(share / share.sum(0))
+    information = np.clip((np.exp(prior)[:, None, :, None] * np.exp(given) * (given - marginal[None, :, None, :])).sum((0, 1)), 0, None)
+    # A term goes with the topic that tells most of it, and with others as near as they come; a
+    # term's shares add up to 1, so that what the topics explain adds up to a bound of the whole.
+    sharp = np.exp(np.clip((information - information.max(0)) / np.maximum(information.max(0), 1e-12) * 10, -50, 0))
+    sharp /= sharp.sum(0)
+    return TopicModel(terms, alpha if held else 0.7 * alpha + 0.3 * sharp, given, marginal, prior, information, explained)
+
+
+def fit_topics(counts: DataFrame, n_topics: int, seed: int = 0, rounds: int = 30, tolerance: float = 1e-4) -> tuple[TopicModel, DataFrame, DataFrame]:
+    """(model, (key, topic, p), (topic, term, weight)) of total-correlation topics over (key, term, tf), counts taken as 0 or 1.
+
+    Each round is a job: tasks hold the model, of topics x terms numbers, and give out one
+    row of sums a topic. Terms are a vocabulary of bounded size; documents are never
+    gathered. Rounds end when the correlation explained stays the same.
     """
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer
-    from pyspark.ml.functions import vector_to_array
-
-    docs = counts.groupBy("key").agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int")))).alias("terms"))
-    cv = CountVectorizer(inputCol="terms", outputCol="features").fit(docs)
-    x = cv.transform(docs)
-    model = LDA(k=n_topics, seed=seed, maxIter=rounds).fit(x)
-    topics = model.transform(x).select("key", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "p"))
-    names = F.array(*map(F.lit, cv.vocabulary))
-    terms = model.describeTopics(20).select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("t")).select("topic", F.element_at(names, F.col("t.termIndices") + 1).alias("term"), F.col("t.termWeights").alias("weight"))
-    return model, topics, terms
-
-
-def best_n_topics(counts: DataFrame, grid: list[int], seed: int = 0) -> DataFrame:
-    """(n_topics, score) for each size, by log-likelihood bound, best first."""
-    spark = counts.sparkSession
-    rows = []
-    for n in grid:
-        model, _, _ = fit_lda(counts, n, seed)
-        rows.append((n, float(-model.logPerplexity(_features(counts, model)))))
-    return spark.createDataFrame(rows, "n_topics int, score double").orderBy(F.desc("score"))
-
-
-def _features(counts: DataFrame, model) -> DataFrame:
-    from pyspark.ml.feature import CountVectorizer
-
-    docs = counts.groupBy("key").agg(F.flatten(F.collect_list(F.array_repeat("term", F.col("tf").cast("int")))).alias("terms"))
-    return CountVectorizer(inputCol="terms", outputCol="features").fit(docs).transform(docs)
+    terms = sorted(r.term for r in counts.select("term").distinct().collect())  # a vocabulary, bounded by its size
+    place = counts.sparkSession.createDataFrame([*enumerate(terms)], "i int, term string")
+    docs = stored(counts.select("key", "term").distinct().join(F.broadcast(place), "term").groupBy("key").agg(F.array_sort(F.collect_list("i")).alias("x")))
+    n = docs.count()
+    if not n:
+        raise ValueError("no documents with terms of the vocabulary")
+    schema = pa.schema([("topic", pa.int32()), ("sums", pa.list_(pa.float64()))])
+    width = len(terms)
+
+    def summed(model: TopicModel | None) -> np.ndarray:
+        """(topic: sum of p, sum of log z, term counts, sums of p by term) over all documents."""
+        shared = docs.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = np.zeros((n_topics, 2 + 2 * width))
+            for batch in batches:
+                for at in range(0, batch.num_rows, 512):
+                    some = batch.slice(at, 512)
+                    x = some.column("x").to_pylist()
+                    if shared.value is None:  # a first guess, by hashes of the documents' terms
+                        h = some.column("h").to_numpy().astype(np.uint64)
+                        p = np.stack([(mixed(h + np.uint64(j * 7919 + 1)) >> np.uint64(11)) / 2.0**53 for j in range(n_topics)], axis=1)
+                        z = np.zeros_like(p)
+                    else:
+                        p, z = shared.value.factors(x)
+                    out[:, 0] += p.sum(0)
+                    out[:, 1] += z.sum(0)
+                    flat = np.concatenate([np.asarray(t, dtype=np.int64) for t in x])
+                    out[:, 2 : 2 + width] += np.bincount(flat, minlength=width)
+                    rows = np.repeat(p, [len(t) for t in x], axis=0)
+                    for j in range(n_topics):
+                        out[j, 2 + width :] += np.bincount(flat, rows[:, j], width)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_topics, dtype=np.int32)), pa.array(list(out), pa.list_(pa.float64()))], schema=schema)
+
+        def added(group: pa.Table) -> pa.Table:
+            total = np.stack(group.column("sums").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)).sum(0)
+            return pa.table({"topic": group.column("topic")[:1], "sums": pa.array([total], pa.list_(pa.float64()))}, schema=schema)
+
+        rows = docs.select("x", F.xxhash64("x", F.lit(seed)).alias("h"))
+        parts = rows.mapInArrow(run, "topic int, sums array<double>").groupBy("topic").applyInArrow(added, "topic int, sums array<double>").collect()  # a row a topic
+        return np.array([r.sums for r in sorted(parts, key=lambda r: r.topic)])
+
+    model: TopicModel | None = None
+    last = -1.0
+    # At first each term belongs to one topic by lot, so that topics start apart.
+    alpha = np.where(np.arange(n_topics)[:, None] == np.random.default_rng(seed).permutation(width)[None, :] % n_topics, 1.0, 0.05)
+    alpha /= alpha.sum(0)
+    for turn in range(rounds):
+        got = summed(model)
+        explained = got[:, 1] / n
+        model = _model(terms, n, got[0, 2 : 2 + width], got[:, 0], got[:, 2 + width :], alpha, explained, held=turn < rounds // 3)
+        alpha = model.alpha
+        if turn > rounds // 2 and abs(explained.sum() - last) < tolerance:
+            break
+        last = explained.sum()
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = pa.schema([("p", pa.list_(pa.float64()))])
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            p = shared.value.factors(batch.column("x").to_pylist())[0]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(list(p), kept.field("p").type)], names=["key", "p"])
+
+    kind = docs.schema["key"].dataType.simpleString()
+    shares = docs.mapInArrow(placed, f"key {kind}, p array<double>").select("key", F.posexplode("p").alias("topic", "p"))
+    own = [(j, terms[i], float(model.information[j, i])) for i in range(width) for j in [int(model.alpha[:, i].argmax())] if model.information[j, i] > 0]
+    return model, shares, docs.sparkSession.createDataFrame(own, "topic int, term string, weight double")
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """Hash values spread over all 64 bits."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(33))
+
+
+def top_terms(terms: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` terms of each topic that tell most of it; ties by term."""
+    return terms.withColumn("_k", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("weight"), "term"))).where(F.col("_k") <= n).drop("_k")
+
+
+def best_n_topics(counts: DataFrame, grid: list[int], seeds: tuple[int, ...] = (0,), rounds: int = 30) -> tuple[TopicModel, DataFrame]:
+    """(best model, (n_topics, score) best first): the grid's fits that explain most total correlation, each from its best start."""
+    fits = [(n, max((fit_topics(counts, n, seed, rounds)[0] for seed in seeds), key=lambda m: m.score)) for n in grid]
+    table = counts.sparkSession.createDataFrame([(n, m.score) for n, m in fits], "n_topics int, score double").orderBy(F.desc("score"), "n_topics")
+    return max(fits, key=lambda f: (f[1].score, -f[0]))[1], table
 
 
 def cleaned(df: DataFrame, text: str) -> DataFrame:

@@ -94,17 +94,34 @@ def name_pairs(s: SparkSession, d: str) -> DataFrame:
     return words.toDF("a", "word").join(words.toDF("b", "word"), "word").where("a < b").select("a", "b").distinct()
 
 
-@query()
+_PAIRS = "w AS (SELECT DISTINCT p_name AS n, unnest(string_split(p_name, ' ')) AS w FROM part), p AS (SELECT DISTINCT a.n AS a, b.n AS b FROM w a JOIN w b ON a.w = b.w AND a.n < b.n)"
+#: Longest common subsequences of the pairs in q, a row of the table a step.
+_LCS = (
+    "r AS (SELECT a, b, 0 AS i, list_transform(range(0, len(b) + 1), lambda k: 0) AS row FROM q UNION ALL "
+    "SELECT a, b, i + 1, list_reduce(list_transform(range(1, len(b) + 1), lambda j: [CASE WHEN a[i + 1] = b[j] THEN row[j] + 1 ELSE row[j + 1] END]), lambda acc, x: list_append(acc, greatest(acc[len(acc)], x[1])), [0]) FROM r WHERE i < len(a)), "
+    "l AS (SELECT a, b, 2.0 * row[len(row)] / (len(a) + len(b)) AS ratio FROM r WHERE i = len(a))"
+)
+
+
+@query(f"WITH RECURSIVE {_PAIRS}, q AS (SELECT a, b FROM p), {_LCS} SELECT a, b, round(ratio, 6) AS ratio FROM l")
 def str12_edit_ratio(s, d):
     return name_pairs(s, d).select("a", "b", F.round(text.edit_ratio("a", "b"), 6).alias("ratio"))
 
 
-@query()
+@query(
+    f"WITH RECURSIVE {_PAIRS}, q AS (SELECT DISTINCT x.w AS a, y.w AS b FROM w x, w y), {_LCS}, s AS (SELECT a, b, string_split(a, ' ') AS x, string_split(b, ' ') AS y FROM p), "
+    "m AS (SELECT s.a, s.b, (l1.ratio + l2.ratio) / 2 AS straight, (l3.ratio + l4.ratio) / 2 AS crossed FROM s JOIN l l1 ON l1.a = x[1] AND l1.b = y[1] JOIN l l2 ON l2.a = x[2] AND l2.b = y[2] JOIN l l3 ON l3.a = x[1] AND l3.b = y[2] JOIN l l4 ON l4.a = x[2] AND l4.b = y[1]) "
+    "SELECT a, b, round(greatest(straight, crossed), 6) AS similarity FROM m"
+)
 def str13_parts_similarity(s, d):
     return name_pairs(s, d).select("a", "b", F.round(text.parts_similarity("a", "b"), 6).alias("similarity"))
 
 
-@query()
+@query(
+    f"WITH {_PAIRS}, s AS (SELECT a, b, list_transform(string_split(a, ' '), lambda z: z[1]) AS x, list_transform(string_split(b, ' '), lambda z: z[1]) AS y, list_transform(range(97, 123), lambda c: chr(c::INT)) AS abc FROM p), "
+    "c AS (SELECT *, list_sum(list_transform(abc, lambda c: least(len(list_filter(x, lambda z: z = c)), len(list_filter(y, lambda z: z = c))))) AS common, list_sum(list_transform(abc, lambda c: greatest(len(list_filter(x, lambda z: z = c)), len(list_filter(y, lambda z: z = c))))) AS every FROM s) "
+    "SELECT a, b, round((common - least(every - len(x), every - len(y))) / least(len(x), len(y)) - 2 + CASE WHEN x = y THEN 1 WHEN list_filter(x, lambda z: list_contains(y, z)) = list_filter(y, lambda z: list_contains(x, z)) THEN 0.5 ELSE 0 END, 6) AS score FROM c"
+)
 def str14_initials_similarity(s, d):
     return name_pairs(s, d).select("a", "b", F.round(text.initials_similarity(text.initials(F.col("a")), text.initials(F.col("b"))), 6).alias("score"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from loomgraph.functions.scratch import stored
 from loomgraph.operators import nlp, representation, tables, topics
 from loomgraph.plans.registry import query, table
 
@@ -215,9 +216,16 @@ def top01_hlp12_doc_terms(s, d):
 
 @query()
 def top02_top04_topics(s, d):
-    """Top terms of five topics (a stand-in model, rows only)."""
+    """Top terms of five total-correlation topics."""
     g = grams(s, d)
-    return topics.fit_lda(topics.doc_terms(g, topics.vocabulary(g, 200)), 5, rounds=3)[2]
+    return topics.top_terms(topics.fit_topics(topics.doc_terms(g, topics.vocabulary(g, 200)), 5, rounds=10)[2])
+
+
+@query()
+def top03_best_n(s, d):
+    """Total correlation explained by two and by four topics, the better one first."""
+    g = grams(s, d)
+    return topics.best_n_topics(stored(topics.doc_terms(g, topics.vocabulary(g, 100))), [2, 4], rounds=6)[1]
 
 
 @query(

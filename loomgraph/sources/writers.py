@@ -37,8 +37,9 @@ def save_topics(documents: DataFrame, shares: DataFrame, terms: DataFrame, folde
     key = documents.columns[0]
     documents.join(wide.withColumnRenamed("key", key), key, "left").write.mode("overwrite").csv(f"{folder}/document_topics", header=True, escape='"')
     terms.repartition("topic").sortWithinPartitions("topic", F.desc("weight"), "term").write.mode("overwrite").partitionBy("topic").csv(f"{folder}/topic_terms", header=True, escape='"')
-    if model is not None:
-        model.write().overwrite().save(f"{folder}/topic_model")
+    if model is not None:  # topics x terms numbers, a row a term
+        rows = [(t, model.alpha[:, i].tolist(), model.information[:, i].tolist()) for i, t in enumerate(model.terms)]
+        terms.sparkSession.createDataFrame(rows, "term string, alpha array<double>, information array<double>").write.mode("overwrite").parquet(f"{folder}/topic_model")
 
 
 def save_graph(nodes: DataFrame, edges: DataFrame, folder: str, mode: str = "overwrite") -> None:
