@@ -47,7 +47,7 @@ PER_HUB = 128
 #: Documents of a block whose registers are compared (340 bytes each).
 SKETCH_BLOCK = 512
 #: Candidates a document from which a block gives out a forest in place of pairs.
-PER_DOC = 4
+PER_DOC = 1
 #: Documents, and shingles, of a block that is compared by full sets.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 2_000_000
 
