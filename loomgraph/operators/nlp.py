@@ -281,12 +281,18 @@ def cluster_tokens(tokens: DataFrame, clusters: DataFrame) -> DataFrame:
     return tokens.join(lists, ["sentence_id", "tok_idx"], "left")
 
 
-def assemble_roles(tokens: DataFrame) -> DataFrame:
-    """(sentence_id, verb, role, text, ids): tokens of one role of one verb in order, from ``srl_args`` maps; role O is left out."""
-    long = tokens.select("sentence_id", "tok_idx", "token", F.explode("srl_args").alias("verb", "tag")).where("tag <> 'O'").withColumn("role", F.regexp_replace("tag", "^[BI]-", ""))
-    own = F.array_sort(F.collect_list(F.struct("tok_idx", "token")))
+def assemble_roles(tokens: DataFrame, phrase: str | None = None) -> DataFrame:
+    """(sentence_id, verb, role, text, ids, phrases): tokens of one role of one verb in order, from ``srl_args`` maps; role O is left out.
+
+    ``phrase`` names a column of noun-phrase labels a token; ``phrases`` lists those of a
+    role in order, each once.
+    """
+    label = F.col(phrase) if phrase else F.lit("")
+    long = tokens.select("sentence_id", "tok_idx", "token", label.alias("phrase"), F.explode("srl_args").alias("verb", "tag")).where("tag <> 'O'").withColumn("role", F.regexp_replace("tag", "^[BI]-", ""))
+    own = F.array_sort(F.collect_list(F.struct("tok_idx", "token", "phrase")))
     g = long.groupBy("sentence_id", "verb", "role").agg(own.alias("x"))
-    return g.select("sentence_id", "verb", "role", F.array_join(F.transform("x", lambda t: t["token"]), " ").alias("text"), F.array_join(F.transform("x", lambda t: t["tok_idx"].cast("string")), "-").alias("ids"))
+    phrases = F.filter(F.array_distinct(F.transform("x", lambda t: t["phrase"])), lambda p: p != "")
+    return g.select("sentence_id", "verb", "role", F.array_join(F.transform("x", lambda t: t["token"]), " ").alias("text"), F.array_join(F.transform("x", lambda t: t["tok_idx"].cast("string")), "-").alias("ids"), phrases.alias("phrases"))
 
 
 def role_triples(assembled: DataFrame) -> DataFrame:

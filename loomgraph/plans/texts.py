@@ -131,6 +131,30 @@ def nlp16_assemble_roles(s, d):
     return t.select("sentence_id", F.col("ARG0").alias("arg0"), F.col("V").alias("verb"), F.col("ARG1").alias("arg1"))
 
 
+@query("SELECT p_partkey::VARCHAR AS sentence_id, 'ARG0' AS role, p_name AS text, array_to_string(list_transform(range(0, len(string_split(p_name, ' '))), lambda i: i::VARCHAR), '-') AS ids, p_name AS phrases FROM part")
+def nlp16_role_phrases(s, d):
+    """Roles with the noun phrases in them: a part's name as one phrase."""
+    tokens = nlp.role_map(predictions(s, d)).join(table(s, d, "part").select(F.col("p_partkey").cast("string").alias("sentence_id"), "p_name"), "sentence_id")
+    labelled = tokens.withColumn("np", F.when(F.contains("p_name", "token"), F.col("p_name")).otherwise(""))
+    a = nlp.assemble_roles(labelled, "np").where("role = 'ARG0'")
+    return a.select("sentence_id", "role", "text", "ids", F.array_join("phrases", "|").alias("phrases"))
+
+
+@query(f"WITH {_SENT} SELECT doc_id || '_' || k AS sentence_id, len(string_split(s, ' ')) AS n FROM z")
+def nlp04_batched_model(s, d):
+    """A model over batches of sentences: here one that counts words."""
+    return nlp.batched(nlp.sentence_table(table(s, d, "documents"), "doc_id", "text"), lambda: lambda texts: [{"n": len(t.split(" "))} for t in texts], "n long")
+
+
+@query(f"WITH {_SENT} SELECT 'ner' AS step, count(*) AS n FROM z UNION ALL SELECT 'coref', count(DISTINCT doc_id) FROM z")
+def nlp03_discovery(s, d):
+    """Steps in their order; one without a model is skipped."""
+    sentences = stored(nlp.sentence_table(table(s, d, "documents"), "doc_id", "text"))
+    done, _ = nlp.discover(sentences, nlp.documents_of(sentences), {"ner": lambda x: x.select("sentence_id"), "coref": lambda x: x.select("doc_id")})
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("step"), "n") for name, df in done.items()]
+    return counts[0].unionAll(counts[1])
+
+
 @query("SELECT p_partkey::VARCHAR AS sentence_id, i - 1 AS tok_idx, w[i] AS token, CASE WHEN i <= 2 THEN array_to_string(w[1:2], '-') END AS mentions FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM (SELECT p_partkey, list_concat(string_split(p_name, ' '), ['ships', 'x']) AS w FROM part))")
 def nlp07_cluster_tokens(s, d):
     tokens = predictions(s, d).select("sentence_id", F.posexplode("words").alias("tok_idx", "token"))
@@ -194,13 +218,13 @@ def agg18_nlp22_word_pieces(s, d):
 
 
 _GRAMS = (
-    "w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), lambda x: x NOT IN ('the', 'of', 'and')) AS w FROM documents WHERE lang = 'en'), "
+    "w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '([a-z0-9]+)', 1), lambda x: x NOT IN ('the', 'of', 'and')) AS w FROM documents), "
     "g AS (SELECT doc_id, unnest(w) AS term FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' '))) FROM w UNION ALL SELECT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) FROM w)"
 )
 
 
 def grams(s, d):
-    return topics.ngrams(table(s, d, "documents").where("lang = 'en'"), "doc_id", "text", ("the", "of", "and"))
+    return topics.ngrams(table(s, d, "documents"), "doc_id", "text", ("the", "of", "and"))
 
 
 @query(f"WITH {_GRAMS} SELECT term, count(*) AS n FROM g GROUP BY 1 ORDER BY n DESC, term LIMIT 1000")

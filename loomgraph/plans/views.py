@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import views, weights
+from loomgraph.operators import etl, views, weights
 from loomgraph.plans.registry import query, table
 from loomgraph.plans.relational import TRADE_SQL, _roundtrip, trade
 from loomgraph.sources import readers, writers
@@ -74,3 +74,29 @@ def snk08_intermediates(s, d):
     path = _roundtrip(s, "intermediate")
     table(s, d, "documents").select("doc_id", "text", "lang").write.partitionBy("lang").parquet(path)
     return s.read.parquet(path).groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("SELECT p_partkey, lower(p_type) AS t FROM part WHERE p_partkey % 3 = 1")
+def flt14_single_valued(s, d):
+    """Lists of none, one and two elements: rows with one, unwrapped."""
+    lists = F.when(F.col("p_partkey") % 3 == 0, F.array().cast("array<string>")).when(F.col("p_partkey") % 3 == 1, F.array("p_type")).otherwise(F.array("p_type", "p_brand"))
+    return etl.single_valued(table(s, d, "part").select("p_partkey", lists.alias("t")), "t")
+
+
+@query(f"SELECT \"edgeType\" AS type, count(*) AS n FROM {TRADE_SQL} GROUP BY 1")
+def snk05_local_graph(s, d):
+    """A local graph saved, entities before roles, and its edges read back."""
+    path, edges = _roundtrip(s, "local"), trade(s, d)
+    kind = writers.save_local_graph("doc", path, None, (edges, edges.select(F.col("from").alias("entity")).distinct()), edges.where("false"))
+    return s.read.schema("`from` string, `to` string, edgeType string").json(f"{path}/doc_local_graph_{kind}_edges").groupBy(F.col("edgeType").alias("type")).agg(F.count("*").alias("n"))
+
+
+@query("WITH c AS (SELECT p_brand AS cluster, count(*) AS n FROM part GROUP BY 1), k AS (SELECT cluster, row_number() OVER (ORDER BY n DESC, cluster) - 1 AS k FROM c) SELECT p_partkey AS node, cluster, (k % 8 + 1)::VARCHAR AS colour FROM part JOIN k ON cluster = p_brand")
+def vis03_community_colours(s, d):
+    clusters = table(s, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("cluster"))
+    return views.community_graph(s.createDataFrame([], "`from` int, `to` int, weight double"), clusters)[0]
+
+
+@query("SELECT item_id, md5(regexp_replace(regexp_replace(text, '(?i)(the)', '<span style=\"background-color:red\">\\1</span>', 'g'), '(?i)(her)', '<span style=\"background-color:blue\">\\1</span>', 'g')) AS h FROM benchmark")
+def vis07_keywords(s, d):
+    return views.keyword_rows(table(s, d, "benchmark"), {"the": "red", "her": "blue"}).select("item_id", F.md5("html").alias("h"))
