@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,18 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` if set.
-
-    Only where the session names none (tests, a laptop) a local one is made and set.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
-        spark.conf.set("spark.checkpoint.dir", named)
-        spark.sparkContext.setCheckpointDir(named)
-    return named.rstrip("/")
+from loomgraph.functions.scratch import folder
 
 
 class Scratch:
@@ -35,7 +23,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, purpose: str):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/loomgraph/{purpose}-{uuid.uuid4().hex}"
+        self.root = f"{folder(spark)}/loomgraph/{purpose}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
