@@ -44,6 +44,13 @@ def text_column(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [t if t is not None else "" for t in batch.column(name).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], step: int = 256) -> Iterator[pa.RecordBatch]:
+    """Batches cut to at most ``step`` rows, so that few of their texts are Python strings at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            yield batch.slice(at, step)
+
+
 def row_function(
     f: Callable[[pa.RecordBatch], dict[str, object]], schema: pa.Schema, step: int = 512
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

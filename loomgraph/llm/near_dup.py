@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch, begin, connected_components, mix64, partitions, row_function
+from loomgraph.llm.common import Scratch, begin, connected_components, mix64, partitions, row_function, slices
 
 #: Registers of a sketch; their base, rate and largest value.
 REGISTERS, BASE, RATE, TOP = 160, 1.001, 20.0, 65535
@@ -213,7 +213,7 @@ def verify(pairs: DataFrame, df: DataFrame, k: int, percent: int, text: str, key
         hashes = _Hashes()
         begin("near_dup", hashes.clear)
         group, sets = None, []
-        for batch in batches:
+        for batch in slices(batches):
             found = []
             for b, part, kind, i, t in zip(*(batch.column(n).to_pylist() for n in ("b", "part", "kind", "id", "text"))):
                 own = shingle_set(words_of(t or ""), k, hashes)
@@ -372,7 +372,7 @@ def links_across(placed: DataFrame, df: DataFrame, k: int, percent: int, text: s
         hashes = _Hashes()
         begin("near_dup", hashes.clear)
         block, group = None, []
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for cluster, i, j, left, right, node, c, t in zip(*(batch.column(n).to_pylist() for n in ("cluster", "i", "j", "left", "right", "node", "c", "text"))):
                 if (cluster, i, j) != block:
