@@ -46,8 +46,8 @@ BROADCAST_ROWS = 500_000
 PER_HUB = 128
 #: Documents of a block whose registers are compared (340 bytes each).
 SKETCH_BLOCK = 512
-#: Candidates a document from which a block gives out a forest in place of pairs.
-PER_DOC = 1
+#: Candidates a block, and further ones a document, beyond which it gives out a forest in place of pairs.
+PER_BLOCK, PER_DOC = 8, 0.25
 #: Documents, and shingles, of a block that is compared by full sets.
 BLOCK_DOCS, BLOCK_SHINGLES = 512, 2_000_000
 
@@ -254,7 +254,7 @@ def block_candidates(members: DataFrame, limits: Limits) -> DataFrame:
 
     A bucket is cut into ``parts``, and each pair of parts is a block. Where ``many`` holds
     the pairs are not the candidates but stars that connect them. A block gives out at most
-    PER_DOC rows a document.
+    a row a document, and PER_BLOCK.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("many", pa.bool_())])
     enough = math.ceil(REGISTERS * limits.least)
@@ -271,7 +271,7 @@ def block_candidates(members: DataFrame, limits: Limits) -> DataFrame:
         found = int(np.count_nonzero(hit))
         if not found:
             return []
-        if found <= PER_DOC * len(node):
+        if found <= PER_BLOCK + PER_DOC * len(node):
             x, y = np.nonzero(hit)
             x, y = i[x], j[y]
             p, q = regs[x], regs[y]
