@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import bpe_dp, chat, collocations, embedding_dup, near_dup, packing, quality, sharding, token_files, toxicity
+from loomgraph.llm import bpe_dp, chat, collocations, embedding_dup, multi_index, near_dup, packing, quality, sharding, spelling, token_files, toxicity
 
 #: Byte limit of a shard in op4.
 SHARD_BYTES = 1 << 20
@@ -70,13 +70,23 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.classes(table(spark, sf_dir, "documents"), k=2, percent=80)
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, forms and roots of all words of the documents."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth embedding among all embeddings."""
+    return multi_index.search(table(spark, sf_dir, "embeddings"), k=20, modulus=20)
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2,000 collocations of each language in all documents."""
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_chat_formatting, op3_bpe, op4_sharding, op5_toxicity, op6_token_files, op7_quality_rules, op8_token_counts, op9_packing, op10_minhash_near_dedup, op13_phrase_collocations)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_chat_formatting, op3_bpe, op4_sharding, op5_toxicity, op6_token_files, op7_quality_rules, op8_token_counts, op9_packing, op10_minhash_near_dedup, op11_spelling_variants, op12_nearest_neighbours, op13_phrase_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
