@@ -5,7 +5,10 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ NODE = "node string, cluster string"
 
 #: Rows of a group in one part; a group's pairs are dealt to tasks as pairs of parts.
 PART_ROWS = 1000
+#: Links that one task joins into components; links from which a node is a hub; the most hubs there can be.
+SMALL_EDGES, HUB_LINKS, MOST_HUBS = 200_000, 100_000, 1_000_000
 #: Edges of a component that one task takes on; beyond, functions that work by component refuse.
 MOST_EDGES = 5_000_000
 
@@ -77,10 +82,13 @@ def one_hop(pairs: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def two_hop(weights: DataFrame) -> DataFrame:
-    """(u, v, score) for pairs at distance exactly two: the sum over nodes between of both links' weights."""
-    w = both_ways(weights)
-    via = w.toDF("u", "p", "w1").join(w.toDF("p", "v", "w2"), "p").where("u < v")
-    return via.join(weights.select("u", "v"), ["u", "v"], "left_anti").groupBy("u", "v").agg(F.sum(F.col("w1") + F.col("w2")).alias("score"))
+    """(u, v, score) for pairs at distance exactly two: the sum over nodes between of both links' weights.
+
+    Paths of two links are pairs of links within the node between, dealt to tasks by parts of it.
+    """
+    via = pairs_within(both_ways(weights).toDF("u", "p", "w"), "p", "u").select(F.col("u_a").alias("u"), F.col("u_b").alias("v"), (F.col("w_a") + F.col("w_b")).alias("w"))
+    direct = weights.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    return via.groupBy("u", "v").agg(F.sum("w").alias("score")).join(direct, ["u", "v"], "left_anti")
 
 
 def phi_graph(edges: DataFrame, above: float = 0.0) -> DataFrame:
@@ -99,14 +107,11 @@ def phi_graph(edges: DataFrame, above: float = 0.0) -> DataFrame:
 
 
 def cosine_graph(vectors: DataFrame, key: str, vector: str, by: str, above: float) -> DataFrame:
-    """(a, b, similarity) of pairs within a group ``by`` whose cosine is over the limit.
+    """(a, b, similarity) of pairs within a group ``by`` whose cosine is over the limit: an exact metric join."""
+    from loomgraph.operators.metric import similar_pairs
 
-    Exact over each group, which is compared in blocks; a high limit on large groups is a
-    case for a pigeonhole join.
-    """
     v = vectors.select(F.col(by).alias("_by"), F.col(key).alias("k"), arrays.unit(F.transform(vector, lambda x: x.cast("double"))).alias("x"))
-    pairs = pairs_within(v, "_by", "k")
-    return pairs.select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), arrays.dot(F.col("x_a"), F.col("x_b")).alias("similarity")).where(F.col("similarity") > above)
+    return similar_pairs(v, above, "k", "x", "_by")
 
 
 def indirect_edges(edges: DataFrame, edge_type: str, name: str) -> DataFrame:
@@ -115,25 +120,73 @@ def indirect_edges(edges: DataFrame, edge_type: str, name: str) -> DataFrame:
     return p.select(F.col("u").alias("from"), F.col("v").alias("to"), F.lit(name).alias("edgeType"), "weight")
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component): least node reachable, by hooking to the least neighbour and jumping along labels.
+def connected_components(edges: DataFrame, small: int = SMALL_EDGES, hub: int = HUB_LINKS) -> DataFrame:
+    """(node, component): least node reachable, for every end of ``edges(from, to)`` that has another node beside itself.
 
-    Each round is a written table, so lineage stays one round long and lost executors cost
-    no more than a round.
+    Large and small stars by turns: a node links its greater neighbours, then its lesser
+    ones, to the least of them, until every node is linked to the least of its component
+    alone. Each turn is a written table without repeated links, so lineage stays short. The
+    rows of a node of over ``hub`` links do not go to that node's task: what a hub hands on
+    is broadcast, and hubs are few since each takes its share of all links. Graphs of up to
+    ``small`` links are joined in one task.
     """
-    pairs = edges.select(F.col("from").alias("a"), F.col("to").alias("b"))
-    both = stored(pairs.unionAll(pairs.select("b", "a")).where("a <> b").distinct())
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    pairs = edges.select(F.col("from").alias("u"), F.col("to").alias("v")).where("u <> v")
+    now = stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    links = now.count()
+    if links <= small:
+        return _joined_at_once(now)
+    hub = max(hub, 2 * links // MOST_HUBS)
+    mark = None
     while True:
-        near = both.join(labels.toDF("b", "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("low"))
-        best = hooked.groupBy("was").agg(F.min("low").alias("best"))
-        met = hooked.join(best, "was").select("node", "was", F.least("low", "best").alias("mid"))
-        further = met.select(F.col("node").alias("mid"), F.col("mid").alias("far"))
-        step = stored(met.join(further, "mid").select("node", "was", F.least("mid", "far").alias("label")))
-        labels = step.select("node", "label")
-        if step.where("was <> label").limit(1).count() == 0:
-            return labels.withColumnRenamed("label", "component")
+        large = _star(now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), hub, large=True)
+        now = stored(_star(large, hub, large=False))
+        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if seen == mark:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select("v", "v").distinct())
+        mark = seen
+
+
+def _star(links: DataFrame, hub: int, large: bool) -> DataFrame:
+    """One turn over ``links(u, v)``: (u, v), u > v, of neighbours and the least of a node's neighbours and itself.
+
+    In a large turn links stand both ways and the greater neighbours are handed on; in a small turn
+    u is the greater end, and all its neighbours and u itself are handed on.
+    """
+    least = stored(links.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")))
+    far = links.where("v > u") if large else links
+    hubs = F.broadcast(least.where(F.col("n") > hub).select("u", "m"))  # at most MOST_HUBS rows
+    others = far.join(hubs, "u", "left_anti").join(least.where(F.col("n") <= hub).select("u", "m"), "u")
+    made = far.join(hubs, "u").select("v", "m").unionAll(others.select("v", "m"))
+    if not large:
+        made = made.unionAll(least.select("u", "m"))
+    return made.toDF("u", "v").where("u <> v").distinct()
+
+
+def _joined_at_once(links: DataFrame) -> DataFrame:
+    """Components of a counted, small number of links, in one task."""
+    kind = links.schema["u"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        ends = pa.concat_arrays([c for n in ("u", "v") for c in table.column(n).chunks])
+        nodes = ends.unique().sort()
+        place = pc.index_in(ends, nodes).to_numpy()
+        a, b = place[: table.num_rows], place[table.num_rows :]
+        label = np.arange(len(nodes))
+        while True:
+            was = label.copy()
+            low = np.minimum(label[a], label[b])
+            for side in (label[a], label[b], a, b):  # a label hands on what its nodes learn
+                np.minimum.at(label, side, low)
+            label = label[label]
+            if (label == was).all():
+                break
+        yield pa.RecordBatch.from_arrays([nodes, nodes.take(pa.array(label))], names=["node", "component"])
+
+    return links.repartition(1).mapInArrow(run, f"node {kind}, component {kind}")
 
 
 def _within_bounds(edges: DataFrame, parts: DataFrame, most: int) -> None:

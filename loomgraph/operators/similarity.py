@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scratch import stored
 from loomgraph.functions.text import char_ngrams, clean_entity, clean_parts
+from loomgraph.operators.metric import Side, pairs_of_parts, similar_pairs
 
 
 def tfidf(terms: DataFrame, least_share: float = 0.0) -> DataFrame:
@@ -35,23 +41,27 @@ def word_terms(names: DataFrame, key: str, name: str) -> DataFrame:
 def candidate_pairs(names: DataFrame, key: str, name: str, above: float = 0.8) -> DataFrame:
     """(a, b, similarity), a < b: pairs whose character cosine is over the limit.
 
-    Exact, by prefixes: a name's characters stand in one global order, the rarest first, and
-    its prefix ends where the rest of its unit vector is too short to reach the limit. A
-    pair over the limit has a character in both prefixes; the first such one makes it a
-    candidate, once, and the whole vectors decide.
+    Exact, as a metric join of dense vectors: an alphabet has no rare characters to index,
+    but few of them, so names are points of some dozens of dimensions. Characters in fewer
+    than one of 200 names are left out, which bounds the dimensions by 200 times the
+    characters of a name.
     """
-    w = tfidf(char_terms(names, key, name), 0.005)
-    often = w.groupBy("term").agg(F.count("*").alias("often"))
-    entry = F.struct("often", "term", "w")
-    vectors = w.join(often, "term").groupBy("key").agg(F.array_sort(F.collect_list(entry)).alias("x"))  # characters of one name
-    rest = lambda i: F.aggregate(F.slice("x", i + 1, F.size("x")), F.lit(0.0), lambda s, e: s + e["w"] * e["w"])
-    prefix = F.transform(F.filter("x", lambda e, i: F.sqrt(rest(i)) > above - 1e-9), lambda e: e["term"])
-    v = stored(vectors.select("key", F.transform("x", lambda e: F.struct(e["term"].alias("term"), e["w"].alias("w"))).alias("x"), prefix.alias("prefix")))
-    side = lambda s: v.select(F.col("key").alias(s), F.explode("prefix").alias("term"), F.col("prefix").alias(f"p{s}"), F.col("x").alias(f"x{s}"))
-    met = side("a").join(side("b"), "term").where("a < b").where(F.element_at(F.array_intersect("pa", "pb"), 1) == F.col("term"))
-    weights = F.map_from_entries("xb")
-    dot = F.aggregate("xa", F.lit(0.0), lambda s, e: s + e["w"] * F.coalesce(F.try_element_at(weights, e["term"]), F.lit(0.0)))
-    return met.select("a", "b", dot.alias("similarity")).where(F.col("similarity") > above)
+    w = stored(tfidf(char_terms(names, key, name), 0.005))
+    terms = sorted(r["term"] for r in w.select("term").distinct().collect())  # bounded, as above
+    place = {t: i for i, t in enumerate(terms)}
+    size = len(terms)
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own, weights = b.column("terms"), b.column("weights").flatten().to_numpy()
+            at = np.array([place[t] for t in own.flatten().to_pylist()], dtype=np.int64)
+            x = np.zeros((b.num_rows, size))
+            x[np.repeat(np.arange(b.num_rows), np.diff(own.offsets.to_numpy())), at] = weights
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * size), pa.array(x.ravel()))], names=["key", "x"])
+
+    entries = w.groupBy("key").agg(F.collect_list(F.struct("term", "w")).alias("e")).select("key", F.col("e.term").alias("terms"), F.col("e.w").alias("weights"))  # characters of one name
+    vectors = entries.mapInArrow(dense, f"key {w.schema['key'].dataType.simpleString()}, x array<double>")
+    return similar_pairs(vectors, above, "key", "x")
 
 
 def word_similarity(pairs: DataFrame, names: DataFrame, key: str, name: str) -> DataFrame:
@@ -91,9 +101,95 @@ def part_likelihood(names: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def pairwise_edit_ratio(names: DataFrame, key: str, name: str, above: float = 0.0) -> DataFrame:
-    """(a, b, ratio), a < b: all pairs of names whose edit ratio is over the limit, compared in blocks."""
-    from loomgraph.functions.text import edit_ratio
-    from loomgraph.operators.graphs import pairs_within
+    """(a, b, ratio), a < b: pairs of names with a letter in common whose edit ratio is over the limit, 0 or more.
 
-    pairs = pairs_within(names.select(F.lit(0).alias("_all"), F.col(key).alias("k"), F.col(name).alias("x")), "_all", "k")
-    return pairs.select(F.col("k_a").alias("a"), F.col("k_b").alias("b"), edit_ratio("x_a", "x_b").alias("ratio")).where(F.col("ratio") > above)
+    The ratio of two names is at most that of their lengths, so names stand in parts by
+    length and only parts of near lengths meet. Of these the letters that two names share at
+    all, as a product of unary counts, bound what they share in order; the pairs that may
+    reach the limit are counted in order by bit-parallel sums. Null names and keys have no pairs.
+    """
+    limit = math.log(2 / above - 1) if above > 0 else math.inf
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = b.column("x").to_pylist()
+            ring = np.log(np.array([max(1, len(t)) for t in text], dtype=np.float64))
+            at = pa.ListArray.from_arrays(pa.array(np.arange(len(text) + 1, dtype=np.int32)), pa.array(ring))
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(np.zeros(len(text), np.int32)), pa.array((ring * 8).astype(np.int32)), pa.array(ring), at, b.column("x").cast(pa.binary())], names=["key", "g", "cell", "ring", "at", "data"])
+
+    def compare(left: Side, right: Side | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        a = [t.decode() for t in left.data]
+        b = a if right is None else [t.decode() for t in right.data]
+        size_a, size_b = (np.array([len(t) for t in s], dtype=np.int64) for s in (a, b))
+        x, y = unary_counts(a, b)
+        for at in range(0, len(a), 128):
+            to = min(len(a), at + 128)
+            total = size_a[at:to, None] + size_b[None, :]
+            may = 2 * (x[at:to] @ y.T) > above * total
+            if right is None:
+                may &= np.arange(at, to)[:, None] < np.arange(len(b))[None, :]
+            i, j = np.nonzero(may)
+            shared = common_in_order(a, b, i + at, j)
+            ratio = 2.0 * shared / np.maximum(total[i, j], 1)
+            keep = ratio > above
+            yield i[keep] + at, j[keep], ratio[keep]
+
+    rows = names.select(F.col(key).alias("key"), F.col(name).cast("string").alias("x")).where("key IS NOT NULL AND x IS NOT NULL")
+    placed = rows.mapInArrow(place, f"key {rows.schema['key'].dataType.simpleString()}, g int, cell int, ring double, at array<double>, data binary")
+    return pairs_of_parts(placed, 1, limit + 1e-9, 1024, 64, compare).withColumnRenamed("similarity", "ratio")
+
+
+def unary_counts(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """0/1 matrices with a column for each letter and each time it can occur: their product is how many letters two names share."""
+    place: dict[tuple[str, int], int] = {}
+    rows = []
+    for names in (a, b):
+        own = []
+        for t in names:
+            seen: dict[str, int] = {}
+            for c in t:
+                seen[c] = seen.get(c, 0) + 1
+                own.append(place.setdefault((c, seen[c]), len(place)))
+        rows.append(own)
+    out = []
+    for names, own in zip((a, b), rows):
+        x = np.zeros((len(names), max(1, len(place))), dtype=np.float32)
+        x[np.repeat(np.arange(len(names)), [len(t) for t in names]), own] = 1
+        out.append(x)
+    return out[0], out[1]
+
+
+def common_in_order(a: list[str], b: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The length of the longest common subsequence of a[i] and b[j] for each pair.
+
+    Bit-parallel: a bit for each letter of a[i], all pairs a letter of b[j] at a time; names of
+    over 64 letters take several words, with the carry handed on.
+    """
+    if not len(i):
+        return np.zeros(0, dtype=np.int64)
+    codes: dict[str, int] = {}
+    used_a, used_b = np.unique(i), np.unique(j)
+    words = max(1, -(-max(len(a[k]) for k in used_a) // 64))
+    wide = max((len(b[k]) for k in used_b), default=0)
+    letters = np.full((len(used_b), max(1, wide)), -1, dtype=np.int64)
+    for row, k in enumerate(used_b):
+        letters[row, : len(b[k])] = [codes.setdefault(c, len(codes)) for c in b[k]]
+    masks = np.zeros((len(used_a), len(codes) + 1, words), dtype=np.uint64)  # the last letter is none
+    for row, k in enumerate(used_a):
+        for at, c in enumerate(a[k]):
+            if c in codes:
+                masks[row, codes[c], at >> 6] |= np.uint64(1 << (at & 63))
+    ia, jb = np.searchsorted(used_a, i), np.searchsorted(used_b, j)
+    v = np.full((words, len(i)), ~np.uint64(0))
+    for at in range(wide):
+        m = masks[ia, letters[jb, at]]
+        carry = np.zeros(len(i), dtype=np.uint64)
+        for w in range(words):
+            both = v[w] & m[:, w]
+            sum_ = v[w] + both
+            over = sum_ < both
+            sum_ += carry
+            over |= sum_ < carry
+            v[w] = sum_ | (v[w] & ~m[:, w])
+            carry = over.astype(np.uint64)
+    return np.bitwise_count(~v).sum(axis=0).astype(np.int64)

@@ -7,9 +7,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.runs import byte_slices, flat, hashes, runs, vocabulary as words_of_runs
 from loomgraph.functions.scratch import stored
 from loomgraph.functions.text import clean_topic
 
@@ -34,7 +37,7 @@ def ngrams(df: DataFrame, key: str, text: str, stop_words: tuple[str, ...] = (),
 
 
 def vocabulary(terms: DataFrame, size: int = 10_000) -> DataFrame:
-    """The most frequent terms with their counts; ties by term."""
+    """The most frequent terms of any table of terms with their counts; ties by term."""
     return terms.groupBy("term").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "term").limit(size)
 
 
@@ -43,6 +46,176 @@ def doc_terms(terms: DataFrame, vocab: DataFrame) -> DataFrame:
     return terms.join(F.broadcast(vocab.select("term")), "term").groupBy("key", "term").agg(F.count("*").alias("tf"))
 
 
+class Grams:
+    """1- to ``longest``-grams of words ``[a-zA-Z0-9]+`` in lower case, without stop words, of all texts of a table.
+
+    The same terms as ``ngrams`` gives, counted without a row for each: tasks find the words of a
+    slice of texts on its bytes and hash runs of them.
+    """
+
+    def __init__(self, df: DataFrame, key: str, text: str, stop_words: tuple[str, ...] = (), longest: int = 3):
+        self.rows = df.select(F.col(key).alias("key"), F.lower(F.col(text)).alias("text"))
+        self.stop, self.longest = frozenset(w.encode() for w in stop_words), longest
+
+    def vocabulary(self, size: int = 10_000, kept: int = 1 << 18) -> DataFrame:
+        """(term, n): the ``size`` most frequent terms, exactly; ties by term.
+
+        Two passes. First each task keeps the ``kept`` most frequent hashes of its own terms and
+        what the others have at most; added up, these bound every term's count from both
+        sides. Terms whose upper bound reaches the lower bound of the ``size``-th are counted exactly in
+        the second pass. Should the last one then fall below that bound, or too little
+        have been kept to tell, the passes are run again with more.
+        """
+        while True:
+            sums, lost = self._summaries(kept)
+            least = sums.orderBy(F.desc("n")).limit(size).agg(F.count("*"), F.min("n")).first()
+            bound = least[1] if least[0] == size else 0
+            if bound > lost or not lost:
+                while True:
+                    counted = stored(self.counts(sums.where(F.col("n") + lost >= bound).select("h")))
+                    best = counted.orderBy(F.desc("n"), "term").limit(size)
+                    last = best.agg(F.count("*"), F.min("n")).first()
+                    if not bound or (last[0] == size and last[1] >= bound):
+                        return best
+                    bound = last[1] if last[0] == size and last[1] > lost else 0
+                    if not bound and lost:
+                        break
+            kept *= 8
+
+    def _summaries(self, kept: int) -> tuple[DataFrame, int]:
+        """((h, n), most that any term has beside its n): added up over tasks."""
+        step, longest, stop = _Slice, self.longest, self.stop
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, lost = [], 0
+            for batch in byte_slices(batches):
+                held.append(np.unique(step(batch, longest, stop).hashes(), return_counts=True))
+                if sum(len(h) for h, _ in held) > 4 * kept:
+                    held, more = _shortened(held, kept)
+                    lost += more
+            if held:
+                held, more = _shortened(held, kept)
+                h, n = held[0]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([lost + more])], names=["h", "n"])
+
+        sums = stored(self.rows.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+        lost = sums.where("h IS NULL").first()
+        return sums.where("h IS NOT NULL"), lost["n"] if lost else 0
+
+    def counts(self, wanted: DataFrame) -> DataFrame:
+        """(term, n) of all terms whose hash stands in ``wanted(h)``, and of what shares a hash with them."""
+        return self._found(wanted, False).groupBy("term").agg(F.sum("n").alias("n"))
+
+    def doc_terms(self, vocab: DataFrame) -> DataFrame:
+        """(key, term, tf) over a vocabulary, a table bounded by its size."""
+        hashed = vocab.select("term").mapInArrow(_hash_terms, "h long")
+        found = self._found(hashed, True).join(F.broadcast(vocab.select("term")), "term", "left_semi")
+        return found.groupBy("key", "term").agg(F.sum("n").alias("tf"))
+
+    def _found(self, wanted: DataFrame, by_key: bool) -> DataFrame:
+        """(key, term, n) or (term, n) a slice; the hashes wanted are a sorted array in every task while they are few, else joined."""
+        few = wanted.count() <= MOST_WANTED
+        near = wanted.sparkSession.sparkContext.broadcast(np.sort(wanted.toArrow().column("h").to_numpy()) if few else None)
+        step, longest, stop = _Slice, self.longest, self.stop
+        kind = self.rows.schema["key"].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in byte_slices(batches):
+                yield from step(batch, longest, stop).terms(near.value, by_key)
+
+        made = self.rows.mapInArrow(run, f"h long, key {kind}, term string, n long" if by_key else "h long, term string, n long")
+        return made if few else made.join(wanted.distinct(), "h", "left_semi")
+
+
+#: Hashes that may be sent to every task (8 bytes each).
+MOST_WANTED = 4_000_000
+#: Which bytes stand in words.
+IN_WORDS = np.zeros(256, dtype=bool)
+IN_WORDS[[*b"0123456789abcdefghijklmnopqrstuvwxyz"]] = True
+NEXT = np.uint64(0x9E3779B97F4A7C15)
+
+
+class _Slice:
+    """Words of a slice of texts and the runs of them."""
+
+    def __init__(self, batch: pa.RecordBatch, longest: int, stop: frozenset[bytes]):
+        data, at = flat(batch.column("text"))
+        inside = IN_WORDS[data]
+        starts, ends = runs(inside, at)
+        self.keys, self.longest = batch.column("key"), longest
+        self.code, self.words = words_of_runs(data, inside, starts, ends)
+        told = self.words.to_pylist()
+        self.row = np.searchsorted(at, starts, side="right") - 1
+        if stop:
+            keep = ~np.array([w in stop for w in told], dtype=bool)[self.code] if len(told) else np.zeros(0, bool)
+            self.code, self.row = self.code[keep], self.row[keep]
+        self.hash = hashes(told)[self.code] if len(told) else np.zeros(0, np.uint64)
+
+    def _levels(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(first words, hash) of the runs of each length."""
+        h = mixed(self.hash)
+        for k in range(1, self.longest + 1):
+            if k > 1:
+                h = mixed(h[:-1] * NEXT + self.hash[k - 1 :])
+            first = np.flatnonzero(self.row[: len(h)] == self.row[k - 1 :]) if len(h) else np.zeros(0, np.int64)
+            yield first, h[first]
+            if not len(h):
+                return
+
+    def hashes(self) -> np.ndarray:
+        return np.concatenate([h for _, h in self._levels()])
+
+    def terms(self, wanted: np.ndarray | None, by_key: bool) -> Iterator[pa.RecordBatch]:
+        """(h, key, term, n) or (h, term, n) of the runs wanted, added up."""
+        for k, (first, h) in enumerate(self._levels(), 1):
+            if wanted is not None:
+                signed = h.view(np.int64)
+                place = np.minimum(np.searchsorted(wanted, signed), len(wanted) - 1) if len(wanted) else np.zeros(0, np.int64)
+                hit = wanted[place] == signed if len(wanted) else np.zeros(len(h), bool)
+                first, h = first[hit], h[hit]
+            if not len(first):
+                continue
+            by = np.lexsort((h, self.row[first])) if by_key else np.argsort(h, kind="stable")
+            first, h = first[by], h[by]
+            new = np.concatenate([[True], h[1:] != h[:-1]])
+            if by_key:
+                new[1:] |= self.row[first[1:]] != self.row[first[:-1]]
+            # Within a slice equal hashes are taken for equal terms only where their words are.
+            for i in range(k):
+                new[1:] |= self.code[first[1:] + i] != self.code[first[:-1] + i]
+            heads = np.flatnonzero(new)
+            n, own = np.diff(heads, append=len(first)), first[heads]
+            parts = [self.words.take(pa.array(self.code[own + i])) for i in range(k)]
+            term = parts[0] if k == 1 else pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary()))
+            columns = [pa.array(h[heads].view(np.int64)), *([self.keys.take(pa.array(self.row[own]))] if by_key else []), term.cast(pa.large_string()).cast(pa.string()), pa.array(n)]
+            yield pa.RecordBatch.from_arrays(columns, names=["h", *(["key"] if by_key else []), "term", "n"])
+
+
+def _hash_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h) of terms, as slices hash their runs."""
+    for batch in batches:
+        out = []
+        for term in batch.column("term").to_pylist():
+            words = hashes([w.encode() for w in term.split(" ")])
+            h = mixed(words[:1])
+            for w in words[1:]:
+                h = mixed(h * NEXT + w)
+            out.append(h)
+        yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(out) if out else np.zeros(0, np.uint64)).view(np.int64))], names=["h"])
+
+
+def _shortened(held: list[tuple[np.ndarray, np.ndarray]], kept: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """The sums of equal hashes, the ``kept`` largest of them, and the largest of the rest."""
+    h, n = (np.concatenate(x) for x in zip(*held))
+    h, own = np.unique(h, return_inverse=True)
+    n = np.bincount(own, n, len(h)).astype(np.int64)
+    if len(h) <= kept:
+        return [(h, n)], 0
+    order = np.argsort(-n, kind="stable")
+    return [(h[order[:kept]], n[order[:kept]])], int(n[order[kept]])
+
+
 @dataclass
 class TopicModel:
     """Topics that explain how terms occur together: binary hidden factors with the greatest total correlation.
@@ -63,16 +236,18 @@ class TopicModel:
     def score(self) -> float:
         return float(self.explained.sum())
 
-    def factors(self, documents: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """(p(y_j = 1 | x), log z) of documents given by the places of their terms; absent terms come as one constant a topic."""
+    def factors(self, flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(p(y_j = 1 | x), log z), documents x topics, of documents given by the places of their terms, ``flat[starts[k]:starts[k + 1]]`` each."""
         ratio = self.alpha[None, None] * (self.given - self.marginal[None, :, None, :])
         absent, turn = ratio[:, 0].sum(-1), ratio[:, 1] - ratio[:, 0]  # (y, topic), (y, topic, term)
-        flat = np.concatenate([np.empty(0, np.int64), *(np.asarray(x, dtype=np.int64) for x in documents)])
-        starts = np.cumsum([0, *map(len, documents)])
-        sums = np.concatenate([np.zeros((2, turn.shape[1], 1)), np.cumsum(turn[:, :, flat], axis=-1)], axis=-1)
-        logs = self.prior[:, :, None] + absent[:, :, None] + sums[:, :, starts[1:]] - sums[:, :, starts[:-1]]
+        by_term = np.ascontiguousarray(turn.reshape(-1, turn.shape[-1]).T)
+        sums = np.zeros((len(starts) - 1, by_term.shape[1]))
+        full = np.flatnonzero(np.diff(starts))
+        if len(full):
+            sums[full] = np.add.reduceat(by_term[flat], starts[full])
+        logs = self.prior[:, None] + absent[:, None] + sums.reshape(len(sums), 2, -1).transpose(1, 0, 2)
         z = np.logaddexp(logs[0], logs[1])
-        return np.exp(logs[1] - z).T, z.T
+        return np.exp(logs[1] - z), z
 
 
 def _model(terms: list[str], n: int, present: np.ndarray, weight: np.ndarray, joint: np.ndarray, alpha: np.ndarray, explained: np.ndarray, held: bool) -> TopicModel:
@@ -91,80 +266,138 @@ def _model(terms: list[str], n: int, present: np.ndarray, weight: np.ndarray, jo
     return TopicModel(terms, alpha if held else 0.7 * alpha + 0.3 * sharp, given, marginal, prior, information, explained)
 
 
+#: Numbers of a piece of a topic's sums; tasks from which pieces are added up in two levels.
+PIECE, MANY_TASKS = 2048, 64
+
+
+@dataclass
+class _Fit:
+    """One fit under way."""
+
+    n_topics: int
+    seed: int
+    alpha: np.ndarray
+    model: TopicModel | None = None
+    last: float = -1.0
+    done: bool = False
+
+
 def fit_topics(counts: DataFrame, n_topics: int, seed: int = 0, rounds: int = 30, tolerance: float = 1e-4) -> tuple[TopicModel, DataFrame, DataFrame]:
     """(model, (key, topic, p), (topic, term, weight)) of total-correlation topics over (key, term, tf), counts taken as 0 or 1.
 
-    Each round is a job: tasks hold the model, of topics x terms numbers, and give out one
-    row of sums a topic. Terms are a vocabulary of bounded size; documents are never
-    gathered. Rounds end when the correlation explained stays the same.
+    Terms are a vocabulary of bounded size; documents are never gathered. Rounds end when the
+    correlation explained stays the same.
     """
+    docs, terms = _incidence(counts)
+    model = _fit_all(docs, terms, [(n_topics, seed)], rounds, tolerance)[0]
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                p = shared.value.factors(*_places(batch.column("x")))[0]
+                ends = pa.array(np.arange(len(p) + 1, dtype=np.int32) * p.shape[1])
+                yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(ends, pa.array(p.ravel()))], names=["key", "p"])
+
+    kind = docs.schema["key"].dataType.simpleString()
+    shares = docs.select("key", "x").mapInArrow(placed, f"key {kind}, p array<double>").select("key", F.posexplode("p").alias("topic", "p"))
+    own = [(j, terms[i], float(model.information[j, i])) for i in range(len(terms)) for j in [int(model.alpha[:, i].argmax())] if model.information[j, i] > 0]
+    return model, shares, docs.sparkSession.createDataFrame(own, "topic int, term string, weight double")
+
+
+def _incidence(counts: DataFrame) -> tuple[DataFrame, list[str]]:
+    """((key, x, h): each document's terms by place, and a hash of them; the terms in order)."""
     terms = sorted(r.term for r in counts.select("term").distinct().collect())  # a vocabulary, bounded by its size
-    place = counts.sparkSession.createDataFrame([*enumerate(terms)], "i int, term string")
-    docs = stored(counts.select("key", "term").distinct().join(F.broadcast(place), "term").groupBy("key").agg(F.array_sort(F.collect_list("i")).alias("x")))
-    n = docs.count()
-    if not n:
+    if not terms:
         raise ValueError("no documents with terms of the vocabulary")
-    schema = pa.schema([("topic", pa.int32()), ("sums", pa.list_(pa.float64()))])
-    width = len(terms)
+    place = counts.sparkSession.createDataFrame([*enumerate(terms)], "i int, term string")
+    docs = counts.select("key", "term").distinct().join(F.broadcast(place), "term").groupBy("key").agg(F.array_sort(F.collect_list("i")).alias("x"))
+    return stored(docs.withColumn("h", F.xxhash64("x"))), terms
 
-    def summed(model: TopicModel | None) -> np.ndarray:
-        """(topic: sum of p, sum of log z, term counts, sums of p by term) over all documents."""
-        shared = docs.sparkSession.sparkContext.broadcast(model)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = np.zeros((n_topics, 2 + 2 * width))
-            for batch in batches:
-                for at in range(0, batch.num_rows, 512):
-                    some = batch.slice(at, 512)
-                    x = some.column("x").to_pylist()
-                    if shared.value is None:  # a first guess, by hashes of the documents' terms
-                        h = some.column("h").to_numpy().astype(np.uint64)
-                        p = np.stack([(mixed(h + np.uint64(j * 7919 + 1)) >> np.uint64(11)) / 2.0**53 for j in range(n_topics)], axis=1)
-                        z = np.zeros_like(p)
-                    else:
-                        p, z = shared.value.factors(x)
-                    out[:, 0] += p.sum(0)
-                    out[:, 1] += z.sum(0)
-                    flat = np.concatenate([np.asarray(t, dtype=np.int64) for t in x])
-                    out[:, 2 : 2 + width] += np.bincount(flat, minlength=width)
-                    rows = np.repeat(p, [len(t) for t in x], axis=0)
-                    for j in range(n_topics):
-                        out[j, 2 + width :] += np.bincount(flat, rows[:, j], width)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n_topics, dtype=np.int32)), pa.array(list(out), pa.list_(pa.float64()))], schema=schema)
-
-        def added(group: pa.Table) -> pa.Table:
-            total = np.stack(group.column("sums").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)).sum(0)
-            return pa.table({"topic": group.column("topic")[:1], "sums": pa.array([total], pa.list_(pa.float64()))}, schema=schema)
-
-        rows = docs.select("x", F.xxhash64("x", F.lit(seed)).alias("h"))
-        parts = rows.mapInArrow(run, "topic int, sums array<double>").groupBy("topic").applyInArrow(added, "topic int, sums array<double>").collect()  # a row a topic
-        return np.array([r.sums for r in sorted(parts, key=lambda r: r.topic)])
+def _places(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(places of all documents' terms, start of each and the end)."""
+    ends = column.offsets.to_numpy().astype(np.int64)
+    return column.flatten().to_numpy().astype(np.int64), ends - ends[0]
 
-    model: TopicModel | None = None
-    last = -1.0
-    # At first each term belongs to one topic by lot, so that topics start apart.
-    alpha = np.where(np.arange(n_topics)[:, None] == np.random.default_rng(seed).permutation(width)[None, :] % n_topics, 1.0, 0.05)
-    alpha /= alpha.sum(0)
-    for turn in range(rounds):
-        got = summed(model)
-        explained = got[:, 1] / n
-        model = _model(terms, n, got[0, 2 : 2 + width], got[:, 0], got[:, 2 + width :], alpha, explained, held=turn < rounds // 3)
-        alpha = model.alpha
-        if turn > rounds // 2 and abs(explained.sum() - last) < tolerance:
-            break
-        last = explained.sum()
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = pa.schema([("p", pa.list_(pa.float64()))])
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = shared.value.factors(batch.column("x").to_pylist())[0]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(list(p), kept.field("p").type)], names=["key", "p"])
+def _fit_all(docs: DataFrame, terms: list[str], fits: list[tuple[int, int]], rounds: int, tolerance: float) -> list[TopicModel]:
+    """A model for each (topics, seed), all in the same rounds.
 
-    kind = docs.schema["key"].dataType.simpleString()
-    shares = docs.mapInArrow(placed, f"key {kind}, p array<double>").select("key", F.posexplode("p").alias("topic", "p"))
-    own = [(j, terms[i], float(model.information[j, i])) for i in range(width) for j in [int(model.alpha[:, i].argmax())] if model.information[j, i] > 0]
-    return model, shares, docs.sparkSession.createDataFrame(own, "topic int, term string, weight double")
+    A round is one job over the documents: a task holds the models and gives out sums, cut into
+    pieces of a topic's terms. Pieces are added up by lots of tasks first where tasks
+    are many, so no group holds a row of every task. The driver gets the sums of the models.
+    """
+    width, n = len(terms), docs.count()
+    counted = docs.select(F.explode("x").alias("i")).groupBy("i").agg(F.count("*").alias("n")).toArrow()
+    present = np.zeros(width)
+    present[counted.column("i").to_numpy()] = counted.column("n").to_numpy()
+    state = []
+    for topics, seed in fits:
+        # At first each term belongs to one topic by lot, so that topics start apart.
+        alpha = np.where(np.arange(topics)[:, None] == np.random.default_rng(seed).permutation(width)[None, :] % topics, 1.0, 0.05)
+        state.append(_Fit(topics, seed, alpha / alpha.sum(0)))
+    for turn in range(rounds):
+        going = [i for i, f in enumerate(state) if not f.done]
+        if not going:
+            break
+        sums = _round(docs, width, {i: state[i] for i in going})
+        for i in going:
+            f, got = state[i], sums[i]
+            explained = got[:, 1] / n
+            f.model = _model(terms, n, present, got[:, 0], got[:, 2:], f.alpha, explained, held=turn < rounds // 3)
+            f.alpha = f.model.alpha
+            f.done = turn > rounds // 2 and abs(explained.sum() - f.last) < tolerance
+            f.last = explained.sum()
+    return [f.model for f in state]
+
+
+def _round(docs: DataFrame, width: int, fits: dict[int, _Fit]) -> dict[int, np.ndarray]:
+    """For each fit (topic: sum of p, sum of log z, sums of p by term) over all documents."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(fits)
+    size = 2 + width
+    kind = "fit int, topic int, piece int, lot int, sums array<double>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = {i: np.zeros((f.n_topics, size)) for i, f in shared.value.items()}
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                flat_, starts = _places(batch.column("x"))
+                row = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+                for i, f in shared.value.items():
+                    if f.model is None:  # a first guess, by hashes of the documents' terms
+                        h = batch.column("h").to_numpy().view(np.uint64) + np.uint64(f.seed * 1_000_003)
+                        p = np.stack([(mixed(mixed(h) + np.uint64(j * 7919 + 1)) >> np.uint64(11)) / 2.0**53 for j in range(f.n_topics)], axis=1)
+                        z = np.zeros_like(p)
+                    else:
+                        p, z = f.model.factors(flat_, starts)
+                    out[i][:, 0] += p.sum(0)
+                    out[i][:, 1] += z.sum(0)
+                    for j in range(f.n_topics):
+                        out[i][j, 2:] += np.bincount(flat_, p[row, j], width)
+        lot = TaskContext.get().partitionId()
+        for i, total in out.items():
+            for j in range(len(total)):
+                pieces = [total[j, a : a + PIECE] for a in range(0, size, PIECE)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pieces), v, dtype=np.int32)) if v is not None else pa.array(np.arange(len(pieces), dtype=np.int32)) for v in (i, j, None, lot)] + [pa.array(pieces, pa.list_(pa.float64()))], names=["fit", "topic", "piece", "lot", "sums"])
+
+    def added(group: pa.Table) -> pa.Table:
+        total = group.column("sums").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1).sum(0)
+        return pa.table([*(group.column(c)[:1] for c in ("fit", "topic", "piece", "lot")), pa.array([total], pa.list_(pa.float64()))], names=["fit", "topic", "piece", "lot", "sums"])
+
+    rows = docs.select("x", "h").mapInArrow(run, kind)
+    tasks = docs.rdd.getNumPartitions()
+    if tasks > MANY_TASKS:
+        lots = int(tasks**0.5) + 1
+        rows = rows.withColumn("lot", (F.col("lot") % lots).cast("int")).groupBy("fit", "topic", "piece", "lot").applyInArrow(added, kind)
+    parts = rows.groupBy("fit", "topic", "piece").applyInArrow(added, kind).collect()
+    out: dict[int, np.ndarray] = {i: np.zeros((f.n_topics, size)) for i, f in fits.items()}
+    for r in parts:
+        out[r.fit][r.topic, r.piece * PIECE : r.piece * PIECE + len(r.sums)] = r.sums
+    return out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -178,11 +411,14 @@ def top_terms(terms: DataFrame, n: int = 20) -> DataFrame:
     return terms.withColumn("_k", F.row_number().over(Window.partitionBy("topic").orderBy(F.desc("weight"), "term"))).where(F.col("_k") <= n).drop("_k")
 
 
-def best_n_topics(counts: DataFrame, grid: list[int], seeds: tuple[int, ...] = (0,), rounds: int = 30) -> tuple[TopicModel, DataFrame]:
-    """(best model, (n_topics, score) best first): the grid's fits that explain most total correlation, each from its best start."""
-    fits = [(n, max((fit_topics(counts, n, seed, rounds)[0] for seed in seeds), key=lambda m: m.score)) for n in grid]
-    table = counts.sparkSession.createDataFrame([(n, m.score) for n, m in fits], "n_topics int, score double").orderBy(F.desc("score"), "n_topics")
-    return max(fits, key=lambda f: (f[1].score, -f[0]))[1], table
+def best_n_topics(counts: DataFrame, grid: list[int], seeds: tuple[int, ...] = (0,), rounds: int = 30, tolerance: float = 1e-4) -> tuple[TopicModel, DataFrame]:
+    """(best model, (n_topics, score) best first): the grid's fits that explain most total correlation, each from its best start, all fitted in the same rounds."""
+    docs, terms = _incidence(counts)
+    asked = [(n, seed) for n in grid for seed in seeds]
+    models = _fit_all(docs, terms, asked, rounds, tolerance)
+    best = {n: max((m for (k, _), m in zip(asked, models) if k == n), key=lambda m: m.score) for n in grid}
+    table = counts.sparkSession.createDataFrame([(n, m.score) for n, m in best.items()], "n_topics int, score double").orderBy(F.desc("score"), "n_topics")
+    return max(best.items(), key=lambda f: (f[1].score, -f[0]))[1], table
 
 
 def cleaned(df: DataFrame, text: str) -> DataFrame:

@@ -223,33 +223,33 @@ _GRAMS = (
 )
 
 
-def grams(s, d):
-    return topics.ngrams(table(s, d, "documents"), "doc_id", "text", ("the", "of", "and"))
+def whole_grams(s, d):
+    return topics.Grams(table(s, d, "documents"), "doc_id", "text", ("the", "of", "and"))
 
 
 @query(f"WITH {_GRAMS} SELECT term, count(*) AS n FROM g GROUP BY 1 ORDER BY n DESC, term LIMIT 1000")
 def top01_vis04_vocabulary(s, d):
-    return topics.vocabulary(grams(s, d), 1000)
+    return whole_grams(s, d).vocabulary(1000)
 
 
 @query(f"WITH {_GRAMS}, v AS (SELECT term FROM g GROUP BY 1 ORDER BY count(*) DESC, term LIMIT 100) SELECT doc_id AS key, term, count(*) AS tf FROM g JOIN v USING (term) GROUP BY 1, 2")
 def top01_hlp12_doc_terms(s, d):
-    g = grams(s, d)
-    return topics.doc_terms(g, topics.vocabulary(g, 100))
+    g = whole_grams(s, d)
+    return g.doc_terms(g.vocabulary(100))
 
 
 @query()
 def top02_top04_topics(s, d):
     """Top terms of five total-correlation topics."""
-    g = grams(s, d)
-    return topics.top_terms(topics.fit_topics(topics.doc_terms(g, topics.vocabulary(g, 200)), 5, rounds=10)[2])
+    g = whole_grams(s, d)
+    return topics.top_terms(topics.fit_topics(g.doc_terms(g.vocabulary(200)), 5, rounds=10)[2])
 
 
 @query()
 def top03_best_n(s, d):
     """Total correlation explained by two and by four topics, the better one first."""
-    g = grams(s, d)
-    return topics.best_n_topics(stored(topics.doc_terms(g, topics.vocabulary(g, 100))), [2, 4], rounds=6)[1]
+    g = whole_grams(s, d)
+    return topics.best_n_topics(stored(g.doc_terms(g.vocabulary(100))), [2, 4], rounds=6)[1]
 
 
 @query(
