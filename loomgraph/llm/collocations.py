@@ -24,11 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import Scratch, begin, mix64
-from loomgraph.llm.words import LOWER, Filter, byte_slices, flat, hashes, runs, vocabulary
+from loomgraph.functions.runs import byte_slices, flat, hashes, runs, vocabulary
+from loomgraph.llm.common import Scratch, begin, mix64, partitions
+from loomgraph.llm.words import LOWER, Filter
 
 #: Partitions of so few pointers are finished together by one sort.
 SMALL = 24
+#: Rows of pairs that a task holds before it adds them up and gives them out.
+HELD = 1 << 20
 #: Kinds of bytes: of words, between words, between pieces.
 KIND = np.zeros(256, dtype=np.uint8)
 KIND[[0x20, 0x09]] = 1
@@ -145,10 +148,22 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def pair_counts(docs: DataFrame, words: Filter) -> DataFrame:
-    """(key, n) of pairs of words that follow each other, both in the filter, by a hash of the pair."""
+    """(key, n) of pairs of words that follow each other, both in the filter, by a hash of the pair.
+
+    Most pairs are rare, so tasks add up a bounded number of rows themselves and Spark adds
+    up after the shuffle alone, in partitions small enough for two tasks of a small executor.
+    """
+
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, n = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(key)
+        key = key[order]
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        return pa.RecordBatch.from_arrays([pa.array(key[heads].view(np.int64)), pa.array(np.add.reduceat(n[order], heads))], names=["key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("collocations")
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in byte_slices(batches):
             s = Step(batch)
             if len(s.code) < 2:
@@ -159,9 +174,15 @@ def pair_counts(docs: DataFrame, words: Filter) -> DataFrame:
             if len(at):
                 order, heads = equal_partitions([s.leading()[at], s.code[at + 1]])
                 p = at[order[heads[1]]]
-                yield pa.RecordBatch.from_arrays([pa.array(_pair(key[p], key[p + 1]).view(np.int64)), pa.array(np.diff(heads[1], append=len(order)))], names=["key", "n"])
-
-    return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+                held.append((_pair(key[p], key[p + 1]), np.diff(heads[1], append=len(order))))
+            if sum(len(k) for k, _ in held) >= HELD:
+                yield added(held)
+                held = []
+        if held:
+            yield added(held)
+
+    rows = docs.mapInArrow(run, "key long, n long")
+    return rows.repartition(4 * partitions(docs.sparkSession), "key").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:

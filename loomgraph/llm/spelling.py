@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.runs import byte_slices, flat, runs, vocabulary
 from loomgraph.llm.common import Scratch, begin, mix64, partitions
-from loomgraph.llm.words import LOWER, byte_slices, flat, runs, vocabulary
+from loomgraph.llm.words import LOWER
 
 #: Parts of letters for words of equal length, and for neighbouring lengths.
 PARTS, COARSE = 5, 2
