@@ -34,7 +34,7 @@ SAMPLE, SAMPLE_BYTES = 16_384, 64 << 20
 #: Rounds of k-means.
 ROUNDS = 12
 #: Bytes of the entries of a block, as doubles; queries compared with it at a time, and in one task.
-BLOCK_BYTES, SLICE, SHARE = 512 << 10, 512, 1 << 17
+BLOCK_BYTES, SLICE, SHARE = 1 << 20, 512, 1 << 17
 #: Most centroids of a half.
 CENTROIDS = 256
 #: Deviations of the sums of wanted entries below their mean at which a walk stops.
@@ -169,13 +169,11 @@ def search(df: DataFrame, k: int = 20, modulus: int = 20, slack: float | None =
     of = lambda t, d: t.where(F.size("vector") == d).select("node", "twin", "vector", "ids")
     found = [_search(of(entries, d), of(asked, d), d, n, k, slack, scratch) for d, n in sizes]
     tops = functools.reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], FOUND)
-    each = tops.select("node", "twin", F.explode(F.arrays_zip("ids", "scores")).alias("x")).select("node", "twin", F.col("x.ids").alias("id"), F.col("x.scores").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("node", "twin").orderBy(F.desc("score"), "id"))
-    best = each.withColumn("at", rank).where(F.col("at") <= k + 1).groupBy("node", "twin").agg(F.array_sort(F.collect_list(F.struct("at", "id", "score"))).alias("best"))
+    best = merged(tops, k + 1)
     # A common vector is searched once; its rows get their lists here, less themselves.
-    rest = F.filter("best", lambda x: x["id"] != F.col("query_id"))
+    rest = F.filter(F.arrays_zip("ids", "scores"), lambda x: x["ids"] != F.col("query_id"))
     joined = queries.withColumnRenamed("id", "query_id").join(best, ["node", "twin"])
-    out = joined.select("query_id", F.explode(F.slice(rest, 1, k)).alias("x")).select("query_id", F.col("x.id").alias("vec_id"), F.col("x.score").alias("score"), F.col("x.at").alias("at"))
+    out = joined.select("query_id", F.explode(F.slice(rest, 1, k)).alias("x")).select("query_id", F.col("x.ids").alias("vec_id"), F.col("x.scores").alias("score"))
     ranked = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", ranked).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
@@ -261,6 +259,42 @@ def _search(entries: DataFrame, asked: DataFrame, d: int, n: int, k: int, slack:
     return ready.mapInArrow(compare, FOUND)
 
 
+def merged(tops: DataFrame, k: int) -> DataFrame:
+    """One row a vector of the rows of all blocks: its k best ids, ties to the smaller."""
+
+    def joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        node, twin = (table.column(c).to_numpy() for c in ("node", "twin"))
+        ids, scores = (table.column(c).combine_chunks() for c in ("ids", "scores"))
+        heads = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]) | (twin[1:] != twin[:-1])]))
+        group = np.cumsum(np.isin(np.arange(len(node)), heads)) - 1
+        own, vec, score = np.repeat(group, np.diff(ids.offsets.to_numpy())), ids.flatten().to_numpy(), scores.flatten().to_numpy()
+        order = np.lexsort((vec, -score, own))
+        own, vec, score = own[order], vec[order], score[order]
+        keep = np.arange(len(own)) - np.searchsorted(own, own) < k
+        own, vec, score = own[keep], vec[keep], score[keep]
+        ends = pa.array(np.searchsorted(own, np.arange(len(heads) + 1)).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(node[heads]), pa.array(twin[heads]), pa.ListArray.from_arrays(ends, pa.array(vec)), pa.ListArray.from_arrays(ends, pa.array(score))], names=["node", "twin", "ids", "scores"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("multi-index")
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if batch.num_rows:
+                last = (batch.column("node").to_numpy() == batch.column("node")[-1].as_py()) & (batch.column("twin").to_numpy() == batch.column("twin")[-1].as_py())
+                open_ = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0  # the last vector's rows may go on
+                held.append(batch.slice(0, open_))
+                if open_:
+                    yield joined(held)
+                    held = []
+                held.append(batch.slice(open_))
+        if held:
+            yield joined(held)
+
+    ready = tops.repartition(partitions(tops.sparkSession), "node", "twin").sortWithinPartitions("node", "twin")
+    return ready.mapInArrow(run, FOUND)
+
+
 def _best(asked: pa.RecordBatch, cell: np.ndarray, x: np.ndarray, ids: pa.Array, k: int) -> pa.RecordBatch:
     """For each vector asked for its best entries of one block, as k ids at most with exact products."""
     q = _matrix(asked.column("vector"))
