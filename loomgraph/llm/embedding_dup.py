@@ -71,22 +71,34 @@ def _by_dimension(vectors: list[bytes], kind: str) -> Iterator[tuple[np.ndarray,
 
 
 def kind_of(df: DataFrame, embedding: str) -> tuple[str, str]:
-    """(numpy kind, Spark type) in which vectors are held: doubles stay doubles, all else is float."""
-    wide = df.schema[embedding].dataType.elementType.typeName() == "double"
-    return ("<f8", "double") if wide else ("<f4", "float")
+    """(numpy kind, Spark type) in which vectors are held: floats stay floats, all else is double."""
+    narrow = df.schema[embedding].dataType.elementType.typeName() == "float"
+    return ("<f4", "float") if narrow else ("<f8", "double")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def nodes_of(df: DataFrame, key: str, embedding: str, label: str, number: str) -> DataFrame:
-    """(node, least, label, copies, vector): distinct vectors with a label, a number of their own, their least id and how often they occur."""
-    v = F.transform(F.col(embedding), lambda x: x.cast(number))
-    finite = F.size(v) > 0
-    finite &= ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = df.where(F.col(label).isNotNull() & F.col(embedding).isNotNull() & F.col(key).isNotNull() & F.coalesce(finite, F.lit(False)))
-    return rows.groupBy(F.col(label).alias("label"), v.alias("vector")).agg(F.min(F.col(key).cast("long")).alias("least"), F.count("*").alias("copies")).withColumn("node", F.xxhash64("label", "vector"))
+def named(df: DataFrame, key: str, embedding: str, label: str, number: str) -> DataFrame:
+    """(vec_id, label, node, twin, vector) of every row; node and twin are two hashes of label and vector, null in rows that link with nothing.
+
+    ``label`` numbers the labels: whole numbers as they are, values of other types by a hash of the typed value.
+    """
+    v = F.transform(F.col(embedding), lambda x: F.when(x.cast(number) == 0, F.lit(0.0).cast(number)).otherwise(x.cast(number)))
+    finite = F.size("_v") > 0
+    finite &= ~F.exists("_v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("_v", lambda x: x != 0)
+    kind = df.schema[label].dataType.typeName()
+    own = F.col(label) + F.lit(0.0).cast(kind) if kind in ("float", "double") else F.col(label)  # no negative zero
+    own = own.cast("long") if kind in ("byte", "short", "integer", "long") else F.when(own.isNotNull(), F.xxhash64(own))
+    rows = df.select(F.col(key).cast("long").alias("vec_id"), own.alias("label"), v.alias("_v"))
+    links = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False))
+    return rows.select("vec_id", "label", F.when(links, F.xxhash64("label", "_v")).alias("node"), F.when(links, F.xxhash64(F.lit(1), "label", "_v")).alias("twin"), F.col("_v").alias("vector"))
+
+
+def nodes_of(rows: DataFrame) -> DataFrame:
+    """(node, twin, least, label, copies, vector): distinct vectors with a label, their least id and how often they occur."""
+    return rows.where("node IS NOT NULL").groupBy("node", "twin").agg(F.any_value("label").alias("label"), F.any_value("vector").alias("vector"), F.min("vec_id").alias("least"), F.count("*").alias("copies"))
 
 
 def tiled(nodes: DataFrame, kind: str) -> DataFrame:
@@ -114,7 +126,7 @@ def tiled(nodes: DataFrame, kind: str) -> DataFrame:
             done += batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(tile), *batch.columns], schema=out)
 
-    rows = nodes.select("node", F.col("label").cast("long"), "copies", "vector").mapInArrow(code, "node long, label long, copies long, place long, vector binary")
+    rows = nodes.select("node", "label", "copies", "vector").mapInArrow(code, "node long, label long, copies long, place long, vector binary")
     ordered = rows.repartitionByRange(partitions(spark), "label", "place", "node").sortWithinPartitions("label", "place", "node")
     return ordered.mapInArrow(number, "tile long, node long, label long, copies long, place long, vector binary").drop("place")
 
@@ -328,12 +340,14 @@ def classes(df: DataFrame, cosine: float = 0.98, key: str = "vec_id", embedding:
     Vectors with equal labels are linked at ``cosine`` or more. Null, empty, zero or
     non-finite vectors, and rows without label or id, link with nothing. Vectors of
     different dimensions are not linked. Rows that share an id count as rows of their own.
-    Vectors of doubles are compared as doubles, others as floats taken to doubles.
+    Labels are equal as values of their type. Vectors of floats are compared as floats taken
+    to doubles, all others as doubles.
     """
     scratch = Scratch(df.sparkSession, "embedding-dup")
     budget = 2 - 2 * cosine
     kind, number = kind_of(df, embedding)
-    distinct = scratch.save(nodes_of(df, key, embedding, label, number), "distinct")
+    rows = named(df, key, embedding, label, number)
+    distinct = scratch.save(nodes_of(rows), "distinct")
     nodes = scratch.save(tiled(distinct, kind), "nodes")
     parts = []
     sizes = [d for (d,) in nodes.select((F.octet_length("vector") / np.dtype(kind).itemsize).cast("int")).distinct().collect()]  # a row a dimension
@@ -350,11 +364,9 @@ def classes(df: DataFrame, cosine: float = 0.98, key: str = "vec_id", embedding:
     linked = labels.join(distinct.select("node", "least"), "node")
     first = linked.groupBy("component").agg(F.min("least").alias("first"))  # the least id of a component
     state = scratch.save(distinct.join(degree, "node", "left").join(linked.join(first, "component").select("node", "first"), "node", "left").select(
-        F.col("label").alias("_label"), F.col("vector").alias("_vector"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "least").alias("component_id")
+        "node", "twin", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("first", "least").alias("component_id")
     ), "state")
-    v = F.transform(F.col(embedding), lambda x: x.cast(number))
-    rows = df.select(F.col(key).cast("long").alias("vec_id"), F.col(label).alias("_l"), v.alias("_v"))
-    out = rows.join(state, (F.col("_l") == F.col("_label")) & (F.col("_v") == F.col("_vector")) & F.col("vec_id").isNotNull(), "left")
+    out = rows.select("vec_id", "node", "twin").join(state, ["node", "twin"], "left")
     cid = F.coalesce("component_id", "vec_id")
     scratch.drop(*(f"blocks-{d}" for d in sizes), "hits", "dense")
     return out.select(F.col("vec_id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), cid.alias("component_id"), F.coalesce(F.col("vec_id") == cid, F.lit(True)).alias("kept"))
