@@ -34,8 +34,8 @@ def distinct_in_order(a: Column) -> Column:
 
 def softmax(a: Column) -> Column:
     """exp of each element over the sum, shifted by the largest."""
-    e = F.transform(a, lambda x: F.exp(x - F.array_max(a)))
-    return F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda s, y: s + y))
+    e = F.get(F.transform(F.array(F.array_max(a)), lambda m: F.transform(a, lambda x: F.exp(x - m))), 0)
+    return F.get(F.transform(F.array(F.struct(e.alias("e"), F.aggregate(e, F.lit(0.0), lambda s, y: s + y).alias("n"))), lambda v: F.transform(v["e"], lambda x: x / v["n"])), 0)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -51,8 +51,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    n = norm(a)
-    return F.transform(a, lambda x: x / n)
+    """The vector at length one; the length stands in an array so that it is worked out once, not for each element."""
+    return F.get(F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: x / n)), 0)
 
 
 def squared_distance(a: Column, b: Column) -> Column:

@@ -136,7 +136,7 @@ def pairwise_edit_ratio(names: DataFrame, key: str, name: str, above: float = 0.
 
     rows = names.select(F.col(key).alias("key"), F.col(name).cast("string").alias("x")).where("key IS NOT NULL AND x IS NOT NULL")
     placed = rows.mapInArrow(place, f"key {rows.schema['key'].dataType.simpleString()}, g int, cell int, ring double, at array<double>, data binary")
-    return pairs_of_parts(placed, 1, limit + 1e-9, 1024, 64, compare).withColumnRenamed("similarity", "ratio")
+    return pairs_of_parts(placed, limit + 1e-9, 1024, 64, compare).withColumnRenamed("similarity", "ratio")
 
 
 def unary_counts(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray]:
