@@ -30,8 +30,8 @@ from loomgraph.llm.words import LOWER, Filter
 
 #: Partitions of so few pointers are finished together by one sort.
 SMALL = 24
-#: Rows of pairs that a task holds before it adds them up and gives them out.
-HELD = 1 << 20
+#: Pairs that a task holds before it adds them up and gives them out; ranges of their hashes for each partition.
+HELD, RANGES = 1 << 20, 2
 #: Kinds of bytes: of words, between words, between pieces.
 KIND = np.zeros(256, dtype=np.uint8)
 KIND[[0x20, 0x09]] = 1
@@ -147,19 +147,31 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def pair_counts(docs: DataFrame, words: Filter) -> DataFrame:
-    """(key, n) of pairs of words that follow each other, both in the filter, by a hash of the pair.
+def frequent_pairs(docs: DataFrame, words: Filter, least: int) -> DataFrame:
+    """(key): hashes of pairs of words that follow each other, both in the filter, with ``least`` occurrences or more together.
 
-    Most pairs are rare, so tasks add up a bounded number of rows themselves and Spark adds
-    up after the shuffle alone, in partitions small enough for two tasks of a small executor.
+    Most pairs are rare, so a row each would be most of the work. Tasks add up what they hold
+    and send it packed, a row for each range of hashes; what stands in one range is added up
+    after the shuffle, and only hashes that are frequent become rows.
     """
+    ranges = RANGES * partitions(docs.sparkSession)
 
-    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         key, n = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(key)
         key = key[order]
         heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        return pa.RecordBatch.from_arrays([pa.array(key[heads].view(np.int64)), pa.array(np.add.reduceat(n[order], heads))], names=["key", "n"])
+        return key[heads], np.add.reduceat(n[order].astype(np.int64), heads)
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, n = added(held)
+        of = (key % np.uint64(ranges)).astype(np.int64)
+        order = np.argsort(of, kind="stable")
+        of, key, n = of[order], key[order], n[order].astype(np.uint32)  # of one task's step
+        heads = np.flatnonzero(np.diff(of, prepend=-1))
+        ends = np.append(heads, len(of))
+        binary = lambda x, size: pa.Array.from_buffers(pa.large_binary(), len(heads), [None, pa.py_buffer(ends * size), pa.py_buffer(x)]).cast(pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(of[heads]), binary(key, 8), binary(n, 4)], names=["of", "keys", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("collocations")
@@ -174,15 +186,35 @@ def pair_counts(docs: DataFrame, words: Filter) -> DataFrame:
             if len(at):
                 order, heads = equal_partitions([s.leading()[at], s.code[at + 1]])
                 p = at[order[heads[1]]]
-                held.append((_pair(key[p], key[p + 1]), np.diff(heads[1], append=len(order))))
+                held.append((_pair(key[p], key[p + 1]), np.diff(heads[1], append=len(order)).astype(np.uint32)))
             if sum(len(k) for k, _ in held) >= HELD:
-                yield added(held)
+                yield packed(held)
                 held = []
         if held:
-            yield added(held)
+            yield packed(held)
 
-    rows = docs.mapInArrow(run, "key long, n long")
-    return rows.repartition(4 * partitions(docs.sparkSession), "key").groupBy("key").agg(F.sum("n").alias("n"))
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("collocations")
+        now, held = None, []
+
+        def told() -> pa.RecordBatch:
+            key, n = added(held)
+            return pa.RecordBatch.from_arrays([pa.array(key[n >= least].view(np.int64))], names=["key"])
+
+        for batch in batches:
+            for of, keys, n in zip(batch.column("of").to_pylist(), batch.column("keys"), batch.column("n")):
+                if of != now:
+                    if held:
+                        yield told()
+                    now, held = of, []
+                held.append((np.frombuffer(keys.as_buffer(), dtype=np.uint64), np.frombuffer(n.as_buffer(), dtype=np.uint32)))
+                if len(held) > 256:
+                    held = [added(held)]
+        if held:
+            yield told()
+
+    rows = docs.mapInArrow(run, "of long, keys binary, n binary").repartition(ranges, "of").sortWithinPartitions("of")
+    return rows.mapInArrow(frequent, "key long")
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -261,7 +293,7 @@ def collocations(docs: DataFrame, least: int = 10, top: int = 2000, share: int =
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
 
     words = Filter(often.select(F.xxhash64("word").alias("w"), F.xxhash64("lang").alias("g")).mapInArrow(keyed, "key long"), most_bits)
-    pairs = Filter(scratch.save(pair_counts(rows, words).where(F.col("n") >= least).select("key"), "pairs"), most_bits)
+    pairs = Filter(scratch.save(frequent_pairs(rows, words, least), "pairs"), most_bits)
     phrases = scratch.save(phrase_counts(rows, words, pairs).where(F.col("n") >= least), "phrases")
     kept = not_inside(phrases, share)
     best = scored(often, phrases).join(kept.select("lang", "phrase"), ["lang", "phrase"], "left_semi")
