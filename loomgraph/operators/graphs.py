@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import arrays
-from loomgraph.functions.scratch import stored
+from loomgraph.functions.scratch import release, stored
 
 #: What community functions return.
 NODE = "node string, cluster string"
@@ -115,8 +115,10 @@ def cosine_graph(vectors: DataFrame, key: str, vector: str, by: str, above: floa
 
 
 def indirect_edges(edges: DataFrame, edge_type: str, name: str) -> DataFrame:
-    """Edges between nodes that share a neighbour over ``edge_type``."""
-    p = projection(edges.where(F.col("edgeType") == edge_type))
+    """Edges between nodes that share a neighbour over ``edge_type``, expanded from the factored projection, which ``factored.factored_projection`` gives itself."""
+    from loomgraph.operators.factored import factored_projection
+
+    p = factored_projection(edges.where(F.col("edgeType") == edge_type)).expand()
     return p.select(F.col("u").alias("from"), F.col("v").alias("to"), F.lit(name).alias("edgeType"), "weight")
 
 
@@ -138,16 +140,20 @@ def connected_components(edges: DataFrame, small: int = SMALL_EDGES, hub: int =
     hub = max(hub, 2 * links // MOST_HUBS)
     mark = None
     while True:
-        large = _star(now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), hub, large=True)
-        now = stored(_star(large, hub, large=False))
+        large, used = _star(now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v"))), hub, large=True)
+        large = stored(large)
+        after, other = _star(large, hub, large=False)
+        after = stored(after)
+        release(now, large, used, other)
+        now = after
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select("v", "v").distinct())
         mark = seen
 
 
-def _star(links: DataFrame, hub: int, large: bool) -> DataFrame:
-    """One turn over ``links(u, v)``: (u, v), u > v, of neighbours and the least of a node's neighbours and itself.
+def _star(links: DataFrame, hub: int, large: bool) -> tuple[DataFrame, DataFrame]:
+    """One turn over ``links(u, v)``: (u, v), u > v, of neighbours and the least of a node's neighbours and itself; and a table that it reads.
 
     In a large turn links stand both ways and the greater neighbours are handed on; in a small turn
     u is the greater end, and all its neighbours and u itself are handed on.
@@ -159,7 +165,7 @@ def _star(links: DataFrame, hub: int, large: bool) -> DataFrame:
     made = far.join(hubs, "u").select("v", "m").unionAll(others.select("v", "m"))
     if not large:
         made = made.unionAll(least.select("u", "m"))
-    return made.toDF("u", "v").where("u <> v").distinct()
+    return made.toDF("u", "v").where("u <> v").distinct(), least
 
 
 def _joined_at_once(links: DataFrame) -> DataFrame:
@@ -262,36 +268,80 @@ def communities(edges: DataFrame, weight: str = "weight", most: int = MOST_EDGES
     return e.groupBy("component").applyInPandas(run, NODE)
 
 
-def maximal_cliques(edges: DataFrame, least: int = 2, most: int = 100_000) -> DataFrame:
-    """(component, clique, node): maximal cliques of each component, with pivoting; a component with over ``most`` cliques or MOST_EDGES edges is refused."""
-    parts = connected_components(edges)
-    _within_bounds(edges.select(F.col("from").alias("a")), parts, MOST_EDGES)
-    e = edges.select(F.col("from").cast("string").alias("a"), F.col("to").cast("string").alias("b")).where("a <> b")
-    e = e.join(parts.select(F.col("node").cast("string").alias("a"), F.col("component").cast("string").alias("component")), "a")
+def maximal_cliques(edges: DataFrame, least: int = 2) -> DataFrame:
+    """(component, clique, node): the maximal cliques of ``least`` nodes or more; a clique is named by its nodes in order.
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, set] = {}
-        for a, b in zip(group["a"], group["b"]):
-            near.setdefault(a, set()).add(b)
-            near.setdefault(b, set()).add(a)
-        rows, stack, n = [], [(set(), set(near), set())], 0
+    A clique belongs to the first of its nodes by degree, so each node is a task's piece of
+    work of its own: its later neighbours (few, as the order goes by degree) and the links
+    among its neighbours. Earlier neighbours tell which cliques are not maximal. Cliques are
+    given out as they are found.
+    """
+    pairs = stored(edges.select(F.least(F.col("from").cast("string"), F.col("to").cast("string")).alias("a"), F.greatest(F.col("from").cast("string"), F.col("to").cast("string")).alias("b")).where("a <> b").distinct())
+    both = pairs.unionAll(pairs.select("b", "a"))
+    degree = both.groupBy("a").agg(F.count("*").alias("n"))
+    placed = both.join(degree.toDF("a", "n_a"), "a").join(degree.toDF("b", "n_b"), "b").withColumn("later", F.struct("n_b", "b") > F.struct("n_a", "a"))
+    placed = stored(placed.select("a", "b", "later"))
+    ahead = placed.where("later").select(F.col("a").alias("v"), F.col("b").alias("p"))
+    # Links between a later neighbour and any neighbour: what closes a triangle over v.
+    near = placed.select(F.col("a").alias("v"), F.col("b").alias("y"), F.col("later").alias("y_later"))
+    wedges = ahead.join(placed.select(F.col("a").alias("p"), F.col("b").alias("y")), "p")
+    local = wedges.join(near, ["v", "y"]).select("v", "p", "y", "y_later")
+    rows = ahead.select("v", "p", F.lit(None).cast("string").alias("y"), F.lit(None).cast("boolean").alias("y_later")).unionAll(local)
+    found = rows.repartition("v").sortWithinPartitions("v").mapInArrow(_cliques_by_node(least), "clique string, node string")
+    parts = connected_components(pairs.select(F.col("a").alias("from"), F.col("b").alias("to")))
+    return found.join(parts, "node").select("component", "clique", "node")
+
+
+def _cliques_by_node(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (v, p, y, y_later), ordered by v: later neighbours p, and links between a p and a neighbour y."""
+
+    def of(v: str, near: dict[str, set[str]], before: set[str]) -> Iterator[list[str]]:
+        """Cliques of v and its later neighbours ``near`` (with their links to neighbours of v) that no earlier neighbour extends."""
+        stack = [((v,), set(near), before)]
         while stack:
             r, p, x = stack.pop()
-            if not p and not x:
-                if len(r) >= least:
-                    n += 1
-                    if n > most:
-                        raise ValueError(f"over {most} cliques in component {group['component'].iloc[0]}")
-                    rows += [(group["component"].iloc[0], "|".join(sorted(r)), v) for v in sorted(r)]
+            if not p:
+                if not x and len(r) >= least:
+                    yield sorted(r)
                 continue
-            pivot = max(p | x, key=lambda v: len(near[v] & p))
-            for v in sorted(p - near[pivot]):
-                stack.append((r | {v}, p & near[v], x & near[v]))
-                p = p - {v}
-                x = x | {v}
-        return pd.DataFrame(rows, columns=["component", "clique", "node"])
-
-    return e.groupBy("component").applyInPandas(run, "component string, clique string, node string")
+            pivot = max(p, key=lambda u: len(near[u] & p))
+            for u in sorted(p - near[pivot]):
+                stack.append(((*r, u), p & near[u], x & near[u]))
+                p = p - {u}
+                x = x | {u}
+
+    def told(cliques: list[list[str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([name for c in cliques for name in ["|".join(c)] * len(c)], pa.string()), pa.array([u for c in cliques for u in c], pa.string())], names=["clique", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, near, before = None, {}, set()
+        out: list[list[str]] = []
+        for batch in batches:
+            for v, p, y, y_later in zip(*(batch.column(c).to_pylist() for c in ("v", "p", "y", "y_later"))):
+                if v != now:
+                    for clique in of(now, near, before) if near else ():
+                        out.append(clique)
+                        if len(out) >= 10_000:
+                            yield told(out)
+                            out = []
+                    now, near, before = v, {}, set()
+                own = near.setdefault(p, set())
+                if y is not None:
+                    own.add(y)
+                    if not y_later:
+                        before.add(y)
+            if out:
+                yield told(out)
+                out = []
+        for clique in of(now, near, before) if near else ():
+            out.append(clique)
+            if len(out) >= 10_000:
+                yield told(out)
+                out = []
+        if out:
+            yield told(out)
+
+    return run
 
 
 def connectivity(edges: DataFrame, pairs: DataFrame, most: int = MOST_EDGES, batch: int = 2000) -> DataFrame:

@@ -10,8 +10,10 @@ import json
 import math
 import re
 import subprocess
+import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -141,6 +143,39 @@ def subword_embeddings(documents: DataFrame, make: Callable[[], Callable[[list[s
     return rows.mapInPandas(run, f"key {kind}, month int, position int, token string, vector array<double>").withColumnRenamed("key", key)
 
 
+def hashed_pieces(size: int = 32, piece: int = 4) -> Callable[[], Callable[[list[str]], list[list[tuple[str, list[float]]]]]]:
+    """A model for ``subword_embeddings`` without weights: words in pieces of ``piece`` letters, each a unit vector of its letters' pairs by signed hashing."""
+
+    def make() -> Callable[[list[str]], list[list[tuple[str, list[float]]]]]:
+        known: dict[str, list[float]] = {}
+
+        def vector(token: str) -> list[float]:
+            if token not in known:
+                if len(known) >= 100_000:
+                    known.clear()
+                x = np.zeros(size)
+                padded = f"<{token}>"
+                for i in range(len(padded) - 1):
+                    h = zlib.crc32(padded[i : i + 2].encode())
+                    x[h % size] += 1.0 if h >> 16 & 1 else -1.0
+                length = float(np.sqrt((x * x).sum()))
+                known[token] = (x / length if length else np.eye(size)[0]).tolist()
+            return known[token]
+
+        def model(texts: list[str]) -> list[list[tuple[str, list[float]]]]:
+            out = []
+            for text in texts:
+                pieces = []
+                for word in text.lower().split():
+                    pieces += [("##" if at else "") + word[at : at + piece] for at in range(0, len(word), piece)]
+                out.append([(t, vector(t)) for t in pieces])
+            return out
+
+        return model
+
+    return make
+
+
 _TEXTS = ArrayType(StringType())
 _SPAN = pa.struct([("text", pa.string()), ("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("confidence", pa.float64())])
 _SPANS = ArrayType(StructType([*(StructField(x, StringType()) for x in ("text", "type")), *(StructField(x, IntegerType()) for x in ("start", "end")), StructField("confidence", DoubleType())]))
@@ -368,30 +403,47 @@ def noun_phrase_labels(words: Column, tags: Column) -> Column:
 def align(a: list[str], b: list[str], gap: str = "[-]") -> tuple[list[str], list[str], list[int], list[int]]:
     """Global alignment at +1 for a match, -1 for a mismatch or gap; ties prefer the diagonal, then a gap in ``b``, then in ``a``.
 
-    Gives both padded sequences and the places in a and b (-1 at gaps).
+    Gives both padded sequences and the places in a and b (-1 at gaps). A row of scores is a
+    few operations on arrays. Of n rows one in sqrt(n) is kept; the way back makes the rows
+    between two of them again, so memory grows with the length of b times sqrt(n).
     """
     n, m = len(a), len(b)
-    score = [list(range(0, -m - 1, -1))]
-    for i in range(1, n + 1):
-        row, above = [-i], score[-1]
-        for j in range(1, m + 1):
-            row.append(max(above[j - 1] + (1 if a[i - 1] == b[j - 1] else -1), above[j] - 1, row[j - 1] - 1))
-        score.append(row)
-    x, y, p, q = [], [], [], []
+    codes: dict[str, int] = {}
+    x, y = (np.fromiter((codes.setdefault(t, len(codes)) for t in s), dtype=np.int64, count=len(s)) for s in (a, b))
+    step, at = math.isqrt(n) + 1, np.arange(m + 1)
+
+    def after(row: np.ndarray, i: int) -> np.ndarray:
+        """The scores of one token more of a: what comes from the left is a running maximum."""
+        best = np.empty(m + 1, dtype=np.int64)
+        best[0] = -i - 1
+        np.maximum(row[:-1] + np.where(y == x[i], 1, -1), row[1:] - 1, out=best[1:])
+        return np.maximum.accumulate(best + at) - at
+
+    kept, row = [-at], -at
+    for i in range(n):
+        row = after(row, i)
+        if (i + 1) % step == 0:
+            kept.append(row)
+    out: list[tuple[str, str, int, int]] = []
     i, j = n, m
     while i or j:
-        if i and j and score[i][j] == score[i - 1][j - 1] + (1 if a[i - 1] == b[j - 1] else -1):
-            i, j = i - 1, j - 1
-            step = (a[i], b[j], i, j)
-        elif i and score[i][j] == score[i - 1][j] - 1:
-            i -= 1
-            step = (a[i], gap, i, -1)
-        else:
-            j -= 1
-            step = (gap, b[j], -1, j)
-        for out, v in zip((x, y, p, q), step):
-            out.append(v)
-    return x[::-1], y[::-1], p[::-1], q[::-1]
+        first = max(i - 1, 0) // step * step
+        rows = [kept[first // step]]
+        while len(rows) <= i - first:
+            rows.append(after(rows[-1], first + len(rows) - 1))
+        while (i > first) or (first == 0 and j):
+            here = rows[i - first][j]
+            if i and j and here == rows[i - first - 1][j - 1] + (1 if x[i - 1] == y[j - 1] else -1):
+                i, j = i - 1, j - 1
+                out.append((a[i], b[j], i, j))
+            elif i and here == rows[i - first - 1][j] - 1:
+                i -= 1
+                out.append((a[i], gap, i, -1))
+            else:
+                j -= 1
+                out.append((gap, b[j], -1, j))
+    p, q, r, s = zip(*out[::-1]) if out else ((), (), (), ())
+    return list(p), list(q), list(r), list(s)
 
 
 _ALIGNED = StructType([StructField("a", ArrayType(StringType())), StructField("b", ArrayType(StringType()))])

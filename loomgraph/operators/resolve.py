@@ -285,3 +285,25 @@ class Merging:
     def for_type(self, node_type: str) -> Merging:
         """The same graph for another node type; a history belongs to one type and begins anew."""
         return Merging(self.nodes, self.edges, node_type, self.size, self.threshold, self.blacklist, self.metric)
+
+    def run(self, accept: Callable[[DataFrame], DataFrame], iterations: int) -> DataFrame:
+        """All chunks of so many iterations one after the other: (node, canonical) of all that was merged.
+
+        ``accept`` turns ``candidates_for_review`` into decisions (from, to, accepted). A node that was merged
+        again later is followed to the node that is left in the graph.
+        """
+        last: DataFrame | None = None
+        for turn in range(iterations):
+            if turn:
+                self.next_iteration()
+            while True:
+                log = self.decide(accept(self.candidates_for_review())).select(F.col("merged").alias("node"), "canonical")
+                if last is None:
+                    last = log
+                else:  # what was merged into a node that is merged now goes on with it
+                    on = log.select(F.col("node").alias("canonical"), F.col("canonical").alias("next"))
+                    moved = last.join(on, "canonical", "left").select("node", F.coalesce("next", "canonical").alias("canonical"))
+                    last = stored(moved.unionByName(log))
+                if not self.next_chunk():
+                    break
+        return last

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scratch import stored
-from loomgraph.functions.text import char_ngrams, clean_entity, clean_parts
+from loomgraph.functions.text import char_ngrams, clean_entity, clean_parts, edit_ratio, initials, initials_similarity, parts_similarity
 from loomgraph.operators.metric import Side, pairs_of_parts, similar_pairs
 
 
@@ -193,3 +193,54 @@ def common_in_order(a: list[str], b: list[str], i: np.ndarray, j: np.ndarray) ->
             v[w] = sum_ | (v[w] & ~m[:, w])
             carry = over.astype(np.uint64)
     return np.bitwise_count(~v).sum(axis=0).astype(np.int64)
+
+
+#: What a matcher knows of two names.
+FEATURES = ("edit", "parts", "initials", "length", "start")
+
+
+def name_features(a: Column, b: Column) -> list[Column]:
+    """FEATURES of two names: edit ratio, part ratio, overlap of initials, ratio of lengths, and whether they begin alike."""
+    long = F.greatest(F.length(a), F.length(b), F.lit(1))
+    return [edit_ratio(a, b), parts_similarity(a, b), initials_similarity(initials(a), initials(b)), F.least(F.length(a), F.length(b)) / long, (F.substring(a, 1, 2) == F.substring(b, 1, 2)).cast("double")]
+
+
+def fit_matcher(pairs: DataFrame, a: str = "a", b: str = "b", label: str = "label") -> Callable[[Column, Column], Column]:
+    """The probability that two names are of one thing, as a function of two columns: a logistic regression fitted on ``pairs`` labelled 0 or 1.
+
+    Fits over all pairs as Spark jobs; the driver holds a weight a feature.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    rows = pairs.select(array_to_vector(F.array(*(F.coalesce(x.cast("double"), F.lit(0.0)) for x in name_features(F.col(a), F.col(b))))).alias("features"), F.col(label).cast("double").alias("label"))
+    fitted = LogisticRegression(regParam=0.001).fit(stored_rows(rows))
+    weights, bias = fitted.coefficients.toArray().tolist(), float(fitted.intercept)
+
+    def probability(x: Column, y: Column) -> Column:
+        score = F.lit(bias)
+        for w, c in zip(weights, name_features(x, y)):
+            score += w * F.coalesce(c, F.lit(0.0))
+        return 1 / (1 + F.exp(-score))
+
+    return probability
+
+
+def stored_rows(rows: DataFrame) -> DataFrame:
+    """The labelled rows from a table: a fit reads them many times. Vectors have a type of their own, so they are written as arrays."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    kept = stored(rows.select(vector_to_array("features").alias("x"), "label"))
+    return kept.select(array_to_vector("x").alias("features"), "label")
+
+
+def misspelt_pairs(names: DataFrame, name: str) -> DataFrame:
+    """(a, b, label): each distinct name with itself less a letter (1), and with the name that follows in an order by hash (0)."""
+    n = names.select(F.col(name).alias("a")).where(F.length(name) > 2).distinct()
+    at = F.pmod(F.xxhash64("a"), F.length("a").cast("long")).cast("int")
+    same = n.select("a", F.concat(F.substring("a", F.lit(1), at), F.substring("a", at + 2, F.length("a"))).alias("b"), F.lit(1).alias("label"))
+    from loomgraph.operators.windows import global_ids
+
+    placed = stored(global_ids(n.withColumn("_h", F.xxhash64("a", F.lit(3))), ["_h", "a"], "_i"))
+    other = placed.select("a", "_i").join(placed.select(F.col("a").alias("b"), (F.col("_i") - 1).alias("_i")), "_i").select("a", "b", F.lit(0).alias("label"))
+    return same.unionByName(other)

@@ -63,6 +63,25 @@ def community_graph(edges: DataFrame, clusters: DataFrame, floor: float = 0.6, s
     return nodes, edges.withColumn("penwidth", (F.col("weight") - floor) * scale)
 
 
+def topic_graph(links: DataFrame, terms: DataFrame, n: int = 20, low: float = 8.0, high: float = 32.0) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a topic graph whose nodes hold their terms.
+
+    ``links(a, b, weight)`` joins topics, ``terms(topic, term, weight)`` says what they are about.
+    Nodes are the topics and, as words inside them, the ``n`` heaviest terms of each with a font size
+    between ``low`` and ``high`` by weight within the topic; ``inside`` names the topic that a word stands
+    in. Edges keep their weights as pen widths.
+    """
+    from loomgraph.operators.topics import top_terms
+
+    best = top_terms(terms, n)
+    bounds = best.groupBy("topic").agg(F.min("weight").alias("_a"), F.max("weight").alias("_b"))
+    share = F.when(F.col("_b") > F.col("_a"), (F.col("weight") - F.col("_a")) / (F.col("_b") - F.col("_a"))).otherwise(1.0)
+    words = best.join(bounds, "topic").select(F.concat_ws("/", F.col("topic").cast("string"), "term").alias("node"), F.col("term").alias("label"), (low + (high - low) * share).alias("size"), F.col("topic").cast("string").alias("inside"))
+    ends = links.select(F.col("a").alias("topic")).unionAll(links.select("b")).unionAll(terms.select("topic")).distinct()
+    topics_ = ends.select(F.col("topic").cast("string").alias("node"), F.col("topic").cast("string").alias("label"), F.lit(float(high)).alias("size"), F.lit(None).cast("string").alias("inside"))
+    return topics_.unionByName(words), links.select(F.col("a").cast("string").alias("from"), F.col("b").cast("string").alias("to"), F.col("weight").alias("penwidth"))
+
+
 def keyword_rows(texts: DataFrame, colours: dict[str, str], text: str = "text", background: bool = True, ignore_case: bool = True) -> DataFrame:
     """Adds ``html``: every keyword in its colour, as background or as letters; one text, a list or a keyed table are rows alike."""
     c = F.col(text)

@@ -47,16 +47,70 @@ def cumulative(df: DataFrame, weight: str = "weight", mass: str = "mass") -> Dat
     return made.select(*df.columns, "share", "place")
 
 
-def filled(df: DataFrame, column: str, by: list[str], order: list[str]) -> DataFrame:
-    """Adds ``forward`` and ``backward``: the last and the next value that is not null."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("forward", F.last(column, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("backward", F.first(column, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+#: Rows of a group that one task orders; beyond, groups are dealt to tasks by ranges.
+GROUP_ROWS = 1_000_000
 
 
-def running_ids(df: DataFrame, group: str, order: list[str]) -> DataFrame:
+def _long_groups(df: DataFrame, by: list[str], most: int) -> bool:
+    """Whether a group has more rows than one task is to order; counted, with partial counts in the tasks."""
+    top = df.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0]
+    return bool(top and top > most)
+
+
+def _ranged(df: DataFrame, by: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``_part``, a part of the order by group and ``order``; (_part, *by) of the groups that stand in several parts)."""
+    from loomgraph.functions.scratch import stored
+
+    rows = stored(df.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))  # range bounds come from a sample: fix them
+    several = rows.groupBy(*by).agg(F.min("_part").alias("_first"), F.max("_part").alias("_last")).where("_first < _last")
+    spread = several.select(*by, F.explode(F.sequence("_first", "_last")).alias("_part"))  # two groups a part at most
+    return rows, spread
+
+
+def _same(by: list[str]) -> Column:
+    """A key that is equal for equal groups, nulls alike."""
+    return F.to_json(F.struct(*by), {"ignoreNullFields": "false"})
+
+
+def filled(df: DataFrame, column: str, by: list[str], order: list[str], most: int = GROUP_ROWS) -> DataFrame:
+    """Adds ``forward`` and ``backward``: the last and the next value that is not null.
+
+    Groups of over ``most`` rows are scanned in ranges: each range of a group keeps its last and
+    first value, these are carried over ranges as a table of two rows a range, and
+    only then rows without a value of their own range take what was carried.
+    """
+    if not _long_groups(df, by, most):
+        w = Window.partitionBy(*by).orderBy(*order)
+        return df.withColumn("forward", F.last(column, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("backward", F.first(column, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    rows, spread = _ranged(df, by, order)
+    place = F.struct(*order)
+    ends = rows.where(F.col(column).isNotNull()).groupBy("_part", *by).agg(F.max_by(column, place).alias("_end"), F.min_by(column, place).alias("_begin"))
+    keyed = spread.select("_part", _same(by).alias("_key")).join(ends.select("_part", _same(by).alias("_key"), "_end", "_begin"), ["_part", "_key"], "left")
+    over = Window.partitionBy("_key").orderBy("_part")
+    carried = keyed.select("_part", "_key", F.last("_end", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_begin", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    w = Window.partitionBy("_part", *by).orderBy(*order)
+    own = rows.withColumn("forward", F.last(column, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("backward", F.first(column, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    out = own.withColumn("_key", _same(by)).join(F.broadcast(carried), ["_part", "_key"], "left")
+    return out.select(*df.columns, F.coalesce("forward", "_before").alias("forward"), F.coalesce("backward", "_after").alias("backward"))
+
+
+def running_sums(df: DataFrame, by: list[str], order: list[str], value: Column, to: str, most: int = GROUP_ROWS) -> DataFrame:
+    """Adds ``to``: the sum of ``value`` (a column that is never null) up to and with a row in its group; groups of over ``most`` rows by carried sums of their ranges."""
+    if not _long_groups(df, by, most):
+        return df.withColumn(to, F.sum(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    rows, spread = _ranged(df.withColumn("_value", value), by, order)
+    sums = rows.groupBy("_part", *by).agg(F.sum("_value").alias("_s")).select("_part", _same(by).alias("_key"), "_s")
+    over = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = spread.select("_part", _same(by).alias("_key")).join(sums, ["_part", "_key"]).select("_part", "_key", F.sum("_s").over(over).alias("_before"))
+    own = rows.withColumn(to, F.sum("_value").over(Window.partitionBy("_part", *by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    out = own.withColumn("_key", _same(by)).join(F.broadcast(carried), ["_part", "_key"], "left")
+    return out.select(*df.columns, (F.col(to) + F.coalesce("_before", F.lit(0))).alias(to))
+
+
+def running_ids(df: DataFrame, group: str, order: list[str], most: int = GROUP_ROWS) -> DataFrame:
     """Adds ``running_id``: the group's id, an underscore and the row's place in it."""
-    k = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    return df.withColumn("running_id", F.concat_ws("_", F.col(group).cast("string"), k.cast("string")))
+    numbered = running_sums(df, [group], order, F.lit(1), "_k", most)
+    return numbered.withColumn("running_id", F.concat_ws("_", F.col(group).cast("string"), (F.col("_k") - 1).cast("string"))).drop("_k")
 
 
 def global_ids(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
@@ -75,10 +129,10 @@ def global_ids(df: DataFrame, order: list[str], name: str = "id") -> DataFrame:
     return numbered.join(F.broadcast(starts), "_part").withColumn(name, F.col("_start") + F.col("_k") - 1).drop("_part", "_k", "_start")
 
 
-def offsets(df: DataFrame, by: list[str], order: list[str], length: Column, gap: int = 1) -> DataFrame:
+def offsets(df: DataFrame, by: list[str], order: list[str], length: Column, gap: int = 1, most: int = GROUP_ROWS) -> DataFrame:
     """Adds ``start``: the sum of lengths and gaps before a row in its group."""
     size = length + gap
-    return df.withColumn("start", F.sum(size).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - size)
+    return running_sums(df, by, order, size, "start", most).withColumn("start", F.col("start") - size)
 
 
 def rescaled(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
@@ -87,11 +141,23 @@ def rescaled(df: DataFrame, column: str, low: float, high: float) -> DataFrame:
     return df.join(F.broadcast(bounds)).withColumn("scaled", low + (high - low) * (F.col(column) - F.col("_low")) / (F.col("high") - F.col("_low"))).drop("_low")
 
 
-def runs(df: DataFrame, by: list[str], order: list[str], column: str) -> DataFrame:
-    """Adds ``run``: the number of the run of equal values that a row is in."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    new = F.when(F.lag(column).over(w).eqNullSafe(F.col(column)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    return df.withColumn("_new", new).withColumn("run", F.sum("_new").over(w)).drop("_new")
+def runs(df: DataFrame, by: list[str], order: list[str], column: str, most: int = GROUP_ROWS) -> DataFrame:
+    """Adds ``run``: the number of the run of equal values that a row is in.
+
+    In groups of over ``most`` rows a range's first row looks at the last value of the range before, and numbers are carried sums.
+    """
+    if not _long_groups(df, by, most):
+        w = Window.partitionBy(*by).orderBy(*order)
+        new = F.when(F.lag(column).over(w).eqNullSafe(F.col(column)) & (F.row_number().over(w) > 1), 0).otherwise(1)
+        return df.withColumn("_new", new).withColumn("run", F.sum("_new").over(w)).drop("_new")
+    rows, spread = _ranged(df, by, order)
+    ends = rows.groupBy("_part", *by).agg(F.max_by(F.struct(column), F.struct(*order)).alias("_end")).select("_part", _same(by).alias("_key"), "_end")
+    over = Window.partitionBy("_key").orderBy("_part")
+    carried = spread.select("_part", _same(by).alias("_key")).join(ends, ["_part", "_key"]).select("_part", "_key", F.lag("_end").over(over).alias("_before"))
+    w = Window.partitionBy("_part", *by).orderBy(*order)
+    before = F.coalesce(F.lag(F.struct(column)).over(w), "_before")
+    marked = rows.withColumn("_key", _same(by)).join(F.broadcast(carried), ["_part", "_key"], "left").withColumn("_new", F.when(before.isNotNull() & before[column].eqNullSafe(F.col(column)), 0).otherwise(1))
+    return running_sums(marked.select(*df.columns, "_new"), by, order, F.col("_new"), "run", most).drop("_new")
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators import dedup, etl, graphs, similarity, weights
+from loomgraph.operators import dedup, etl, factored, graphs, similarity, weights
 from loomgraph.plans.registry import query, table
 from loomgraph.plans.resolution import CHARS, names
 from loomgraph.plans.relational import EDGES_SQL, NODES_SQL, TRADE_SQL, edges, nodes, trade
@@ -117,6 +117,35 @@ def gr10_indirect_edges(s, d):
     return graphs.indirect_edges(e, "Belongs To", "Colleague")
 
 
+_VISITS = "(SELECT DISTINCT user_id AS u, ts::DATE AS d FROM events WHERE event_type = 'purchase')"
+_SEEN = f"(SELECT a.u AS u, b.u AS v, count(*) AS weight FROM {_VISITS} a JOIN {_VISITS} b ON a.d = b.d AND a.u < b.u GROUP BY 1, 2)"
+
+
+def visits(s, d):
+    """Users and the days on which they bought something."""
+    return table(s, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("from"), F.to_date("ts").alias("to")).distinct()
+
+
+@query("WITH c AS (SELECT c_nationkey, min(c_custkey) AS twin, count(*) AS n FROM customer GROUP BY 1) SELECT twin AS a, twin AS b, 1::BIGINT AS weight FROM c WHERE n > 1")
+def gr10_factored_links(s, d):
+    """Colleagues as classes: a row a nation in place of a row a pair of its customers."""
+    e = table(s, d, "customer").select(F.col("c_custkey").alias("from"), F.col("c_nationkey").alias("to"))
+    return factored.factored_projection(e).links.select("a", "b", F.col("weight").cast("long").alias("weight"))
+
+
+@query(f"WITH p AS {_SEEN}, w AS (SELECT u, v, weight FROM p WHERE weight > 1 UNION ALL SELECT v, u, weight FROM p WHERE weight > 1), n AS (SELECT DISTINCT u FROM {_VISITS}) SELECT n.u AS node, count(v) AS degree, coalesce(sum(weight), 0)::BIGINT AS strength FROM n LEFT JOIN w USING (u) GROUP BY 1")
+def gr10_degrees(s, d):
+    """Degrees in the projection of users that bought on more than one common day, read from its classes."""
+    return factored.factored_projection(visits(s, d)).threshold(1).degrees().select("node", F.col("degree").cast("long").alias("degree"), F.col("strength").cast("long").alias("strength"))
+
+
+@query(f"WITH p AS {_SEEN}, w AS (SELECT u, v FROM p WHERE weight > 2 UNION ALL SELECT v, u FROM p WHERE weight > 2), a AS (SELECT min(u) AS u FROM {_VISITS}), one AS (SELECT u FROM a UNION SELECT v FROM w WHERE u IN (SELECT u FROM a)) SELECT u AS node FROM one UNION SELECT v FROM w WHERE u IN (SELECT u FROM one)")
+def gr10_within(s, d):
+    """Users within two links of the first one, by steps between classes."""
+    e = visits(s, d)
+    return factored.factored_projection(e).threshold(2).within(e.agg(F.min("from").alias("node")), 2)
+
+
 @query(
     f"WITH RECURSIVE {CHARS.replace('> 0.8', '> 0.9')}, u AS (SELECT a, b FROM cand UNION ALL SELECT b, a FROM cand), r(node, label) AS (SELECT a, a FROM u UNION SELECT u.b, r.label FROM r JOIN u ON u.a = r.node) SELECT node, min(label) AS component FROM r GROUP BY 1"
 )

@@ -146,15 +146,25 @@ def er15_chunks(s, d):
     return c.groupBy("iteration", "chunk").agg(F.count("*").alias("nodes"))
 
 
-@query("WITH n AS (SELECT count(DISTINCT p_name) AS n FROM part), k AS (SELECT unnest(range(0, 2)) AS chunk) SELECT 0 AS iteration, chunk::INT AS chunk, 'text' AS metric, least(20, n - 20 * chunk) AS n_nodes, true AS merged FROM k, n")
-def er15_history(s, d):
-    """Two chunks of an iteration resolved one after the other, nothing accepted: the history that they leave."""
+def chunked_run(s, d):
+    """All chunks of two iterations over the part names; candidates with equal last words are accepted and the rest rejected."""
     r = resolver(s, d, "Institution")
-    m = resolve.Merging(r.nodes, r.edges, "Institution", size=20)
-    for _ in range(2):
-        m.decide(m.candidates_for_review().select("from", "to", F.lit(False).alias("accepted")).where("false"))
-        m.next_chunk()
-    return m.history.select("iteration", "chunk", "metric", "n_nodes", "merged")
+    m = resolve.Merging(r.nodes, r.edges, "Institution", size=20, threshold=0.8, constraints={"text": 1.0})
+    last = lambda c: F.element_at(F.split(c, " "), -1)
+    merged = m.run(lambda p: p.select("from", "to", (last("from") == last("to")).alias("accepted")), 2)
+    return m, merged
+
+
+@query()
+def er15_history(s, d):
+    """The history of two iterations in chunks of 20, with the nodes and edges that each chunk began with."""
+    return chunked_run(s, d)[0].history.select("iteration", "chunk", "metric", "n_nodes", "n_edges", "merged")
+
+
+@query()
+def er15_merged(s, d):
+    """Where each merged name went over two iterations in chunks of 20."""
+    return chunked_run(s, d)[1]
 
 
 @query("SELECT 'N' || n_nationkey AS node, min('N' || n_nationkey) OVER (PARTITION BY n_regionkey) AS cluster FROM nation")
@@ -162,3 +172,12 @@ def er18_accepted_clusters(s, d):
     n = table(s, d, "nation").select("n_regionkey", F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("node"))
     hub = n.groupBy("n_regionkey").agg(F.min("node").alias("hub"))
     return resolve.accepted_clusters(n.join(hub, "n_regionkey").where("node <> hub").select(F.col("node").alias("from"), F.col("hub").alias("to"), F.lit(True).alias("accepted")))
+
+
+@query()
+def er13_match_probability(s, d):
+    """Candidate pairs of part names with the probability that they are one, from a matcher fitted on misspelt supplier, part and nation names."""
+    known = names(s, d).select("name").unionAll(table(s, d, "supplier").select("s_name")).unionAll(table(s, d, "nation").select("n_name"))
+    matcher = similarity.fit_matcher(similarity.misspelt_pairs(known, "name"))
+    r = resolver(s, d, "Institution", predict=matcher)
+    return r.text_scores().select("from", "to", F.round("predict", 6).alias("predict"))

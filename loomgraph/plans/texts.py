@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from loomgraph.functions.scratch import stored
 from loomgraph.operators import nlp, representation, tables, topics
 from loomgraph.plans.registry import query, table
+from loomgraph.plans.relational import _roundtrip
+from loomgraph.sources import writers
 
 _SENT = (
     "x AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?])[ \\t\\r\\n]+', '\\1' || chr(1), 'g'), chr(1)) AS a FROM documents), y AS (SELECT doc_id, unnest(a) AS s, generate_subscripts(a, 1) AS i FROM x), "
@@ -285,3 +287,34 @@ def rep03_different_label_pairs(s, d):
 @query("SELECT label, row_number() OVER (ORDER BY label)::INT - 1 AS index FROM (SELECT DISTINCT event_type AS label FROM events)")
 def rep07_label_index(s, d):
     return representation.label_index(table(s, d, "events").select(F.col("event_type").alias("label")), "label")
+
+
+def orders_as_texts(s, d):
+    """Orders with their words and the second they were placed."""
+    return table(s, d, "orders").select("o_orderkey", F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("text"), F.unix_timestamp("o_orderdate").alias("seconds"))
+
+
+@query(
+    "WITH w AS (SELECT o_orderkey, month(o_orderdate)::INT AS month, unnest(string_split(trim(regexp_replace(lower(o_orderpriority || ' ' || o_orderstatus), '[ ]+', ' ', 'g')), ' ')) AS w FROM orders), p AS (SELECT month, w, unnest(range(0, (len(w) + 3) // 4)) AS k FROM w) "
+    "SELECT month, CASE WHEN k > 0 THEN '##' ELSE '' END || w[4 * k + 1:4 * k + 4] AS token, count(*) AS n, count(*)::DOUBLE AS lengths FROM p GROUP BY 1, 2"
+)
+def nlp21_embeddings_by_month(s, d):
+    """Word pieces of all orders with their vectors, by month; how many, and the sum of the vectors' squared lengths."""
+    e = nlp.subword_embeddings(orders_as_texts(s, d), nlp.hashed_pieces(), "seconds", key="o_orderkey")
+    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    return e.groupBy("month", "token").agg(F.count("*").alias("n"), F.round(F.sum(square), 6).alias("lengths"))
+
+
+@query()
+def snk07_topic_outputs(s, d):
+    """Topics of all documents saved as tables and read back: documents a topic that each goes with best, and its terms."""
+    g = whole_grams(s, d)
+    model, shares, terms = topics.fit_topics(g.doc_terms(g.vocabulary(100)), 3, rounds=6)
+    path = _roundtrip(s, "topics")
+    docs = table(s, d, "documents").select("doc_id")
+    writers.save_topics(docs, shares, terms, path, model)
+    own = s.read.csv(f"{path}/document_topics", header=True, inferSchema=True)
+    best = F.when(F.col("0").isNull(), F.lit(None)).when((F.col("0") >= F.col("1")) & (F.col("0") >= F.col("2")), 0).when(F.col("1") >= F.col("2"), 1).otherwise(2)
+    counted = own.groupBy(best.alias("topic")).agg(F.count("*").alias("documents"))
+    told = s.read.csv(f"{path}/topic_terms", header=True, inferSchema=True).groupBy("topic").agg(F.count("*").alias("terms"))
+    return counted.join(told, "topic", "left")

@@ -91,10 +91,51 @@ def snk05_local_graph(s, d):
     return s.read.schema("`from` string, `to` string, edgeType string").json(f"{path}/doc_local_graph_{kind}_edges").groupBy(F.col("edgeType").alias("type")).agg(F.count("*").alias("n"))
 
 
-@query("WITH c AS (SELECT p_brand AS cluster, count(*) AS n FROM part GROUP BY 1), k AS (SELECT cluster, row_number() OVER (ORDER BY n DESC, cluster) - 1 AS k FROM c) SELECT p_partkey AS node, cluster, (k % 8 + 1)::VARCHAR AS colour FROM part JOIN k ON cluster = p_brand")
+def label_graph(s, d):
+    """Embeddings that are alike within a label, coloured by label."""
+    from loomgraph.operators import graphs
+
+    e = table(s, d, "embeddings")
+    edges = graphs.cosine_graph(e, "vec_id", "embedding", "label", 0.3).select(F.col("a").alias("from"), F.col("b").alias("to"), F.col("similarity").alias("weight"))
+    return views.community_graph(edges, e.select(F.col("vec_id").alias("node"), F.col("label").alias("cluster")))
+
+
+@query("WITH c AS (SELECT label AS cluster, count(*) AS n FROM embeddings GROUP BY 1), k AS (SELECT cluster, row_number() OVER (ORDER BY n DESC, cluster) - 1 AS k FROM c) SELECT vec_id AS node, cluster, (k % 8 + 1)::VARCHAR AS colour FROM embeddings JOIN k ON cluster = label")
 def vis03_community_colours(s, d):
-    clusters = table(s, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("cluster"))
-    return views.community_graph(s.createDataFrame([], "`from` int, `to` int, weight double"), clusters)[0]
+    return label_graph(s, d)[0]
+
+
+@query(
+    "SELECT a AS \"from\", b AS \"to\", round(c, 6) AS weight, round((c - 0.6) * 5, 5) AS penwidth FROM (SELECT x.vec_id AS a, y.vec_id AS b, list_cosine_similarity(list_transform(x.embedding, lambda v: v::DOUBLE), list_transform(y.embedding, lambda v: v::DOUBLE)) AS c FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id < y.vec_id) WHERE c > 0.3"
+)
+def vis03_community_edges(s, d):
+    return label_graph(s, d)[1].select("from", "to", F.round("weight", 6).alias("weight"), F.round("penwidth", 5).alias("penwidth"))
+
+
+_TOPICS = (
+    "u AS (SELECT user_id, event_type, avg(value) AS p FROM events GROUP BY 1, 2), r AS (SELECT a.event_type AS a, b.event_type AS b, corr(a.p, b.p) AS r FROM u a JOIN u b ON a.user_id = b.user_id AND a.event_type < b.event_type GROUP BY 1, 2), "
+    "t AS (SELECT event_type AS topic, hour(ts)::VARCHAR || 'h' AS term, count(*)::DOUBLE AS weight FROM events GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS k FROM t), b AS (SELECT topic, min(weight) AS lo, max(weight) AS hi FROM k WHERE k <= 5 GROUP BY 1)"
+)
+
+
+def event_topics(s, d):
+    """Event types as topics, linked by how users' mean values go together; the hours in which they occur are their terms."""
+    from loomgraph.operators import graphs
+
+    e = table(s, d, "events")
+    links = graphs.top_correlations(e.groupBy("user_id", "event_type").agg(F.avg("value").alias("p")), "user_id", "event_type", "p", -1.0)
+    terms = e.groupBy(F.col("event_type").alias("topic"), F.concat(F.hour("ts").cast("string"), F.lit("h")).alias("term")).agg(F.count("*").cast("double").alias("weight"))
+    return views.topic_graph(links.select("a", "b", "weight"), terms, 5)
+
+
+@query(f"WITH {_TOPICS} SELECT topic AS node, topic AS label, 32.0::DOUBLE AS size, NULL::VARCHAR AS inside FROM (SELECT DISTINCT topic FROM t) UNION ALL SELECT k.topic || '/' || term, term, round(8 + 24 * CASE WHEN hi > lo THEN (weight - lo) / (hi - lo) ELSE 1 END, 6), k.topic FROM k JOIN b ON b.topic = k.topic WHERE k <= 5")
+def vis05_topic_nodes(s, d):
+    return event_topics(s, d)[0].withColumn("size", F.round("size", 6))
+
+
+@query(f"WITH {_TOPICS} SELECT a AS \"from\", b AS \"to\", round(1 + 3 * (r - min(r) OVER ()) / (max(r) OVER () - min(r) OVER ()), 6) AS penwidth FROM r WHERE r > -1")
+def vis05_topic_edges(s, d):
+    return event_topics(s, d)[1].withColumn("penwidth", F.round("penwidth", 6))
 
 
 @query("SELECT item_id, md5(regexp_replace(regexp_replace(text, '(?i)(the)', '<span style=\"background-color:red\">\\1</span>', 'g'), '(?i)(her)', '<span style=\"background-color:blue\">\\1</span>', 'g')) AS h FROM benchmark")
