@@ -5,11 +5,11 @@ K + K centroids make K * K cells. A query's inner product with a cell is the sum
 numbers, one a half; a heap walks the cells from the largest sum down without listing all.
 Entries of the cells that are walked are ranked again by exact inner products.
 
-Where a query stops depends on itself: the sample that the codebooks are fitted on, a part
-of the entries, gives a bound for its k-th best product. Quantising loses a share of the
-variance; of an entry that reaches the bound, that share of the product is expected to be
-lost, and cells are walked until their sums fall ``slack`` standard deviations below what is
-left. So queries with close neighbours stop early and others go on, at any size of the table.
+Where a query stops depends on itself. The sample that the codebooks are fitted on, a part of
+the entries, gives a bound for its k-th best product, and each centroid knows how far the
+vectors that it stands for lie from it. So a cell has an expected number of entries over
+the bound, and the walk ends when the cells walked hold nearly all of what is expected of all
+cells. Queries with close neighbours stop early and others go on, at any size of the table.
 
 Entries lie in blocks of equal size in the order of their cells. A task holds one block and
 takes the queries that walk into it as matrix products; a cell of many entries fills several
@@ -37,8 +37,8 @@ ROUNDS = 12
 BLOCK_BYTES, SLICE, SHARE = 1 << 20, 512, 1 << 17
 #: Most centroids of a half.
 CENTROIDS = 256
-#: Deviations of the sums of wanted entries below their mean at which a walk stops.
-SLACK = 2.0
+#: Share of the entries expected over a query's bound at which its walk ends; deviations by which centroids of loose cells go first.
+WALKED, LOOSE = 0.98, 1.0
 #: What a search of one dimension finds.
 FOUND = "node long, twin long, ids array<long>, scores array<double>"
 
@@ -90,43 +90,50 @@ class Codebooks:
         self.size = int(np.clip(2 ** round(np.log2(max(n, 1) ** 0.5 / 4)), 4, CENTROIDS))
         self.halves = (sample[:, : self.cut], sample[:, self.cut :])
         self.books = [_means(np.ascontiguousarray(h), self.size) for h in self.halves]
-        lost = [h - c[_nearest(h, c)] for h, c in zip(self.halves, self.books)]
-        variance = sum((x * x).sum() for x in lost) / max(1, len(sample) * d)  # of one coordinate
-        self.kept = max(0.0, 1 - variance / max(variance, sample.var(axis=0).mean(), 1e-300))
-        self.spread = float(np.sqrt(variance * self.kept))
+        self.loss = []  # of one coordinate, by centroid
+        for h, c in zip(self.halves, self.books):
+            own = _nearest(h, c)
+            square = ((h - c[own]) ** 2).mean(1) if h.shape[1] else np.zeros(len(h))
+            whole = square.mean() if len(h) else 0.0
+            self.loss.append((np.bincount(own, square, self.size) + 4 * whole) / (np.bincount(own, minlength=self.size) + 4))
         self.sample, self.share, self.k = sample, len(sample) / max(n, 1), k
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         return _nearest(x[:, : self.cut], self.books[0]) * self.size + _nearest(x[:, self.cut :], self.books[1])
 
     def bounds(self, q: np.ndarray) -> np.ndarray:
-        """A product that the k-th best of all entries hardly falls short of: in the sample, the one of the rank that stands for k.
+        """A product that the k-th best of all entries hardly falls short of, from the sample.
 
-        Where the sample is everything, k + 1 are asked for: one may be the query's own.
+        It is the one of the rank that stands for k + 1 (one may be the query's own) and 1.5 deviations of what the sample holds of them.
         """
         s = q @ self.sample.T
-        rank = min(s.shape[1], max(1, round((self.k + 1) * self.share)))
+        mean = (self.k + 1) * self.share
+        rank = min(s.shape[1], max(1, round(mean + 1.5 * (mean * (1 - self.share)) ** 0.5)))
         return -np.partition(-s, rank - 1, axis=1)[:, rank - 1]
 
-    def walk(self, q: np.ndarray, bound: float, filled: np.ndarray, slack: float) -> np.ndarray:
-        """Cells for one query, the largest sum first, by a heap over pairs of centroids; ``filled`` are entries by cell.
+    def walk(self, q: np.ndarray, bound: float, filled: np.ndarray, share: float) -> np.ndarray:
+        """Cells for one query, the largest sum first, by a heap over pairs of centroids; ``filled`` are entries by cell (matrix).
 
-        It stops when sums fall ``slack`` deviations below what the bound leaves, and k + 1 entries are seen.
+        It stops when k + 1 entries are seen and the cells hold ``share`` of the entries expected over the bound.
         """
-        a, b = self.books[0] @ q[: self.cut], self.books[1] @ q[self.cut :]
+        halves = (q[: self.cut], q[self.cut :])
+        sums = [c @ h for c, h in zip(self.books, halves)]
+        spread = [v * float(h @ h) for v, h in zip(self.loss, halves)]
+        z = (bound - sums[0][:, None] - sums[1][None, :]) / np.sqrt(spread[0][:, None] + spread[1][None, :] + 1e-300)
+        hope = filled * _tail(z)
+        wanted = share * float(hope.sum())
+        a, b = (s + LOOSE * np.sqrt(v) for s, v in zip(sums, spread))
         i, j = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
+        order = np.ix_(i, j)
+        count, expected = filled[order].tolist(), hope[order].tolist()
         a, b, rows, columns = (-a[i]).tolist(), (-b[j]).tolist(), i.tolist(), j.tolist()
-        least = -(self.kept * bound - slack * self.spread * float(np.linalg.norm(q)))
-        heap, seen, out, size = [(a[0] + b[0], 0, 0)], 0, [], self.size
-        count = filled.tolist() if isinstance(filled, np.ndarray) else filled
-        while heap:
-            sum_, x, y = heapq.heappop(heap)
-            if sum_ > least and seen > self.k:
-                break
-            cell = rows[x] * size + columns[y]
-            if count[cell]:
-                out.append(cell)
-                seen += count[cell]
+        heap, seen, mass, out, size = [(a[0] + b[0], 0, 0)], 0, 0.0, [], self.size
+        while heap and (mass < wanted or seen <= self.k):
+            _, x, y = heapq.heappop(heap)
+            if count[x][y]:
+                out.append(rows[x] * size + columns[y])
+                seen += count[x][y]
+                mass += expected[x][y]
             # Each pair is reached once: along its row, or down the first column.
             if y + 1 < size:
                 heapq.heappush(heap, (a[x] + b[y + 1], x, y + 1))
@@ -135,6 +142,13 @@ class Codebooks:
         return np.array(out, dtype=np.int64)
 
 
+def _tail(z: np.ndarray) -> np.ndarray:
+    """The chance that a normal variate exceeds z, to within a few percent of itself."""
+    x = np.minimum(np.abs(z), 38.0)
+    upper = np.exp(-x * x / 2) / (1.64 * x + np.sqrt(0.76 * x * x + 4))
+    return np.where(z < 0, 1 - upper, upper)
+
+
 def _layout(filled: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
     """(first block, blocks) of each cell: cells in order share blocks of ``room`` entries, a larger cell has several of its own."""
     first, many = np.zeros(len(filled), dtype=np.int64), np.ones(len(filled), dtype=np.int64)
@@ -150,14 +164,14 @@ def _layout(filled: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
     return first, many
 
 
-def search(df: DataFrame, k: int = 20, modulus: int = 20, slack: float | None = SLACK, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def search(df: DataFrame, k: int = 20, modulus: int = 20, share: float | None = WALKED, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id ``modulus`` divides, the k rows found with the largest inner product.
 
     Vectors that are null, empty, zero or hold null or non-finite numbers take no part, nor do
     rows without id. A row is not its own neighbour; rows that share its id count as itself, and
     rows that repeat id and vector count once. Vectors meet those of their dimension only.
     Scores are exact, of the vectors as doubles; nearest first, ties to the smaller id. With
-    ``slack`` None every cell is walked, which is exact.
+    ``share`` None every cell is walked, which is exact.
     """
     scratch = Scratch(df.sparkSession, "multi-index")
     spark = df.sparkSession
@@ -167,7 +181,7 @@ def search(df: DataFrame, k: int = 20, modulus: int = 20, slack: float | None =
     asked = scratch.save(entries.join(queries.select("node", "twin").distinct(), ["node", "twin"], "left_semi"), "asked")
     sizes = entries.groupBy(F.size("vector").alias("d")).count().collect()  # a row a dimension
     of = lambda t, d: t.where(F.size("vector") == d).select("node", "twin", "vector", "ids")
-    found = [_search(of(entries, d), of(asked, d), d, n, k, slack, scratch) for d, n in sizes]
+    found = [_search(of(entries, d), of(asked, d), d, n, k, share, scratch) for d, n in sizes]
     tops = functools.reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], FOUND)
     best = merged(tops, k + 1)
     # A common vector is searched once; its rows get their lists here, less themselves.
@@ -178,7 +192,7 @@ def search(df: DataFrame, k: int = 20, modulus: int = 20, slack: float | None =
     return out.withColumn("rank", ranked).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _search(entries: DataFrame, asked: DataFrame, d: int, n: int, k: int, slack: float | None, scratch: Scratch) -> DataFrame:
+def _search(entries: DataFrame, asked: DataFrame, d: int, n: int, k: int, walked_share: float | None, scratch: Scratch) -> DataFrame:
     """(node, twin, ids, scores): for the vectors asked for, all of one dimension, the best of each block that they walk into."""
     spark = entries.sparkSession
     most = min(SAMPLE, max(256, SAMPLE_BYTES // (8 * d)))
@@ -198,7 +212,7 @@ def _search(entries: DataFrame, asked: DataFrame, d: int, n: int, k: int, slack:
     for cell, many in placed.groupBy("cell").count().collect():  # a row a cell: CENTROIDS squared at most
         filled[cell] = many
     first, many = _layout(filled, max(64, BLOCK_BYTES // (8 * d)))
-    layout = spark.sparkContext.broadcast((filled.tolist(), first, many, max(1, -(-asked.count() // SHARE))))
+    layout = spark.sparkContext.broadcast((filled.reshape(size, size), first, many, max(1, -(-asked.count() // SHARE))))
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, first_, many_, shares = layout.value
@@ -216,11 +230,11 @@ def _search(entries: DataFrame, asked: DataFrame, d: int, n: int, k: int, slack:
             for at in range(0, whole.num_rows, SLICE):
                 b = whole.slice(at, SLICE)
                 q = _matrix(b.column("vector"))
-                bounds = books.bounds(q) if slack is not None else np.full(len(q), -np.inf)
+                bounds = books.bounds(q)
                 out: list[tuple[np.ndarray, np.ndarray]] = []
                 cells: list[np.ndarray] = []
                 for i in range(len(q)):
-                    walked = np.sort(books.walk(q[i], float(bounds[i]), filled_, slack or 0.0))
+                    walked = np.sort(books.walk(q[i], float(bounds[i]), filled_, walked_share)) if walked_share is not None else np.flatnonzero(filled_)
                     spread = np.repeat(walked, many_[walked])
                     blocks = first_[spread] + np.arange(len(spread)) - np.searchsorted(spread, spread)
                     edges = np.flatnonzero(np.diff(blocks, prepend=-1))
@@ -309,10 +323,8 @@ def _best(asked: pa.RecordBatch, cell: np.ndarray, x: np.ndarray, ids: pa.Array,
     open_[row[real], to[real]] = True
     s[~open_[:, of]] = -np.inf
     take = min(len(x), k)
-    top = np.argpartition(-s, take - 1, axis=1)[:, :take]
-    i, j = np.repeat(np.arange(len(q)), take), top.ravel()
-    real = np.isfinite(s[i, j])
-    i, j = i[real], j[real]
+    last = -np.partition(-s, take - 1, axis=1)[:, take - 1 : take]  # all that tie with the last are taken: ids decide
+    i, j = np.nonzero((s >= last - 1e-9 * (1 + np.abs(last))) & (s > -np.inf))
     exact = np.einsum("ij,ij->i", q[i], x[j])
     held = ids.take(pa.array(j))
     many = np.diff(held.offsets.to_numpy())
