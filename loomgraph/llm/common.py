@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scratch import folder
+from loomgraph.operators import graphs
 
 
 class Scratch:
@@ -98,32 +99,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, name: str = "components") -> DataFrame:
-    """(node, component) for every endpoint of ``edges(a, b)``; component is the smallest node reachable.
-
-    Each round hooks every node to the smallest label among its neighbours and then jumps
-    along labels; rounds are written to the shared folder, so lineage stays short. The
-    number of rounds grows with the logarithm of the longest chain. Rows are labels, not
-    pairs: a hub with many edges is aggregated map-side before the shuffle.
-    """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = scratch.save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), f"{name}-0")
-    turn = 0
-    while True:
-        turn += 1
-        old = labels
-        # The smallest label among the neighbours of each node.
-        seen = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        hooked = labels.join(seen, "node").select("node", F.col("component").alias("was"), F.least("component", "near").alias("now"))
-        # A node that was a label hands what it learnt to all nodes that carried it.
-        best = hooked.groupBy(F.col("was").alias("label")).agg(F.min("now").alias("low"))
-        moved = hooked.join(best, F.col("was") == F.col("label")).select("node", "was", F.least("now", "low").alias("mid"))
-        own = moved.select(F.col("node").alias("mid"), F.col("mid").alias("far"))
-        jumped = moved.join(own, "mid").select("node", "was", F.least("mid", "far").alias("component"))
-        step = scratch.save(jumped, f"{name}-{turn}")
-        changed = step.where("was <> component").limit(1).count()
-        labels = step.select("node", "component")
-        scratch.drop(f"{name}-{turn - 1}")
-        if not changed:
-            return labels
-        del old
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component) for every end of ``edges(a, b)``; component is the smallest node reachable."""
+    return graphs.connected_components(edges.select(F.col("a").alias("from"), F.col("b").alias("to")))

@@ -359,7 +359,7 @@ def classes(df: DataFrame, cosine: float = 0.98, key: str = "vec_id", embedding:
     dense = scratch.save(hits.where("a is null").select("tile_a", "tile_b").distinct(), "dense")
     sparse = hits.where("a is not null").join(dense, ["tile_a", "tile_b"], "left_anti").select("a", "b").distinct()
     links = scratch.save(sparse_links(sparse, nodes, cosine, kind).unionByName(dense_links(dense, nodes, cosine, kind)), "links")
-    labels = connected_components(links.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), scratch)
+    labels = connected_components(links.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct())
     degree = links.groupBy("node").agg(F.sum("links").alias("links"))
     linked = labels.join(distinct.select("node", "least"), "node")
     first = linked.groupBy("component").agg(F.min("least").alias("first"))  # the least id of a component

@@ -5,12 +5,13 @@ exponential variates: exponentially spaced, truncated minima, mergeable by maxim
 between two sets about as often as their Jaccard similarity. Bands of registers give
 buckets. In a bucket every document meets one hub, not every other; hubs differ between
 bands. A pair's registers give the likeliest similarity; pairs that may reach the
-threshold are checked on their full sets. After that only buckets that still hold several
-components need more: they are cut into blocks, and a block compares the registers of its
-documents as matrices. Few candidates go on to the check as pairs; a block with many gives
-out a forest that connects them instead. Trees of such forests are clusters, in which
-documents of different components are compared by their full sets, block by block, and a
-block reports only links that join components, never its pairs.
+threshold are checked on their full sets.
+
+After that only documents of buckets that still hold several components need more. Their
+sets are indexed by their rarest shingles: two sets at the threshold have one of those in
+common, while what many documents share (boilerplate, passages) is common and so in no
+index. Pairs of different components that meet there are estimated and checked in turn, so
+work grows with pairs that are alike in rare places and not with the square of a bucket.
 
 Exact copies are one node from the start, so a large group of them costs one sketch.
 
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import Scratch, begin, connected_components, mix64, partitions, row_function, slices
+from loomgraph.operators import graphs
 
 #: Registers of a sketch; their base, rate and largest value.
 REGISTERS, BASE, RATE, TOP = 160, 1.001, 20.0, 65535
@@ -44,12 +46,8 @@ ORDERS = 4
 BROADCAST_ROWS = 500_000
 #: Partners checked against one copy of a hub's set.
 PER_HUB = 128
-#: Documents of a block whose registers are compared (340 bytes each).
-SKETCH_BLOCK = 512
-#: Candidates a block, and further ones a document, beyond which it gives out a forest in place of pairs.
-PER_BLOCK, PER_DOC = 8, 0.25
-#: Documents, and shingles, of a block that is compared by full sets.
-BLOCK_DOCS, BLOCK_SHINGLES = 512, 2_000_000
+#: Counters by which shingles are told rare from common.
+COUNTERS = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _FACTORS = _rng.integers(1, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -239,153 +237,61 @@ def verify(pairs: DataFrame, df: DataFrame, k: int, percent: int, text: str, key
     return links
 
 
-def agreement(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many registers each row of x and each of y have in common (matrix)."""
-    if len(x) * len(y) <= 1024:
-        return (x[:, None, :] == y[None, :, :]).sum(2)
-    out = np.zeros((len(x), len(y)), dtype=np.uint8)  # REGISTERS < 256
-    for p, q in zip(np.ascontiguousarray(x.T), np.ascontiguousarray(y.T)):
-        out += p[:, None] == q[None, :]
-    return out
-
-
-def block_candidates(members: DataFrame, limits: Limits) -> DataFrame:
-    """(a, b, many) from ``members(bucket, parts, node, c, n_shingles, regs)``: pairs of different ``c`` that may reach the threshold.
+def rare_pairs(open_: DataFrame, df: DataFrame, k: int, percent: int, text: str, key: str, scratch: Scratch) -> DataFrame:
+    """(a, b): nodes of ``open_(node, c)`` of different ``c`` that have one of their rarest shingles in common.
 
-    A bucket is cut into ``parts``, and each pair of parts is a block. Where ``many`` holds
-    the pairs are not the candidates but stars that connect them. A block gives out at most
-    a row a document, and PER_BLOCK.
+    A set of n shingles is indexed by its n - ceil(percent n / 100) + 1 rarest, in one order for all sets: by
+    hashed counts, then by hash. Two sets that share percent of the larger one's shingles share
+    one of these, whatever the order; the counts only keep common shingles out. Each text is read
+    once; an index entry of many sets is dealt to tasks as pairs of parts.
     """
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("many", pa.bool_())])
-    enough = math.ceil(REGISTERS * limits.least)
-
-    def compared(left: np.ndarray, right: np.ndarray, node: np.ndarray, c: np.ndarray, n: np.ndarray, regs: np.ndarray) -> list[tuple]:
-        i, j = np.flatnonzero(left), np.flatnonzero(right)
-        if not len(i) or not len(j) or (c == c[0]).all():
-            return []
-        hit = agreement(regs[i], regs[j]) >= enough
-        hit &= c[i][:, None] != c[j][None, :]
-        hit &= 100 * np.minimum(n[i][:, None], n[j][None, :]) >= limits.percent * np.maximum(n[i][:, None], n[j][None, :])
-        if (left & right).any():  # one part against itself
-            hit = np.triu(hit, 1)
-        found = int(np.count_nonzero(hit))
-        if not found:
-            return []
-        if found <= PER_BLOCK + PER_DOC * len(node):
-            x, y = np.nonzero(hit)
-            x, y = i[x], j[y]
-            p, q = regs[x], regs[y]
-            keep = likeliest((p > q).sum(1), (p < q).sum(1), (p == q).sum(1), n[x].astype(float), n[y].astype(float)) >= limits.least
-            return [(node[x[keep]], node[y[keep]], np.zeros(int(keep.sum()), dtype=bool))]
-        root, big = np.arange(len(node)), len(node)
-        while True:  # the least place reachable over candidates
-            was = root.copy()
-            np.minimum.at(root, i, np.where(hit, root[j][None, :], big).min(1))
-            np.minimum.at(root, j, np.where(hit, root[i][:, None], big).min(0))
-            if (was == root).all():
-                break
-        own = np.flatnonzero(root != np.arange(len(node)))
-        return [(node[own], node[root[own]], np.ones(len(own), dtype=bool))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held = None, []
-        for batch in batches:
-            keys = np.stack([batch.column(x).to_numpy().astype(np.int64) for x in ("bucket", "i", "j")])
-            cols = [batch.column(x).to_numpy(zero_copy_only=False) for x in ("left", "right", "node", "c", "n_shingles")]
-            regs = np.frombuffer(b"".join(batch.column("regs").to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1)
-            edges = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)])).tolist() if batch.num_rows else []
-            out = []
-            for s, e in zip(edges, [*edges[1:], batch.num_rows]):
-                own = [x[s:e] for x in (*cols, regs)]
-                if (at := tuple(keys[:, s].tolist())) != block:
-                    if held:
-                        out += compared(*(np.concatenate(x) for x in zip(*held)))
-                    block, held = at, []
-                held.append(own)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=schema)
-        if held and (out := compared(*(np.concatenate(x) for x in zip(*held)))):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], schema=schema)
-
-    blocks = in_blocks(members, "bucket").select("bucket", "i", "j", "left", "right", "node", "c", "n_shingles", "regs")
-    ready = blocks.repartition(partitions(members.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return ready.mapInArrow(run, "a long, b long, many boolean")
-
-
-def in_blocks(rows: DataFrame, by: str) -> DataFrame:
-    """Rows with ``parts`` parts to a group, once for each block (i, j), i <= j, of two parts; ``left`` and ``right`` tell the side."""
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    spread = rows.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return spread.select(
-        by, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") <= F.col("other")).alias("left"), (F.col("part") >= F.col("other")).alias("right"),
-        *(x for x in rows.columns if x not in (by, "parts")),
-    )
+    few = open_.count() <= BROADCAST_ROWS
+    texts = df.select(df[key].cast("long").alias("node"), df[text].alias("text"))
+    rows = texts.join(F.broadcast(open_) if few else open_, "node").select("node", "c", "text")
+    hashes = _Hashes()
 
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("near_dup", hashes.clear)
+        for batch in slices(batches):
+            sets = [shingle_set(words_of(t or ""), k, hashes) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("c"), pa.array([x.tobytes() for x in sets], pa.binary())], names=["node", "c", "shingles"])
 
-def links_across(placed: DataFrame, df: DataFrame, k: int, percent: int, text: str, key: str, scratch: Scratch) -> DataFrame:
-    """Links (a, b) that join components ``c`` within clusters of ``placed(cluster, node, c, n_shingles)``.
+    sets = scratch.save(rows.mapInArrow(made, "node long, c long, shingles binary"), "sets")
 
-    A cluster is cut into parts; each pair of parts is a block, compared by one task on
-    full sets. What a block reports is at most one link a document.
-    """
-    spark = df.sparkSession
-    sums = placed.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size"), F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-    parts = sums.select("cluster", F.greatest(F.ceil(F.col("n") / BLOCK_DOCS), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    blocks = scratch.save(in_blocks(placed.join(parts, "cluster").select("cluster", "parts", "node", "c"), "cluster"), "blocks")
-    few = blocks.count() <= BROADCAST_ROWS
-    texts = df.select(df[key].cast("long").alias("id"), df[text].alias("text"))
-    rows = texts.join(F.broadcast(blocks) if few else blocks, texts["id"] == blocks["node"]).drop("id")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in slices(batches):
+            h = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), dtype=np.uint64)
+            total += np.bincount((h % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["at", "n"])
 
-    def compared(group: list[tuple]) -> list[tuple[int, int]]:
-        """Links of a block: (left, right, node, class, set) each."""
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                x = root[x]
-            return x
-
-        left, right = [g for g in group if g[0] and len(g[4])], [g for g in group if g[1] and len(g[4])]
-        if not left or not right or len({g[3] for g in left + right}) < 2:
-            return []
-        sizes = np.array([len(g[4]) for g in right])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        words, flat = np.unique(np.concatenate([g[4] for g in right]), return_inverse=True)
-        mark = np.zeros(len(words), dtype=np.int32)
-        classes_ = np.array([g[3] for g in right])
-        found = []
-        for _, _, node, c, own in left:
-            at = np.searchsorted(words, own)
-            at = at[(at < len(words)) & (words[np.minimum(at, len(words) - 1)] == own)]
-            mark[at] = 1
-            both = np.add.reduceat(mark[flat], starts)
-            mark[at] = 0
-            for i in np.flatnonzero((classes_ != c) & (100 * both >= percent * (len(own) + sizes - both))):
-                x, y = find(c), find(int(classes_[i]))
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    found.append((node, right[i][2]))
-        return found
+    sums = sets.mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # a row a counter
+    counts = np.zeros(COUNTERS, dtype=np.int64)
+    counts[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
+    shared = df.sparkSession.sparkContext.broadcast(counts)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        begin("near_dup", hashes.clear)
-        block, group = None, []
+    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            out = []
-            for cluster, i, j, left, right, node, c, t in zip(*(batch.column(n).to_pylist() for n in ("cluster", "i", "j", "left", "right", "node", "c", "text"))):
-                if (cluster, i, j) != block:
-                    out += compared(group)
-                    block, group = (cluster, i, j), []
-                group.append((left, right, node, c, shingle_set(words_of(t or ""), k, hashes)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=schema)
-        if out := compared(group):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], schema=schema)
-
-    ready = rows.repartition(partitions(spark), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "node")
-    return scratch.save(ready.select("cluster", "i", "j", "left", "right", "node", "c", "text").mapInArrow(run, "a long, b long"), "across")
+            own, many, size = [], [], []
+            for x in batch.column("shingles").to_pylist():
+                h = np.frombuffer(x, dtype=np.uint64)
+                first = len(h) + percent * len(h) // -100 + 1 if len(h) else 0
+                order = np.lexsort((h, shared.value[(h % np.uint64(COUNTERS)).astype(np.int64)]))
+                own.append(h[order[:first]])
+                many.append(first)
+                size.append(len(h))
+            row = pa.array(np.repeat(np.arange(len(many)), many))
+            flat = np.concatenate(own) if own else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), batch.column("node").take(row), batch.column("c").take(row), pa.array(np.repeat(size, many).astype(np.int64))], names=["shingle", "node", "c", "n"])
+
+    entries = scratch.save(sets.mapInArrow(indexed, "shingle long, node long, c long, n long"), "entries")
+    mixed = entries.groupBy("shingle").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("shingle")
+    met = graphs.pairs_within(entries.join(mixed, "shingle", "left_semi"), "shingle", "node").where("c_a <> c_b")
+    fits = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
+    pairs = scratch.save(met.where(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "rare")
+    scratch.drop("sets", "entries")
+    return pairs
 
 
 def classes(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -415,7 +321,7 @@ def classes(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", ke
     # First each node against its likeliest hub, then what could still join two components.
     best = near.groupBy("a").agg(F.max_by("b", F.struct("similarity", "b")).alias("b"))
     first = verify(best, df, k, percent, text, key, scratch, "first")
-    labels = connected_components(first, scratch, "one")
+    labels = connected_components(first)
 
     def component(pairs: DataFrame, by: DataFrame) -> DataFrame:
         """Pairs with the component of each end."""
@@ -426,7 +332,7 @@ def classes(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", ke
     def joined(by: DataFrame, links: DataFrame, name: str) -> DataFrame:
         """Labels after further links: components of the graph whose nodes are the components so far."""
         ends = component(links.select("a", "b"), by).select(F.col("c_a").alias("a"), F.col("c_b").alias("b")).where("a <> b")
-        over = connected_components(ends, scratch, name).select(F.col("node").alias("was"), F.col("component").alias("now"))
+        over = connected_components(ends).select(F.col("node").alias("was"), F.col("component").alias("now"))
         kept = by.join(over, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
         fresh = over.join(by.select(F.col("node").alias("was")), "was", "left_anti").select(F.col("was").alias("node"), F.col("now").alias("component"))
         return scratch.save(kept.unionByName(fresh), f"{name}-labels")
@@ -434,19 +340,15 @@ def classes(df: DataFrame, k: int = 5, percent: int = 80, text: str = "text", ke
     rest = component(near.join(best, ["a", "b"], "left_anti"), labels).where("c_a <> c_b")
     labels = joined(labels, verify(rest, df, k, percent, text, key, scratch, "rest"), "two")
 
-    # Buckets that still hold several components are compared in blocks, equal buckets once.
+    # Documents of buckets that still hold several components meet over their rarest shingles.
     own = scratch.save(shared.join(labels, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("c")), "open")
-    sizes = own.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("mark")).where("low <> high and n > 2")
-    mixed = sizes.groupBy("n", "mark", "low", "high").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / SKETCH_BLOCK).cast("int").alias("parts"))
-    members = own.join(mixed, "bucket").join(nodes.select("node", "n_shingles", "regs"), "node")
-    found = scratch.save(block_candidates(members, limits), "found")
+    mixed = own.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2").select("bucket")
+    members = scratch.save(own.join(mixed, "bucket", "left_semi").select("node", "c").distinct(), "members")
+    rare = rare_pairs(members, df, k, percent, text, key, scratch)
     tried = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    few = found.where("not many").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    labels = joined(labels, verify(few, df, k, percent, text, key, scratch, "few"), "three")
-    clusters = connected_components(found.where("many").select("a", "b").distinct(), scratch, "clusters").withColumnRenamed("component", "cluster")
-    placed = clusters.join(labels, "node", "left").join(nodes.select("node", "n_shingles"), "node").select("cluster", "node", F.coalesce("component", "node").alias("c"), "n_shingles")
-    labels = joined(labels, links_across(scratch.save(placed, "placed"), df, k, percent, text, key, scratch), "four")
-    scratch.drop("nodes", "buckets", "met", "near", "open", "found", "placed")
+    likely = scratch.save(estimate(rare.join(tried, ["a", "b"], "left_anti"), nodes, limits.least), "likely")
+    labels = joined(labels, verify(likely, df, k, percent, text, key, scratch, "last"), "three")
+    scratch.drop("nodes", "buckets", "met", "near", "open", "members", "rare", "likely")
 
     out = sketches.select("doc_id", "n_shingles", "copy").join(copies, "copy", "left").join(labels, "node", "left")
     cid = F.coalesce("component", "node", "doc_id")
