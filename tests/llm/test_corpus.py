@@ -219,7 +219,7 @@ def test_near_dup(spark, k, percent):
     assert got == plain_classes(texts, k, percent)
 
 
-@pytest.mark.parametrize("bounds", [{"SKETCH_BLOCK": 8, "PER_BLOCK": 0, "PER_DOC": 0, "BLOCK_DOCS": 8, "BROADCAST_ROWS": 0, "PER_HUB": 3}, {"SKETCH_BLOCK": 16, "PER_DOC": 1 << 30}])
+@pytest.mark.parametrize("bounds", [{"BROADCAST_ROWS": 0, "PER_HUB": 3, "COUNTERS": 2}, {}])
 def test_near_dup_far_side_of_bounds(spark, monkeypatch, bounds):
     """Blocks, forests, shuffled texts and split hubs give the classes that small tables get without them."""
     for name, v in bounds.items():
