@@ -136,7 +136,9 @@ def connected_components(edges: DataFrame, small: int = SMALL_EDGES, hub: int =
     now = stored(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     links = now.count()
     if links <= small:
-        return _joined_at_once(now)
+        made = stored(_joined_at_once(now))
+        release(now)
+        return made
     hub = max(hub, 2 * links // MOST_HUBS)
     mark = None
     while True:

@@ -146,25 +146,25 @@ def er15_chunks(s, d):
     return c.groupBy("iteration", "chunk").agg(F.count("*").alias("nodes"))
 
 
-def chunked_run(s, d):
-    """All chunks of two iterations over the part names; candidates with equal last words are accepted and the rest rejected."""
+def chunked_run(s, d, iterations):
+    """All chunks of some iterations over the part names; candidates with equal last words are accepted and the rest rejected."""
     r = resolver(s, d, "Institution")
-    m = resolve.Merging(r.nodes, r.edges, "Institution", size=20, threshold=0.8, constraints={"text": 1.0})
+    m = resolve.Merging(r.nodes, r.edges, "Institution", size=40, threshold=0.8, constraints={"text": 1.0})
     last = lambda c: F.element_at(F.split(c, " "), -1)
-    merged = m.run(lambda p: p.select("from", "to", (last("from") == last("to")).alias("accepted")), 2)
+    merged = m.run(lambda p: p.select("from", "to", (last("from") == last("to")).alias("accepted")), iterations)
     return m, merged
 
 
 @query()
 def er15_history(s, d):
-    """The history of two iterations in chunks of 20, with the nodes and edges that each chunk began with."""
-    return chunked_run(s, d)[0].history.select("iteration", "chunk", "metric", "n_nodes", "n_edges", "merged")
+    """The history of an iteration in chunks of 40, with the nodes and edges that each chunk began with."""
+    return chunked_run(s, d, 1)[0].history.select("iteration", "chunk", "metric", "n_nodes", "n_edges", "merged")
 
 
 @query()
 def er15_merged(s, d):
-    """Where each merged name went over two iterations in chunks of 20."""
-    return chunked_run(s, d)[1]
+    """Where each merged name went over two iterations in chunks of 40."""
+    return chunked_run(s, d, 2)[1]
 
 
 @query("SELECT 'N' || n_nationkey AS node, min('N' || n_nationkey) OVER (PARTITION BY n_regionkey) AS cluster FROM nation")
