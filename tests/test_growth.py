@@ -25,3 +25,39 @@ def test_two_steps_of_twins_and_heavy_links(spark):
     rows = graphs.two_steps(spark.createDataFrame(asked, "u long, v long"), spark.createDataFrame(edges + crowd, "`from` long, `to` string")).collect()
     assert {(r.u, r.v): r.weight for r in rows} == want and sum(map(bool, want.values())) > 100
     assert time.perf_counter() - began < 60
+
+
+def test_paths_in_a_dense_component(spark):
+    """A search by breadth for each path is slow."""
+    rnd = random.Random(2)
+    edges = sorted({(min(p), max(p)) for p in ((rnd.randrange(3000), rnd.randrange(3000)) for _ in range(60_000)) if p[0] != p[1]})
+    names = [(str(a), str(b)) for a, b in edges]
+    near = defaultdict(set)
+    for a, b in names:
+        near[a].add(b)
+        near[b].add(a)
+
+    def plain(a, b):
+        used, k = {a}, 1
+        while k < min(len(near[a]), len(near[b])):
+            came, front = {a: None}, [a]
+            while front and b not in came:
+                ahead = []
+                for v in front:
+                    for w in sorted(near[v] - used):
+                        if w not in came and (v, w) != (a, b):
+                            came[w] = v
+                            ahead.append(w)
+                front = ahead
+            if b not in came:
+                break
+            v, k = came[b], k + 1
+            while v != a:
+                used.add(v)
+                v = came[v]
+        return k
+
+    began = time.perf_counter()
+    got = {(r.a, r.b): r.paths for r in graphs.connectivity(spark.createDataFrame(names, "`from` string, `to` string"), spark.createDataFrame(names[:10_000], "a string, b string")).collect()}
+    assert time.perf_counter() - began < 90 and len(got) == 10_000
+    assert all(got[p] == plain(*p) for p in rnd.sample(names[:10_000], 15))
