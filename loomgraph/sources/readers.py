@@ -122,6 +122,17 @@ def read_tei(spark: SparkSession, path: str) -> DataFrame:
     return parse_tei(raw)
 
 
+def read_tei_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """What ``read_tei`` gives, from files of many TEI elements each; ``path`` is an element's ``n`` attribute.
+
+    Files are cut after ``</TEI>`` as they are read, so a task holds one paper and large files are split.
+    """
+    cut = spark.read.option("lineSep", "</TEI>").text(path)
+    one = F.regexp_extract("value", r"(?s)(<TEI[ >].*)", 1)
+    raw = cut.select(F.concat(F.regexp_replace(one, r' xmlns="[^"]*"', ""), F.lit("</TEI>")).alias("x")).where("x <> '</TEI>'")
+    return parse_tei(raw.withColumn("path", F.xpath_string("x", F.lit("/TEI/@n"))))
+
+
 def parse_tei(raw: DataFrame) -> DataFrame:
     """TEI text in column ``x`` to title, abstract, authors and sections, by XPath in the JVM."""
     x = F.col("x")

@@ -61,3 +61,20 @@ def test_paths_in_a_dense_component(spark):
     got = {(r.a, r.b): r.paths for r in graphs.connectivity(spark.createDataFrame(names, "`from` string, `to` string"), spark.createDataFrame(names[:10_000], "a string, b string")).collect()}
     assert time.perf_counter() - began < 90 and len(got) == 10_000
     assert all(got[p] == plain(*p) for p in rnd.sample(names[:10_000], 15))
+
+
+def test_papers_are_bundled(spark, tmp_path, monkeypatch):
+    """Papers that are many in a file, with line breaks, namespaces and words around them; no file a paper is written."""
+    from loomgraph.plans import QUERIES, views
+    from loomgraph.sources import readers
+
+    paper = "<TEI xmlns=\"http://www.tei-c.org/ns/1.0\" n='{0}'>\n<teiHeader><fileDesc><titleStmt><title>A\n{0}</title></titleStmt></fileDesc></teiHeader></TEI>\n"
+    (tmp_path / "a.xml").write_text("<?xml version='1.0'?>\n<teiCorpus>\n" + "".join(paper.format(i) for i in range(50)) + "</teiCorpus>\n")
+    (tmp_path / "b.xml").write_text(paper.format("last"))
+    got = {(r.path, r.title) for r in readers.read_tei_corpus(spark, f"{tmp_path}/*.xml").select("path", "title").collect()}
+    assert got == {(str(i), f"A\n{i}") for i in [*range(50), "last"]}
+    folders = []
+    monkeypatch.setattr(views, "_roundtrip", lambda s, name: folders.append(tmp_path / name) or f"file://{tmp_path / name}")
+    rows = QUERIES["src13_src14_snk10_papers"](spark, "/root/testdata/sf0.001").collect()
+    assert {(r.doc_id, r.title) for r in rows} == {(r.doc_id, f"T{r.doc_id}") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id").collect()}
+    assert sum(1 for p in folders[0].rglob("*.txt")) < 20
