@@ -78,3 +78,23 @@ def test_papers_are_bundled(spark, tmp_path, monkeypatch):
     rows = QUERIES["src13_src14_snk10_papers"](spark, "/root/testdata/sf0.001").collect()
     assert {(r.doc_id, r.title) for r in rows} == {(r.doc_id, f"T{r.doc_id}") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id").collect()}
     assert sum(1 for p in folders[0].rglob("*.txt")) < 20
+
+
+def test_gains_that_wait_are_few(spark, monkeypatch):
+    """Merges of a dense component outdate entries; the heap stays within a few entries a link."""
+    rnd = random.Random(3)
+    links = sorted({(x, y) for x, y in ((rnd.randrange(400), rnd.randrange(400)) for _ in range(4000)) if x < y})
+    top, push = [0], graphs.heapq.heappush
+
+    class Watched:
+        heapify, heappop = staticmethod(graphs.heapq.heapify), staticmethod(graphs.heapq.heappop)
+
+        @staticmethod
+        def heappush(heap, x):
+            push(heap, x)
+            top[0] = max(top[0], len(heap))
+
+    monkeypatch.setattr(graphs, "heapq", Watched)
+    degree = {v: float(sum(v in link for link in links)) for v in range(400)}
+    graphs._greedy([*range(400)], dict.fromkeys(links, 1.0), float(len(links)), degree)
+    assert 0 < top[0] <= 2 * len(links) + 10_400
