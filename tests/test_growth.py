@@ -98,3 +98,18 @@ def test_gains_that_wait_are_few(spark, monkeypatch):
     degree = {v: float(sum(v in link for link in links)) for v in range(400)}
     graphs._greedy([*range(400)], dict.fromkeys(links, 1.0), float(len(links)), degree)
     assert 0 < top[0] <= 2 * len(links) + 10_400
+
+
+def test_two_hops_between_classes(spark):
+    """Copies of nodes: scores of the plain projection; 300 nodes with equal neighbours at each of 60 meetings."""
+    from loomgraph.operators import factored
+
+    rnd = random.Random(5)
+    edges = [(rnd.randrange(40), rnd.randrange(30)) for _ in range(90)]
+    edges += [(u + 100 * k, d) for u, d in edges for k in (1, 2)]
+    df = spark.createDataFrame(edges, "`from` long, `to` long")
+    got, want = ([tuple(r) for r in x.select("u", "v", "score").collect()] for x in (factored.factored_projection(df).two_hop(), graphs.two_hop(graphs.projection(df))))
+    assert sorted(got) == sorted(want) and len(want) > 500
+    crowd = spark.createDataFrame([(1000 * m + i, m) for m in range(60) for i in range(300)] + [(999_999, m) for m in range(60)], "`from` long, `to` long")
+    f = factored.factored_projection(crowd)
+    assert f.links.count() == 120 and f.two_hop().agg({"score": "min", "u": "count"}).first().asDict() == {"min(score)": 2, "count(u)": 60 * 59 // 2 * 300 * 300}
