@@ -11,6 +11,10 @@ from loomgraph import schema
 from loomgraph.functions.text import country
 
 
+#: Rows that a task gathers by key, about.
+TASK_ROWS = 250_000
+
+
 def endpoints(edges: DataFrame) -> DataFrame:
     """(node, type) of every end of an edge, each once."""
     return edges.select(F.col("from").alias("node"), F.col("fromNodeType").alias("type")).union(edges.select("to", "toNodeType")).distinct()
@@ -33,9 +37,13 @@ def flip(edges: DataFrame, node_type: str) -> DataFrame:
 
 
 def touched(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Nodes that are an end of an edge."""
-    ends = edges.select(F.col("from").alias("nodeID")).union(edges.select("to")).distinct()
-    return nodes.join(ends, "nodeID", "left_semi")
+    """Nodes that are an end of an edge.
+
+    Ends are dealt by their number, and not broadcast on a guess of their bytes: names
+    compress well, so parts of equal bytes would hold many millions.
+    """
+    ends = edges.select(F.col("from").alias("nodeID")).union(edges.select("to"))
+    return nodes.join(ends.repartition(1 + 2 * edges.count() // TASK_ROWS, "nodeID").distinct().hint("merge"), "nodeID", "left_semi")
 
 
 def touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
