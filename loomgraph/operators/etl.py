@@ -11,8 +11,8 @@ from loomgraph import schema
 from loomgraph.functions.text import country
 
 
-#: Rows that a task gathers by key, about.
-TASK_ROWS = 250_000
+#: Rows that a task gathers by key, about; elements of two bags up to which they are compared within their row.
+TASK_ROWS, SMALL_BAGS = 250_000, 1000
 
 
 def endpoints(edges: DataFrame) -> DataFrame:
@@ -82,10 +82,25 @@ def consolidate(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame
 
 
 def multiset(df: DataFrame, key: str, a: Column, b: Column) -> DataFrame:
-    """Sizes of the intersection, union and difference of two bags per row."""
-    one = df.select(key, F.explode(a).alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(df.select(key, F.explode(b), F.lit(0), F.lit(1)))
-    counts = one.where("v <> ''").groupBy(key, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    return counts.groupBy(key).agg(F.sum(F.least("a", "b")).alias("common"), F.sum(F.greatest("a", "b")).alias("either"), F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("only"))
+    """Sizes of the intersection, union and difference of two bags per key, '' and nulls left out; no row for empty bags.
+
+    Bags of up to SMALL_BAGS elements whose key does not repeat are compared within their
+    row; only the others are exploded and counted by key and element.
+    """
+    again = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key, F.lit(True).alias("_again"))
+    full = lambda bag: F.coalesce(F.filter(bag, lambda x: x != ""), F.array().cast("array<string>"))
+    bags = df.select(key, full(a).alias("a"), full(b).alias("b")).join(again, key, "left")
+    apart = F.col(key).isNotNull() & F.col("_again").isNull() & (F.size("a") + F.size("b") <= SMALL_BAGS)
+
+    many = bags.where(~apart)
+    one = many.select(key, F.explode("a").alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(many.select(key, F.explode("b"), F.lit(0), F.lit(1)))
+    counts = one.groupBy(key, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    grouped = counts.groupBy(key).agg(F.sum(F.least("a", "b")).alias("common"), F.sum(F.greatest("a", "b")).alias("either"), F.sum(F.greatest(F.col("a") - F.col("b"), F.lit(0))).alias("only"))
+
+    times = lambda bag, v: F.size(F.filter(bag, lambda x: x == v))
+    shared = F.aggregate(F.array_intersect("a", "b"), F.lit(0), lambda n, v: n + F.least(times("a", v), times("b", v)))
+    few = bags.where(apart & (F.size("a") + F.size("b") > 0)).select(key, shared.cast("long").alias("common"), F.size("a").cast("long").alias("_a"), F.size("b").cast("long").alias("_b"))
+    return few.select(key, "common", (F.col("_a") + F.col("_b") - F.col("common")).alias("either"), (F.col("_a") - F.col("common")).alias("only")).unionAll(grouped)
 
 
 # --- raw links ---
