@@ -212,18 +212,28 @@ def tag_runs(tags: list[str]) -> list[list[int]]:
     return out
 
 
+#: Sentences that stand as Python objects at once.
+SLICE_ROWS = 64
+
+
+def _by_slices(make: Callable, kind: pa.DataType, *columns: pa.Array) -> pa.Array:
+    """``make`` of every row, a slice of rows at a time: a batch of whole sentences as objects takes many times its bytes."""
+    parts = [pa.array([make(*row) for row in zip(*(c.slice(at, SLICE_ROWS).to_pylist() for c in columns))], kind) for at in range(0, len(columns[0]), SLICE_ROWS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 @F.arrow_udf(_SPANS)
 def _merged(words: pa.Array, tags: pa.Array, logits: pa.Array) -> pa.Array:
-    made = []
-    for w, t, x in zip(words.to_pylist(), tags.to_pylist(), logits.to_pylist()):
+    def of(w: list[str] | None, t: list[str] | None, x: list[list[float]] | None) -> list[dict]:
         c = [1 / sum(math.exp(v - max(row)) for v in row) for row in x or []]
         at, spans = 0, []
         for run in tag_runs(t or []):
             text = " ".join(w[i] for i in run)
             spans.append({"text": text, "type": t[run[-1]].rsplit("-", 1)[-1], "start": at, "end": at + len(text) - 1, "confidence": sum(c[i] for i in run) / len(run) if c else None})
             at += len(text) + 1
-        made.append(spans)
-    return pa.array(made, pa.list_(_SPAN))
+        return spans
+
+    return _by_slices(of, pa.list_(_SPAN), words, tags, logits)
 
 
 def merge_tags(words: Column, tags: Column, logits: Column | None = None) -> Column:
@@ -255,8 +265,8 @@ def triples(words: pa.Array, roles: pa.Array, pos: pa.Array) -> pa.Array:
     nsubj, and the object if its role holds 'obj' (dobj, pobj, iobj). Later words replace
     earlier ones.
     """
-    made = []
-    for w, r, p in zip(words.to_pylist(), roles.to_pylist(), pos.to_pylist()):
+
+    def of(w: list[str] | None, r: list[str] | None, p: list[str] | None) -> list[dict]:
         found, held = [], {}
         for word, role, kind in zip(w or [], r or [], p or []):
             part = "v" if role == "root" and kind == "VERB" else "s" if role == "nsubj" else "o" if "obj" in (role or "") else None
@@ -265,8 +275,9 @@ def triples(words: pa.Array, roles: pa.Array, pos: pa.Array) -> pa.Array:
             if len(held) == 3:
                 found.append(held)
                 held = {}
-        made.append(found)
-    return pa.array(made, pa.list_(pa.struct([("s", pa.string()), ("v", pa.string()), ("o", pa.string())])))
+        return found
+
+    return _by_slices(of, pa.list_(pa.struct([("s", pa.string()), ("v", pa.string()), ("o", pa.string())])), words, roles, pos)
 
 
 def morphology(features: Column) -> tuple[Column, Column]:
@@ -282,8 +293,8 @@ def future_tense(tenses: pa.Array, forms: pa.Array, tags: pa.Array) -> pa.Array:
     The two announcements are apart: each holds until an infinitive uses it up, the
     modifier's first, whatever verbs stand between.
     """
-    made = []
-    for row in zip(tenses.to_pylist(), forms.to_pylist(), tags.to_pylist()):
+
+    def of(*row: list[str] | None) -> list[str]:
         out, modifier, to = [], False, False
         for tense, form, tag in zip(*(x or [] for x in row)):
             bare = tense == "None" and form == "infinitive"
@@ -293,8 +304,9 @@ def future_tense(tenses: pa.Array, forms: pa.Array, tags: pa.Array) -> pa.Array:
             modifier |= form == "modifier"
             to |= form == "infinitive" and tag == "TO"
             out.append(tense)
-        made.append(out)
-    return pa.array(made, pa.list_(pa.string()))
+        return out
+
+    return _by_slices(of, pa.list_(pa.string()), tenses, forms, tags)
 
 
 def role_map(df: DataFrame) -> DataFrame:
@@ -358,8 +370,8 @@ def coded_tags(tags: Column) -> Column:
 
 @F.arrow_udf(_TEXTS)
 def _phrases(words: pa.Array, coded: pa.Array) -> pa.Array:
-    found = [[" ".join(w[m.start() : m.end()]) for m in PHRASE.finditer(c or "")] for w, c in zip(words.to_pylist(), coded.to_pylist())]
-    return pa.array(found, pa.list_(pa.string()))
+    of = lambda w, c: [" ".join(w[m.start() : m.end()]) for m in PHRASE.finditer(c or "")]
+    return _by_slices(of, pa.list_(pa.string()), words, coded)
 
 
 def noun_phrases(words: Column, tags: Column) -> Column:
@@ -385,14 +397,14 @@ def marked_places(words: list[str], phrase: list[str]) -> list[range]:
 
 @F.arrow_udf(_TEXTS)
 def _labels(words: pa.Array, phrases: pa.Array) -> pa.Array:
-    made = []
-    for w, named in zip(words.to_pylist(), phrases.to_pylist()):
+    def of(w: list[str] | None, named: list[str] | None) -> list[str]:
         out = [""] * len(w or [])
         for phrase in named or []:
             for places in marked_places(w, phrase.split(" ")):
                 out[places.start : places.stop] = [phrase] * len(places)
-        made.append(out)
-    return pa.array(made, pa.list_(pa.string()))
+        return out
+
+    return _by_slices(of, pa.list_(pa.string()), words, phrases)
 
 
 def noun_phrase_labels(words: Column, tags: Column) -> Column:

@@ -52,3 +52,25 @@ def test_multisets_within_rows(spark):
     got = df.collect()
     assert {r.k: (r.common, r.either, r.only) for r in got} == want and len(got) == len(want)
     assert made(df, "Generate") < 1300
+
+
+def test_sentences_are_objects_by_slices():
+    """A batch of 4,000 sentences of 100 words: objects at a time are a slice's, and results are those of single rows."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from loomgraph.operators import nlp
+
+    tags = [("B-PER", "I-PER", "L-PER", "O", "U-LOC")[i % 5] for i in range(100)]
+    rows = [([f"w{i}" for i in range(100)], tags, [[float(i % 7), 1.0, 0.5] for i in range(100)]), (None, None, None), ([], [], [])]
+    batch = [pa.array([rows[i % 3][c] if i % 3 else rows[0][c] for i in range(4000)], k) for c, k in enumerate((pa.list_(pa.string()), pa.list_(pa.string()), pa.list_(pa.list_(pa.float64()))))]
+    merged = nlp._merged.func(*[c.slice(0, 0) for c in batch])
+    assert len(merged) == 0
+    tracemalloc.start()
+    merged = nlp._merged.func(*batch)
+    top = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    one = [nlp._merged.func(*[c.slice(i, 1) for c in batch]).to_pylist()[0] for i in range(3)]
+    assert merged.to_pylist() == [one[i % 3] for i in range(4000)] and len(one[0]) == 60
+    assert top < 20e6
