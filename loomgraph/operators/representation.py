@@ -65,12 +65,22 @@ def different_label_pairs(df: DataFrame, key: str, label: str, k: int, seed: int
     return asked.join(placed.select("bucket", "r", F.col("a").alias("b")), ["bucket", "r"]).select("a", "b")
 
 
+#: Rows of a matrix of pairs; the parts that vectors are dealt to; the most rows of a part, beyond which there are more parts.
+TILE_ROWS, MOST_PARTS, PART_ROWS = 1024, 32, 65_536
+
+
+def _parts(rows: int) -> int:
+    """Parts of a table of vectors: a tile each while those are few, so that what is sent grows with the rows, not their square."""
+    return max(1, min(-(-rows // TILE_ROWS), MOST_PARTS), -(-rows // PART_ROWS))
+
+
 def label_alignment_uniformity(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label") -> DataFrame:
     """(alignment, uniformity) over all pairs: equal labels for the one, different labels for the other.
 
     Alignment comes from sums a label, as the squared distances of n unit vectors add up to
     n^2 less the squared length of their sum; no pairs are formed. Uniformity compares
-    blocks of vectors as matrices, each block one task's work; sums of blocks come back.
+    parts of vectors tile by tile as matrices, a pair of parts one task's work; sums come
+    back. Each vector is sent once a part, so parts are few (``_parts``).
     Vectors are of one dimension, and rows without vector or label don't count.
     """
     rows = vectors.where(F.col(vector).isNotNull() & F.col(label).isNotNull())
@@ -78,7 +88,7 @@ def label_alignment_uniformity(vectors: DataFrame, key: str = "vec_id", vector:
     sums = unit.select("label", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
     by = sums.groupBy("label").agg(F.first("n").alias("n"), F.sum(F.col("s") * F.col("s")).alias("s2"))
     same = by.agg((F.sum(F.col("n") * F.col("n") - F.col("s2")) / F.sum(F.col("n") * (F.col("n") - 1) / 2)).alias("alignment"))
-    parts = max(1, -(-unit.count() // 1024))
+    parts = _parts(unit.count())
     part = F.pmod(F.xxhash64("k"), F.lit(parts)).cast("int")
     spread = unit.withColumn("p", part).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     blocks = spread.select(F.least("p", "q").alias("i"), F.greatest("p", "q").alias("j"), (F.col("p") <= F.col("q")).alias("left"), (F.col("p") >= F.col("q")).alias("right"), F.xxhash64("label").alias("label"), "v")
@@ -87,10 +97,15 @@ def label_alignment_uniformity(vectors: DataFrame, key: str = "vec_id", vector:
         x, y = block[block["left"]], block[block["right"]]
         if x.empty or y.empty:
             return pd.DataFrame({"s": [0.0], "n": [0]})
-        other = x["label"].to_numpy()[:, None] != y["label"].to_numpy()[None, :]
-        d2 = 2 - 2 * (np.stack(x["v"]) @ np.stack(y["v"]).T)
+        (v, k), (w, l) = ((np.stack(z["v"]), z["label"].to_numpy()) for z in (x, y))
+        total, count = 0.0, 0
+        for a in range(0, len(v), TILE_ROWS):
+            for b in range(0, len(w), TILE_ROWS):
+                other = k[a : a + TILE_ROWS, None] != l[None, b : b + TILE_ROWS]
+                total += float(np.exp(4 * (v[a : a + TILE_ROWS] @ w[b : b + TILE_ROWS].T) - 4).sum(where=other))
+                count += int(other.sum())
         half = 2 if block["i"].iloc[0] == block["j"].iloc[0] else 1  # a part against itself holds each pair twice
-        return pd.DataFrame({"s": [float(np.exp(-2 * d2[other]).sum()) / half], "n": [int(other.sum()) // half]})
+        return pd.DataFrame({"s": [total / half], "n": [count // half]})
 
     apart = blocks.groupBy("i", "j").applyInPandas(compared, "s double, n long").agg(F.log(F.sum("s") / F.sum("n")).alias("uniformity"))
     return same.crossJoin(apart)  # a row each

@@ -74,3 +74,22 @@ def test_sentences_are_objects_by_slices():
     one = [nlp._merged.func(*[c.slice(i, 1) for c in batch]).to_pylist()[0] for i in range(3)]
     assert merged.to_pylist() == [one[i % 3] for i in range(4000)] and len(one[0]) == 60
     assert top < 20e6
+
+
+def test_uniformity_sends_vectors_to_few_parts(spark, monkeypatch):
+    """As plain sums over all pairs, over several tiles; each vector is sent once a part, and parts do not grow with the rows."""
+    import numpy as np
+
+    from loomgraph.operators import representation as rep
+
+    x = np.random.default_rng(3).normal(size=(300, 4))
+    labels = [i % 3 for i in range(300)]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    d2 = 2 - 2 * u @ u.T
+    low, same = np.triu(np.ones((300, 300), bool), 1), np.equal.outer(labels, labels)
+    monkeypatch.setattr(rep, "TILE_ROWS", 16, raising=False)
+    monkeypatch.setattr(rep, "MOST_PARTS", 3, raising=False)
+    r = rep.label_alignment_uniformity(spark.createDataFrame([(i, v.tolist(), l) for i, (v, l) in enumerate(zip(x, labels))], "vec_id long, embedding array<double>, label long")).first()
+    assert np.isclose(r.alignment, d2[low & same].mean()) and np.isclose(r.uniformity, np.log(np.exp(-2 * d2[low & ~same]).mean()))
+    monkeypatch.undo()
+    assert rep._parts(0) == 1 and rep._parts(5000) == 5 and rep._parts(100_000) == rep._parts(1_000_000) == 32
