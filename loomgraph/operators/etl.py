@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph import schema
+from loomgraph.functions.scratch import stored
 from loomgraph.functions.text import country
 
 
@@ -123,20 +124,25 @@ def restructure_links(links: DataFrame) -> tuple[DataFrame, DataFrame]:
     Lists are exploded. Institutions come out of scientists' payloads, with ``Belongs To``
     edges to them and ``Located At`` edges to their countries; ids of institutions are name
     and address together, on nodes and edges alike. Sentinels and blanks are dropped.
+    Payloads are parsed once: what is read of them is written to a table, and institutions
+    stand there once a scientist.
     """
     flat = links
     for end in ("from", "to"):
-        v = F.try_parse_json(F.col(end))
-        many = F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))
-        flat = flat.withColumn(end, F.explode_outer(many))
+        flat = flat.withColumn("_v", F.try_parse_json(F.col(end))).withColumn("_many", F.ltrim(F.col(end), F.lit(" \t\n\r")).startswith("["))
+        many = F.when(F.col("_many"), F.try_variant_get("_v", "$", "array<variant>")).otherwise(F.array("_v"))
+        flat = flat.withColumn(end, F.explode_outer(many)).drop("_v", "_many")
     kinds = {"from": F.col("fromNodeType"), "to": F.col("toNodeType")}
-    ids = flat.select("*", *[node_id(F.col(e), k).alias(f"{e}_id") for e, k in kinds.items()])
-    good = ids.where(F.col("from_id").isNotNull() & F.col("to_id").isNotNull() & ~F.col("from_id").isin("", "REMOVE ME") & ~F.col("to_id").isin("", "REMOVE ME"))
-    ends = good.select(F.col("from").alias("p"), F.col("from_id").alias("nodeID"), F.col("fromNodeType").alias("nodeType")).unionAll(good.select("to", "to_id", "toNodeType"))
-    title = F.coalesce(F.try_variant_get("p", "$.title", "string"), F.try_variant_get("p", "$.name", "string"), F.col("nodeID"))
-    plain = ends.select("nodeID", title.alias("displayName"), "nodeType")
-    inst = ends.where("nodeType = 'Scientist'").select("nodeID", F.explode(F.try_variant_get("p", "$.institutions", "array<struct<name:string,address:string>>")).alias("i"))
-    inst = inst.select("nodeID", F.concat(F.coalesce("i.name", F.lit("")), F.coalesce("i.address", F.lit(""))).alias("inst"), F.col("i.name").alias("name"), country(F.col("i.address")).alias("country")).where("inst <> ''")
+    title = lambda e: F.coalesce(F.try_variant_get(e, "$.title", "string"), F.try_variant_get(e, "$.name", "string"))
+    at = lambda e, k: F.when(k == "Scientist", F.try_variant_get(e, "$.institutions", "array<struct<name:string,address:string>>"))
+    read = [c.alias(f"{e}_{name}") for e, k in kinds.items() for name, c in (("id", node_id(F.col(e), k)), ("title", title(e)), ("at", at(e, k)))]
+    ids = flat.select("edgeType", "fromNodeType", "toNodeType", *read)
+    good = stored(ids.where(F.col("from_id").isNotNull() & F.col("to_id").isNotNull() & ~F.col("from_id").isin("", "REMOVE ME") & ~F.col("to_id").isin("", "REMOVE ME")))
+    ends = good.select(F.col("from_id").alias("nodeID"), F.col("from_title").alias("title"), F.col("fromNodeType").alias("nodeType"), F.col("from_at").alias("at")).unionAll(good.select("to_id", "to_title", "toNodeType", "to_at"))
+    plain = ends.select("nodeID", F.coalesce("title", "nodeID").alias("displayName"), "nodeType")
+    inst = ends.where("nodeType = 'Scientist'").select("nodeID", F.explode("at").alias("i")).select("nodeID", "i.name", "i.address").distinct()
+    inst = inst.select("nodeID", F.concat(F.coalesce("name", F.lit("")), F.coalesce("address", F.lit(""))).alias("inst"), "name", country(F.col("address")).alias("country")).where("inst <> ''")
+    inst = stored(inst)
     institutions = inst.select(F.col("inst").alias("nodeID"), F.col("name").alias("displayName"), F.lit("Institution").alias("nodeType"))
     places = inst.where("country <> ''").select(F.col("country").alias("nodeID"), F.col("country").alias("displayName"), F.lit("Location").alias("nodeType"))
     all_nodes = plain.unionByName(institutions).unionByName(places).groupBy("nodeID", "nodeType").agg(F.min("displayName").alias("displayName")).select("nodeID", "displayName", "nodeType")

@@ -142,3 +142,17 @@ def test_degrees_and_reach_without_links(spark, monkeypatch):
     f = factored.factored_projection(days).threshold(1)
     assert f.degrees().agg(F.sum("degree")).first()[0] % 2 == 0 and f.within(spark.createDataFrame([(0,)], "node long"), 2).count() > 19_900
     assert "links" not in vars(f) and time.perf_counter() - began < 90
+
+
+def test_payloads_are_parsed_once(spark):
+    """Nodes and edges come from a table of what was read; lists with blanks before them, text that is no JSON, and repeated institutions."""
+    from loomgraph.operators import etl
+
+    person = '{"origin_id": "s1", "name": "A", "institutions": [{"name": "I", "address": "1 Main St, Moscow, Russian Federation"}]}'
+    rows = [(f" \n[{person}]", '[{"origin": "o", "origin_id": "1", "title": "T"}, "p2"]'), (person, '{"origin": "o", "origin_id": "1"}'), (person, "[no json"), ("", person)]
+    links = spark.createDataFrame([(*r, "Scientist", "Paper", "Authored") for r in rows], "`from` string, `to` string, fromNodeType string, toNodeType string, edgeType string")
+    nodes, edges = etl.restructure_links(links)
+    assert sorted(map(tuple, nodes.collect())) == [("I1 Main St, Moscow, Russian Federation", "I", "Institution"), ("Russia", "Russia", "Location"), ("o1", "T", "Paper"), ("p2", "p2", "Paper"), ("s1", "A", "Scientist")]
+    assert sorted((r["from"], r["to"]) for r in edges.collect()) == [("I1 Main St, Moscow, Russian Federation", "Russia"), ("s1", "I1 Main St, Moscow, Russian Federation"), ("s1", "o1"), ("s1", "p2")]
+    for made in (nodes, edges):
+        assert "parse_json" not in made._jdf.queryExecution().optimizedPlan().toString().lower()
