@@ -204,7 +204,7 @@ class Merging:
     ``chunked`` holds the iteration's nodes with their chunk; ``history`` a row a chunk.
     A run goes: ``scores()``, ``candidates_for_review()``, ``decide(decisions)``, and then
     ``next_chunk()``, or ``next_iteration()`` after the last one. All tables are written to
-    the shared folder, so a step can be run again.
+    the shared folder, those given too, so a step can be run again and none makes them anew.
     """
 
     nodes: DataFrame
@@ -222,6 +222,7 @@ class Merging:
 
     def __post_init__(self) -> None:
         self._scores: DataFrame | None = None
+        self.nodes, self.edges = stored(self.nodes), stored(self.edges)
         last = self.history.orderBy(F.desc("iteration"), F.desc("chunk")).first() if self.history is not None else None
         if last is not None:
             # The last chunk again if it wasn't merged, else the one after it, else a new iteration.

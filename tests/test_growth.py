@@ -156,3 +156,13 @@ def test_payloads_are_parsed_once(spark):
     assert sorted((r["from"], r["to"]) for r in edges.collect()) == [("I1 Main St, Moscow, Russian Federation", "Russia"), ("s1", "I1 Main St, Moscow, Russian Federation"), ("s1", "o1"), ("s1", "p2")]
     for made in (nodes, edges):
         assert "parse_json" not in made._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_chunks_do_not_read_the_input_again(spark, tmp_path):
+    """A run's nodes and edges are tables of its own from the start."""
+    from loomgraph.operators import resolve
+
+    spark.createDataFrame([("a b", "a b", "Institution"), ("a bc", "a bc", "Institution")], "nodeID string, displayName string, nodeType string").write.parquet(f"file://{tmp_path}/nodes")
+    spark.createDataFrame([("a b", "x", "Located At", "Institution", "Location")], "`from` string, `to` string, edgeType string, fromNodeType string, toNodeType string").write.parquet(f"file://{tmp_path}/edges")
+    m = resolve.Merging(spark.read.parquet(f"file://{tmp_path}/nodes"), spark.read.parquet(f"file://{tmp_path}/edges"), "Institution", size=2)
+    assert not any(str(tmp_path) + "/" in f.replace("file:///", "/").replace("%20", " ") and ("/nodes/" in f or "/edges/" in f) for t in (m.nodes, m.edges, m.active()) for f in t.inputFiles())
