@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.runs import byte_slices, flat, hashes, runs, vocabulary as words_of_runs
-from loomgraph.functions.scratch import stored
+from loomgraph.functions.scratch import release, stored
 from loomgraph.functions.text import clean_topic
 
 
@@ -113,6 +113,23 @@ class Grams:
         found = self._found(hashed, True).join(F.broadcast(vocab.select("term")), "term", "left_semi")
         return found.groupBy("key", "term").agg(F.sum("n").alias("tf"))
 
+    def doc_sets(self, vocab: DataFrame) -> DataFrame:
+        """(key, terms): the terms of a vocabulary, a table bounded by its size, that stand in each document with one of them.
+
+        A list is made by the task that reads the document, so what is shuffled is a row a document, not one a term of it.
+        """
+        told = vocab.select("term").toArrow()
+        near = [b.column("h").to_numpy() for b in _hash_terms(told.to_batches())]
+        shared = vocab.sparkSession.sparkContext.broadcast((np.sort(np.concatenate([np.zeros(0, np.int64), *near])), told.column("term").combine_chunks()))
+        step, longest, stop = _Slice, self.longest, self.stop
+        kind = self.rows.schema["key"].dataType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in byte_slices(batches):
+                yield from step(batch, longest, stop).sets(*shared.value)
+
+        return self.rows.mapInArrow(run, f"key {kind}, terms array<string>").groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+
     def _found(self, wanted: DataFrame, by_key: bool) -> DataFrame:
         """(key, term, n) or (term, n) a slice; the hashes wanted are a sorted array in every task while they are few, else joined."""
         few = wanted.count() <= MOST_WANTED
@@ -191,6 +208,17 @@ class _Slice:
             columns = [pa.array(h[heads].view(np.int64)), *([self.keys.take(pa.array(self.row[own]))] if by_key else []), term.cast(pa.large_string()).cast(pa.string()), pa.array(n)]
             yield pa.RecordBatch.from_arrays(columns, names=["h", *(["key"] if by_key else []), "term", "n"])
 
+    def sets(self, wanted: np.ndarray, terms: pa.Array) -> Iterator[pa.RecordBatch]:
+        """(key, terms) of the slice's texts with a run wanted; ``terms`` tells runs from others of the same hash."""
+        keys, self.keys = self.keys, pa.array(np.arange(len(self.keys)))
+        found = pa.Table.from_batches([*self.terms(wanted, True)], pa.schema([("h", pa.int64()), ("key", pa.int64()), ("term", pa.string()), ("n", pa.int64())]))
+        found = found.filter(pc.is_in(found.column("term"), value_set=terms))
+        row = found.column("key").to_numpy()
+        order = np.argsort(row, kind="stable")
+        own, at = np.unique(row[order], return_index=True)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(row)).astype(np.int32)), found.column("term").combine_chunks().take(pa.array(order)))
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(own)), lists], names=["key", "terms"])
+
 
 def _hash_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h) of terms, as slices hash their runs."""
@@ -283,7 +311,7 @@ class _Fit:
 
 
 def fit_topics(counts: DataFrame, n_topics: int, seed: int = 0, rounds: int = 30, tolerance: float = 1e-4) -> tuple[TopicModel, DataFrame, DataFrame]:
-    """(model, (key, topic, p), (topic, term, weight)) of total-correlation topics over (key, term, tf), counts taken as 0 or 1.
+    """(model, (key, topic, p), (topic, term, weight)) of total-correlation topics over (key, term, tf), counts taken as 0 or 1, or over (key, terms) as ``Grams.doc_sets`` gives them.
 
     Terms are a vocabulary of bounded size; documents are never gathered. Rounds end when the
     correlation explained stays the same.
@@ -308,12 +336,22 @@ def fit_topics(counts: DataFrame, n_topics: int, seed: int = 0, rounds: int = 30
 
 def _incidence(counts: DataFrame) -> tuple[DataFrame, list[str]]:
     """((key, x, h): each document's terms by place, and a hash of them; the terms in order)."""
-    terms = sorted(r.term for r in counts.select("term").distinct().collect())  # a vocabulary, bounded by its size
+    sets = counts if "terms" in counts.columns else counts.groupBy("key").agg(F.collect_set("term").alias("terms"))
+    sets = stored(sets.select("key", F.array_sort("terms").alias("terms")).where(F.size("terms") > 0))  # made once, read twice
+    terms = sorted(r.term for r in sets.select(F.explode("terms").alias("term")).distinct().collect())  # a vocabulary, bounded by its size
     if not terms:
         raise ValueError("no documents with terms of the vocabulary")
-    place = counts.sparkSession.createDataFrame([*enumerate(terms)], "i int, term string")
-    docs = counts.select("key", "term").distinct().join(F.broadcast(place), "term").groupBy("key").agg(F.array_sort(F.collect_list("i")).alias("x"))
-    return stored(docs.withColumn("h", F.xxhash64("x"))), terms
+    shared = counts.sparkSession.sparkContext.broadcast(pa.array(terms, pa.string()))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column("terms")
+            x = pc.index_in(own.flatten().cast(pa.string()), value_set=shared.value)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pc.subtract(own.offsets, own.offsets[0]), x)], names=["key", "x"])
+
+    docs = stored(sets.mapInArrow(placed, f"key {sets.schema['key'].dataType.simpleString()}, x array<int>").withColumn("h", F.xxhash64("x")))
+    release(sets)
+    return docs, terms
 
 
 def _places(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -244,14 +244,14 @@ def top01_hlp12_doc_terms(s, d):
 def top02_top04_topics(s, d):
     """Top terms of five total-correlation topics."""
     g = whole_grams(s, d)
-    return topics.top_terms(topics.fit_topics(g.doc_terms(g.vocabulary(200)), 5, rounds=10)[2])
+    return topics.top_terms(topics.fit_topics(g.doc_sets(g.vocabulary(200)), 5, rounds=10)[2])
 
 
 @query()
 def top03_best_n(s, d):
     """Total correlation explained by two and by four topics, the better one first."""
     g = whole_grams(s, d)
-    return topics.best_n_topics(stored(g.doc_terms(g.vocabulary(100))), [2, 4], rounds=6)[1]
+    return topics.best_n_topics(g.doc_sets(g.vocabulary(100)), [2, 4], rounds=6)[1]
 
 
 @query(
@@ -309,7 +309,7 @@ def nlp21_embeddings_by_month(s, d):
 def snk07_topic_outputs(s, d):
     """Topics of all documents saved as tables and read back: documents a topic that each goes with best, and its terms."""
     g = whole_grams(s, d)
-    model, shares, terms = topics.fit_topics(g.doc_terms(g.vocabulary(100)), 3, rounds=6)
+    model, shares, terms = topics.fit_topics(g.doc_sets(g.vocabulary(100)), 3, rounds=6)
     path = _roundtrip(s, "topics")
     docs = table(s, d, "documents").select("doc_id")
     writers.save_topics(docs, shares, terms, path, model)
